@@ -63,4 +63,5 @@ def _load_all() -> None:
     from regframe.plans import (  # noqa: F401
         q_aggregates,
         q_model,
+        q_search,
     )
