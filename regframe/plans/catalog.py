@@ -63,5 +63,6 @@ def _load_all() -> None:
     from regframe.plans import (  # noqa: F401
         q_aggregates,
         q_model,
+        q_profile,
         q_search,
     )
