@@ -8,11 +8,15 @@ common table expressions (:mod:`regframe.plans.oracle_registry`).
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from regframe.bundle import Registry
+from regframe.operators import maintain
+from regframe.session import checkpoint_dir
 from regframe.plans.oracle_registry import with_registry
 from regframe.sources import starmap
 
@@ -20,14 +24,24 @@ SparkFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, SparkFn] = {}
 _ORACLE: dict[str, str] = {}
-_REGISTRIES: dict[tuple[int, str], Registry] = {}
+_REGISTRIES: dict[tuple, Registry] = {}
 
 
-def registry(spark: SparkSession, sf_dir: str) -> Registry:
-    """The derived registry of one scale directory, built once per session."""
-    key = (id(spark), sf_dir)
+def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) -> Registry:
+    """The derived registry of one scale directory, built once per session.
+
+    By default the model is written once as Parquet under the session's shared
+    checkpoint folder and read back (a loaded base, as the queries expect);
+    ``materialized=False`` gives the lazy derivation instead.
+    """
+    key = (id(spark), sf_dir, materialized)
     if key not in _REGISTRIES:
-        _REGISTRIES[key] = starmap.load(spark, sf_dir)
+        reg = starmap.load(spark, sf_dir)
+        if materialized:
+            tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
+            root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}"
+            reg = maintain.materialize(reg, root)
+        _REGISTRIES[key] = reg
     return _REGISTRIES[key]
 
 
