@@ -78,5 +78,6 @@ def _load_all() -> None:
         q_aggregates,
         q_model,
         q_profile,
+        q_quality,
         q_search,
     )
