@@ -75,6 +75,7 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # importing the modules registers their queries
     from regframe.plans import (  # noqa: F401
+        q_adhoc,
         q_aggregates,
         q_model,
         q_profile,
