@@ -19,6 +19,7 @@ from regframe.bundle import Registry
 from regframe.functions import ids
 from regframe.functions.labels import status_label
 from regframe.operators import geo
+from regframe.session import cut_lineage
 
 OUTPUT_COLUMNS = [
     "pos",
@@ -63,9 +64,18 @@ def entries_from_list(spark: SparkSession, values: list) -> DataFrame:
     return spark.createDataFrame(rows, "pos long, entrada string")
 
 
-def enrich(reg: Registry, entries: DataFrame) -> DataFrame:
+def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
+    """Enrich ``(pos, entrada)``; ``cut`` checkpoints the list-sized intermediates.
+
+    The normalised list and the matched establishments are each read by
+    several joins; a reliable checkpoint (shared checkpoint folder) computes
+    them once and keeps retries after a lost executor from replaying the input.
+    Both are bounded by the list size, not by the registry.
+    """
     strip = F.regexp_replace(F.coalesce(F.col("entrada"), F.lit("")), r"^\s+|\s+$", "")
     ent = entries.select("pos", strip.alias("entrada")).withColumn("chave", ids.list_key("entrada"))
+    if cut:
+        ent = cut_lineage(ent)
     bases = ent.where(F.length("chave") == 8).select(F.col("chave").alias("cnpj_basico"))
     heads = reg["cnpj_base2matriz"].join(bases, "cnpj_basico", "left_semi")
     heads = heads.select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("_hc"))
@@ -76,6 +86,8 @@ def enrich(reg: Registry, entries: DataFrame) -> DataFrame:
     )
     targets = alvo.where(F.col("cnpj_alvo").isNotNull()).select(F.col("cnpj_alvo").alias("cnpj"))
     est = reg["estabelecimento"].join(targets, "cnpj", "left_semi")
+    if cut:
+        est = cut_lineage(est)
     est_bases = est.select("cnpj_basico")
     emp = reg["empresas"].join(est_bases, "cnpj_basico", "left_semi")
     si = reg["simples"].join(est_bases, "cnpj_basico", "left_semi")
