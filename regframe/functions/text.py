@@ -57,7 +57,10 @@ def like_contains(q: str) -> str:
 
 
 def jaro_winkler_bytes(a: bytes, b: bytes) -> float:
-    """Jaro-Winkler on byte strings: prefix boost 0.1 per byte (max 4) when Jaro > 0.7."""
+    """Jaro-Winkler on byte strings: prefix boost 0.1 per byte (max 4) when Jaro > 0.7.
+
+    Transpositions are the integer half of the out-of-order matched bytes.
+    """
     la, lb = len(a), len(b)
     if la == 0 or lb == 0:
         return 0.0
@@ -75,7 +78,9 @@ def jaro_winkler_bytes(a: bytes, b: bytes) -> float:
     if m == 0:
         return 0.0
     b_hits = [b[j] for j in range(lb) if taken[j]]
-    half_t = sum(1 for x, y in zip(a_hits, b_hits) if x != y) / 2.0
+    # transpositions: half the out-of-order matches, rounded down (as the
+    # oracle engine computes it)
+    half_t = sum(1 for x, y in zip(a_hits, b_hits) if x != y) // 2
     jaro = (m / la + m / lb + (m - half_t) / m) / 3.0
     if jaro > 0.7:
         p = 0
