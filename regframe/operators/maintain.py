@@ -5,9 +5,9 @@ Layout on shared storage (HDFS/object store/local for tests)::
     <root>/ano_mes=<YYYYMM>/<table>/        one directory per table and month
     <root>/ano_mes=<YYYYMM>/<table>/_SUCCESS  written by Spark when complete
 
-Fact tables are hash-partitioned on ``cnpj_basico`` and sorted within files
-by it (row-group min/max prune point lookups and the company joins read
-co-ordered data); the activity bridge is sorted by code. A compaction
+Fact tables are clustered on ``cnpj_basico`` with a skew-splitting rebalance
+and sorted within files by it (row-group min/max prune point lookups); the
+activity bridge is sorted by code. A compaction
 rewrites a table into a new version directory, verifies the row count and
 only then switches, so a failed run never leaves a half-written table in use.
 """
@@ -68,11 +68,16 @@ def count_files(spark: SparkSession, path: str) -> int:
 
 
 def write_table(df: DataFrame, path: str, *, key: str | None = None, partitions: int | None = None) -> None:
-    """Overwrite one table (idempotent rebuild), laid out by ``key`` when given."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Overwrite one table (idempotent rebuild), clustered and sorted by ``key``.
+
+    ``REBALANCE`` (AQE) clusters rows by key but splits a partition that a hot
+    key makes oversized and coalesces small ones, so one company holding a
+    third of the rows does not become one task or one file. Files are sorted by
+    key: Parquet row-group statistics then prune point lookups.
+    """
     if key:
-        df = df.repartition(n, key).sortWithinPartitions(key)
+        df = df.hint("rebalance", key) if partitions is None else df.hint("rebalance", partitions, key)
+        df = df.sortWithinPartitions(key)
     df.write.mode("overwrite").parquet(path)
 
 
@@ -128,7 +133,8 @@ def compact(
     before_files = count_files(spark, src_path)
     nxt = (current or 0) + 1
     dst_path = f"{table_dir}/v={nxt}"
-    df = src.repartition(target_files, key) if key else src.repartition(target_files)
+    # round-robin: balanced files whatever the key skew; sorted by key inside
+    df = src.repartition(target_files)
     if key:
         df = df.sortWithinPartitions(key)
     df.write.mode("overwrite").parquet(dst_path)
