@@ -8,7 +8,7 @@ BM25 index = three tables:
   stats(n_docs, avgdl)           one row
 Building is an explode + one grouped count (partial aggregation absorbs hot
 terms); searching filters postings to the query terms (pushed to the Parquet
-scan when the index is stored sorted by term), joins the query's few ``terms``
+scan; stored files are sorted by term so row groups are skipped), joins the query's few ``terms``
 rows (bounded by the number of query words, broadcast) and sums per document.
 """
 
@@ -31,16 +31,21 @@ class BM25Index:
     terms: DataFrame
     stats: DataFrame
     key: str
+    docs: DataFrame | None = None  # the indexed keys (for the document count)
 
     def write(self, path: str, *, partitions: int | None = None) -> None:
-        """Store the index; postings range-partitioned and sorted by term so a
-        term filter skips row groups."""
+        """Store the index. Postings (the one tokenising pass) are written first,
+        clustered by term with a skew-splitting rebalance (a term present in a
+        third of all documents is split, not sent to one task) and sorted by
+        term inside each file, so a term filter skips row groups; terms and
+        stats are then derived from the stored postings."""
         p = self.postings
-        if partitions:
-            p = p.repartitionByRange(partitions, "term")
+        p = p.hint("rebalance", partitions, "term") if partitions else p.hint("rebalance", "term")
         p.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        _terms(stored).write.mode("overwrite").parquet(f"{path}/terms")
+        docs = self.docs if self.docs is not None else stored.select(self.key).distinct()
+        _stats(stored, docs, self.key).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark, path: str, key: str) -> "BM25Index":
@@ -52,20 +57,40 @@ class BM25Index:
         )
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> BM25Index:
-    """Index ``text`` of ``docs`` keyed by ``key`` (whole texts, every document)."""
-    toks = docs.select(F.col(key), tokens(text).alias("_t"))
-    toks = toks.withColumn("len", F.size("_t"))
-    stats = toks.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("len").cast("double").alias("avgdl")
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _stats(postings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """(n_docs, avgdl) as one aggregate over a union: every document counts once
+    (documents without terms included), every posting adds its ``tf``."""
+    ones = docs.select(F.lit(1).cast("long").alias("_d"), F.lit(0).cast("long").alias("_t"))
+    tfs = postings.select(F.lit(0).cast("long").alias("_d"), F.col("tf").cast("long").alias("_t"))
+    return ones.unionByName(tfs).agg(
+        F.sum("_d").alias("n_docs"),
+        (F.sum("_t") / F.sum("_d")).cast("double").alias("avgdl"),
     )
+
+
+def build_index(docs: DataFrame, key: str, text: str) -> BM25Index:
+    """Index ``text`` of ``docs`` keyed by ``key`` (whole texts, every document).
+
+    Tokenising is CPU-bound: when the input has fewer partitions than the
+    cluster has task slots (a few large files), it is spread first; a big
+    input already has enough partitions and is not moved.
+    """
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    src = docs.select(key, text)
+    if src.rdd.getNumPartitions() < slots:
+        src = src.repartition(slots)
+    toks = src.select(F.col(key), tokens(text).alias("_t"))
     postings = (
-        toks.select(key, "len", F.explode("_t").alias("term"))
+        toks.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
         .groupBy("term", key, "len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return BM25Index(postings, terms, stats, key)
+    keys = docs.select(key)
+    return BM25Index(postings, _terms(postings), _stats(postings, keys, key), key, keys)
 
 
 def scores(index: BM25Index, q: str, *, k1: float = K1, b: float = B) -> DataFrame:
