@@ -15,8 +15,8 @@ _TEXTS = {
         "GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2"
     ),
     "adhoc_window": (
-        "SELECT rn, count(*) AS n FROM (SELECT row_number() OVER "
-        "(PARTITION BY cnpj_basico ORDER BY cnpj) AS rn FROM estabelecimento) t GROUP BY rn"
+        "SELECT rn, count(*) AS n FROM (SELECT CAST(row_number() OVER "
+        "(PARTITION BY cnpj_basico ORDER BY cnpj) AS BIGINT) AS rn FROM estabelecimento) t GROUP BY rn"
     ),
     "adhoc_rollup": (
         "SELECT uf, matriz_filial, count(*) AS n FROM mv_estabelecimento_ativo "

@@ -84,17 +84,17 @@ def establishment_rows() -> list[tuple]:
     return rows
 
 
-def write_dump(directory: str, *, with_partners: bool = True) -> str:
+def write_dump(directory: str, *, with_partners: bool = True, month_tag: str = MONTH_TAG) -> str:
     os.makedirs(directory, exist_ok=True)
 
     def put(name, rows):
         with open(os.path.join(directory, name), "wb") as f:
             f.write(("\n".join(_line(r) for r in rows) + "\n").encode("cp1252"))
 
-    put(f"{MONTH_TAG}.EMPRECSV", COMPANIES)
-    put(f"{MONTH_TAG}.ESTABELE", establishment_rows())
+    put(f"{month_tag}.EMPRECSV", COMPANIES)
+    put(f"{month_tag}.ESTABELE", establishment_rows())
     if with_partners:
-        put(f"{MONTH_TAG}.SOCIOCSV", PARTNERS)
+        put(f"{month_tag}.SOCIOCSV", PARTNERS)
     put("F.SIMPLES.CSV", SIMPLES)
     for name, rows in CODES.items():
         put(name, rows)

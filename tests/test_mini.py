@@ -262,3 +262,19 @@ def test_export(spark, mini_reg, scratch):
     with pytest.raises(ValueError):
         search.export(df, os.path.join(scratch, "exp", "busca.xlsx"))
     assert df.select(F.col("cnpj")).count() == 3
+
+
+def test_monthly_sync_keeps_newest(spark, scratch):
+    """Two monthly dumps into one base: each month in its own directory, the
+    newest is current, older ones beyond ``keep_months`` are expired."""
+    import mini_fixture
+
+    base = os.path.join(scratch, "base_sync")
+    d1 = mini_fixture.write_dump(os.path.join(scratch, "sync_sep"))
+    d2 = mini_fixture.write_dump(os.path.join(scratch, "sync_oct"), month_tag="K3241.K03200Y0.D61025")
+    load.load_dump(spark, d1, base, text_index=False, validate=False, partitions=2, keep_months=2)
+    out = load.load_dump(spark, d2, base, text_index=False, validate=False, partitions=2, keep_months=1)
+    assert out["ano_mes"] == "202610" and out["referencia"] == "25/10/2026"
+    assert maintain.months(spark, base) == ["202610"]
+    assert out["expirados"] == [maintain.snapshot_path(base, "202609")]
+    assert load.open_base(spark, base).ano_mes == "202610"
