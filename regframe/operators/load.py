@@ -54,15 +54,16 @@ def load_dump(
         else:
             raise RuntimeError("neither raw nor resolved partners are available; reload without resume")
     codes = {t: _landed(spark, raw_root, t) for _, t in CODE_TABLES}
-    reg = model.build_registry(
+    reg = maintain.materialize_model(
         raw,
         codes,
+        snap,
         ano_mes=ano_mes,
         data_ref=data_ref,
         municipio_ibge=municipio_ibge,
         cnae_classes=cnae_classes,
+        partitions=partitions,
     )
-    reg = maintain.materialize(reg, snap, partitions=partitions)
     return finish(spark, reg, snap, base_root, batches=batches, keep_months=keep_months,
                   text_index=text_index, validate=validate)
 

@@ -89,9 +89,13 @@ def materialize(reg: Registry, root: str, *, partitions: int | None = None) -> R
     (``_SUCCESS`` present) are reused, so a re-run after a lost executor or a
     killed job only writes what is missing.
     """
-    spark = reg.spark
+    out = _write_all(reg.spark, reg.frames, root, partitions)
+    return Registry(out, ano_mes=reg.ano_mes, data_ref=reg.data_ref)
+
+
+def _write_all(spark, frames: dict[str, DataFrame | None], root: str, partitions: int | None) -> dict:
     out: dict[str, DataFrame | None] = {}
-    for name, df in reg.frames.items():
+    for name, df in frames.items():
         if df is None:
             out[name] = None
             continue
@@ -99,7 +103,52 @@ def materialize(reg: Registry, root: str, *, partitions: int | None = None) -> R
         if not exists(spark, f"{path}/_SUCCESS"):
             write_table(df, path, key=LAYOUT.get(name), partitions=partitions)
         out[name] = spark.read.parquet(path)
-    return Registry(out, ano_mes=reg.ano_mes, data_ref=reg.data_ref)
+    return out
+
+
+def materialize_model(
+    raw: dict[str, DataFrame | None],
+    codes: dict[str, DataFrame | None],
+    root: str,
+    *,
+    ano_mes: str,
+    data_ref: str = "desconhecida",
+    municipio_ibge: DataFrame | None = None,
+    cnae_classes: DataFrame | None = None,
+    cep_geo: DataFrame | None = None,
+    partitions: int | None = None,
+) -> Registry:
+    """Write the model in dependency order and return a registry reading it.
+
+    Stage 1 writes the tables that come from the raw files; stage 2 derives the
+    head-office map from the written companies and establishments; stage 3 the
+    bridge, the resolved partners and the hierarchy from the written tables.
+    Each raw derivation (key concatenation, capital parse) therefore runs once
+    instead of once per dependent table, and every stage is skipped when its
+    tables are complete, so a re-run after a failure resumes where it stopped.
+    """
+    from regframe.operators import model
+
+    spark = raw["estabelecimento"].sparkSession
+    base = _write_all(
+        spark,
+        model.base_tables(raw, codes, municipio_ibge=municipio_ibge, cep_geo=cep_geo),
+        root,
+        partitions,
+    )
+    heads = _write_all(
+        spark,
+        {"cnpj_base2matriz": model.head_office_map(base["empresas"], base["estabelecimento"])},
+        root,
+        partitions,
+    )["cnpj_base2matriz"]
+    derived = _write_all(
+        spark,
+        model.derived_tables(base, raw, ano_mes=ano_mes, cnae_classes=cnae_classes, head_offices=heads),
+        root,
+        partitions,
+    )
+    return Registry({**base, **derived}, ano_mes=ano_mes, data_ref=data_ref)
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -160,39 +160,74 @@ def empty_simples(spark) -> DataFrame:
     return spark.createDataFrame([], text_schema(SIMPLES_COLUMNS))
 
 
-def build_registry(
+def base_tables(
     raw: dict[str, DataFrame | None],
     codes: dict[str, DataFrame | None],
     *,
-    ano_mes: str,
-    data_ref: str = "desconhecida",
     municipio_ibge: DataFrame | None = None,
-    cnae_classes: DataFrame | None = None,
     cep_geo: DataFrame | None = None,
-) -> Registry:
-    """Raw tables + code tables + dimensions -> the derived registry (lazy)."""
-    emp = companies(raw["empresas"])
+) -> dict[str, DataFrame | None]:
+    """Tables that come straight from the raw files (plus the dimensions)."""
     est = establishments(raw["estabelecimento"])
     simples = raw.get("simples")
     if simples is None:
         simples = empty_simples(est.sparkSession)
-    b2m = head_office_map(emp, est)
     frames: dict[str, DataFrame | None] = {
-        "empresas": emp,
+        "empresas": companies(raw["empresas"]),
         "estabelecimento": est,
         "simples": simples,
-        "cnpj_base2matriz": b2m,
-        "estabelecimento_cnae": activity_bridge(est),
         "municipio_ibge": municipio_ibge,
         "cep_geo": cep_geo,
     }
+    frames.update(codes)
+    return frames
+
+
+def derived_tables(
+    base: dict[str, DataFrame | None],
+    raw: dict[str, DataFrame | None],
+    *,
+    ano_mes: str,
+    cnae_classes: DataFrame | None = None,
+    head_offices: DataFrame | None = None,
+) -> dict[str, DataFrame | None]:
+    """Tables derived from the base ones: head-office map, activity bridge,
+    resolved partners, activity hierarchy.
+
+    ``head_offices`` is the already written head-office map when the caller
+    stores the model in stages (the partners then read it instead of
+    re-deriving it from the establishments).
+    """
+    b2m = head_offices if head_offices is not None else head_office_map(
+        base["empresas"], base["estabelecimento"]
+    )
+    frames: dict[str, DataFrame | None] = {
+        "cnpj_base2matriz": b2m,
+        "estabelecimento_cnae": activity_bridge(base["estabelecimento"]),
+    }
     if raw.get("socios_original") is not None:
         frames["socios"] = partners(raw["socios_original"], b2m, ano_mes)
     elif raw.get("socios") is not None:
         frames["socios"] = raw["socios"]
     else:
         raise RuntimeError("neither raw partners nor resolved partners are available")
-    frames.update(codes)
-    if cnae_classes is not None and codes.get("cnae") is not None:
-        frames["cnae_hierarquia"] = activity_hierarchy(codes["cnae"], cnae_classes)
+    if cnae_classes is not None and base.get("cnae") is not None:
+        frames["cnae_hierarquia"] = activity_hierarchy(base["cnae"], cnae_classes)
+    return frames
+
+
+def build_registry(
+    raw: dict[str, DataFrame | None],
+    codes: dict[str, DataFrame | None],
+    *,
+    ano_mes: str,
+    data_ref: str = "desconhecida",
+    municipio_ibge: DataFrame | None = None,
+    cnae_classes: DataFrame | None = None,
+    cep_geo: DataFrame | None = None,
+) -> Registry:
+    """Raw tables + code tables + dimensions -> the derived registry (lazy)."""
+    base = base_tables(raw, codes, municipio_ibge=municipio_ibge, cep_geo=cep_geo)
+    frames = dict(base)
+    frames.update(derived_tables(base, raw, ano_mes=ano_mes, cnae_classes=cnae_classes))
     return Registry(frames, ano_mes=ano_mes, data_ref=data_ref)

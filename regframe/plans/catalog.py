@@ -36,11 +36,15 @@ def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) ->
     """
     key = (id(spark), sf_dir, materialized)
     if key not in _REGISTRIES:
-        reg = starmap.load(spark, sf_dir)
         if materialized:
             tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
             root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}"
-            reg = maintain.materialize(reg, root)
+            a = starmap.inputs(spark, sf_dir)
+            reg = maintain.materialize_model(
+                a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, **a
+            )
+        else:
+            reg = starmap.load(spark, sf_dir)
         _REGISTRIES[key] = reg
     return _REGISTRIES[key]
 

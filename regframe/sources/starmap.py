@@ -221,8 +221,8 @@ def municipality_dim(nation: DataFrame, region: DataFrame) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str, *, ano_mes: str = STARMAP_MONTH) -> Registry:
-    """The derived registry over one scale directory (lazy)."""
+def inputs(spark: SparkSession, sf_dir: str) -> dict:
+    """Keyword arguments of the model builders: raw tables, code tables, dimensions."""
     t = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "part", "nation", "region")}
     codes = code_tables(t["part"], t["nation"], t["region"])
     raw = {
@@ -231,11 +231,16 @@ def load(spark: SparkSession, sf_dir: str, *, ano_mes: str = STARMAP_MONTH) -> R
         "socios_original": raw_partners(t["lineitem"], t["orders"]),
         "simples": raw_simples(t["customer"]),
     }
-    return model.build_registry(
-        raw,
-        codes,
-        ano_mes=ano_mes,
-        data_ref=STARMAP_DATE,
-        municipio_ibge=municipality_dim(t["nation"], t["region"]),
-        cnae_classes=activity_classes(codes["cnae"]),
-    )
+    return {
+        "raw": raw,
+        "codes": codes,
+        "data_ref": STARMAP_DATE,
+        "municipio_ibge": municipality_dim(t["nation"], t["region"]),
+        "cnae_classes": activity_classes(codes["cnae"]),
+    }
+
+
+def load(spark: SparkSession, sf_dir: str, *, ano_mes: str = STARMAP_MONTH) -> Registry:
+    """The derived registry over one scale directory (lazy)."""
+    a = inputs(spark, sf_dir)
+    return model.build_registry(a.pop("raw"), a.pop("codes"), ano_mes=ano_mes, **a)
