@@ -64,13 +64,23 @@ def entries_from_list(spark: SparkSession, values: list) -> DataFrame:
     return spark.createDataFrame(rows, "pos long, entrada string")
 
 
+# A list of up to this many rows is broadcast to the fact-table scans (a
+# semi join becomes a map-side hash filter: no shuffle of the registry). The
+# list is counted after its checkpoint, so the bound is checked, not assumed;
+# a longer list shuffles both sides on the key instead.
+LIST_BROADCAST_ROWS = 2_000_000
+
+
 def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
     """Enrich ``(pos, entrada)``; ``cut`` checkpoints the list-sized intermediates.
 
-    The normalised list and the matched establishments are each read by
-    several joins; a reliable checkpoint (shared checkpoint folder) computes
-    them once and keeps retries after a lost executor from replaying the input.
-    Both are bounded by the list size, not by the registry.
+    The resolved list (one row per input, more for a base key with two head
+    offices) and the matched establishments are each read by several joins; a
+    reliable checkpoint (shared checkpoint folder) computes them once and keeps
+    retries after a lost executor from replaying the input, whose positions
+    must not change between reads. Both are bounded by the list size, not by
+    the registry. With ``cut`` the resolved list is counted, and a list within
+    ``LIST_BROADCAST_ROWS`` is broadcast to the registry scans.
     """
     strip = F.regexp_replace(F.coalesce(F.col("entrada"), F.lit("")), r"^\s+|\s+$", "")
     ent = entries.select("pos", strip.alias("entrada")).withColumn("chave", ids.list_key("entrada"))
@@ -83,16 +93,22 @@ def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
         heads, (F.length(ent["chave"]) == 8) & (heads["_hb"] == ent["chave"]), "left"
     ).withColumn(
         "cnpj_alvo", F.when(F.length("chave") == 14, F.col("chave")).otherwise(F.col("_hc"))
-    )
+    ).drop("_hb", "_hc")
+    small = False
+    if cut:
+        alvo = cut_lineage(alvo)
+        small = alvo.count() <= LIST_BROADCAST_ROWS  # counted on the checkpoint
+    hint = F.broadcast if small else (lambda d: d)
     targets = alvo.where(F.col("cnpj_alvo").isNotNull()).select(F.col("cnpj_alvo").alias("cnpj"))
-    est = reg["estabelecimento"].join(targets, "cnpj", "left_semi")
+    est = reg["estabelecimento"].join(hint(targets), "cnpj", "left_semi")
     if cut:
         est = cut_lineage(est)
     est_bases = est.select("cnpj_basico")
-    emp = reg["empresas"].join(est_bases, "cnpj_basico", "left_semi")
-    si = reg["simples"].join(est_bases, "cnpj_basico", "left_semi")
+    emp = reg["empresas"].join(hint(est_bases), "cnpj_basico", "left_semi")
+    si = reg["simples"].join(hint(est_bases), "cnpj_basico", "left_semi")
 
-    j = alvo.join(est, alvo["cnpj_alvo"] == est["cnpj"], "left")
+    # est, emp and si are within the list's size when it is small
+    j = alvo.join(hint(est), alvo["cnpj_alvo"] == est["cnpj"], "left")
     e = emp.select(
         F.col("cnpj_basico").alias("_e_b"),
         "razao_social",
@@ -100,7 +116,7 @@ def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
         "porte_empresa",
         "capital_social",
     )
-    j = j.join(e, j["cnpj_basico"] == e["_e_b"], "left")
+    j = j.join(hint(e), j["cnpj_basico"] == e["_e_b"], "left")
     nj = reg.dim("natureza_juridica").select(
         F.col("codigo").alias("_nj"), F.col("descricao").alias("natureza_juridica_desc")
     )
@@ -111,11 +127,11 @@ def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
     j = j.join(m, j["municipio"] == m["_m"], "left")
     j = geo.with_extras(reg, j)
     s = si.select(F.col("cnpj_basico").alias("_si"), "opcao_simples", "opcao_mei")
-    j = j.join(s, j["cnpj_basico"] == s["_si"], "left")
+    j = j.join(hint(s), j["cnpj_basico"] == s["_si"], "left")
     j = (
         j.withColumn("cnpj_normalizado", F.col("chave"))
         .withColumn("encontrado", F.col("cnpj").isNotNull())
-        .withColumn("erro", ids.list_key_error("entrada"))
+        .withColumn("erro", F.when(F.col("chave").isNull(), F.lit(ids.KEY_FORMAT_ERROR)))
         .withColumn(
             "dv_valido", F.when(F.length("chave") == 14, ids.digits_valid("chave"))
         )

@@ -83,9 +83,18 @@ def build_index(docs: DataFrame, key: str, text: str) -> BM25Index:
     src = docs.select(key, text)
     if src.rdd.getNumPartitions() < slots:
         src = src.repartition(slots)
-    toks = src.select(F.col(key), tokens(text).alias("_t"))
+    # The length is taken before the explode so the generator does not carry
+    # the token array into each of its output rows (a copy per token: quadratic
+    # in the length of a long text). ``explode_outer`` + a NULL filter keeps
+    # Catalyst from inferring a ``size > 0`` filter that it would push below
+    # the projection and so tokenise every text twice; texts without terms
+    # still count as documents through ``keys``.
+    toks = src.select(F.col(key), tokens(text).alias("_t")).select(
+        key, F.size("_t").alias("len"), "_t"
+    )
     postings = (
-        toks.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+        toks.select(key, "len", F.explode_outer("_t").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term", key, "len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
