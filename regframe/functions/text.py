@@ -27,10 +27,12 @@ _SPLIT = "[^a-z]+"
 def tokens(col: str | Column) -> Column:
     """array<string> of index terms; no stemming, no stop words."""
     c = F.col(col) if isinstance(col, str) else col
-    norm = F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), _SPLIT, " "))
-    # runs of separators became one space and the ends are trimmed, so the only
-    # empty token is the one of an empty text: no per-token filter needed
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+    norm = F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), _SPLIT, " ")
+    # runs of separators became one space, so the only empty tokens are those
+    # before a leading or after a trailing separator (or of an empty text);
+    # array_remove drops them without a lambda and without reading the
+    # normalised text twice
+    return F.array_remove(F.split(norm, " "), "")
 
 
 def py_tokens(text: str | None) -> list[str]:
