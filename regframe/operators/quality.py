@@ -38,16 +38,32 @@ CHECKS = {
 ORPHAN_SAMPLE = 1000
 
 
+def _rows(df: DataFrame, checks: list[tuple[int, str, Column, Column]]) -> DataFrame:
+    """Report rows of several checks read off one aggregate row of ``df``.
+
+    ``checks`` holds ``(order, name, ok, value)`` expressions over that row;
+    ``inline`` turns them into rows, so the table behind ``df`` is scanned once
+    for all of them (separate one-row frames in a union would each keep only
+    their own column after pruning and scan the table again).
+    """
+    structs = []
+    for order, name, ok, valor in checks:
+        nivel, detalhe = CHECKS[name]
+        structs.append(
+            F.struct(
+                F.lit(order).alias("ordem"),
+                F.lit(name).alias("check_name"),
+                ok.alias("ok"),
+                F.lit(nivel).alias("nivel"),
+                F.lit(detalhe).alias("detalhe"),
+                F.coalesce(valor.cast("string"), F.lit("None")).alias("valor"),
+            )
+        )
+    return df.select(F.inline(F.array(*structs)))
+
+
 def _row(df: DataFrame, order: int, name: str, ok: Column, valor: Column) -> DataFrame:
-    nivel, detalhe = CHECKS[name]
-    return df.select(
-        F.lit(order).alias("ordem"),
-        F.lit(name).alias("check_name"),
-        ok.alias("ok"),
-        F.lit(nivel).alias("nivel"),
-        F.lit(detalhe).alias("detalhe"),
-        F.coalesce(valor.cast("string"), F.lit("None")).alias("valor"),
-    )
+    return _rows(df, [(order, name, ok, valor)])
 
 
 def bad_digits(reg: Registry) -> DataFrame:
@@ -75,9 +91,15 @@ def uncovered_municipalities(reg: Registry) -> DataFrame:
 def report(reg: Registry) -> DataFrame:
     spark = reg.spark
     one = spark.range(1)
-    rows: list[DataFrame] = []
-    for i, t in enumerate(("empresas", "estabelecimento", "socios", "cnae")):
-        rows.append(_row(one, i, f"tabela_{t}", F.lit(reg.has(t)), F.lit(None)))
+    rows: list[DataFrame] = [
+        _rows(
+            one,
+            [
+                (i, f"tabela_{t}", F.lit(reg.has(t)), F.lit(None))
+                for i, t in enumerate(("empresas", "estabelecimento", "socios", "cnae"))
+            ],
+        )
+    ]
     if reg.has("estabelecimento"):
         k = F.col("cnpj")
         full = ids.is_full_key(k)
@@ -89,13 +111,18 @@ def report(reg: Registry) -> DataFrame:
             F.count_if(wrong).alias("n_dv"),
             F.count_if(k.rlike("[A-Z]")).alias("n_alpha"),
         )
-        rows += [
-            _row(agg, 4, "count_estabelecimento", F.col("n") > 0, F.col("n")),
-            _row(agg, 5, "cnpj_preenchido", F.col("n_null") == 0, F.col("n_null")),
-            _row(agg, 6, "cnpj_formato", F.col("n_fmt") == 0, F.col("n_fmt")),
-            _row(agg, 7, "cnpj_dv", F.col("n_dv") == 0, F.col("n_dv")),
-            _row(agg, 8, "cnpj_alfanumerico", F.lit(True), F.col("n_alpha")),
-        ]
+        rows.append(
+            _rows(
+                agg,
+                [
+                    (4, "count_estabelecimento", F.col("n") > 0, F.col("n")),
+                    (5, "cnpj_preenchido", F.col("n_null") == 0, F.col("n_null")),
+                    (6, "cnpj_formato", F.col("n_fmt") == 0, F.col("n_fmt")),
+                    (7, "cnpj_dv", F.col("n_dv") == 0, F.col("n_dv")),
+                    (8, "cnpj_alfanumerico", F.lit(True), F.col("n_alpha")),
+                ],
+            )
+        )
         if reg.has("cnae"):
             orf = orphan_activities(reg).limit(ORPHAN_SAMPLE).agg(F.count(F.lit(1)).alias("n"))
             rows.append(_row(orf, 9, "cnae_orfaos_amostra", F.col("n") == 0, F.col("n")))
