@@ -179,7 +179,8 @@ def cohorts(
     )
     ev = (
         est.where(opened | closed)
-        .select(F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e"))
+        .select(F.explode(events).alias("e"))
+        .where(F.col("e").isNotNull())  # an absent event is a NULL element
         .select("e.*")
     )
     g = ev.groupBy("periodo").agg(
