@@ -141,7 +141,12 @@ def fuzzy_name_hits(names: DataFrame, col: str, q: str, threshold: float = 0.85)
     ln = F.octet_length("_nm")
     ratio_ok = (F.least(ln, F.lit(qlen)) * 4 >= F.greatest(ln, F.lit(qlen))) & (ln > 0)
     cand = nm.where(ratio_ok) if qlen > 0 else nm.where(F.lit(False))
-    return cand.where(jaro_winkler(F.col("_nm"), F.lit(ql)) >= threshold).select("_nm")
+    # Marked nondeterministic so the optimizer keeps the filter above the
+    # distinct: a deterministic predicate on the grouping column would be pushed
+    # below the aggregate and the UDF would then run once per row, not once per
+    # distinct name.
+    once = jaro_winkler.asNondeterministic()
+    return cand.where(once(F.col("_nm"), F.lit(ql)) >= threshold).select("_nm")
 
 
 def ilike_any(q: str, *cols: str):

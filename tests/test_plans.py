@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from conftest import SF_SMALL
-from pyspark.sql import functions as F
 
 
 def _plan(df) -> str:
@@ -67,4 +66,14 @@ def test_aggregates_are_partial_before_the_shuffle(spark):
     plan = _plan(analytics.by_state(reg))
     assert "partial_count" in plan
     assert plan.count("Exchange hashpartitioning") == 1
-    assert F is not None
+
+
+def test_fuzzy_udf_runs_on_distinct_names(spark):
+    from regframe.operators import textsearch
+
+    names = spark.createDataFrame([("ACME LTDA",)] * 50 + [("ACME LTD",), (None,)], "n string")
+    hits = textsearch.fuzzy_name_hits(names, "n", "acme ltda")
+    plan = _plan(hits)
+    # the aggregate (distinct) sits below the Python evaluation
+    assert plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+    assert sorted(r["_nm"] for r in hits.collect()) == ["acme ltd", "acme ltda"]
