@@ -25,6 +25,22 @@ _TEXTS = {
     "adhoc_except": (
         "SELECT cnpj_basico FROM empresas EXCEPT SELECT cnpj_basico FROM simples"
     ),
+    # function names of the published examples, the same text in both engines
+    "adhoc_functions": (
+        "SELECT uf, count(*) AS n, "
+        "count(*) FILTER (WHERE regexp_full_match(cnpj, '[0-9A-Z]{12}[0-9]{2}')) AS bem_formados, "
+        "count(*) FILTER (WHERE list_contains(string_split(cnae_fiscal_secundaria, ','), '0189001')) "
+        "AS com_secundaria, "
+        "count(*) FILTER (WHERE regexp_matches(nome_fantasia, 'LOJA (URGENT|HIGH)')) AS lojas, "
+        "count(*) FILTER (WHERE razao_social ILIKE '%ring%') AS ring "
+        "FROM estabelecimento est JOIN empresas e ON e.cnpj_basico = est.cnpj_basico "
+        "GROUP BY uf ORDER BY uf"
+    ),
+    "adhoc_fuzzy": (
+        "SELECT porte_empresa, count(*) AS n FROM empresas "
+        "WHERE jaro_winkler_similarity(lower(razao_social), 'blue bolts household') >= 0.8 "
+        "GROUP BY porte_empresa"
+    ),
     "adhoc_join": (
         "SELECT e.porte_empresa, si.opcao_mei, count(*) AS n, round(sum(e.capital_social), 2) AS capital "
         "FROM empresas e LEFT JOIN simples si ON si.cnpj_basico = e.cnpj_basico "
