@@ -81,6 +81,7 @@ def _load_all() -> None:
     from regframe.plans import (  # noqa: F401
         q_adhoc,
         q_aggregates,
+        q_dims,
         q_model,
         q_profile,
         q_quality,
