@@ -9,12 +9,12 @@ establishment per order, one partner per line item, one company per customer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regframe.bundle import Registry
 from regframe.functions import ids
-from regframe.operators import model
+from regframe.operators import model, sequence
 from regframe.schemas import (
     COMPANY_COLUMNS,
     ESTABLISHMENT_COLUMNS,
@@ -72,9 +72,10 @@ def raw_establishments(orders: DataFrame) -> DataFrame:
     gets wrong check digits ('00'); every 211th has no start date.
     """
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    # branch n = n-th order of the customer, numbered without one task per customer
+    o = sequence.number_within(o, "o_custkey", "o_orderkey", out="_rn")
     k = F.col("o_orderkey")
-    o = o.withColumn("_rn", rn).withColumn(
+    o = o.withColumn(
         "_base12",
         F.concat(F.lpad(_s(F.col("o_custkey")), 8, "0"), F.lpad(_s(F.col("_rn")), 4, "0")),
     )
