@@ -66,6 +66,10 @@ def main() -> None:
 
     timed("enrich_20k", do_enrich)
     extra["enrich_keys_per_s"] = round(20000 / max(timings["enrich_20k"], 1e-9), 1)
+    # the same run again in the now warm JVM (reported apart, not in the total)
+    t0 = time.time()
+    do_enrich()
+    extra["enrich_20k_second_run"] = round(time.time() - t0, 3)
 
     # BM25 over company names: index built and stored apart, then ranked search
     names_idx = f"{work}/fts_names"
@@ -84,7 +88,11 @@ def main() -> None:
     timed("bm25_documents_top1000", lambda: textsearch.top_k(didx, "the ouè qui eau würde muy", 1000).collect())
 
     # fuzzy name search (Jaro-Winkler on distinct names after the length prune)
-    timed("fuzzy_names", lambda: search.search(reg, SearchSpec(q="blue bolts household", fuzzy=True, limit=10000)).collect())
+    fuzzy = lambda: search.search(reg, SearchSpec(q="blue bolts household", fuzzy=True, limit=10000)).collect()
+    timed("fuzzy_names", fuzzy)
+    t0 = time.time()
+    fuzzy()
+    extra["fuzzy_names_second_run"] = round(time.time() - t0, 3)
 
     # filtered search exported to Parquet (activity as principal or secondary, no row cap)
     def do_export():
