@@ -91,8 +91,23 @@ class Registry:
         merged.update(frames)
         return Registry(merged, self.ano_mes, self.data_ref)
 
+    def columns_catalog(self) -> DataFrame:
+        """(table_name, column_name, data_type, ordinal_position) of every present
+        table and view: the catalogue probe as a frame. Built from the schemas
+        on the driver (metadata only, one row per column, no data read)."""
+        rows = []
+        for name, df in sorted({**self.frames, **views(self)}.items()):
+            if df is None:
+                continue
+            for i, f in enumerate(df.schema.fields, start=1):
+                rows.append((name, f.name, f.dataType.simpleString(), i))
+        return self.spark.createDataFrame(
+            rows, "table_name string, column_name string, data_type string, ordinal_position int"
+        )
+
     def register_views(self, prefix: str = "") -> list[str]:
-        """Temp views of every present table (for guarded ad hoc SQL)."""
+        """Temp views of every present table (for guarded ad hoc SQL), plus the
+        catalogue views ``catalogo_tabelas`` and ``catalogo_colunas``."""
         names = []
         for name, df in self.frames.items():
             if df is not None:
@@ -101,6 +116,10 @@ class Registry:
         for view, df in views(self).items():
             df.createOrReplaceTempView(prefix + view)
             names.append(prefix + view)
+        cols = self.columns_catalog()
+        cols.createOrReplaceTempView(prefix + "catalogo_colunas")
+        cols.select("table_name").distinct().createOrReplaceTempView(prefix + "catalogo_tabelas")
+        names += [prefix + "catalogo_colunas", prefix + "catalogo_tabelas"]
         return names
 
 
