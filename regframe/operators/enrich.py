@@ -78,13 +78,14 @@ def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
     offices) and the matched establishments are each read by several joins; a
     reliable checkpoint (shared checkpoint folder) computes them once and keeps
     retries after a lost executor from replaying the input, whose positions
-    must not change between reads (the key-only branch that filters the
-    head-office map does not use positions). Both are bounded by the list size, not by
+    must not change between reads. Both are bounded by the list size, not by
     the registry. With ``cut`` the resolved list is counted, and a list within
     ``LIST_BROADCAST_ROWS`` is broadcast to the registry scans.
     """
     strip = F.regexp_replace(F.coalesce(F.col("entrada"), F.lit("")), r"^\s+|\s+$", "")
-    ent = entries.select("pos", strip.alias("entrada")).withColumn("chave", ids.list_key("entrada"))
+    ent = ids.with_list_key(entries.select("pos", strip.alias("entrada")), "entrada", "chave")
+    if cut:
+        ent = cut_lineage(ent)  # positions fixed once; later filters read a plain column
     bases = ent.where(F.length("chave") == 8).select(F.col("chave").alias("cnpj_basico"))
     heads = reg["cnpj_base2matriz"].join(bases, "cnpj_basico", "left_semi")
     heads = heads.select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("_hc"))
