@@ -38,7 +38,7 @@ def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) ->
     if key not in _REGISTRIES:
         if materialized:
             tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
-            root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}"
+            root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}-{_model_fingerprint()}"
             a = starmap.inputs(spark, sf_dir)
             reg = maintain.materialize_model(
                 a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, **a
@@ -49,6 +49,21 @@ def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) ->
     return _REGISTRIES[key]
 
 
+def _model_fingerprint() -> str:
+    """Short hash of the code that derives the model: a shared checkpoint folder
+    that outlives a run never serves tables written by an older derivation."""
+    import hashlib
+
+    from regframe.functions import ids
+    from regframe.operators import model, sequence
+
+    h = hashlib.sha1()
+    for mod in (starmap, model, sequence, ids, maintain):
+        with open(mod.__file__, "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def query(name: str, sql: str | None = None, *, extra_ctes: list[tuple[str, str]] | None = None):
     """Register ``fn(reg, spark, sf_dir)``; ``sql`` is the body after the registry CTEs."""
 

@@ -49,6 +49,12 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+def _conform(df: DataFrame, columns) -> DataFrame:
+    """The given column list in order, absent ones as NULL text (one projection)."""
+    have = set(df.columns)
+    return df.select(*[F.col(c) if c in have else _null().alias(c) for c in columns])
+
+
 def raw_companies(customer: DataFrame, part: DataFrame) -> DataFrame:
     c = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     p = part.select(F.col("p_partkey").alias("c_custkey"), "p_name")
@@ -116,11 +122,7 @@ def raw_establishments(orders: DataFrame) -> DataFrame:
         "uf": F.concat(F.lit("U"), _s((k % 25) % 5)),
         "municipio": F.lpad(_s(k % 25), 4, "0"),
     }
-    out = o.select(*[v.alias(n) for n, v in cols.items()])
-    for c in ESTABLISHMENT_COLUMNS:
-        if c not in cols:
-            out = out.withColumn(c, _null())
-    return out.select(*ESTABLISHMENT_COLUMNS)
+    return o.select(*[cols[c].alias(c) if c in cols else _null().alias(c) for c in ESTABLISHMENT_COLUMNS])
 
 
 def raw_partners(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
@@ -137,10 +139,7 @@ def raw_partners(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         _s(F.lit(49) + F.col("l_linenumber") % 5).alias("qualificacao_socio"),
         _ymd("l_shipdate").alias("data_entrada_sociedade"),
     )
-    for c in PARTNER_COLUMNS:
-        if c not in out.columns:
-            out = out.withColumn(c, _null())
-    return out.select(*PARTNER_COLUMNS)
+    return _conform(out, PARTNER_COLUMNS)
 
 
 def raw_simples(customer: DataFrame) -> DataFrame:
@@ -150,10 +149,7 @@ def raw_simples(customer: DataFrame) -> DataFrame:
         F.when(F.col("c_custkey") % 4 == 0, "S").otherwise("N").alias("opcao_simples"),
         F.when(F.col("c_custkey") % 10 == 0, "s").otherwise("N").alias("opcao_mei"),
     )
-    for c_ in SIMPLES_COLUMNS:
-        if c_ not in out.columns:
-            out = out.withColumn(c_, _null())
-    return out.select(*SIMPLES_COLUMNS)
+    return _conform(out, SIMPLES_COLUMNS)
 
 
 def code_tables(part: DataFrame, nation: DataFrame, region: DataFrame) -> dict[str, DataFrame]:
