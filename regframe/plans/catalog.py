@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ SparkFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, SparkFn] = {}
 _ORACLE: dict[str, str] = {}
 _REGISTRIES: dict[tuple, Registry] = {}
+_LOCK = threading.RLock()
 
 
 def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) -> Registry:
@@ -34,7 +36,12 @@ def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) ->
     checkpoint folder and read back (a loaded base, as the queries expect);
     ``materialized=False`` gives the lazy derivation instead.
     """
-    key = (id(spark), sf_dir, materialized)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, materialized)
+    with _LOCK:  # concurrent callers must not write the same tables twice
+        return _registry(spark, sf_dir, materialized, key)
+
+
+def _registry(spark: SparkSession, sf_dir: str, materialized: bool, key: tuple) -> Registry:
     if key not in _REGISTRIES:
         if materialized:
             tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
