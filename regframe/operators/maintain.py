@@ -56,6 +56,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file (overwritten when present)."""
+    fs, p = _fs(spark, path)
+    fs.create(p, True).close()
+
+
 def count_files(spark: SparkSession, path: str) -> int:
     fs, p = _fs(spark, path)
     it = fs.listFiles(p, True)
@@ -148,9 +154,26 @@ def materialize_model(
         root,
         partitions,
     )
+    touch(spark, f"{root}/{MODEL_MARKER}")
     return Registry({**base, **derived}, ano_mes=ano_mes, data_ref=data_ref)
 
 
+MODEL_MARKER = "_MODEL_COMPLETE"
+
+
+def open_model(spark: SparkSession, root: str, *, ano_mes: str, data_ref: str) -> Registry | None:
+    """The registry written by :func:`materialize_model` under ``root``, or None
+    when that run did not finish (then the caller builds what is missing)."""
+    if not exists(spark, f"{root}/{MODEL_MARKER}"):
+        return None
+    frames = {
+        name: spark.read.parquet(f"{root}/{name}")
+        for name in list_dirs(spark, root)
+        if exists(spark, f"{root}/{name}/_SUCCESS")
+    }
+    return Registry(frames, ano_mes=ano_mes, data_ref=data_ref)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(tabela, linhas) for every table: one job, one global count per table."""
     parts = [

@@ -46,10 +46,14 @@ def _registry(spark: SparkSession, sf_dir: str, materialized: bool, key: tuple)
         if materialized:
             tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
             root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}-{_model_fingerprint()}"
-            a = starmap.inputs(spark, sf_dir)
-            reg = maintain.materialize_model(
-                a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, **a
+            reg = maintain.open_model(
+                spark, root, ano_mes=starmap.STARMAP_MONTH, data_ref=starmap.STARMAP_DATE
             )
+            if reg is None:
+                a = starmap.inputs(spark, sf_dir)
+                reg = maintain.materialize_model(
+                    a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, **a
+                )
         else:
             reg = starmap.load(spark, sf_dir)
         _REGISTRIES[key] = reg
