@@ -19,6 +19,7 @@ from regframe.functions.labels import branch_label, size_label, status_label
 from regframe.functions.text import like_contains
 from regframe.operators import geo
 from regframe.schemas import DEFAULT_QUERY_LIMIT, MAX_QUERY_LIMIT
+from regframe.session import cut_lineage
 
 
 def _decode(df: DataFrame, dim: DataFrame, col: str, out: str) -> DataFrame:
@@ -147,6 +148,18 @@ PARTNER_COLUMNS_OUT = [
 ]
 
 
+# the output's partner columns, in output order
+_PARTNER_SORT = [
+    "cnpj",
+    "cnpj_basico",
+    "nome_socio",
+    "cnpj_cpf_socio",
+    "identificador_de_socio",
+    "qualificacao_socio",
+    "data_entrada_sociedade",
+]
+
+
 def partner_search(
     reg: Registry,
     *,
@@ -168,14 +181,27 @@ def partner_search(
     if documento:
         doc = ids.py_clean(documento)
         s = s.where((ids.clean("cnpj_cpf_socio") == doc) | F.col("cnpj_cpf_socio").ilike(like_contains(doc)))
+    e = reg["empresas"].select(F.col("cnpj_basico").alias("_e_b"), "razao_social")
+    est = reg["estabelecimento"].select(F.col("cnpj").alias("_est_cnpj"), "uf", "situacao_cadastral")
+    n = None if limit is None else max(1, min(int(limit), MAX_QUERY_LIMIT))
+    if n is not None:
+        # Every joined column is a function of a partner column (company by
+        # base key, establishment by key, label by code), so the order on the
+        # partner columns alone already decides the top rows: rows tied on all
+        # of them join to the same rows. The top ``n`` partners (a bound set by
+        # the clamp) are taken first and the company and establishment tables
+        # are reduced to their keys by broadcast semi joins: no shuffle of the
+        # big tables, whatever the predicate matches.
+        # checkpointed (at most n rows): read three times below, scanned once
+        s = cut_lineage(s.orderBy(*[F.asc_nulls_first(c) for c in _PARTNER_SORT]).limit(n))
+        e = e.join(F.broadcast(s.select(F.col("cnpj_basico").alias("_e_b"))), "_e_b", "left_semi")
+        est = est.join(F.broadcast(s.select(F.col("cnpj").alias("_est_cnpj"))), "_est_cnpj", "left_semi")
     q = reg.dim("qualificacao_socio").select(F.col("codigo").alias("_q"), F.col("descricao").alias("qualificacao_desc"))
     s = s.join(q, s["qualificacao_socio"] == q["_q"], "left")
-    e = reg["empresas"].select(F.col("cnpj_basico").alias("_e_b"), "razao_social")
     s = s.join(e, s["cnpj_basico"] == e["_e_b"], "left")
-    est = reg["estabelecimento"].select(F.col("cnpj").alias("_est_cnpj"), "uf", "situacao_cadastral")
     s = s.join(est, s["cnpj"] == est["_est_cnpj"], "left")
     out = s.select(*PARTNER_COLUMNS_OUT)
     out = out.orderBy(*[F.asc_nulls_first(c) for c in PARTNER_COLUMNS_OUT])
-    if limit is not None:
-        out = out.limit(max(1, min(int(limit), MAX_QUERY_LIMIT)))
+    if n is not None:
+        out = out.limit(n)
     return out

@@ -77,3 +77,15 @@ def test_fuzzy_udf_runs_on_distinct_names(spark):
     # the aggregate (distinct) sits below the Python evaluation
     assert plan.index("ArrowEvalPython") < plan.index("HashAggregate")
     assert sorted(r["_nm"] for r in hits.collect()) == ["acme ltd", "acme ltda"]
+
+
+def test_partner_search_joins_only_the_top_partners(spark):
+    from regframe.operators import profile
+    from regframe.plans import catalog
+
+    reg = catalog.registry(spark, SF_SMALL)
+    plan = _plan(profile.partner_search(reg, nome="socio", limit=50))
+    assert "SortMergeJoin" not in plan
+    # the top partners are computed once (checkpointed); only the result is cut here
+    assert plan.count("TakeOrderedAndProject") == 1
+    assert "socios" not in plan
