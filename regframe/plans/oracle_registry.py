@@ -156,7 +156,7 @@ CTES: list[tuple[str, str]] = [
                   CASE WHEN c_custkey % 10 = 0 THEN 's' ELSE 'N' END AS opcao_mei,
                   CAST(NULL AS VARCHAR) AS data_opcao_mei,
                   CAST(NULL AS VARCHAR) AS data_exclusao_mei
-           FROM customer WHERE c_custkey % 2 = 0""",
+           FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",
     ),
     (
         "socios_original",
