@@ -19,6 +19,7 @@ from regframe.functions.ids import py_digits
 from regframe.functions.text import like_contains
 from regframe.operators import filters, geo, textsearch
 from regframe.schemas import DEFAULT_QUERY_LIMIT, MAX_QUERY_LIMIT
+from regframe.session import cut_lineage
 
 OUTPUT_COLUMNS = [
     "cnpj",
@@ -149,6 +150,27 @@ def search(
     if spec.capital_max is not None:
         emp = emp.where(F.col("capital_social") <= float(spec.capital_max))
 
+    # Bounded path: when every predicate is on the establishment side (or a
+    # semi join), the result is the first ``limit`` establishments by key that
+    # have a company. The first ``limit`` candidates (a bound set by the clamp)
+    # are checkpointed and the company table is reduced to their base keys by
+    # a broadcast semi join; when every candidate has its company this is the
+    # exact answer and no big table is shuffled. Otherwise the full plan runs.
+    company_side = spec.porte or spec.capital_min is not None or spec.capital_max is not None
+    later_filters = (
+        spec.q
+        or spec.mei is not None
+        or spec.simples is not None
+        or spec.municipio_nome
+        or (spec.municipio and not spec.municipio.isdigit())
+    )
+    if spec.limit is not None and not company_side and not later_filters:
+        n = clamp(spec.limit)
+        top = cut_lineage(est.orderBy(F.asc("cnpj")).limit(n))
+        small_emp = emp.join(F.broadcast(top.select("cnpj_basico")), "cnpj_basico", "left_semi")
+        if top.join(small_emp, "cnpj_basico", "inner").count() == top.count():
+            est, emp = top, small_emp
+
     score = None
     if spec.q and mode == "ranked":
         if index is None:

@@ -51,7 +51,8 @@ def test_search_predicates_reach_the_scan(spark):
     from regframe.plans import catalog
 
     reg = catalog.registry(spark, SF_SMALL)
-    df = search.search(reg, search.SearchSpec(uf="u1", situacao="02", limit=10))
+    # unlimited (the bounded path would run the scan inside its checkpoint)
+    df = search.search(reg, search.SearchSpec(uf="u1", situacao="02", limit=None))
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(uf), IsNotNull(situacao_cadastral), EqualTo(uf,U1)" in plan or (
         "EqualTo(uf,U1)" in plan and "EqualTo(situacao_cadastral,02)" in plan
@@ -89,3 +90,28 @@ def test_partner_search_joins_only_the_top_partners(spark):
     # the top partners are computed once (checkpointed); only the result is cut here
     assert plan.count("TakeOrderedAndProject") == 1
     assert "socios" not in plan
+
+
+def test_search_bounded_path_and_its_fallback(spark):
+    from pyspark.sql import functions as F
+
+    from regframe.operators import search
+    from regframe.plans import catalog
+
+    reg = catalog.registry(spark, SF_SMALL)
+    plan = _plan(search.search(reg, search.SearchSpec(uf="u1", limit=20)))
+    assert "SortMergeJoin" not in plan
+    # an establishment whose company is missing: the bounded candidates fall
+    # short and the full plan must give the same answer as a plain join
+    first = reg["estabelecimento"].orderBy("cnpj").first()["cnpj_basico"]
+    reg2 = reg.with_frames(empresas=reg["empresas"].where(F.col("cnpj_basico") != first))
+    got = [r["cnpj"] for r in search.search(reg2, search.SearchSpec(limit=5)).collect()]
+    want = [
+        r["cnpj"]
+        for r in reg2["estabelecimento"]
+        .join(reg2["empresas"], "cnpj_basico")
+        .orderBy("cnpj")
+        .limit(5)
+        .collect()
+    ]
+    assert got == want and len(got) == 5
