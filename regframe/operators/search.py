@@ -178,6 +178,24 @@ def search(
         sc = textsearch.scores(index, spec.q).withColumnRenamed(index.key, "cnpj_basico")
         emp = emp.join(sc, "cnpj_basico", "inner")
         score = F.col("score")
+        ranked_later = (
+            spec.mei is not None
+            or spec.simples is not None
+            or spec.municipio_nome
+            or (spec.municipio and not spec.municipio.isdigit())
+        )
+        if spec.limit is not None and not ranked_later:
+            # Establishments are ordered by (score, key) and a key starts with
+            # its company's base key, so the result is the establishments of
+            # the companies in (score desc, base key) order. When the first
+            # ``limit`` companies (bounded by the clamp, checkpointed) already
+            # hold ``limit`` matching establishments, they are the answer; the
+            # establishment scan is then filtered by a broadcast of their keys.
+            n = clamp(spec.limit)
+            top = cut_lineage(emp.orderBy(F.desc("score"), F.asc("cnpj_basico")).limit(n))
+            est_top = est.join(F.broadcast(top.select("cnpj_basico")), "cnpj_basico", "left_semi")
+            if est_top.limit(n).count() >= n:
+                est, emp = est_top, top
 
     j = est.join(emp, "cnpj_basico", "inner")
     mun = reg.dim("municipio").select(

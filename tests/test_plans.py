@@ -115,3 +115,18 @@ def test_search_bounded_path_and_its_fallback(spark):
         .collect()
     ]
     assert got == want and len(got) == 5
+
+
+def test_ranked_search_bounded_path_is_exact(spark):
+    from regframe.operators import search, textsearch
+    from regframe.plans import catalog
+
+    reg = catalog.registry(spark, SF_SMALL)
+    idx = textsearch.build_index(reg["empresas"], "cnpj_basico", "razao_social")
+    q = "red widget automobile"
+    for n in (1, 7, 40):
+        got = search.search(reg, search.SearchSpec(q=q, limit=n), index=idx).collect()
+        full = search.search(reg, search.SearchSpec(q=q, limit=None), index=idx).limit(n).collect()
+        assert [(r["cnpj"], round(r["_fts_score"], 9)) for r in got] == [
+            (r["cnpj"], round(r["_fts_score"], 9)) for r in full
+        ]
