@@ -49,9 +49,10 @@ def land(
             continue
         if dump.files_of(spark, directory, f"*{suffix}"):
             plan.append((table, f"*{suffix}", CODE_COLUMNS))
-    batches: dict[str, int] = {}
-    for kind, glob, cols in plan:
-        q = (
+    # All kinds run at once: a multi-line CSV file is one task, so landing the
+    # kinds one after the other would leave most of a cluster idle.
+    queries = {
+        kind: (
             _stream(spark, directory, glob, cols, max_files_per_trigger)
             .writeStream.format("parquet")
             .option("checkpointLocation", f"{checkpoint_root}/{kind}")
@@ -60,8 +61,18 @@ def land(
             .trigger(availableNow=True)
             .start()
         )
-        q.awaitTermination()
-        batches[kind] = int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+        for kind, glob, cols in plan
+    }
+    batches: dict[str, int] = {}
+    try:
+        for kind, q in queries.items():
+            q.awaitTermination()
+            batches[kind] = int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+    except Exception:
+        for q in queries.values():  # a failed kind stops the run; the checkpoints resume it
+            if q.isActive:
+                q.stop()
+        raise
     return batches
 
 
