@@ -83,9 +83,29 @@ class Registry:
     def dim(self, name: str) -> DataFrame:
         """A dimension, broadcast behind a checked row bound (checked once)."""
         if name not in self._dims:
-            self._dims[name] = bounded_broadcast(self[name])
+            self._check_dimensions(name)
         return self._dims[name]
 
+    def _check_dimensions(self, name: str) -> None:
+        """Row bounds of ``name`` and of every other unchecked dimension in one
+        job: a union of per-table ``limit(bound + 1)`` counts (one row each)."""
+        names = [n for n in DIMENSIONS if self.has(n) and n not in self._dims]
+        if name not in names:
+            names.append(name)
+        parts = [
+            self[n]
+            .limit(DIMENSION_ROW_BOUND + 1)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(n).alias("t"), "n")
+            for n in names
+        ]
+        import functools
+
+        counts = {r["t"]: r["n"] for r in functools.reduce(DataFrame.unionByName, parts).collect()}
+        for n in names:
+            df = self[n]
+            self._dims[n] = F.broadcast(df) if counts[n] <= DIMENSION_ROW_BOUND else df
+
     def with_frames(self, **frames: DataFrame | None) -> "Registry":
         merged = dict(self.frames)
         merged.update(frames)

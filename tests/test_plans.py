@@ -130,3 +130,18 @@ def test_ranked_search_bounded_path_is_exact(spark):
         assert [(r["cnpj"], round(r["_fts_score"], 9)) for r in got] == [
             (r["cnpj"], round(r["_fts_score"], 9)) for r in full
         ]
+
+
+def test_dimensions_broadcast_only_within_the_checked_bound(spark):
+    from regframe.bundle import DIMENSION_ROW_BOUND, Registry
+
+    small = spark.range(10).selectExpr("CAST(id AS STRING) AS codigo", "'x' AS descricao")
+    big = spark.range(DIMENSION_ROW_BOUND + 1).selectExpr("CAST(id AS STRING) AS codigo", "'x' AS descricao")
+    reg = Registry({"estabelecimento": small, "cnae": small, "municipio": big})
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(reg.dim("cnae"))
+    assert not hinted(reg.dim("municipio"))
+    assert set(reg._dims) == {"cnae", "municipio"}  # both checked by the first call
