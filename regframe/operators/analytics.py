@@ -112,6 +112,11 @@ def by_municipality(
     )
 
 
+def with_map_radius(agg: DataFrame, count_col: str = "n") -> DataFrame:
+    """Marker radius of a municipality aggregate on a map: ``sqrt(n) * 40``."""
+    return agg.withColumn("raio", F.sqrt(F.col(count_col)) * 40)
+
+
 def cohorts(
     reg: Registry,
     *,

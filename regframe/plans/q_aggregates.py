@@ -75,6 +75,15 @@ def agg_municipality(reg, spark, sf_dir):
     return analytics.by_municipality(reg)
 
 
+@query(
+    "agg_municipality_map",
+    "SELECT *, sqrt(n) * 40 AS raio FROM (" + _MUNI_SQL.format(extra="", limit=6000) + ") _m",
+)
+def agg_municipality_map(reg, spark, sf_dir):
+    """Municipality aggregate with the marker radius of the map view."""
+    return analytics.with_map_radius(analytics.by_municipality(reg))
+
+
 @query(
     "agg_municipality_filtered",
     _MUNI_SQL.format(
