@@ -100,16 +100,28 @@ def materialize(reg: Registry, root: str, *, partitions: int | None = None) -> R
 
 
 def _write_all(spark, frames: dict[str, DataFrame | None], root: str, partitions: int | None) -> dict:
-    out: dict[str, DataFrame | None] = {}
-    for name, df in frames.items():
-        if df is None:
-            out[name] = None
-            continue
-        path = f"{root}/{name}"
-        if not exists(spark, f"{path}/_SUCCESS"):
-            write_table(df, path, key=LAYOUT.get(name), partitions=partitions)
-        out[name] = spark.read.parquet(path)
-    return out
+    """Write the missing tables of one stage as concurrent jobs (they do not
+    depend on each other, and small ones would leave a cluster idle one after
+    the other), then read every table back."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    todo = [
+        (name, df)
+        for name, df in frames.items()
+        if df is not None and not exists(spark, f"{root}/{name}/_SUCCESS")
+    ]
+    if todo:
+        with ThreadPoolExecutor(max_workers=min(4, len(todo))) as pool:
+            jobs = [
+                pool.submit(write_table, df, f"{root}/{name}", key=LAYOUT.get(name), partitions=partitions)
+                for name, df in todo
+            ]
+            for j in jobs:
+                j.result()  # re-raises a failed write
+    return {
+        name: None if df is None else spark.read.parquet(f"{root}/{name}")
+        for name, df in frames.items()
+    }
 
 
 def materialize_model(
