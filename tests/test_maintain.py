@@ -48,3 +48,26 @@ def test_materialize_reuses_complete_tables(spark, scratch):
     # a second run with different input keeps the complete table (idempotent resume)
     reg2 = Registry({"estabelecimento": spark.range(99).selectExpr("cast(id as string) AS cnpj_basico")})
     assert maintain.materialize(reg2, root, partitions=2)["estabelecimento"].count() == 10
+
+
+def test_staged_model_marker_and_reopen(spark, scratch):
+    import os
+
+    from conftest import SF_SMALL
+
+    from regframe.operators import maintain
+    from regframe.sources import starmap
+
+    root = os.path.join(scratch, "staged-model")
+    assert maintain.open_model(spark, root, ano_mes="202609", data_ref="x") is None
+    a = starmap.inputs(spark, SF_SMALL)
+    reg = maintain.materialize_model(a.pop("raw"), a.pop("codes"), root, ano_mes="202609", **a)
+    again = maintain.open_model(spark, root, ano_mes="202609", data_ref="x")
+    assert again is not None
+    names = {k for k, v in reg.frames.items() if v is not None}
+    assert names == set(again.frames)
+    for k in ("estabelecimento", "socios", "cnpj_base2matriz", "estabelecimento_cnae"):
+        assert again[k].count() == reg[k].count()
+    # branch numbers: one head office per company, numbers consecutive from 1
+    est = again["estabelecimento"]
+    assert est.where("matriz_filial = '1'").count() == est.select("cnpj_basico").distinct().count()
