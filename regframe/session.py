@@ -40,6 +40,8 @@ def build_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        # checkpoints of list-sized intermediates are removed once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
