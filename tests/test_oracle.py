@@ -10,8 +10,10 @@ import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
-QUERIES = entry_mod.queries()
-SQL = entry_mod.oracle_sql()
+from regframe.plans import catalog
+
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
