@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, mixing
+from regframe.llm import chat, decontaminate, mixing, quality, secrets
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = secrets.KINDS[:3]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        *counts[:3],
+        F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_text(secrets.KINDS).alias("spans"),
+        counts[3],
+    )
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("posterior", 6).alias("posterior"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
@@ -121,6 +147,8 @@ mix AS (
 OP8_SQL = "WITH " + MIX_CTES.replace("{docs}", "documents") + "SELECT doc_id, size, source_size, target, taken FROM mix"
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_quality_rules": op2_quality_rules,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op8_mix_sources": op8_mix_sources,
