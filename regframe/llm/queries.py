@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, mixing, quality, secrets
+from regframe.llm import chat, decontaminate, langid, mixing, quality, secrets
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -38,6 +38,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.predict(docs, langid.train(docs))
+    return got.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
@@ -149,6 +155,7 @@ OP8_SQL = "WITH " + MIX_CTES.replace("{docs}", "documents") + "SELECT doc_id, si
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op8_mix_sources": op8_mix_sources,
