@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, langid, mixing, quality, secrets
+from regframe.llm import chat, decontaminate, langid, mixing, pii, quality, secrets
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -108,6 +108,16 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return pii.scan(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        *[n(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.as_text("base").cast("binary"), 256).alias("base_sha256"),
+        pii.as_text("spans").alias("spans"),
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -158,6 +168,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
 }
 SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL}
