@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, langid, mixing, pii, quality, secrets
+from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -162,6 +162,29 @@ mix AS (
 """
 OP8_SQL = "WITH " + MIX_CTES.replace("{docs}", "documents") + "SELECT doc_id, size, source_size, target, taken FROM mix"
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+#: Links and components over ``{docs}`` (doc_id, text); also used by the pipeline.
+JACCARD_CTES = r"""
+jac_w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM {docs}),
+jac_i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM jac_w WHERE len(w) > 0),
+jac_s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM jac_i),
+jac_n AS (SELECT doc_id, count(*) AS n FROM jac_s GROUP BY doc_id),
+jac_p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM jac_s a JOIN jac_s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+jac_l AS (
+  SELECT a, b FROM jac_p JOIN jac_n x ON x.doc_id = a JOIN jac_n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+jac_r(a, b) AS (SELECT doc_id, doc_id FROM jac_w UNION SELECT r.a, l.b FROM jac_r r JOIN jac_l l ON r.b = l.a),
+jac AS (
+  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+  FROM jac_w w JOIN jac_r r ON r.a = w.doc_id LEFT JOIN jac_n n ON n.doc_id = w.doc_id GROUP BY ALL)
+"""
+OP9_SQL = "WITH RECURSIVE " + JACCARD_CTES.replace("{docs}", "documents") + "SELECT * FROM jac"
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
@@ -170,5 +193,8 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
+    "op9_jaccard_join": op9_jaccard_join,
+}
+SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
-SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL}
