@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets
+from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets, wrapper
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -185,6 +185,11 @@ jac AS (
 """
 OP9_SQL = "WITH RECURSIVE " + JACCARD_CTES.replace("{docs}", "documents") + "SELECT * FROM jac"
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = wrapper.extract(table(spark, sf_dir, "pages"))
+    return got.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
@@ -194,6 +199,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_html_extract": op10_html_extract,
 }
 SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
