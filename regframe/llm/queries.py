@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets, wrapper
+from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, repeats, secrets, wrapper
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -44,6 +44,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
@@ -194,6 +199,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_repeats": op4_repeats,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
