@@ -72,3 +72,18 @@ def map_texts(
             yield pa.RecordBatch.from_arrays(cols, names=["row", *arrow.names])
 
     return src.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (all columns), ``rid`` and ``text`` with a unique long ``rid``: the id
+    where it is one, else row numbers, kept in a written copy so that they stay."""
+    src = docs.select(
+        F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"),
+        docs[f"`{doc_id}`"].alias("rid"),
+        docs[f"`{text}`"].cast("string").alias("text"),
+    )
+    if isinstance(src.schema["rid"].dataType, (T.LongType, T.IntegerType, T.ShortType)):
+        n = src.groupBy("rid").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max(F.col("rid").isNull()).alias("x")).first()
+        if not n["x"] and (n["n"] or 0) <= 1:
+            return src.withColumn("rid", F.col("rid").cast("long"))
+    return written(src.withColumn("rid", F.monotonically_increasing_id()), "numbered")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from regframe.llm import queries as _q
 
 
 def queries() -> dict:
-    return dict(_q.QUERIES)
+    return _q.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_q.SQL)
+    return _q.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -332,16 +332,6 @@ def _counted(rows: DataFrame) -> DataFrame:
     return hits.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("offsets"))
 
 
-def _row_ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``rid, doc_id, text`` with a unique long ``rid``: the id itself if it is one."""
-    src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
-    if isinstance(src.schema["doc_id"].dataType, (T.LongType, T.IntegerType)):
-        n = src.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max(F.col("doc_id").isNull()).alias("x")).first()
-        if not n["x"] and (n["n"] or 0) <= 1:
-            return src.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", "text")
-    return common.written(src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
-
-
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (rid, text): candidate documents (rid, text) and, by rid, the windows
     repeated elsewhere as ``windows``: structs (start, n) of window starts in a row."""
@@ -389,7 +379,8 @@ _DIGEST = T.StructType(
 def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and
     ``removed``, the byte spans (start, end) that repeat elsewhere."""
-    rows = _row_ids(docs, doc_id, text)
+    rows = common.numbered(docs.select(doc_id, text), doc_id, text)
+    rows = rows.select("rid", F.col("row").getField(doc_id).alias("doc_id"), "text")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([*_DIGEST.fields, T.StructField("removed", span)])
     kind = common.to_arrow_schema(out).field("removed").type
