@@ -2,13 +2,16 @@
 
 Every step is idempotent and resumable:
   1. landing (Structured Streaming, availableNow + checkpoint) skips files
-     already committed;
-  2. each derived table is written once per month directory and skipped when
-     complete (``_SUCCESS``), so a re-run only writes what is missing;
-  3. the text index, the metadata table and the quality report are
-     overwritten each run.
-Each month lives in ``<base>/ano_mes=<YYYYMM>``; the newest month is current
-and older ones beyond ``keep_months`` are expired.
+     already committed, lands new ones, and starts again when a landed file
+     changed or ``resume=False``;
+  2. each table is published with a fingerprint of what it was built from (the
+     landed files and the dimensions); it is rebuilt when that changed and
+     reused when not;
+  3. the text index, the metadata table and the quality report are published
+     anew each run.
+Each month lives in ``<base>/ano_mes=<YYYYMM>``; the newest complete month is
+current and older ones beyond ``keep_months`` are expired, but only after the
+checks passed.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ def load_dump(
     dump_dir: str,
     base_root: str,
     *,
+    ano_mes: str | None = None,
+    resume: bool = True,
     municipio_ibge: DataFrame | None = None,
     cnae_classes: DataFrame | None = None,
     keep_months: int = 2,
@@ -39,21 +44,30 @@ def load_dump(
     validate: bool = True,
     partitions: int | None = None,
 ) -> dict:
-    """Load one monthly dump into ``base_root``; returns a small summary."""
-    data_ref, ano_mes = dump.detect_reference(dump.list_files(spark, dump_dir))
+    """Load one monthly dump into ``base_root``; returns a small summary.
+
+    A folder may hold files of several months: ``ano_mes`` (default: the newest
+    there) is loaded, files of other months are left alone. ``resume=False``
+    replaces a month: everything is landed and derived again.
+    """
+    data_ref, ano_mes = dump.detect_reference(dump.list_files(spark, dump_dir), ano_mes)
     snap = maintain.snapshot_path(base_root, ano_mes)
-    raw_root, ckpt_root = f"{snap}/_raw", f"{snap}/_checkpoints"
-    batches = landing.land(spark, dump_dir, raw_root, ckpt_root)
+    raw_root, batches = landing.land(spark, dump_dir, f"{snap}/_raw", ano_mes=ano_mes, resume=resume)
 
     raw = {k: _landed(spark, raw_root, k) for k in RAW_KINDS}
     if raw["empresas"] is None or raw["estabelecimento"] is None:
         raise FileNotFoundError(f"company or establishment files missing in {dump_dir}")
     if raw["socios_original"] is None:
-        if maintain.exists(spark, f"{snap}/socios/_SUCCESS"):
-            raw["socios"] = spark.read.parquet(f"{snap}/socios")  # resume: already resolved
-        else:
+        if maintain.current_path(spark, f"{snap}/socios") is None:
             raise RuntimeError("neither raw nor resolved partners are available; reload without resume")
+        raw["socios"] = maintain.read_current(spark, f"{snap}/socios")  # resume: already resolved
     codes = {t: _landed(spark, raw_root, t) for _, t in CODE_TABLES}
+    inputs = maintain.fingerprint(
+        raw_root,
+        maintain.get_text(spark, f"{raw_root}/_MANIFEST"),
+        maintain.content_stamp(municipio_ibge),
+        maintain.content_stamp(cnae_classes),
+    )
     reg = maintain.materialize_model(
         raw,
         codes,
@@ -63,6 +77,7 @@ def load_dump(
         municipio_ibge=municipio_ibge,
         cnae_classes=cnae_classes,
         partitions=partitions,
+        inputs=inputs,
     )
     return finish(spark, reg, snap, base_root, batches=batches, keep_months=keep_months,
                   text_index=text_index, validate=validate)
@@ -82,17 +97,15 @@ def finish(
     fts_ok = False
     if text_index:
         idx = textsearch.build_index(reg["empresas"], "cnpj_basico", "razao_social")
-        idx.write(f"{snap}/_fts")
+        idx.write_version(f"{snap}/_fts")
         fts_ok = True
-    model.reference_meta(reg, text_index=fts_ok).coalesce(1).write.mode("overwrite").parquet(
-        f"{snap}/_referencia"
-    )
+    maintain.write_version(model.reference_meta(reg, text_index=fts_ok).coalesce(1), f"{snap}/_referencia")
     ok = None
     if validate:
-        rep = quality.report(reg)
-        quality.persist(rep, f"{snap}/_validacao")
-        ok = bool(quality.overall_ok(spark.read.parquet(f"{snap}/_validacao")).first()["ok"])
-    expired = maintain.expire_months(spark, base_root, keep=keep_months)
+        maintain.write_version(quality.report(reg).drop("ordem").coalesce(1), f"{snap}/_validacao")
+        ok = bool(quality.overall_ok(maintain.read_current(spark, f"{snap}/_validacao")).first()["ok"])
+    # an older month is the way back if this one failed its checks
+    expired = [] if ok is False else maintain.expire_months(spark, base_root, keep=keep_months)
     counts = {
         r["tabela"]: r["linhas"]
         for r in maintain.table_counts(
@@ -124,10 +137,8 @@ def open_base(spark: SparkSession, base_root: str, ano_mes: str | None = None) -
 
 def text_index(spark: SparkSession, base_root: str, ano_mes: str | None = None) -> textsearch.BM25Index | None:
     m = ano_mes or maintain.current_month(spark, base_root)
-    path = f"{maintain.snapshot_path(base_root, m)}/_fts"
-    if not maintain.exists(spark, f"{path}/postings/_SUCCESS"):
-        return None
-    return textsearch.BM25Index.read(spark, path, "cnpj_basico")
+    path = maintain.current_path(spark, f"{maintain.snapshot_path(base_root, m)}/_fts")
+    return None if path is None else textsearch.BM25Index.read(spark, path, "cnpj_basico")
 
 
 def upgrade(
@@ -141,7 +152,8 @@ def upgrade(
     text_index: bool = True,
     validate: bool = True,
 ) -> dict:
-    """Rebuild derived artefacts of a loaded month (each a pure function, overwritten)."""
+    """Rebuild derived artefacts of a loaded month: each becomes a new version, and the
+    one in use stays until that is whole."""
     reg = open_base(spark, base_root, ano_mes)
     snap = maintain.snapshot_path(base_root, reg.ano_mes)
     done = []

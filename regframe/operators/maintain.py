@@ -2,19 +2,26 @@
 
 Layout on shared storage (HDFS/object store/local for tests)::
 
-    <root>/ano_mes=<YYYYMM>/<table>/        one directory per table and month
-    <root>/ano_mes=<YYYYMM>/<table>/_SUCCESS  written by Spark when complete
+    <root>/ano_mes=<YYYYMM>/<table>/v=<n>/          one directory per table version
+    <root>/ano_mes=<YYYYMM>/<table>/v=<n>/_SUCCESS  present when the version is published
+    <root>/ano_mes=<YYYYMM>/<table>/v=<n>/_INPUTS   what the version was built from
+    <root>/ano_mes=<YYYYMM>/_MODEL_COMPLETE         present when the month may be used
+
+Nothing in use is ever overwritten: a rebuild or a compaction writes the next
+version beside the current one, and publishing it (one marker) makes it current.
+Every reader goes through :func:`read_current`, which takes the newest published
+version, so a failed or unfinished run is never seen. A table is rebuilt when its
+inputs changed and reused when they did not.
 
 Fact tables are clustered on ``cnpj_basico`` with a skew-splitting rebalance
 and sorted within files by it (row-group min/max prune point lookups); the
-activity bridge is sorted by code. A compaction
-rewrites a table into a new version directory, verifies the row count and
-only then switches, so a failed run never leaves a half-written table in use.
+activity bridge is sorted by code.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,55 +80,175 @@ def count_files(spark: SparkSession, path: str) -> int:
     return n
 
 
-def write_table(df: DataFrame, path: str, *, key: str | None = None, partitions: int | None = None) -> None:
-    """Overwrite one table (idempotent rebuild), clustered and sorted by ``key``.
+def _versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """All version numbers under a table, published or not, newest first."""
+    names = (d.removeprefix("v=") for d in list_dirs(spark, table_dir) if d.startswith("v="))
+    return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+
+def published(spark: SparkSession, table_dir: str) -> list[int]:
+    """Published versions, newest first."""
+    return [v for v in _versions(spark, table_dir) if exists(spark, f"{table_dir}/v={v}/_SUCCESS")]
+
+
+def current_version(spark: SparkSession, table_dir: str) -> int | None:
+    return next(iter(published(spark, table_dir)), None)
+
+
+def current_path(spark: SparkSession, table_dir: str) -> str | None:
+    """Directory of the current version; a table written flat counts as its only version."""
+    v = current_version(spark, table_dir)
+    if v is not None:
+        return f"{table_dir}/v={v}"
+    return table_dir if exists(spark, f"{table_dir}/_SUCCESS") else None
+
+
+def read_current(spark: SparkSession, table_dir: str) -> DataFrame:
+    path = current_path(spark, table_dir)
+    if path is None:
+        raise FileNotFoundError(f"no published version of {table_dir}")
+    return _read(spark, table_dir, path)
+
+
+def _read(spark: SparkSession, table_dir: str, path: str) -> DataFrame:
+    """A version's files; of a flat table only its own, not those of versions beside them."""
+    return spark.read.parquet(f"{path}/*.parquet" if path == table_dir else path)
+
+
+def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every table under ``root`` that has a published version (of the internal ones
+    only the metadata table)."""
+    names = [n for n in list_dirs(spark, root) if not n.startswith("_") or n == "_referencia"]
+    paths = {name: current_path(spark, f"{root}/{name}") for name in names}
+    return {name: _read(spark, f"{root}/{name}", path) for name, path in paths.items() if path is not None}
+
+
+def next_version(spark: SparkSession, table_dir: str) -> str:
+    return f"{table_dir}/v={max(_versions(spark, table_dir), default=0) + 1}"
+
+
+def publish(spark: SparkSession, version_dir: str) -> None:
+    touch(spark, f"{version_dir}/_SUCCESS")
+
+
+def write_version(
+    df: DataFrame,
+    table_dir: str,
+    *,
+    key: str | None = None,
+    partitions: int | None = None,
+    inputs: str | None = None,
+    visible: bool = True,
+) -> str:
+    """Write the next version of a table and return its directory.
 
     ``REBALANCE`` (AQE) clusters rows by key but splits a partition that a hot
     key makes oversized and coalesces small ones, so one company holding a
     third of the rows does not become one task or one file. Files are sorted by
-    key: Parquet row-group statistics then prune point lookups.
+    key: Parquet row-group statistics then prune point lookups. With
+    ``visible=False`` the version stays unpublished until :func:`publish`.
     """
+    spark = df.sparkSession
     if key:
         df = df.hint("rebalance", key) if partitions is None else df.hint("rebalance", partitions, key)
         df = df.sortWithinPartitions(key)
-    df.write.mode("overwrite").parquet(path)
+    version_dir = next_version(spark, table_dir)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(version_dir)
+    if inputs is not None:
+        put_text(spark, f"{version_dir}/_INPUTS", inputs)
+    if visible:
+        publish(spark, version_dir)
+    return version_dir
+
+
+def write_table(df: DataFrame, path: str, *, key: str | None = None, partitions: int | None = None) -> None:
+    """Rebuild one table: the new version becomes current once it is whole."""
+    write_version(df, path, key=key, partitions=partitions)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
-def materialize(reg: Registry, root: str, *, partitions: int | None = None) -> Registry:
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small marker file, or None."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def file_stamps(spark: SparkSession, paths: list[str]) -> list[str]:
+    """``name:size:time`` of every data file at or under the paths (metadata only)."""
+    out = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        if fs.exists(p):
+            it = fs.listFiles(p, True)
+            while it.hasNext():
+                f = it.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
+
+
+def fingerprint(*parts) -> str:
+    return hashlib.sha1("\n".join(str(x) for x in parts).encode()).hexdigest()
+
+
+def content_stamp(df: DataFrame | None) -> str:
+    """Row count and order-free hash of a small table (a dimension)."""
+    if df is None:
+        return "-"
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    r = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)"))).first()
+    return f"{df.columns}:{r[0]}:{r[1]}"
+
+
+def materialize(reg: Registry, root: str, *, partitions: int | None = None, inputs: str = "") -> Registry:
     """Write every present table under ``root`` and return a registry reading them.
 
     Reading back cuts the lineage (the derivation is not replayed by later
-    queries) and gives the scans Parquet pushdown. Already complete tables
-    (``_SUCCESS`` present) are reused, so a re-run after a lost executor or a
-    killed job only writes what is missing.
+    queries) and gives the scans Parquet pushdown. Tables published from the same
+    ``inputs`` are reused, so a re-run after a lost executor or a killed job only
+    writes what is missing; other inputs give new versions.
     """
-    out = _write_all(reg.spark, reg.frames, root, partitions)
+    out = _write_all(reg.spark, reg.frames, root, partitions, inputs)
     return Registry(out, ano_mes=reg.ano_mes, data_ref=reg.data_ref)
 
 
-def _write_all(spark, frames: dict[str, DataFrame | None], root: str, partitions: int | None) -> dict:
-    """Write the missing tables of one stage as concurrent jobs (they do not
-    depend on each other, and small ones would leave a cluster idle one after
-    the other), then read every table back."""
+def is_current(spark: SparkSession, table_dir: str, inputs: str) -> bool:
+    v = current_version(spark, table_dir)
+    return v is not None and get_text(spark, f"{table_dir}/v={v}/_INPUTS") == inputs
+
+
+def _write_all(spark, frames: dict[str, DataFrame | None], root: str, partitions: int | None, inputs: str) -> dict:
+    """Write the tables of one stage that are missing or older than their inputs,
+    as concurrent jobs (they do not depend on each other, and small ones would
+    leave a cluster idle one after the other), then read every table back."""
     from concurrent.futures import ThreadPoolExecutor
 
-    todo = [
-        (name, df)
-        for name, df in frames.items()
-        if df is not None and not exists(spark, f"{root}/{name}/_SUCCESS")
-    ]
+    todo = [(name, df) for name, df in frames.items() if df is not None and not is_current(spark, f"{root}/{name}", inputs)]
     if todo:
         with ThreadPoolExecutor(max_workers=min(4, len(todo))) as pool:
             jobs = [
-                pool.submit(write_table, df, f"{root}/{name}", key=LAYOUT.get(name), partitions=partitions)
+                pool.submit(
+                    write_version, df, f"{root}/{name}", key=LAYOUT.get(name), partitions=partitions, inputs=inputs
+                )
                 for name, df in todo
             ]
             for j in jobs:
                 j.result()  # re-raises a failed write
-    return {
-        name: None if df is None else spark.read.parquet(f"{root}/{name}")
-        for name, df in frames.items()
-    }
+    return {name: None if df is None else read_current(spark, f"{root}/{name}") for name, df in frames.items()}
 
 
 def materialize_model(
@@ -135,15 +262,20 @@ def materialize_model(
     cnae_classes: DataFrame | None = None,
     cep_geo: DataFrame | None = None,
     partitions: int | None = None,
+    inputs: str = "",
 ) -> Registry:
     """Write the model in dependency order and return a registry reading it.
 
+    ``inputs`` names what the raw tables were read from (:func:`fingerprint`): a
+    table built from other inputs is built again.
+
     Stage 1 writes the tables that come from the raw files; stage 2 derives the
     head-office map from the written companies and establishments; stage 3 the
     bridge, the resolved partners and the hierarchy from the written tables.
     Each raw derivation (key concatenation, capital parse) therefore runs once
     instead of once per dependent table, and every stage is skipped when its
-    tables are complete, so a re-run after a failure resumes where it stopped.
+    tables are current, so a re-run after a failure resumes where it stopped. A
+    month's first marker comes last; later versions replace older ones table by table.
     """
     from regframe.operators import model
 
@@ -153,18 +285,21 @@ def materialize_model(
         model.base_tables(raw, codes, municipio_ibge=municipio_ibge, cep_geo=cep_geo),
         root,
         partitions,
+        inputs,
     )
     heads = _write_all(
         spark,
         {"cnpj_base2matriz": model.head_office_map(base["empresas"], base["estabelecimento"])},
         root,
         partitions,
+        inputs,
     )["cnpj_base2matriz"]
     derived = _write_all(
         spark,
         model.derived_tables(base, raw, ano_mes=ano_mes, cnae_classes=cnae_classes, head_offices=heads),
         root,
         partitions,
+        inputs,
     )
     touch(spark, f"{root}/{MODEL_MARKER}")
     return Registry({**base, **derived}, ano_mes=ano_mes, data_ref=data_ref)
@@ -178,12 +313,7 @@ def open_model(spark: SparkSession, root: str, *, ano_mes: str, data_ref: str) -
     when that run did not finish (then the caller builds what is missing)."""
     if not exists(spark, f"{root}/{MODEL_MARKER}"):
         return None
-    frames = {
-        name: spark.read.parquet(f"{root}/{name}")
-        for name in list_dirs(spark, root)
-        if exists(spark, f"{root}/{name}/_SUCCESS")
-    }
-    return Registry(frames, ano_mes=ano_mes, data_ref=data_ref)
+    return Registry(read_tables(spark, root), ano_mes=ano_mes, data_ref=data_ref)
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -196,70 +326,79 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def compact(
-    spark: SparkSession,
-    table_dir: str,
-    *,
-    target_files: int,
-    key: str | None = None,
-) -> dict:
-    """Rewrite a table of many small files into ``target_files`` files.
-
-    Versions live in ``<table_dir>/v=<n>``; the new version is written beside
-    the current one, its count compared with the source, and only then does it
-    become current (highest complete version). The old version is kept for
-    :func:`expire_versions`. Raises when counts differ.
-    """
-    t0 = time.time()
-    current = current_version(spark, table_dir)
-    src_path = f"{table_dir}/v={current}" if current is not None else table_dir
-    src = spark.read.parquet(src_path)
-    before_files = count_files(spark, src_path)
-    nxt = (current or 0) + 1
-    dst_path = f"{table_dir}/v={nxt}"
-    # round-robin: balanced files whatever the key skew; sorted by key inside
-    df = src.repartition(target_files)
-    if key:
-        df = df.sortWithinPartitions(key)
-    df.write.mode("overwrite").parquet(dst_path)
-    n_src = src.count()
-    n_dst = spark.read.parquet(dst_path).count()
-    if n_src != n_dst:
-        delete(spark, dst_path)
-        raise RuntimeError(f"row counts differ after rewrite: {n_src} != {n_dst}")
-    return {
-        "tabela": table_dir,
-        "versao": nxt,
-        "linhas": n_dst,
-        "arquivos_antes": before_files,
-        "arquivos_depois": count_files(spark, dst_path),
-        "segundos": round(time.time() - t0, 2),
-    }
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength())
 
 
-def current_version(spark: SparkSession, table_dir: str) -> int | None:
-    vs = [
-        int(d.split("=", 1)[1])
-        for d in list_dirs(spark, table_dir)
-        if d.startswith("v=") and exists(spark, f"{table_dir}/{d}/_SUCCESS")
-    ]
-    return max(vs) if vs else None
+def compact(spark: SparkSession, table_dir: str, *, target_files: int, key: str | None = None) -> dict:
+    """Rewrite one table of many small files; see :func:`compact_tables`."""
+    return compact_tables(spark, {table_dir: (target_files, key)})[0]
 
 
-def read_current(spark: SparkSession, table_dir: str) -> DataFrame:
-    v = current_version(spark, table_dir)
-    return spark.read.parquet(f"{table_dir}/v={v}" if v is not None else table_dir)
+def compact_base(spark: SparkSession, root: str, *, target_files: int) -> list[dict]:
+    """Compact every table of a month or model; all row counts are compared before
+    the first new version is published."""
+    names = [n for n in list_dirs(spark, root) if not n.startswith("_") and current_path(spark, f"{root}/{n}")]
+    return compact_tables(spark, {f"{root}/{n}": (target_files, LAYOUT.get(n)) for n in names})
 
 
-def expire_versions(spark: SparkSession, table_dir: str, *, keep: int = 1) -> list[str]:
-    """Delete complete versions beyond the newest ``keep``; returns what was removed."""
-    vs = sorted(
-        (int(d.split("=", 1)[1]) for d in list_dirs(spark, table_dir) if d.startswith("v=")),
-        reverse=True,
-    )
-    gone = [f"{table_dir}/v={v}" for v in vs[max(keep, 1):]]
-    for g in gone:
-        delete(spark, g)
+def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]]) -> list[dict]:
+    """Write a compacted, unpublished version of each table, compare all row counts
+    with their sources, and only then publish them. If one count differs nothing
+    changes and the new versions are deleted. Old versions stay for
+    :func:`expire_versions`. Reports rows, files and bytes before and after.
+    """
+    done = []
+    for table_dir, (target_files, key) in tables.items():
+        t0 = time.time()
+        src_path = current_path(spark, table_dir)
+        src = read_current(spark, table_dir)
+        # round-robin: balanced files whatever the key skew; sorted by key inside
+        df = src.repartition(target_files)
+        df = df.sortWithinPartitions(key) if key else df
+        inputs = get_text(spark, f"{src_path}/_INPUTS")
+        dst_path = write_version(df, table_dir, inputs=inputs, visible=False)
+        done.append(
+            {
+                "tabela": table_dir,
+                "versao": int(dst_path.rsplit("=", 1)[1]),
+                "destino": dst_path,
+                "linhas": spark.read.parquet(dst_path).count(),
+                "linhas_antes": src.count(),
+                "arquivos_antes": _own_files(spark, src_path),
+                "arquivos_depois": count_files(spark, dst_path),
+                "bytes_antes": _bytes(spark, src_path),
+                "bytes_depois": _bytes(spark, dst_path),
+                "segundos": round(time.time() - t0, 2),
+            }
+        )
+    wrong = [d for d in done if d["linhas"] != d["linhas_antes"]]
+    if wrong:
+        for d in done:
+            delete(spark, d["destino"])
+        raise RuntimeError("row counts differ after rewrite: " + ", ".join(d["tabela"] for d in wrong))
+    for d in done:
+        publish(spark, d.pop("destino"))
+    return done
+
+
+def _own_files(spark: SparkSession, path: str) -> int:
+    """Data files directly in a version (a flat table also holds later versions)."""
+    fs, p = _fs(spark, path)
+    return sum(1 for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def expire_versions(spark: SparkSession, table_dir: str, *, keep: int = 1, dry_run: bool = False) -> list[str]:
+    """Delete published versions beyond the newest ``keep``, and unfinished versions
+    older than the current one; returns what was (or would be) removed."""
+    kept = published(spark, table_dir)[: max(keep, 1)]
+    if not kept:
+        return []  # nothing is published: whatever is there may still be finished
+    gone = [f"{table_dir}/v={v}" for v in _versions(spark, table_dir) if v not in kept and v < kept[0]]
+    if not dry_run:
+        for g in gone:
+            delete(spark, g)
     return gone
 
 
@@ -271,12 +410,9 @@ def snapshot_path(root: str, ano_mes: str) -> str:
 
 
 def months(spark: SparkSession, root: str) -> list[str]:
-    """Complete snapshot months, newest first."""
-    out = []
-    for d in list_dirs(spark, root):
-        if d.startswith("ano_mes="):
-            out.append(d.split("=", 1)[1])
-    return sorted(out, reverse=True)
+    """Complete snapshot months, newest first; a month without its marker is not one."""
+    names = [d.split("=", 1)[1] for d in list_dirs(spark, root) if d.startswith("ano_mes=")]
+    return sorted((m for m in names if exists(spark, f"{snapshot_path(root, m)}/{MODEL_MARKER}")), reverse=True)
 
 
 def current_month(spark: SparkSession, root: str) -> str | None:
@@ -284,23 +420,20 @@ def current_month(spark: SparkSession, root: str) -> str | None:
     return m[0] if m else None
 
 
-def expire_months(spark: SparkSession, root: str, *, keep: int) -> list[str]:
-    """Drop snapshots beyond the newest ``keep`` (the previous base is kept by default)."""
-    gone = [snapshot_path(root, m) for m in months(spark, root)[max(keep, 1):]]
-    for g in gone:
-        delete(spark, g)
+def expire_months(spark: SparkSession, root: str, *, keep: int, dry_run: bool = False) -> list[str]:
+    """Drop complete months beyond the newest ``keep`` (the previous base is kept by
+    default); returns what was (or, with ``dry_run``, would be) removed."""
+    gone = [snapshot_path(root, m) for m in months(spark, root)[max(keep, 1) :]]
+    if not dry_run:
+        for g in gone:
+            delete(spark, g)
     return gone
 
 
 def open_snapshot(spark: SparkSession, root: str, ano_mes: str | None = None) -> Registry:
-    """Registry of one month (default: the newest)."""
-    m = ano_mes or current_month(spark, root)
-    if m is None:
-        raise FileNotFoundError(f"no snapshot under {root}")
-    base = snapshot_path(root, m)
-    frames = {
-        name: spark.read.parquet(f"{base}/{name}")
-        for name in list_dirs(spark, base)
-        if exists(spark, f"{base}/{name}/_SUCCESS")
-    }
-    return Registry(frames, ano_mes=m)
+    """Registry of one complete month (default: the newest)."""
+    known = months(spark, root)
+    m = ano_mes or (known[0] if known else None)
+    if m is None or m not in known:
+        raise FileNotFoundError(f"no complete snapshot {m or ''} under {root}")
+    return Registry(read_tables(spark, snapshot_path(root, m)), ano_mes=m)

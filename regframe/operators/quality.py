@@ -35,8 +35,6 @@ CHECKS = {
     "municipio_ibge_cobertura": ("aviso", "municípios RF sem código IBGE (exceto 9707 EXTERIOR)"),
 }
 
-ORPHAN_SAMPLE = 1000
-
 
 def _rows(df: DataFrame, checks: list[tuple[int, str, Column, Column]]) -> DataFrame:
     """Report rows of several checks read off one aggregate row of ``df``.
@@ -124,7 +122,7 @@ def report(reg: Registry) -> DataFrame:
             )
         )
         if reg.has("cnae"):
-            orf = orphan_activities(reg).limit(ORPHAN_SAMPLE).agg(F.count(F.lit(1)).alias("n"))
+            orf = orphan_activities(reg).agg(F.count(F.lit(1)).alias("n"))
             rows.append(_row(orf, 9, "cnae_orfaos_amostra", F.col("n") == 0, F.col("n")))
     if reg.has("empresas"):
         n = reg["empresas"].agg(F.count(F.lit(1)).alias("n"))
@@ -158,7 +156,3 @@ def overall_ok(rep: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(F.col("nivel") == "erro", F.col("ok"))), F.lit(True)).alias("ok"),
         F.count(F.lit(1)).alias("checks"),
     )
-
-
-def persist(rep: DataFrame, path: str) -> None:
-    rep.drop("ordem").coalesce(1).write.mode("overwrite").parquet(path)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regframe.operators import maintain
 from regframe.functions.text import jaro_winkler, like_contains, py_tokens, tokens
 
 K1 = 1.2
@@ -47,6 +48,14 @@ class BM25Index:
         docs = self.docs if self.docs is not None else stored.select(self.key).distinct()
         _stats(stored, docs, self.key).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
+    def write_version(self, table_dir: str, *, partitions: int | None = None) -> str:
+        """Store the index as the next version under ``table_dir`` and publish it whole."""
+        spark = self.postings.sparkSession
+        path = maintain.next_version(spark, table_dir)
+        self.write(path, partitions=partitions)
+        maintain.publish(spark, path)
+        return path
+
     @classmethod
     def read(cls, spark, path: str, key: str) -> "BM25Index":
         return cls(

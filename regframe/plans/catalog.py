@@ -8,8 +8,8 @@ common table expressions (:mod:`regframe.plans.oracle_registry`).
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 import threading
 from collections.abc import Callable
 
@@ -42,17 +42,21 @@ def registry(spark: SparkSession, sf_dir: str, *, materialized: bool = True) ->
 
 
 def _registry(spark: SparkSession, sf_dir: str, materialized: bool, key: tuple) -> Registry:
+    if materialized:
+        # Keyed by the input files' names, sizes and times and by the deriving code: other
+        # tables under the same path, or other code, give another folder.
+        names = ("customer", "orders", "lineitem", "part", "nation", "region")
+        stamps = maintain.file_stamps(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+        inputs = maintain.fingerprint(*stamps, _code_hash())
+        key = (*key, inputs)
     if key not in _REGISTRIES:
         if materialized:
-            tag = re.sub(r"[^0-9A-Za-z]+", "_", os.path.abspath(sf_dir)).strip("_")
-            root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{tag}-{_model_fingerprint()}"
-            reg = maintain.open_model(
-                spark, root, ano_mes=starmap.STARMAP_MONTH, data_ref=starmap.STARMAP_DATE
-            )
+            root = f"{checkpoint_dir(spark).rstrip('/')}/regframe-model/{inputs[:20]}"
+            reg = maintain.open_model(spark, root, ano_mes=starmap.STARMAP_MONTH, data_ref=starmap.STARMAP_DATE)
             if reg is None:
                 a = starmap.inputs(spark, sf_dir)
                 reg = maintain.materialize_model(
-                    a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, **a
+                    a.pop("raw"), a.pop("codes"), root, ano_mes=starmap.STARMAP_MONTH, inputs=inputs, **a
                 )
         else:
             reg = starmap.load(spark, sf_dir)
@@ -60,19 +64,17 @@ def _registry(spark: SparkSession, sf_dir: str, materialized: bool, key: tuple)
     return _REGISTRIES[key]
 
 
-def _model_fingerprint() -> str:
-    """Short hash of the code that derives the model: a shared checkpoint folder
-    that outlives a run never serves tables written by an older derivation."""
-    import hashlib
-
-    from regframe.functions import ids
-    from regframe.operators import model, sequence
-
+def _code_hash() -> str:
+    """Hash of the package's source, so that a shared checkpoint folder that outlives a
+    run never serves tables written by another derivation."""
     h = hashlib.sha1()
-    for mod in (starmap, model, sequence, ids, maintain):
-        with open(mod.__file__, "rb") as fh:
-            h.update(fh.read())
-    return h.hexdigest()[:12]
+    for part in ("sources", "operators", "functions", ""):
+        folder = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), part)
+        for name in sorted(os.listdir(folder)):
+            if name.endswith(".py"):
+                with open(os.path.join(folder, name), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()
 
 
 def query(name: str, sql: str | None = None, *, extra_ctes: list[tuple[str, str]] | None = None):

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from regframe.operators import maintain
-from regframe.schemas import CODE_COLUMNS, CODE_TABLES, RAW_KINDS, SIMPLES_COLUMNS, text_schema
+from regframe.schemas import SIMPLES_COLUMNS, text_schema
 
 ENCODING = "windows-1252"
 
@@ -47,66 +46,49 @@ def _glob_to_re(glob: str) -> re.Pattern:
     return re.compile("^" + re.escape(glob).replace(r"\*", ".*") + "$")
 
 
-def files_of(spark: SparkSession, directory: str, glob: str) -> list[str]:
-    """Files matching ``glob``; falls back to a suffix match as the published loader."""
-    names = list_files(spark, directory)
-    rx = _glob_to_re(glob)
-    hit = [n for n in names if rx.match(n)]
-    if not hit:
-        suffix = glob.lstrip("*")
-        hit = [n for n in names if n.endswith(suffix)]
-    return [f"{directory.rstrip('/')}/{n}" for n in hit]
-
-
-def read_kind(spark: SparkSession, directory: str, kind: str) -> DataFrame | None:
-    """All files of one kind as one DataFrame (+ ``_arquivo``); None when absent."""
-    glob, cols = RAW_KINDS[kind]
-    paths = files_of(spark, directory, glob)
-    if not paths:
-        return None
-    enable_charsets(spark)
-    df = csv_options(spark.read.schema(text_schema(cols))).csv(paths)
-    return df
-
-
-def read_codes(spark: SparkSession, directory: str) -> dict[str, DataFrame | None]:
-    """The six code tables (first matching file each; absent -> None)."""
-    enable_charsets(spark)
-    out: dict[str, DataFrame | None] = {}
-    for suffix, table in CODE_TABLES:
-        paths = files_of(spark, directory, f"*{suffix}")
-        out[table] = (
-            csv_options(spark.read.schema(text_schema(CODE_COLUMNS))).csv(paths[0]) if paths else None
-        )
-    return out
+def matching(names: list[str], glob: str) -> list[str]:
+    """Names matching ``glob``, or, if none does, those ending like it."""
+    hits = list(filter(_glob_to_re(glob).match, names))
+    return hits or [n for n in names if n.endswith(glob.lstrip("*"))]
 
 
 def empty_simples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], text_schema(SIMPLES_COLUMNS))
 
 
-def detect_reference(names: list[str]) -> tuple[str, str]:
-    """(date text, YYYYMM) from the third dot-part of the company file name.
+#: The month tag of a raw file: third dot-part, ``D`` + last digit of the year + MMDD.
+_MONTH_TAG = re.compile(r"D(\d)(\d\d)(\d\d)")
+UNKNOWN_MONTH = "000000"
 
-    ``D60925`` -> ('25/09/2026', '202609'); the decade is fixed to 202x as in
-    the published files; anything else gives ('desconhecida', '000000').
-    """
-    empre = sorted(n for n in names if n.endswith(".EMPRECSV"))
-    if not empre:
-        raise FileNotFoundError("no company file (*.EMPRECSV) in the dump")
-    parts = empre[0].split(".")
-    aux = parts[2] if len(parts) >= 3 else ""
-    if len(aux) == 6 and aux.startswith("D"):
-        return f"{aux[4:6]}/{aux[2:4]}/202{aux[1]}", "202" + aux[1:4]
-    return "desconhecida", "000000"
 
+def tag_of(name: str) -> tuple[str, str] | None:
+    """(YYYYMM, dd/mm/yyyy) of a raw file name, or None if it carries no tag.
 
-def month_column(path_col: str = "_metadata.file_name"):
-    """The same month, per row, from the file name (``YYYYMM`` or '000000')."""
-    part = F.regexp_extract(F.col(path_col), r"^[^.]*\.[^.]*\.D([0-9]{5})\b", 1)
-    return F.when(part != "", F.concat(F.lit("202"), F.substring(part, 1, 3))).otherwise("000000")
+    The published files give one digit of the year; the decade is 202x.
+    """
+    pieces = name.split(".")
+    hit = _MONTH_TAG.fullmatch(pieces[2]) if len(pieces) > 2 else None
+    if hit is None:
+        return None
+    year, month, day = "202" + hit[1], hit[2], hit[3]
+    return year + month, f"{day}/{month}/{year}"
 
 
-def read_dimension_csv(reader: DataFrameReader, path: str) -> DataFrame:
-    """Header CSV, all text (the dimension files shipped with the package)."""
-    return reader.option("header", True).option("inferSchema", False).csv(path)
+def detect_reference(names: list[str], ano_mes: str | None = None) -> tuple[str, str]:
+    """(date text, YYYYMM) of the dump: of ``ano_mes``, else of the newest month that
+    the company files name; ('desconhecida', '000000') if they name none."""
+    companies = [n for n in names if n.endswith(".EMPRECSV")]
+    if not companies:
+        raise FileNotFoundError("no company file (*.EMPRECSV) in the dump")
+    tags = {t for t in map(tag_of, companies) if t}
+    if ano_mes is not None:
+        tags = {t for t in tags if t[0] == ano_mes}
+        if not tags:
+            raise FileNotFoundError(f"no company file of month {ano_mes} in the dump")
+    month, date = max(tags, default=(UNKNOWN_MONTH, "desconhecida"))
+    return date, month
+
+
+def of_month(names: list[str], ano_mes: str) -> list[str]:
+    """The files that belong to a month: tagged with it, or without a tag."""
+    return [n for n in names if (tag_of(n) or (ano_mes,))[0] == ano_mes]

@@ -25,6 +25,8 @@ from regframe.schemas import (
 # month of the derived snapshot (after the partner-rule switch)
 STARMAP_MONTH = "202609"
 STARMAP_DATE = "25/09/2026"
+#: Remainders of part keys whose activity codes have no description.
+ORPHAN_FROM = 190
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,11 @@ def raw_companies(customer: DataFrame, part: DataFrame) -> DataFrame:
     c = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     p = part.select(F.col("p_partkey").alias("c_custkey"), "p_name")
     size = F.element_at(F.array(*[F.lit(x) for x in ("00", "01", "03", "05")]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    out = c.join(p, "c_custkey", "inner").select(
+    # every company has a name: one whose part is missing is named after its key
+    name = F.coalesce(F.upper("p_name"), F.concat(F.lit("EMPRESA "), _s(F.col("c_custkey"))))
+    out = c.join(p, "c_custkey", "left").select(
         F.lpad(_s(F.col("c_custkey")), 8, "0").alias("cnpj_basico"),
-        F.concat(F.upper("p_name"), F.lit(" "), F.col("c_mktsegment")).alias("razao_social"),
+        F.concat(name, F.lit(" "), F.col("c_mktsegment")).alias("razao_social"),
         _s(F.lit(1000) + F.col("c_nationkey")).alias("natureza_juridica"),
         _s(F.lit(49) + F.col("c_custkey") % 5).alias("qualificacao_responsavel"),
         F.translate(_s(F.col("c_acctbal")), ".", ",").alias("capital_social_str"),
@@ -154,8 +158,11 @@ def raw_simples(customer: DataFrame) -> DataFrame:
 
 
 def code_tables(part: DataFrame, nation: DataFrame, region: DataFrame) -> dict[str, DataFrame]:
-    k = F.col("p_partkey") % 200
-    cnae = part.where(F.col("p_partkey") < 190).select(
+    # One code per remainder of all part keys, described by the least type of its parts.
+    # Codes from ORPHAN_FROM on are left without a description, for the orphan check.
+    k = F.col("k")
+    kinds = part.select((F.col("p_partkey") % 200).alias("k"), "p_type").groupBy("k").agg(F.min("p_type").alias("p_type"))
+    cnae = kinds.where(k < ORPHAN_FROM).select(
         activity_code(k).alias("codigo"),
         F.concat(F.col("p_type"), F.lit(" "), _s(k)).alias("descricao"),
     )

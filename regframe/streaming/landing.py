@@ -5,89 +5,131 @@ Each raw kind is a file-source stream over the dump directory with
 committed, so a re-run (after a crash, a lost executor or a new file arriving
 for the same month) lands only what is missing, exactly once, and the
 Parquet sink's metadata log hides partial output from readers.
+
+Landed data of a month lives in generations ``_raw/g=<k>``. New files join the
+current generation. A file that changed or vanished after it was landed cannot be
+taken back out of a sink, so it starts the next generation, which lands everything
+again; so does ``resume=False``. The manifest of a generation (file, size, time)
+tells the cases apart. A kind whose raw files were removed after landing keeps its
+landed rows (the raw dump may be cleared once it is loaded).
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regframe.operators import maintain
 from regframe.schemas import CODE_COLUMNS, CODE_TABLES, RAW_KINDS, text_schema
 from regframe.sources import dump
 
 
-def _stream(spark: SparkSession, directory: str, glob: str, columns: list[str], max_files: int | None):
+def _stream(spark: SparkSession, directory: str, names: list[str], columns: list[str], max_files: int | None):
     dump.enable_charsets(spark)
-    r = dump.csv_options(spark.readStream.schema(text_schema(columns))).option("pathGlobFilter", glob)
+    r = dump.csv_options(spark.readStream.schema(text_schema(columns)))
+    r = r.option("pathGlobFilter", "{" + ",".join(names) + "}")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.csv(directory).withColumn("_arquivo", F.col("_metadata.file_name"))
 
 
+def plan_files(names: list[str], ano_mes: str) -> dict[str, tuple[list[str], list[str]]]:
+    """Files and columns per kind for one month. A code table has one file, the first
+    by name; a second one would give every code twice. Absent ones are warned about."""
+    mine = dump.of_month(sorted(names), ano_mes)
+    plan = {kind: (dump.matching(mine, glob), cols) for kind, (glob, cols) in RAW_KINDS.items()}
+    for suffix, table in CODE_TABLES:
+        plan[table] = (dump.matching(mine, f"*{suffix}")[:1], CODE_COLUMNS)
+        if not plan[table][0]:
+            warnings.warn(f"code table {table}: no file *{suffix}", stacklevel=2)
+    return {kind: v for kind, v in plan.items() if v[0]}
+
+
+def _stamps(spark: SparkSession, directory: str, plan: dict) -> dict[str, str]:
+    """Size and time by file name, for all files of the plan (metadata only)."""
+    fs, p = maintain._fs(spark, directory)
+    wanted = {n for names, _ in plan.values() for n in names}
+    return {
+        s.getPath().getName(): f"{s.getLen()}:{s.getModificationTime()}"
+        for s in fs.listStatus(p)
+        if s.getPath().getName() in wanted
+    }
+
+
+def _manifest(spark: SparkSession, root: str) -> dict[str, str]:
+    text = maintain.get_text(spark, f"{root}/_MANIFEST") or ""
+    return dict(line.split("\t") for line in text.splitlines())
+
+
+def _generations(spark: SparkSession, raw_root: str) -> list[int]:
+    names = (d.removeprefix("g=") for d in maintain.list_dirs(spark, raw_root) if d.startswith("g="))
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def current_root(spark: SparkSession, raw_root: str) -> str | None:
+    """The newest generation that was landed to its end."""
+    done = [g for g in _generations(spark, raw_root) if maintain.exists(spark, f"{raw_root}/g={g}/_MANIFEST")]
+    return f"{raw_root}/g={done[-1]}" if done else None
+
+
 def land(
     spark: SparkSession,
     directory: str,
-    out_root: str,
-    checkpoint_root: str,
+    raw_root: str,
     *,
-    kinds: list[str] | None = None,
+    ano_mes: str,
+    resume: bool = True,
     max_files_per_trigger: int | None = None,
-) -> dict[str, int]:
-    """Land every pending raw file; returns the rows landed by this run per kind."""
-    names = dump.list_files(spark, directory)
-    plan: list[tuple[str, str, list[str]]] = []
-    for kind, (glob, cols) in RAW_KINDS.items():
-        if kinds and kind not in kinds:
-            continue
-        if dump.files_of(spark, directory, glob):
-            # the suffix fallback of the batch reader: widen the glob when needed
-            rx = dump._glob_to_re(glob)
-            g = glob if any(rx.match(n) for n in names) else "*" + glob.lstrip("*")
-            plan.append((kind, g, cols))
-    for suffix, table in CODE_TABLES:
-        if kinds and table not in kinds:
-            continue
-        if dump.files_of(spark, directory, f"*{suffix}"):
-            plan.append((table, f"*{suffix}", CODE_COLUMNS))
-    # All kinds run at once: a multi-line CSV file is one task, so landing the
-    # kinds one after the other would leave most of a cluster idle.
+) -> tuple[str, dict[str, int]]:
+    """Land every pending raw file of the month; returns the generation's directory
+    and the rows landed by this run per kind."""
+    plan = plan_files(dump.list_files(spark, directory), ano_mes)
+    stamps = _stamps(spark, directory, plan)
+    known = _generations(spark, raw_root)
+    number = known[-1] if known else 1
+    before = _manifest(spark, f"{raw_root}/g={number}") if known else {}
+    changed = any(n in stamps and stamps[n] != s for n, s in before.items())
+    if known and (changed or not resume):
+        number, before = number + 1, {}
+    root = f"{raw_root}/g={number}"
+
+    had = {kind: _rows(spark, root, kind) for kind in plan}
+    # All kinds run at once: landing one after the other would leave a cluster idle.
     queries = {
         kind: (
-            _stream(spark, directory, glob, cols, max_files_per_trigger)
+            _stream(spark, directory, names, cols, max_files_per_trigger)
             .writeStream.format("parquet")
-            .option("checkpointLocation", f"{checkpoint_root}/{kind}")
-            .option("path", f"{out_root}/{kind}")
+            .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
+            .option("path", f"{root}/{kind}")
             .outputMode("append")
             .trigger(availableNow=True)
             .start()
         )
-        for kind, glob, cols in plan
+        for kind, (names, cols) in plan.items()
     }
-    batches: dict[str, int] = {}
     try:
-        for kind, q in queries.items():
+        for q in queries.values():
             q.awaitTermination()
-            batches[kind] = int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
     except Exception:
         for q in queries.values():  # a failed kind stops the run; the checkpoints resume it
             if q.isActive:
                 q.stop()
         raise
-    return batches
+    everything = sorted((before | stamps).items())
+    maintain.put_text(spark, f"{root}/_MANIFEST", "\n".join(f"{n}\t{s}" for n, s in everything))
+    # counted in what the sink committed: a stream's progress keeps only its last batches
+    return root, {kind: _rows(spark, root, kind) - had[kind] for kind in plan}
 
 
-def read_landed(spark: SparkSession, out_root: str, kind: str) -> DataFrame | None:
-    """A landed raw table (committed files only), or None when never landed."""
-    from regframe.operators import maintain
-
-    if not maintain.exists(spark, f"{out_root}/{kind}/_spark_metadata"):
-        return None
-    return spark.read.parquet(f"{out_root}/{kind}")
+def _rows(spark: SparkSession, root: str, kind: str) -> int:
+    df = read_landed(spark, root, kind)
+    return 0 if df is None else df.count()
 
 
-def landed_files(spark: SparkSession, out_root: str, kind: str) -> DataFrame:
-    """Distinct source files already landed for a kind (resume bookkeeping)."""
-    df = read_landed(spark, out_root, kind)
-    if df is None:
-        return spark.createDataFrame([], "_arquivo string")
-    return df.select("_arquivo").distinct()
+def read_landed(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
+    """A landed raw table (committed files only), or None when never landed."""
+    if not maintain.exists(spark, f"{root}/{kind}/_spark_metadata"):
+        return None
+    return spark.read.parquet(f"{root}/{kind}")

@@ -4,32 +4,76 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from regframe.operators import maintain
 
 
 def test_compaction_keeps_counts(spark, scratch):
     src = os.path.join(scratch, "compact", "t")
     df = spark.range(0, 5000).selectExpr("id", "cast(id % 37 as string) AS k")
-    df.repartition(50).write.mode("overwrite").parquet(f"{src}/v=1")
+    maintain.write_version(df.repartition(50), src)
     assert maintain.count_files(spark, f"{src}/v=1") == 50
     res = maintain.compact(spark, src, target_files=3, key="k")
     assert res["linhas"] == 5000 and res["arquivos_antes"] == 50 and res["arquivos_depois"] <= 3
+    assert res["bytes_antes"] > res["bytes_depois"] > 0
     assert maintain.current_version(spark, src) == 2
     assert maintain.read_current(spark, src).count() == 5000
+    assert maintain.expire_versions(spark, src, keep=1, dry_run=True) == [f"{src}/v=1"]
     gone = maintain.expire_versions(spark, src, keep=1)
     assert gone == [f"{src}/v=1"] and maintain.read_current(spark, src).count() == 5000
 
 
+def test_compaction_of_a_flat_table_does_not_double_rows(spark, scratch):
+    root = os.path.join(scratch, "flat-base")
+    flat = spark.range(100).selectExpr("cast(id as string) AS cnpj_basico").repartition(7)
+    flat.write.parquet(f"{root}/empresas")  # written before versions existed
+    for expected in (100, 100):
+        maintain.compact_base(spark, root, target_files=2)
+        got = maintain.read_tables(spark, root)["empresas"]
+        assert got.count() == expected and got.columns == ["cnpj_basico"]
+
+
+def test_compaction_publishes_all_or_nothing(spark, scratch, monkeypatch):
+    root = os.path.join(scratch, "all-or-nothing")
+    for t in ("a", "b"):
+        maintain.write_version(spark.range(10), f"{root}/{t}")
+    real = maintain.write_version
+
+    def lossy(df, table_dir, **kw):
+        return real(df.limit(9) if table_dir.endswith("/b") else df, table_dir, **kw)
+
+    monkeypatch.setattr(maintain, "write_version", lossy)
+    with pytest.raises(RuntimeError):
+        maintain.compact_base(spark, root, target_files=1)
+    assert [maintain.published(spark, f"{root}/{t}") for t in ("a", "b")] == [[1], [1]]
+
+
+def test_expire_never_takes_the_last_complete_version(spark, scratch):
+    t = os.path.join(scratch, "unfinished", "t")
+    maintain.write_version(spark.range(3), t)
+    maintain.write_version(spark.range(5), t, visible=False)  # a rebuild that did not end
+    assert maintain.expire_versions(spark, t, keep=1) == []
+    assert maintain.read_current(spark, t).count() == 3
+    maintain.write_version(spark.range(7), t)
+    assert maintain.expire_versions(spark, t, keep=1) == [f"{t}/v=2", f"{t}/v=1"]
+
+
 def test_snapshot_months(spark, scratch):
     root = os.path.join(scratch, "snaps")
     for m in ("202607", "202608", "202609"):
-        spark.range(3).write.mode("overwrite").parquet(f"{maintain.snapshot_path(root, m)}/empresas")
+        maintain.write_version(spark.range(3), f"{maintain.snapshot_path(root, m)}/empresas")
+        maintain.touch(spark, f"{maintain.snapshot_path(root, m)}/{maintain.MODEL_MARKER}")
+    spark.range(1).write.parquet(f"{maintain.snapshot_path(root, '202610')}/_raw/g=1/empresas")  # half landed
     assert maintain.months(spark, root) == ["202609", "202608", "202607"]
     assert maintain.current_month(spark, root) == "202609"
+    assert maintain.expire_months(spark, root, keep=2, dry_run=True) == [maintain.snapshot_path(root, "202607")]
     gone = maintain.expire_months(spark, root, keep=2)
     assert gone == [maintain.snapshot_path(root, "202607")]
     reg = maintain.open_snapshot(spark, root)
     assert reg.ano_mes == "202609" and reg["empresas"].count() == 3
+    with pytest.raises(FileNotFoundError):
+        maintain.open_snapshot(spark, root, "202610")
 
 
 def test_table_counts(spark):
@@ -38,16 +82,36 @@ def test_table_counts(spark):
     assert got == {"a": 3, "b": 0}
 
 
-def test_materialize_reuses_complete_tables(spark, scratch):
+def test_materialize_follows_its_inputs(spark, scratch):
     from regframe.bundle import Registry
 
     root = os.path.join(scratch, "mat")
-    reg = Registry({"estabelecimento": spark.range(10).selectExpr("cast(id as string) AS cnpj_basico")})
-    m1 = maintain.materialize(reg, root, partitions=2)
-    assert m1["estabelecimento"].count() == 10
-    # a second run with different input keeps the complete table (idempotent resume)
-    reg2 = Registry({"estabelecimento": spark.range(99).selectExpr("cast(id as string) AS cnpj_basico")})
-    assert maintain.materialize(reg2, root, partitions=2)["estabelecimento"].count() == 10
+    reg = lambda n: Registry({"estabelecimento": spark.range(n).selectExpr("cast(id as string) AS cnpj_basico")})
+    assert maintain.materialize(reg(10), root, partitions=2, inputs="a")["estabelecimento"].count() == 10
+    # the same inputs: the published table is reused
+    assert maintain.materialize(reg(99), root, partitions=2, inputs="a")["estabelecimento"].count() == 10
+    # other inputs: it is built again
+    assert maintain.materialize(reg(99), root, partitions=2, inputs="b")["estabelecimento"].count() == 99
+
+
+def test_registry_follows_changed_input_files(spark, scratch):
+    import shutil
+
+    from conftest import SF_SMALL
+
+    from regframe.plans import catalog
+
+    d = os.path.join(scratch, "inputs")
+    shutil.copytree(SF_SMALL, d)
+    before = catalog.registry(spark, d)["estabelecimento"].count()
+    more = spark.read.parquet(f"{d}/orders.parquet")
+    more = more.unionByName(more.limit(5).withColumn("o_orderkey", more["o_orderkey"] + 10_000_000)).toPandas()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = pq.read_schema(f"{d}/orders.parquet")
+    pq.write_table(pa.Table.from_pandas(more, schema=schema, preserve_index=False), f"{d}/orders.parquet")
+    assert catalog.registry(spark, d)["estabelecimento"].count() == before + 5
 
 
 def test_staged_model_marker_and_reopen(spark, scratch):

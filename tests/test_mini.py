@@ -213,7 +213,7 @@ def test_resume_without_raw_partners(spark, scratch):
     first = load.load_dump(spark, dump_dir, base, text_index=False, partitions=2)
     assert first["contagens"]["socios"] == 3
     snap = maintain.snapshot_path(base, "202609")
-    maintain.delete(spark, f"{snap}/_raw/socios_original")
+    maintain.delete(spark, f"{snap}/_raw/g=1/socios_original")
     maintain.delete(spark, f"{dump_dir}/{mini_fixture.MONTH_TAG}.SOCIOCSV")
     again = load.load_dump(spark, dump_dir, base, text_index=False, partitions=2)
     assert again["contagens"]["socios"] == 3
@@ -221,14 +221,84 @@ def test_resume_without_raw_partners(spark, scratch):
     assert first["lotes"]["estabelecimento"] == 5
 
 
-def test_rerun_is_idempotent(spark, mini_base):
-    import mini_fixture  # noqa: F401
+def test_rerun_is_idempotent(spark, scratch):
+    import mini_fixture
 
-    base = mini_base[0]
+    dump_dir = mini_fixture.write_dump(os.path.join(scratch, "dump_again"))
+    base = os.path.join(scratch, "base_again")
+    first = load.load_dump(spark, dump_dir, base, text_index=False, partitions=2)
+    again = load.load_dump(spark, dump_dir, base, text_index=False, partitions=2)
+    assert again["contagens"] == first["contagens"] and set(again["lotes"].values()) == {0}
     snap = maintain.snapshot_path(base, "202609")
-    before = spark.read.parquet(f"{snap}/estabelecimento").count()
-    assert maintain.months(spark, base) == ["202609"]
-    assert before == 5
+    assert maintain.published(spark, f"{snap}/estabelecimento") == [1]  # nothing was rebuilt
+
+
+def _append_company(dump_dir, base, name):
+    import mini_fixture
+
+    row = [base, name, "2062", "49", "1,00", "01", ""]
+    est = list(mini_fixture.establishment_rows()[0])
+    est[0], est[1] = base, "0001"
+    with open(os.path.join(dump_dir, f"X2.{mini_fixture.MONTH_TAG.split('.', 1)[1]}.EMPRECSV"), "wb") as f:
+        f.write((mini_fixture._line(row) + "\n").encode("cp1252"))
+    with open(os.path.join(dump_dir, f"X2.{mini_fixture.MONTH_TAG.split('.', 1)[1]}.ESTABELE"), "wb") as f:
+        f.write((mini_fixture._line(est) + "\n").encode("cp1252"))
+
+
+def test_late_files_changed_files_and_reload(spark, scratch):
+    import mini_fixture
+
+    dump_dir = mini_fixture.write_dump(os.path.join(scratch, "dump_late"))
+    base = os.path.join(scratch, "base_late")
+    run = lambda **kw: load.load_dump(spark, dump_dir, base, text_index=False, validate=False, partitions=2, **kw)
+    assert run()["contagens"]["estabelecimento"] == 5
+    _append_company(dump_dir, "99999999", "CHEGOU DEPOIS")
+    out = run()  # a second file of the month reaches the model
+    assert out["contagens"]["estabelecimento"] == 6 and out["contagens"]["empresas"] == 4
+    assert out["lotes"]["estabelecimento"] == 1
+    assert load.open_base(spark, base)["estabelecimento_cnae"].where("cnpj LIKE '99999999%'").count() == 3
+    _append_company(dump_dir, "99999998", "CORRIGIDA: nome mais longo")  # the same file, other content
+    out = run()
+    names = {r["razao_social"] for r in load.open_base(spark, base)["empresas"].collect()}
+    assert out["contagens"]["empresas"] == 4 and "CHEGOU DEPOIS" not in names
+    os.remove(os.path.join(dump_dir, f"X2.{mini_fixture.MONTH_TAG.split('.', 1)[1]}.EMPRECSV"))
+    os.remove(os.path.join(dump_dir, f"X2.{mini_fixture.MONTH_TAG.split('.', 1)[1]}.ESTABELE"))
+    assert run(resume=False)["contagens"]["empresas"] == 3  # a reload replaces the month
+
+
+def test_two_months_and_double_code_tables_in_one_folder(spark, scratch):
+    import mini_fixture
+
+    dump_dir = mini_fixture.write_dump(os.path.join(scratch, "dump_two"))
+    mini_fixture.write_dump(dump_dir, month_tag="K3241.K03200Y0.D60820")
+    with open(os.path.join(dump_dir, "G.MUNICCSV"), "wb") as f:
+        f.write(b'"7107";"SAO PAULO OUTRA VEZ"\n')
+    base = os.path.join(scratch, "base_two")
+    out = load.load_dump(spark, dump_dir, base, text_index=False, validate=False, partitions=2)
+    assert out["ano_mes"] == "202609" and out["contagens"]["estabelecimento"] == 5
+    assert out["contagens"]["municipio"] == 4
+    old = load.load_dump(spark, dump_dir, base, ano_mes="202608", text_index=False, validate=False, partitions=2)
+    assert old["ano_mes"] == "202608" and old["contagens"]["estabelecimento"] == 5
+    assert load.open_base(spark, base).ano_mes == "202609"
+    reg = load.open_base(spark, base)
+    assert search.search(reg, SearchSpec(limit=None)).count() == 5
+
+
+def test_failed_checks_do_not_expire_the_last_good_month(spark, scratch, monkeypatch):
+    import mini_fixture
+    from pyspark.sql import functions as F
+
+    from regframe.operators import quality
+
+    base = os.path.join(scratch, "base_bad")
+    good = mini_fixture.write_dump(os.path.join(scratch, "bad_sep"))
+    load.load_dump(spark, good, base, text_index=False, partitions=2)
+    bad = mini_fixture.write_dump(os.path.join(scratch, "bad_oct"), month_tag="K3241.K03200Y0.D61025")
+    report = quality.report
+    monkeypatch.setattr(quality, "report", lambda reg: report(reg).withColumn("ok", F.lit(False)))
+    out = load.load_dump(spark, bad, base, text_index=False, partitions=2, keep_months=1)
+    assert out["validacao_ok"] is False and out["expirados"] == []
+    assert maintain.months(spark, base) == ["202610", "202609"]
 
 
 def test_upgrade_rebuilds(spark, scratch, mini_base):
