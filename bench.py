@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,7 +35,7 @@ def main() -> None:
         shuffle_partitions=max(8, cpus * 2),
         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "6g")},
     )
-    work = tempfile.mkdtemp(prefix="bench-", dir=checkpoint_dir(spark))
+    work = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     timings: dict[str, float] = {}
     extra: dict[str, float] = {}
 

@@ -1,7 +1,7 @@
 """Text helpers: LIKE escaping, the index tokenizer, Jaro-Winkler.
 
-The tokenizer is a Column expression (lower-case, strip accents, split on
-anything outside ``a-z``) with a plain-Python twin for the query string.
+The tokenizer is a Column expression (lower-case, decompose and strip accents,
+split on anything outside ``a-z``) with a plain-Python twin for the query string.
 Jaro-Winkler has no Spark built-in: it runs as an Arrow-batched pandas UDF
 over byte strings, applied only to distinct candidate names after a native
 length-ratio prune.
@@ -10,16 +10,28 @@ length-ratio prune.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: accent folding of the tokenizer (after lower-casing) ----
-ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįľĺñńňòóôõöøōőŕřšśşťţùúûüūůűųýÿžźż"
-PLAIN = "aaaaaaaaacccddeeeeeeeegiiiiiillnnnoooooooorrsssttuuuuuuuuyyzzz"
-assert len(ACCENTED) == len(PLAIN)
+def _fold_table() -> tuple[str, str]:
+    """Accented letters whose canonical decomposition is an ASCII letter and marks, with
+    that letter; then the combining marks themselves, which ``translate`` drops."""
+    accented, plain, marks = [], [], []
+    for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0x10000)]):
+        parts = unicodedata.normalize("NFD", c)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif len(parts) > 1 and parts[0].isascii() and parts[0].isalpha() and all(unicodedata.category(m) == "Mn" for m in parts[1:]):
+            accented.append(c)
+            plain.append(parts[0].lower())
+    return "".join(accented + marks), "".join(plain)
+
+
+ACCENTED, PLAIN = _fold_table()
 
 _SPLIT = "[^a-z]+"
 
@@ -38,17 +50,13 @@ def tokens(col: str | Column) -> Column:
 def py_tokens(text: str | None) -> list[str]:
     if not text:
         return []
-    folded = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
     return [t for t in re.split(_SPLIT, folded) if t]
 
 
 def tokens_sql(expr: str) -> str:
-    """The same tokenizer in SQL text (DuckDB), as a list expression."""
-    return (
-        "list_filter(string_split(trim(regexp_replace(translate(lower("
-        + expr
-        + f"), '{ACCENTED}', '{PLAIN}'), '{_SPLIT}', ' ', 'g')), ' '), lambda t: t <> '')"
-    )
+    """The tokenizer in SQL text (DuckDB, its own accent folding), as a list expression."""
+    return f"list_filter(string_split_regex(strip_accents(lower({expr})), '[^a-z]+'), lambda t: t <> '')"
 
 
 def like_contains(q: str) -> str:

@@ -120,11 +120,12 @@ def merge(cache: DataFrame | None, results: DataFrame, *, fonte: str = "lookup")
         if f.name not in r.columns:
             r = r.withColumn(f.name, F.lit(None).cast(f.dataType))
     r = r.select(*[F.col(f.name).cast(f.dataType) for f in GEO_CACHE_SCHEMA.fields])
-    # latest answer per code: a grouped max_by (partial aggregation, skew-safe)
+    # latest answer per code, of equal times the greatest by content, so that reruns agree:
+    # a grouped max_by (partial aggregation, skew-safe)
     cols = [f.name for f in GEO_CACHE_SCHEMA.fields if f.name != "cep"]
     r = (
         r.groupBy("cep")
-        .agg(F.max_by(F.struct(*cols), F.coalesce("atualizado_em", F.lit(0).cast("timestamp"))).alias("_v"))
+        .agg(F.max_by(F.struct(*cols), F.struct(F.coalesce("atualizado_em", F.lit(0).cast("timestamp")), *cols)).alias("_v"))
         .select("cep", "_v.*")
     )
     if cache is None:

@@ -111,12 +111,14 @@ def profiles(reg: Registry, keys: DataFrame, col: str = "chave") -> dict[str, Da
     """Bulk profiles: the four frames for every key of a DataFrame (semi joins).
 
     Full keys select establishments and their partners; base keys select all
-    establishments and partners of the company.
+    establishments and partners of the company. A full key whose own base key is
+    listed too adds nothing, so no establishment or partner comes back twice.
     """
     k = keys.select(ids.normalized_key(col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     bases = k.select(F.substring("_k", 1, 8).alias("cnpj_basico")).distinct()
     full = k.where(F.length("_k") == 14).select(F.col("_k").alias("cnpj"))
     short = k.where(F.length("_k") == 8).select(F.col("_k").alias("cnpj_basico"))
+    full = full.join(short, F.substring(full["cnpj"], 1, 8) == short["cnpj_basico"], "left_anti")
     est = reg["estabelecimento"]
     est_sel = est.join(full, "cnpj", "left_semi").unionByName(
         est.join(short, "cnpj_basico", "left_semi")

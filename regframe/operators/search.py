@@ -262,18 +262,18 @@ def search(
     return out
 
 
+EXPORT_FORMATS = ("csv", "json", "parquet")
+
+
 def export(
     df: DataFrame,
     path: str,
     formato: str | None = None,
 ) -> str:
-    """Write a result as CSV with header or Parquet (by argument or suffix)."""
-    fmt = formato or ("parquet" if path.lower().endswith(".parquet") else "csv" if path.lower().endswith(".csv") else None)
-    if fmt not in ("csv", "parquet"):
-        raise ValueError("format must be 'csv' or 'parquet'")
-    w = df.write.mode("overwrite")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.parquet(path)
+    """Write a result as CSV with header, JSON lines or Parquet (by argument or suffix)."""
+    fmt = formato or path.rsplit(".", 1)[-1].lower()
+    if fmt not in EXPORT_FORMATS:
+        raise ValueError(f"format must be one of {', '.join(EXPORT_FORMATS)}")
+    options = {"csv": {"header": True}, "json": {"ignoreNullFields": False}}.get(fmt, {})
+    df.write.mode("overwrite").options(**options).format(fmt).save(path)
     return path

@@ -110,6 +110,7 @@ def _load_all() -> None:
         q_adhoc,
         q_aggregates,
         q_dims,
+        q_ingest,
         q_model,
         q_profile,
         q_quality,

@@ -94,7 +94,7 @@ def export_roundtrip(reg, spark, sf_dir):
     out = S.search(reg, S.SearchSpec(situacao="02", limit=None)).select(
         "cnpj", "uf", "cnae_fiscal", "capital_social", "data_inicio_atividades"
     )
-    base = f"{checkpoint_dir(spark).rstrip('/')}/regframe-exports/{abs(hash(sf_dir))}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/regframe-exports/{maintain.fingerprint(sf_dir)[:16]}"
     S.export(out, f"{base}/busca.parquet")
     S.export(out, f"{base}/busca.csv")
     back = spark.read.parquet(f"{base}/busca.parquet")

@@ -32,7 +32,7 @@ def _places(est: str) -> dict[str, str]:
 _PRECISION = "if(latitude IS NULL, NULL, 'municipio') AS geo_precisao"
 
 
-def _establishments(where: str) -> str:
+def establishments_sql(where: str) -> str:
     found = columns(
         **_places("u"),
         motivo_descricao=look("motivo", "descricao", "codigo", "u.motivo_situacao_cadastral"),
@@ -65,8 +65,8 @@ def profile_company(reg, spark, sf_dir):
     return P.profile(reg, "00.000.001").empresas
 
 
-@query("profile_establishments", _establishments(f"u.cnpj_basico = '{_BASE}'"))
-def profile_establishments(reg, spark, sf_dir):
+@query("profile_establishments", establishments_sql(f"u.cnpj_basico = '{_BASE}'"))
+def profileestablishments_sql(reg, spark, sf_dir):
     """All establishments of a base key, head office first, fully decoded."""
     return P.profile(reg, _BASE).estabelecimentos
 
@@ -84,9 +84,9 @@ def profile_simples(reg, spark, sf_dir):
 
 @query(
     "profile_bulk_establishments",
-    _establishments("u.cnpj IN (SELECT cnpj FROM cnpj_base2matriz)"),
+    establishments_sql("u.cnpj IN (SELECT cnpj FROM cnpj_base2matriz)"),
 )
-def profile_bulk_establishments(reg, spark, sf_dir):
+def profile_bulkestablishments_sql(reg, spark, sf_dir):
     """Bulk profile over a frame of keys: every head office, decoded."""
     keys = reg["cnpj_base2matriz"].select(F.col("cnpj").alias("chave"))
     return P.profiles(reg, keys)["estabelecimentos"]

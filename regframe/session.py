@@ -65,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the whole cluster shares")
     local = tempfile.mkdtemp(prefix="regframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_KEY, local)
     spark.sparkContext.setCheckpointDir(local)

@@ -59,15 +59,15 @@ def build_municipalities(municipios: DataFrame, estados: DataFrame) -> DataFrame
 
 
 def build_activity_classes(subclasses_json: DataFrame) -> DataFrame:
-    """One row per class from the nested sub-class records (last one wins).
+    """One row per class from the nested sub-class records (the greatest id wins).
 
     Input records: ``{id, descricao, classe: {id, descricao, grupo: {id,
     descricao, divisao: {id, descricao, secao: {id, descricao}}}}}``; the
-    flattening is a nested-field select and a per-class ``max_by`` on input
-    order (partial aggregation, no single-task step).
+    flattening is a nested-field select and a per-class ``max_by`` on the record's
+    id, then its content, so that reruns agree (partial aggregation).
     """
     c = subclasses_json.select(
-        F.monotonically_increasing_id().alias("_ord"),
+        F.col("id").cast("string").alias("_ord"),
         F.col("classe.id").alias("classe"),
         F.col("classe.descricao").alias("classe_desc"),
         F.col("classe.grupo.id").alias("grupo"),
@@ -80,7 +80,7 @@ def build_activity_classes(subclasses_json: DataFrame) -> DataFrame:
     rest = [x for x in ACTIVITY_CLASS_COLUMNS if x != "classe"]
     return (
         c.groupBy("classe")
-        .agg(F.max_by(F.struct(*rest), "_ord").alias("_v"))
+        .agg(F.max_by(F.struct(*rest), F.struct("_ord", *rest)).alias("_v"))
         .select("classe", "_v.*")
         .orderBy("classe")
     )

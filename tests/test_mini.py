@@ -348,3 +348,27 @@ def test_monthly_sync_keeps_newest(spark, scratch):
     assert maintain.months(spark, base) == ["202610"]
     assert out["expirados"] == [maintain.snapshot_path(base, "202609")]
     assert load.open_base(spark, base).ano_mes == "202610"
+
+
+def test_key_list_of_several_files(spark, scratch):
+    from regframe.sources import keylist
+
+    d = os.path.join(scratch, "many-lists")
+    os.makedirs(d)
+    for name, n in (("a.csv", 3), ("b.csv", 4000), ("c.csv", 10)):  # the largest is not the first
+        with open(os.path.join(d, name), "w") as f:
+            f.write("nome;CNPJ\n" + "".join(f'"x;\ny";"{name[0]}{i}"\n' for i in range(n)))
+    got = keylist.read_key_list(spark, d).orderBy("pos").collect()
+    assert [r["entrada"] for r in got] == [f"{c}{i}" for c, n in (("a", 3), ("b", 4000), ("c", 10)) for i in range(n)]
+    assert [r["pos"] for r in got] == list(range(4013))
+
+
+def test_check_digit_service(spark):
+    from regframe.functions import ids
+
+    df = spark.createDataFrame([("12ABC34501DE",), ("12.ABC.345/01DE-36",), ("123",), (None,)], "k string")
+    rows = [r["dv"] for r in ids.check_digit_service(df, "k").collect()]
+    assert (rows[0]["dv_esperado"], rows[0]["cnpj"], rows[0]["dv_valido"]) == ("35", "12ABC34501DE35", None)
+    assert (rows[1]["dv_valido"], rows[1]["dv_esperado"], rows[1]["alfanumerico"]) == (False, "35", True)
+    assert rows[1]["cnpj_formatado"] == "12.ABC.345/01DE-36" and rows[1]["erro"] is None
+    assert rows[2]["erro"] and rows[2]["cnpj"] is None and rows[3]["erro"]
