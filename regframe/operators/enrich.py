@@ -4,14 +4,18 @@ Input: a DataFrame ``(pos, entrada)``. Output: one row per input row (more
 when a base key has two head offices, as published), ``encontrado``/``erro``/
 ``dv_valido`` flags and 37 registry columns, ordered by ``pos``.
 
-Every big table is reduced by a semi join with the list's keys before the
-outer joins, so the right side of each left join is only the matching rows:
-small lists are broadcast (no shuffle of the fact tables), large lists
-shuffle both sides on the key.
+One lazy plan. Every big table is reduced by a semi join with the list's keys before
+the outer joins, so the right side of each left join is only the matching rows; the
+company key is the front of the full key, so companies and simples are reduced by the
+list too and do not wait for the establishments. The planner broadcasts a side by its
+bytes. Rows without a key to look up take no part in the joins and come back by a
+union, so they do not all meet in one task. Write a list read from an unstable source
+to a table first: its positions are read more than once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,6 @@ from regframe.bundle import Registry
 from regframe.functions import ids
 from regframe.functions.labels import status_label
 from regframe.operators import geo
-from regframe.session import cut_lineage
 
 OUTPUT_COLUMNS = [
     "pos",
@@ -58,83 +61,80 @@ OUTPUT_COLUMNS = [
 ]
 
 
-def entries_from_list(spark: SparkSession, values: list) -> DataFrame:
-    """A small in-memory list (API input) as ``(pos, entrada)``."""
-    rows = [(i, None if v is None else str(v)) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "pos long, entrada string")
-
+#: What the result takes from the establishment and from the company.
+EST_COLUMNS = [
+    "cnpj",
+    "cnpj_basico",
+    "nome_fantasia",
+    "matriz_filial",
+    "situacao_cadastral",
+    "data_situacao_cadastral",
+    "data_inicio_atividades",
+    "cnae_fiscal",
+    "cnae_fiscal_secundaria",
+    "uf",
+    "municipio",
+    "cep",
+    "tipo_logradouro",
+    "logradouro",
+    "numero",
+    "complemento",
+    "bairro",
+]
+EMP_COLUMNS = ["razao_social", "natureza_juridica", "porte_empresa", "capital_social"]
 
-# A list of up to this many rows is broadcast to the fact-table scans (a
-# semi join becomes a map-side hash filter: no shuffle of the registry). The
-# list is counted after its checkpoint, so the bound is checked, not assumed;
-# a longer list shuffles both sides on the key instead.
-LIST_BROADCAST_ROWS = 2_000_000
 
+def entries_from_list(spark: SparkSession, values: list) -> DataFrame:
+    """A small in-memory list (API input) as ``(pos, entrada)``."""
+    text = pa.array([None if v is None else str(v) for v in values], pa.string())
+    rows = pa.table({"pos": pa.array(range(len(values)), pa.int64()), "entrada": text})
+    return spark.createDataFrame(rows)  # a local relation, whose size the planner knows
 
-def enrich(reg: Registry, entries: DataFrame, *, cut: bool = True) -> DataFrame:
-    """Enrich ``(pos, entrada)``; ``cut`` checkpoints the list-sized intermediates.
 
-    The resolved list (one row per input, more for a base key with two head
-    offices) and the matched establishments are each read by several joins; a
-    reliable checkpoint (shared checkpoint folder) computes them once and keeps
-    retries after a lost executor from replaying the input, whose positions
-    must not change between reads. Both are bounded by the list size, not by
-    the registry. With ``cut`` the resolved list is counted, and a list within
-    ``LIST_BROADCAST_ROWS`` is broadcast to the registry scans.
-    """
+def enrich(reg: Registry, entries: DataFrame) -> DataFrame:
+    """Enrich ``(pos, entrada)``."""
     strip = F.regexp_replace(F.coalesce(F.col("entrada"), F.lit("")), r"^\s+|\s+$", "")
     ent = ids.with_list_key(entries.select("pos", strip.alias("entrada")), "entrada", "chave")
-    if cut:
-        ent = cut_lineage(ent)  # positions fixed once; later filters read a plain column
-    bases = ent.where(F.length("chave") == 8).select(F.col("chave").alias("cnpj_basico"))
-    heads = reg["cnpj_base2matriz"].join(bases, "cnpj_basico", "left_semi")
-    heads = heads.select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("_hc"))
-    alvo = ent.join(
-        heads, (F.length(ent["chave"]) == 8) & (heads["_hb"] == ent["chave"]), "left"
-    ).withColumn(
-        "cnpj_alvo", F.when(F.length("chave") == 14, F.col("chave")).otherwise(F.col("_hc"))
-    ).drop("_hb", "_hc")
-    small = False
-    if cut:
-        alvo = cut_lineage(alvo)
-        small = alvo.count() <= LIST_BROADCAST_ROWS  # counted on the checkpoint
-    hint = F.broadcast if small else (lambda d: d)
-    targets = alvo.where(F.col("cnpj_alvo").isNotNull()).select(F.col("cnpj_alvo").alias("cnpj"))
-    est = reg["estabelecimento"].join(hint(targets), "cnpj", "left_semi")
-    if cut:
-        est = cut_lineage(est)
-    est_bases = est.select("cnpj_basico")
-    emp = reg["empresas"].join(hint(est_bases), "cnpj_basico", "left_semi")
-    si = reg["simples"].join(hint(est_bases), "cnpj_basico", "left_semi")
-
-    # est, emp and si are within the list's size when it is small
-    j = alvo.join(hint(est), alvo["cnpj_alvo"] == est["cnpj"], "left")
-    e = emp.select(
-        F.col("cnpj_basico").alias("_e_b"),
-        "razao_social",
-        "natureza_juridica",
-        "porte_empresa",
-        "capital_social",
+    full = F.length("chave") == 14
+    by_base = ent.where(F.length("chave") == 8)
+    heads = reg["cnpj_base2matriz"].select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("cnpj_alvo"))
+    heads = heads.join(by_base.select(F.col("chave").alias("_hb")), "_hb", "left_semi")
+    asked = ent.where(full).withColumn("cnpj_alvo", F.col("chave")).unionByName(
+        by_base.join(heads, F.col("chave") == F.col("_hb"), "left").drop("_hb")
     )
-    j = j.join(hint(e), j["cnpj_basico"] == e["_e_b"], "left")
-    nj = reg.dim("natureza_juridica").select(
-        F.col("codigo").alias("_nj"), F.col("descricao").alias("natureza_juridica_desc")
+
+    # rows with something to look up; the rest is only echoed
+    wanted = asked.where(F.col("cnpj_alvo").isNotNull())
+    echoed = asked.where(F.col("cnpj_alvo").isNull()).unionByName(
+        ent.where(F.col("chave").isNull()).withColumn("cnpj_alvo", F.lit(None).cast("string"))
     )
-    j = j.join(nj, j["natureza_juridica"] == nj["_nj"], "left")
-    c = reg.dim("cnae").select(F.col("codigo").alias("_c"), F.col("descricao").alias("cnae_descricao"))
-    j = j.join(c, j["cnae_fiscal"] == c["_c"], "left")
-    m = reg.dim("municipio").select(F.col("codigo").alias("_m"), F.col("descricao").alias("municipio_nome"))
-    j = j.join(m, j["municipio"] == m["_m"], "left")
+    # The big tables meet plain columns of the list, whose size is known: listed full
+    # keys, and head offices of listed base keys that are not listed themselves.
+    listed = ent.where(full).select(F.col("chave").alias("cnpj"))
+    bases = by_base.select(F.col("chave").alias("cnpj_basico"))
+    every = ent.where(F.col("chave").isNotNull()).select(F.substring("chave", 1, 8).alias("cnpj_basico"))
+    est = reg["estabelecimento"].select(*EST_COLUMNS)
+    est_heads = est.where(F.col("matriz_filial") == "1").join(bases, "cnpj_basico", "left_semi")
+    est = est.join(listed, "cnpj", "left_semi").unionByName(est_heads.join(listed, "cnpj", "left_anti"))
+    emp = reg["empresas"].select("cnpj_basico", *EMP_COLUMNS).join(every, "cnpj_basico", "left_semi")
+    si = reg["simples"].select("cnpj_basico", "opcao_simples", "opcao_mei").join(every, "cnpj_basico", "left_semi")
+
+    found = est.join(emp, "cnpj_basico", "left").join(si, "cnpj_basico", "left")
+    j = wanted.join(found, F.col("cnpj_alvo") == F.col("cnpj"), "left")
+    j = j.unionByName(echoed, allowMissingColumns=True)
+    for dim, code, name in (
+        ("natureza_juridica", "natureza_juridica", "natureza_juridica_desc"),
+        ("cnae", "cnae_fiscal", "cnae_descricao"),
+        ("municipio", "municipio", "municipio_nome"),
+    ):
+        d = reg.dim(dim).select(F.col("codigo").alias(f"_{dim}"), F.col("descricao").alias(name))
+        j = j.join(d, j[code] == d[f"_{dim}"], "left").drop(f"_{dim}")
     j = geo.with_extras(reg, j)
-    s = si.select(F.col("cnpj_basico").alias("_si"), "opcao_simples", "opcao_mei")
-    j = j.join(hint(s), j["cnpj_basico"] == s["_si"], "left")
     j = (
         j.withColumn("cnpj_normalizado", F.col("chave"))
         .withColumn("encontrado", F.col("cnpj").isNotNull())
         .withColumn("erro", F.when(F.col("chave").isNull(), F.lit(ids.KEY_FORMAT_ERROR)))
-        .withColumn(
-            "dv_valido", F.when(F.length("chave") == 14, ids.digits_valid("chave"))
-        )
+        .withColumn("dv_valido", F.when(full, ids.digits_valid("chave")))
         .withColumn("situacao_cadastral_desc", status_label("situacao_cadastral", empty_as_null=True))
     )
     return j.select(*OUTPUT_COLUMNS).orderBy("pos")

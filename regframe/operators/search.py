@@ -1,10 +1,15 @@
 """Filtered establishment search (all arguments optional, AND-ed).
 
-The plan is assembled as DataFrame transforms: establishment-only predicates
-go first (pushed into the Parquet scan), dimension predicates become semi
-joins to broadcast dimensions, company predicates are applied to the company
-side before the fact join, and the simples join is added only when a flag
-filter needs it. Ranked search scores companies once, before the fact join.
+One lazy plan; nothing runs before the caller asks for rows. Every predicate comes
+before the join of the two big tables: establishment predicates reach the Parquet
+scan, dimension predicates (codes, levels, municipality names) are semi joins to
+small frames, simples flags are semi or anti joins on the company key, and company
+predicates are on the company side. A name query splits into two filtered joins: the
+companies whose name matches with their establishments, and the establishments whose
+trade name matches with the other companies.
+
+With a limit, the first keys are found on narrow frames (key, company key and what
+the query reads); only those rows, at most the clamp, are fetched in full and decoded.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from regframe.functions.ids import py_digits
 from regframe.functions.text import like_contains
 from regframe.operators import filters, geo, textsearch
 from regframe.schemas import DEFAULT_QUERY_LIMIT, MAX_QUERY_LIMIT
-from regframe.session import cut_lineage
 
 OUTPUT_COLUMNS = [
     "cnpj",
@@ -77,10 +81,6 @@ def _flag_true(col: str):
     return F.upper(F.coalesce(F.col(col), F.lit(""))) == "S"
 
 
-def _flag_false(col: str):
-    return F.col(col).isNull() | (F.upper(F.col(col)) != "S")
-
-
 def search(
     reg: Registry,
     spec: SearchSpec,
@@ -141,6 +141,19 @@ def search(
         codes = filters.activity_codes(reg, spec.cnae_secao, spec.cnae_divisao)
         est = est.join(codes, est["cnae_fiscal"] == codes["cnae"], "left_semi")
 
+    # municipality names and simples flags, before the fact join
+    names = [n for n in (None if (spec.municipio or "0").isdigit() else spec.municipio, spec.municipio_nome) if n]
+    if names:
+        m = reg.dim("municipio")
+        for n in names:
+            m = m.where(F.col("descricao").ilike(like_contains(n)))
+        m = m.select(F.col("codigo").alias("_m"))
+        est = est.join(m, est["municipio"] == m["_m"], "left_semi")
+    for flag, on in (("opcao_mei", spec.mei), ("opcao_simples", spec.simples)):
+        if on is not None:
+            holders = reg["simples"].where(_flag_true(flag)).select("cnpj_basico")
+            est = est.join(holders, "cnpj_basico", "left_semi" if on else "left_anti")
+
     # company side, filtered before the fact join
     emp = reg["empresas"].select("cnpj_basico", "razao_social", "porte_empresa", "capital_social")
     if spec.porte:
@@ -150,54 +163,26 @@ def search(
     if spec.capital_max is not None:
         emp = emp.where(F.col("capital_social") <= float(spec.capital_max))
 
-    # Bounded path: when every predicate is on the establishment side (or a
-    # semi join), the result is the first ``limit`` establishments by key that
-    # have a company. The first ``limit`` candidates (a bound set by the clamp)
-    # are checkpointed and the company table is reduced to their base keys by
-    # a broadcast semi join; when every candidate has its company this is the
-    # exact answer and no big table is shuffled. Otherwise the full plan runs.
-    company_side = spec.porte or spec.capital_min is not None or spec.capital_max is not None
-    later_filters = (
-        spec.q
-        or spec.mei is not None
-        or spec.simples is not None
-        or spec.municipio_nome
-        or (spec.municipio and not spec.municipio.isdigit())
-    )
-    if spec.limit is not None and not company_side and not later_filters:
-        n = clamp(spec.limit)
-        top = cut_lineage(est.orderBy(F.asc("cnpj")).limit(n))
-        small_emp = emp.join(F.broadcast(top.select("cnpj_basico")), "cnpj_basico", "left_semi")
-        if top.join(small_emp, "cnpj_basico", "inner").count() == top.count():
-            est, emp = top, small_emp
-
     score = None
     if spec.q and mode == "ranked":
         if index is None:
             raise ValueError("ranked search needs a text index")
-        sc = textsearch.scores(index, spec.q).withColumnRenamed(index.key, "cnpj_basico")
-        emp = emp.join(sc, "cnpj_basico", "inner")
+        emp = emp.join(textsearch.scores(index, spec.q).withColumnRenamed(index.key, "cnpj_basico"), "cnpj_basico")
         score = F.col("score")
-        ranked_later = (
-            spec.mei is not None
-            or spec.simples is not None
-            or spec.municipio_nome
-            or (spec.municipio and not spec.municipio.isdigit())
-        )
-        if spec.limit is not None and not ranked_later:
-            # Establishments are ordered by (score, key) and a key starts with
-            # its company's base key, so the result is the establishments of
-            # the companies in (score desc, base key) order. When the first
-            # ``limit`` companies (bounded by the clamp, checkpointed) already
-            # hold ``limit`` matching establishments, they are the answer; the
-            # establishment scan is then filtered by a broadcast of their keys.
-            n = clamp(spec.limit)
-            top = cut_lineage(emp.orderBy(F.desc("score"), F.asc("cnpj_basico")).limit(n))
-            est_top = est.join(F.broadcast(top.select("cnpj_basico")), "cnpj_basico", "left_semi")
-            if est_top.limit(n).count() >= n:
-                est, emp = est_top, top
-
-    j = est.join(emp, "cnpj_basico", "inner")
+    by_name = spec.q if mode in ("substring", "fuzzy") else None
+    order = ([] if score is None else [F.desc_nulls_last("score")]) + [F.asc("cnpj")]
+
+    n = None if spec.limit is None else clamp(spec.limit)
+    if n is None:
+        j = _joined(est, emp, by_name, mode)
+    else:
+        tall = emp.select("cnpj_basico", *(["razao_social"] if by_name else []), *(["score"] if score is not None else []))
+        keys = _joined(est.select("cnpj", "cnpj_basico", *(["nome_fantasia"] if by_name else [])), tall, by_name, mode)
+        keys = keys.select("cnpj", *(["score"] if score is not None else [])).orderBy(*order).limit(n)
+        # at most the clamp's number of rows travel to the scans
+        top = est.join(F.broadcast(keys), "cnpj")
+        j = emp.drop("score").join(F.broadcast(top), "cnpj_basico")
+
     mun = reg.dim("municipio").select(
         F.col("codigo").alias("_m_codigo"), F.col("descricao").alias("municipio_nome")
     )
@@ -208,58 +193,36 @@ def search(
     )
     j = j.join(cn, j["cnae_fiscal"] == cn["_c_codigo"], "left")
 
-    if spec.mei is not None or spec.simples is not None:
-        si = reg["simples"].select(
-            F.col("cnpj_basico").alias("_si_basico"), "opcao_mei", "opcao_simples"
-        )
-        j = j.join(si, j["cnpj_basico"] == si["_si_basico"], "left")
-        if spec.mei is True:
-            j = j.where(_flag_true("opcao_mei"))
-        elif spec.mei is False:
-            j = j.where(_flag_false("opcao_mei"))
-        if spec.simples is True:
-            j = j.where(_flag_true("opcao_simples"))
-        elif spec.simples is False:
-            j = j.where(_flag_false("opcao_simples"))
-
-    # municipality name predicates (need the dimension's name)
-    if spec.municipio and not spec.municipio.isdigit():
-        j = j.where(F.col("municipio_nome").ilike(like_contains(spec.municipio)))
-    if spec.municipio_nome:
-        j = j.where(F.col("municipio_nome").ilike(like_contains(spec.municipio_nome)))
-
-    if spec.q and mode == "substring":
-        j = j.where(textsearch.ilike_any(spec.q, "razao_social", "nome_fantasia"))
-    elif spec.q and mode == "fuzzy":
-        hits_e = textsearch.fuzzy_name_hits(reg["empresas"], "razao_social", spec.q)
-        hits_f = textsearch.fuzzy_name_hits(reg["estabelecimento"], "nome_fantasia", spec.q)
-        j = j.join(
-            hits_e.withColumn("_fe", F.lit(True)),
-            F.lower(F.coalesce(j["razao_social"], F.lit(""))) == hits_e["_nm"],
-            "left",
-        ).drop("_nm")
-        j = j.join(
-            hits_f.withColumn("_ff", F.lit(True)),
-            F.lower(F.coalesce(j["nome_fantasia"], F.lit(""))) == hits_f["_nm"],
-            "left",
-        ).drop("_nm")
-        j = j.where(
-            F.coalesce("_fe", F.lit(False))
-            | F.coalesce("_ff", F.lit(False))
-            | textsearch.ilike_any(spec.q, "razao_social", "nome_fantasia")
-        )
-
     cols = [origin.alias("cnae_origem") if c == "cnae_origem" else F.col(c) for c in OUTPUT_COLUMNS]
     if score is not None:
         cols.insert(OUTPUT_COLUMNS.index("cnae_origem") + 1, score.alias("_fts_score"))
     out = j.select(*cols)
-    if score is not None:
-        out = out.orderBy(F.desc_nulls_last("_fts_score"), F.asc("cnpj"))
-    else:
-        out = out.orderBy("cnpj")
-    if spec.limit is not None:
-        out = out.limit(clamp(spec.limit))
-    return out
+    out = out.orderBy(*([F.desc_nulls_last("_fts_score")] if score is not None else []), F.asc("cnpj"))
+    return out if n is None else out.limit(n)
+
+
+def _joined(est: DataFrame, emp: DataFrame, q: str | None, mode: str) -> DataFrame:
+    """Establishments with their company, of those where either name matches ``q``."""
+    if not q:
+        return est.join(emp, "cnpj_basico")
+    if mode == "fuzzy":
+        emp = emp.join(est.select("cnpj_basico"), "cnpj_basico", "left_semi")  # only names that may come out are scored
+    companies = _name_hits(emp, "razao_social", q, mode)
+    others = emp.join(companies.select("cnpj_basico"), "cnpj_basico", "left_anti")
+    by_company = est.join(companies, "cnpj_basico")
+    return by_company.unionByName(_name_hits(est, "nome_fantasia", q, mode).join(others, "cnpj_basico"))
+
+
+def _name_hits(df: DataFrame, col: str, q: str, mode: str) -> DataFrame:
+    """Rows whose name contains ``q`` or, in fuzzy mode, is like it. Rows without a name
+    never match, so they do not meet on one join key."""
+    contains = textsearch.ilike_any(q, col)
+    hits = df.where(contains)
+    if mode != "fuzzy":
+        return hits
+    rest = df.where(~contains & (F.coalesce(F.col(col), F.lit("")) != ""))
+    alike = textsearch.fuzzy_name_hits(rest.select(col), col, q)
+    return hits.unionByName(rest.join(alike, F.lower(F.col(col)) == F.col("_nm"), "left_semi"))
 
 
 EXPORT_FORMATS = ("csv", "json", "parquet")

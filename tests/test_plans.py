@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 
 
@@ -9,17 +11,19 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_enrichment_broadcasts_a_counted_list(spark):
+def test_enrichment_broadcasts_a_small_list(spark):
     from regframe.operators import enrich
     from regframe.plans import catalog
 
     reg = catalog.registry(spark, SF_SMALL)
     ent = enrich.entries_from_list(spark, ["00000001", "not a key"])
-    plan = _plan(enrich.enrich(reg, ent))
-    # the registry tables are filtered map-side by the broadcast list: no
-    # sort-merge join, so no shuffle of the establishment table
-    assert "SortMergeJoin" not in plan
-    assert "BroadcastHashJoin" in plan
+    out = enrich.enrich(reg, ent)
+    out.collect()
+    plan = _plan(out).split("== Initial Plan ==")[0]
+    # from the sizes met at run time the registry tables are filtered map-side by the
+    # list: their semi joins are broadcast joins, so no big table is shuffled
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi), semi
 
 
 def test_index_tokenises_each_text_once(spark):
@@ -92,7 +96,35 @@ def test_partner_search_joins_only_the_top_partners(spark):
     assert "socios" not in plan
 
 
-def test_search_bounded_path_and_its_fallback(spark):
+def _jobs(spark, make):
+    """``make()`` and how many jobs ran meanwhile."""
+    group = "plan-test"
+    spark.sparkContext.setJobGroup(group, group)
+    out = make()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_search_and_enrichment_run_nothing_while_planning(spark):
+    from regframe.operators import enrich, search
+    from regframe.plans import catalog
+
+    reg = catalog.registry(spark, SF_SMALL)
+    reg.dim("municipio")  # the dimensions' row bounds are checked once, on first use
+    specs = (
+        search.SearchSpec(uf="u1", limit=20),
+        search.SearchSpec(q="ring", modo="substring", limit=20),
+        search.SearchSpec(q="blue bolts", fuzzy=True, uf="u1", limit=20),
+        search.SearchSpec(mei=True, municipio_nome="nation_1", limit=20),
+    )
+    for spec in specs:
+        assert _jobs(spark, lambda s=spec: search.search(reg, s))[1] == 0, spec
+    keys = reg["estabelecimento"].select(F.monotonically_increasing_id().alias("pos"), F.col("cnpj").alias("entrada"))
+    assert _jobs(spark, lambda: enrich.enrich(reg, keys))[1] == 0
+
+
+def test_limited_search_fetches_only_its_keys(spark):
     from pyspark.sql import functions as F
 
     from regframe.operators import search
@@ -100,9 +132,8 @@ def test_search_bounded_path_and_its_fallback(spark):
 
     reg = catalog.registry(spark, SF_SMALL)
     plan = _plan(search.search(reg, search.SearchSpec(uf="u1", limit=20)))
-    assert "SortMergeJoin" not in plan
-    # an establishment whose company is missing: the bounded candidates fall
-    # short and the full plan must give the same answer as a plain join
+    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
+    # an establishment whose company is missing does not take a place of the limit
     first = reg["estabelecimento"].orderBy("cnpj").first()["cnpj_basico"]
     reg2 = reg.with_frames(empresas=reg["empresas"].where(F.col("cnpj_basico") != first))
     got = [r["cnpj"] for r in search.search(reg2, search.SearchSpec(limit=5)).collect()]
