@@ -6,22 +6,26 @@ A byte is removed if some ``LENGTH``-byte string over it starts anywhere else to
 the least hash of some ``SPAN`` positions in a row (the rightmost of equals). Whether
 a trigger counts inside a window of ``LENGTH`` bytes depends on the window's bytes
 alone, and every window holds two triggers at least, so equal windows hold the same
-phrases (from one trigger to the end of the next) at the same offsets. The dictionary
-of phrases is counted over the corpus; a window that holds a phrase found once is no
-repeat. For text that seldom repeats, that ends nearly all the work.
+phrases (from one trigger to the end of the next) at the same offsets. The longest
+phrase of a window (of equals the one with the greater hash, then the rightmost) is
+its anchor. Windows in a row with one anchor are a piece, about 80 of them.
 
-*Parse.* What remains is cut into pieces: windows in a row that hold the same phrases.
-A piece is named by its phrases (the parse) and by all its bytes (its context).
-Contexts found twice are repeats as a whole; a parse with one context needs no more.
+*Dictionary.* Anchors are counted over the corpus. A piece whose anchor is found once
+holds no repeat; for text that seldom repeats, that ends nearly all the work.
 
-*Order.* Where one parse has several contexts, one copy of each context is brought
+*Parse.* Pieces that remain are named by their anchor and all their bytes (their
+context). Contexts found twice are repeats as a whole; an anchor with one context
+needs no more.
+
+*Order.* Where one anchor has several contexts, one copy of each context is brought
 together and their windows are put into suffix order; neighbours that agree in
-``LENGTH`` bytes are repeats. A parse with more than ``ORDERED`` contexts would be a
+``LENGTH`` bytes are repeats. An anchor with more than ``ORDERED`` contexts would be a
 hot group: its windows are counted by their 128-bit hash instead, which spreads them.
 
 So a corpus-wide suffix array is built only over one copy of each context whose
-parse is ambiguous; nothing is put in order that the dictionary or the parse decides.
-Contexts and windows are told apart by two 64-bit hashes with independent bases.
+anchor is ambiguous; nothing is put in order that the dictionary or the parse decides.
+A context is told from another by the anchor's hash and a hash of all its bytes with
+another base, 128 bits together. Texts travel compressed.
 
 Defined cases: a null text has no bytes; texts shorter than ``LENGTH`` lose nothing;
 matches never cross documents; repeated rows are repeats of each other; ids that are
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,21 +118,23 @@ class Parse:
         self.last = np.concatenate([edge - 1, [len(least) - 1]])
         self.at = least[self.first]
 
-    def phrases(self) -> np.ndarray:
-        return self.hashes.of(self.at[:-1], self.at[1:] + GRAM)
-
-    def pieces(self, repeated: np.ndarray) -> np.ndarray:
-        """Rows (first window, number of windows, first trigger, last trigger) of the
-        pieces whose phrases are all ``repeated`` (a flag per phrase)."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor hash, first window and number of windows of the pieces, in order."""
         windows = self.size - LENGTH + 1
         starts = np.unique(np.concatenate([[0], self.last + 1, self.first + _BACK]))
         starts = starts[(starts >= 0) & (starts < windows)]
-        ends = np.append(starts[1:], windows)
+        # the triggers that count in the windows from each start on: a to b
         a = np.searchsorted(self.last, starts, "left")
         b = np.searchsorted(self.first + _BACK, starts, "right") - 1
-        bad = np.concatenate([[0], np.cumsum(~repeated)])
-        ok = bad[b] == bad[a]
-        return np.stack([starts, ends - starts, a, b], 1)[ok]
+        h = self.hashes.of(self.at[:-1], self.at[1:] + GRAM)
+        rank = (np.diff(self.at).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+        best = a.copy()
+        for d in range(1, int((b - a).max())):
+            k = np.minimum(a + d, b - 1)
+            best = np.where(rank[k] >= rank[best], k, best)
+        new = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+        first = starts[new]
+        return h[best[new]], first, np.diff(np.append(first, windows))
 
 
 def parse(text: str | None) -> Parse | None:
@@ -149,92 +156,71 @@ def _longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in names])
 
 
-def _phrases(docs: DataFrame) -> DataFrame:
-    """Per phrase: ``h`` and its document and number, with how far the windows reach
-    that hold neither neighbour (``low`` and ``high``: see :func:`_candidates`)."""
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``rid, q, start, n`` of all pieces: anchor, first window, number of windows."""
 
     def fn(texts: list) -> dict:
-        h, low, high = [], [], []
-        for t in texts:
-            p = parse(t)
-            if p is None:
-                for x in (h, low, high):
-                    x.append(np.zeros(0, np.int64))
-                continue
-            h.append(p.phrases().view(np.int64))
-            # windows that hold phrase j start from first[j + 1] + _BACK to last[j]
-            low.append(np.append(p.first[2:] + _BACK, p.size - LENGTH + 1))  # where the next phrase comes in
-            high.append(np.concatenate([[-1], p.last[:-2]]))  # up to where the one before is held
-        return {"h": _lists(h), "low": _lists(low), "high": _lists(high)}
-
-    rows = common.map_texts(docs, fn, _longs("h", "low", "high"), carry=["rid"])
-    return rows.select(F.col("row.rid").alias("rid"), F.posexplode(F.arrays_zip("h", "low", "high")).alias("j", "p")).select(
-        "rid", F.col("j").cast("int").alias("j"), "p.h", F.col("p.low").cast("int").alias("low"), F.col("p.high").cast("int").alias("high")
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        got = [none if p is None else p.pieces() for p in map(parse, texts)]
+        return {"q": _lists([g[0].view(np.int64) for g in got]), "start": _lists([g[1] for g in got]), "n": _lists([g[2] for g in got])}
+
+    rows = common.map_texts(docs, fn, _longs("q", "start", "n"), carry=["rid"])
+    return rows.select(F.col("row.rid").alias("rid"), F.explode(F.arrays_zip("q", "start", "n")).alias("p")).select(
+        "rid", "p.q", F.struct(F.col("p.start").cast("int").alias("start"), F.col("p.n").cast("int").alias("n")).alias("at")
     )
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """``rid`` and ``held``, the numbers of its repeated phrases, of documents that have
-    a window without a phrase found once."""
-    p = _phrases(docs)
-    often = p.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("often"))
-    mine = p.join(often, F.col("h") == F.col("often"), "left_semi")
-    lists = mine.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("j", "low", "high"))).alias("held"))
-    # In a run of repeated phrases windows remain from past the phrase before it to the next one after it.
-    run = F.aggregate(
-        "held",
-        F.struct(F.lit(-2).alias("j"), F.lit(0).alias("high"), F.lit(False).alias("ok")),
-        lambda a, x: F.struct(
-            x["j"].alias("j"),
-            F.when(x["j"] == a["j"] + 1, a["high"]).otherwise(x["high"]).alias("high"),
-            (a["ok"] | (x["low"] > F.when(x["j"] == a["j"] + 1, a["high"]).otherwise(x["high"]) + 1)).alias("ok"),
-        ),
-        lambda a: a["ok"],
-    )
-    return lists.where(run).select("rid", F.transform("held", lambda x: x["j"]).alias("held"))
+    """``r, of``: the documents with pieces whose anchor is found again, and those pieces."""
+    p = _pieces(docs)
+    often = p.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select(F.col("q").alias("often"))
+    mine = p.join(often, F.col("q") == F.col("often"), "left_semi")
+    return mine.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("q", "at.start", "at.n")).alias("of"))
 
 
-_PIECE = T.StructType(
-    [
-        T.StructField("start", T.IntegerType()),
-        T.StructField("n", T.IntegerType()),
-        T.StructField("q", T.LongType()),
-        T.StructField("c1", T.LongType()),
-        T.StructField("c2", T.LongType()),
-    ]
-)
+def _packed(docs: DataFrame) -> DataFrame:
+    """``rid, packed``: texts as compressed UTF-8, which is what is shuffled."""
+
+    def fn(texts: list) -> dict:
+        pack = zstandard.ZstdCompressor(level=3)
+        return {"packed": [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
+
+    out = T.StructType([T.StructField("packed", T.BinaryType())])
+    return common.map_texts(docs, fn, out, carry=["rid"]).select("row.rid", "packed")
+
+
+def unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _pieces(texts: DataFrame) -> DataFrame:
-    """``rid, start, n, q, c1, c2`` per piece of rows (rid, text, held)."""
-    schema = T.StructType([T.StructField("rid", T.LongType()), *_PIECE.fields])
+def _contexts(texts: DataFrame) -> DataFrame:
+    """``rid, q, c, start, n``: the pieces ``of`` rows (rid, packed, of) with a hash of their bytes."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("rid", "q", "c")] + [T.StructField(n, T.IntegerType()) for n in ("start", "n")])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for rid, t, held in zip(*(c.to_pylist() for c in b.columns)):
-                p = parse(t)
-                flags = np.zeros(len(p.at) - 1, bool)
-                flags[held] = True
-                x = p.pieces(flags)
-                s, n, lo, hi = x.T
-                end = s + n - 1 + LENGTH
-                got = (np.full(len(s), rid), s, n, p.hashes.of(p.at[lo], p.at[hi] + GRAM), p.hashes.of(s, end), p.hashes.of(s, end, 1))
-                for c, g in zip(cols, got):
-                    c.append(g)
-            out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            arrays = [pa.array(out[0].astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in out[1:3]], *[_signed(c.astype(np.uint64)) for c in out[3:]]]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return texts.select("rid", "text", "held").mapInArrow(run, schema)
+            cols: list[list] = [[] for _ in names]
+            for rid, packed, of in zip(*(c.to_pylist() for c in b.columns)):
+                h = Hashes(np.frombuffer(unpack(packed), np.uint8))
+                q, s, n = (np.array([x[k] for x in of], np.int64) for k in ("q", "start", "n"))
+                c = h.of(s, s + n - 1 + LENGTH, 1).view(np.int64)
+                for col, v in zip(cols, (np.full(len(s), rid), q, c, s, n)):
+                    col.append(v)
+            flat = [np.concatenate(c) for c in cols] if cols[0] else [np.zeros(0, np.int64)] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v.astype(np.int64 if k < 3 else np.int32)) for k, v in enumerate(flat)], names=names
+            )
+
+    return texts.select("rid", "packed", "of").mapInArrow(run, schema)
 
 
 def _with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of ``wanted`` with the bytes of their context out of ``texts``."""
-    per_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("q", "c1", "c2", "many", "crowd", "start", "n")).alias("of"))
-    src = texts.select(F.col("rid").alias("r"), "text").join(per_doc, F.col("r") == F.col("rid")).select("text", "of")
+    per_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("q", "c", "many", "crowd", "start", "n")).alias("want"))
+    src = texts.select(F.col("rid").alias("r"), "packed").join(per_doc, F.col("r") == F.col("rid")).select("packed", "want")
     schema = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("q", "c1", "c2")]
+        [T.StructField(n, T.LongType()) for n in ("q", "c")]
         + [T.StructField(n, T.BooleanType()) for n in ("many", "crowd")]
         + [T.StructField("data", T.BinaryType())]
     )
@@ -242,9 +228,9 @@ def _with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = t.encode("utf-8", "surrogatepass")
-                out += [(x["q"], x["c1"], x["c2"], x["many"], x["crowd"], data[x["start"] : x["start"] + x["n"] - 1 + LENGTH]) for x in of]
+            for packed, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = unpack(packed)
+                out += [(x["q"], x["c"], x["many"], x["crowd"], data[x["start"] : x["start"] + x["n"] - 1 + LENGTH]) for x in want]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), f.type) for c, f in zip(zip(*out), common.to_arrow_schema(schema))], names=schema.names
@@ -283,19 +269,21 @@ def order_windows(contexts: list[bytes], many: list[bool]) -> list[np.ndarray]:
 
 
 assert LENGTH % 8 == 0
-_HITS = T.StructType([T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+_HITS = T.StructType(
+    [T.StructField("q", T.LongType()), T.StructField("c", T.LongType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]
+)
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """``c1, c2, offsets`` of contexts found once, by suffix order within a parse."""
+    """``q, c, offsets`` of contexts found once, by suffix order within an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         name = None
 
         def solve() -> pa.RecordBatch:
-            hits = order_windows([h[3] for h in held], [h[2] for h in held])
-            out = [(h[0], h[1], x.tolist()) for h, x in zip(held, hits) if not h[2] and len(x)]
+            hits = order_windows([h[2] for h in held], [h[1] for h in held])
+            out = [(name, h[0], x.tolist()) for h, x in zip(held, hits) if not h[1] and len(x)]
             arrow = common.to_arrow_schema(_HITS)
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], arrow[k].type) for k in range(3)], names=arrow.names)
 
@@ -309,46 +297,49 @@ def _ordered(rows: DataFrame) -> DataFrame:
         if held:
             yield solve()
 
-    dealt = rows.select("q", "c1", "c2", "many", "data").repartition("q").sortWithinPartitions("q")
+    dealt = rows.select("q", "c", "many", "data").repartition("q").sortWithinPartitions("q")
     return dealt.mapInArrow(run, _HITS)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """``c1, c2, offsets`` of contexts found once, by counting window hashes."""
-    names = ("w1", "w2", "c1", "c2", "at", "weight")
+    """``q, c, offsets`` of contexts found once, by counting window hashes."""
+    names = ("w1", "w2", "q", "c", "at", "weight")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c1, c2, many, data in zip(*(c.to_pylist() for c in b.columns)):
+            for q, c, many, data in zip(*(x.to_pylist() for x in b.columns)):
                 h = Hashes(np.frombuffer(data, np.uint8))
                 at = np.arange(len(data) - LENGTH + 1)
-                cols = [h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), np.full(len(at), c1), np.full(len(at), c2), at, np.full(len(at), 1 + many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=list(names))
+                full = lambda v: np.full(len(at), v, np.int64)
+                cols = [h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), full(q), full(c), at, full(1 + many)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=list(names))
 
-    windows = rows.select("c1", "c2", "many", "data").mapInArrow(run, schema)
+    windows = rows.select("q", "c", "many", "data").mapInArrow(run, schema)
     often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("s")).where("s > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     hits = windows.where("weight = 1").join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
-    return hits.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("offsets"))
+    return hits.groupBy("q", "c").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("offsets"))
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (rid, text): candidate documents (rid, text) and, by rid, the windows
+    """Of rows (rid, text): candidate documents (rid, packed) and, by rid, the windows
     repeated elsewhere as ``windows``: structs (start, n) of window starts in a row."""
-    texts = common.written(docs.select("rid", "text").join(_candidates(docs.select("rid", "text")).withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).drop("r"), "repeat-texts")
-    pieces = common.written(_pieces(texts), "repeat-pieces")
+    docs = docs.select("rid", "text")
+    found = _packed(docs).join(_candidates(docs), F.col("rid") == F.col("r")).drop("r")
+    texts = common.written(found, "repeat-texts")
+    pieces = common.written(_contexts(texts), "repeat-pieces")
     contexts = common.written(
-        pieces.groupBy("q", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one")), "repeat-contexts"
+        pieces.groupBy("q", "c").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one")), "repeat-contexts"
     )
-    parses = contexts.groupBy("q").agg(F.count("*").alias("n_contexts"), F.min("copies").alias("fewest")).where("n_contexts > 1 and fewest = 1")
-    unsure = contexts.join(parses.select(F.col("q").alias("p"), "n_contexts"), F.col("q") == F.col("p")).select(
-        "q", "c1", "c2", (F.col("copies") > 1).alias("many"), (F.col("n_contexts") > ORDERED).alias("crowd"), "one.rid", "one.start", "one.n"
+    anchors = contexts.groupBy("q").agg(F.count("*").alias("n_contexts"), F.min("copies").alias("fewest")).where("n_contexts > 1 and fewest = 1")
+    unsure = contexts.join(anchors.select(F.col("q").alias("p"), "n_contexts"), F.col("q") == F.col("p")).select(
+        "q", "c", (F.col("copies") > 1).alias("many"), (F.col("n_contexts") > ORDERED).alias("crowd"), "one.rid", "one.start", "one.n"
     )
     data = common.written(_with_bytes(unsure, texts), "repeat-bytes")
     some = common.written(_ordered(data.where("not crowd")).unionByName(_counted(data.where("crowd"))), "repeat-hits")
-    whole = contexts.where("copies > 1").select("c1", "c2", F.lit(None).cast("array<int>").alias("offsets"))
-    hits = whole.unionByName(some).select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), "offsets")
-    of = pieces.join(hits, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")))
+    whole = contexts.where("copies > 1").select("q", "c", F.lit(None).cast("array<int>").alias("offsets"))
+    hits = whole.unionByName(some).select(F.col("q").alias("h1"), F.col("c").alias("h2"), "offsets")
+    of = pieces.join(hits, (F.col("q") == F.col("h1")) & (F.col("c") == F.col("h2")))
     runs = F.when(F.col("offsets").isNull(), F.array(F.struct(F.col("start"), F.col("n")))).otherwise(
         F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n")))
     )
@@ -385,8 +376,7 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     out = T.StructType([*_DIGEST.fields, T.StructField("removed", span)])
     kind = common.to_arrow_schema(out).field("removed").type
 
-    def digest(t: str | None, windows: list) -> tuple:
-        data = t.encode("utf-8", "surrogatepass") if t else b""
+    def digest(data: bytes, windows: list) -> tuple:
         cut = spans(len(data), windows)
         kept, last = hashlib.sha256(), 0
         for s, e in cut:
@@ -401,21 +391,21 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
         return cols | {"removed": pa.array(cols["removed"], kind)}
 
     texts, windows = covered(rows)
-    plain = common.map_texts(rows, lambda ts: table_of([digest(t, []) for t in ts]), out, carry=["rid", "doc_id"])
+    plain = common.map_texts(rows, lambda ts: table_of([digest(t.encode("utf-8", "surrogatepass") if t else b"", []) for t in ts]), out, carry=["rid", "doc_id"])
 
     schema = T.StructType([T.StructField("r", T.LongType()), *[T.StructField("x_" + f.name, f.dataType) for f in out.fields]])
     arrow = common.to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [digest(t, [(x["start"], x["n"]) for x in w]) for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            got = [digest(unpack(t), [(x["start"], x["n"]) for x in w]) for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = table_of(got)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)] + [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], a.type) for f, a in zip(out.fields, list(arrow)[1:])],
                 names=arrow.names,
             )
 
-    with_windows = texts.select("rid", "text").join(windows.withColumnRenamed("rid", "w"), F.col("rid") == F.col("w")).select("rid", "text", "windows")
+    with_windows = texts.select("rid", "packed").join(windows.withColumnRenamed("rid", "w"), F.col("rid") == F.col("w")).select("rid", "packed", "windows")
     changed = with_windows.mapInArrow(cut, schema)
     both = plain.select("row.rid", "row.doc_id", *out.names).join(changed, F.col("rid") == F.col("r"), "left")
     return both.select("rid", "doc_id", *[F.coalesce(F.col("x_" + n), F.col(n)).alias(n) for n in out.names])
