@@ -102,9 +102,9 @@ def main() -> None:
     fuzzy()
     extra["fuzzy_names_second_run"] = round(time.time() - t0, 3)
 
-    # filtered search exported to Parquet (activity as principal or secondary, no row cap)
+    # filtered search exported to Parquet (tens of thousands of rows, no row cap)
     def do_export():
-        df = search.search(reg, SearchSpec(cnae="0189001", limit=None))
+        df = search.search(reg, SearchSpec(situacao="02", limit=None))
         search.export(df, f"{work}/export.parquet")
         return spark.read.parquet(f"{work}/export.parquet").count()
 

@@ -58,38 +58,35 @@ def partners(socios_original: DataFrame, base2matriz: DataFrame, ano_mes: str) -
     cols = ["cnpj", "cnpj_basico", *rest]
     if ano_mes < PARTNER_RULE_MONTH:
         return base.select(*cols)
-    people = base.where(F.col("identificador_de_socio") != "1").select(*cols)
-    holder = m.select(
-        F.col("cnpj_basico").alias("_doc_base"), F.col("cnpj").alias("_doc_head")
-    )
-    firms = (
-        base.where(F.col("identificador_de_socio") == "1")
-        .join(holder, F.col("cnpj_cpf_socio") == F.col("_doc_base"), "left")
-        .withColumn("cnpj_cpf_socio", F.col("_doc_head"))
+    # One lookup for all rows: people get a key that no company has, spread by their own
+    # company, so that they do not meet on NULL.
+    firm = F.col("identificador_de_socio") == "1"
+    holder = m.select(F.col("cnpj_basico").alias("_doc_base"), F.col("cnpj").alias("_doc_head"))
+    return (
+        base.where(F.col("identificador_de_socio").isNotNull())
+        .withColumn("_doc", F.when(firm, F.col("cnpj_cpf_socio")).otherwise(F.concat(F.lit("-"), "cnpj_basico")))
+        .join(holder, F.col("_doc") == F.col("_doc_base"), "left")
+        .withColumn("cnpj_cpf_socio", F.when(firm, F.col("_doc_head")).otherwise(F.col("cnpj_cpf_socio")))
         .select(*cols)
     )
-    return people.unionByName(firms)
 
 
 def activity_bridge(estabelecimento: DataFrame) -> DataFrame:
     """(cnpj, cnae, tipo): principal code plus each trimmed secondary code.
 
-    Narrow (no shuffle): a projection unioned with an explode of the same scan.
+    One scan and no shuffle: an explode of one array per establishment.
     """
-    main = estabelecimento.where(
-        F.col("cnae_fiscal").isNotNull() & (F.col("cnae_fiscal") != "")
-    ).select("cnpj", F.col("cnae_fiscal").alias("cnae"), F.lit("principal").alias("tipo"))
-    sec = (
-        estabelecimento.select(
-            "cnpj",
-            F.explode(F.split(F.coalesce(F.col("cnae_fiscal_secundaria"), F.lit("")), ",")).alias(
-                "_c"
-            ),
-        )
-        .select("cnpj", F.trim("_c").alias("cnae"), F.lit("secundario").alias("tipo"))
-        .where(F.col("cnae") != "")
+    code = lambda c, kind: F.struct(c.alias("cnae"), F.lit(kind).alias("tipo"))
+    secondary = F.split(F.coalesce("cnae_fiscal_secundaria", F.lit("")), ",")
+    every = F.concat(
+        F.array(code(F.col("cnae_fiscal"), "principal")),
+        F.transform(secondary, lambda c: code(F.trim(c), "secundario")),
+    )
+    return (
+        estabelecimento.select("cnpj", F.explode(every).alias("item"))
+        .select("cnpj", "item.cnae", "item.tipo")
+        .where(F.coalesce("cnae", F.lit("")) != "")
     )
-    return main.unionByName(sec)
 
 
 def activity_hierarchy(cnae: DataFrame, classes: DataFrame) -> DataFrame:
