@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +40,19 @@ from regframe.llm import common, graph
 
 SHINGLE = 5
 #: Shingles that hold more than this share of all are ordered last; also the bound of the broadcast.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 21
 LEAST_FREQUENT = 16
 #: Shingles counted together before the rare ones are let go (counts only steer the order).
-COUNT_CHUNK = 2_000_000
-COUNT_LEAST = 3
-BITS = 2048
+COUNT_CHUNK = 8_000_000
+COUNT_LEAST = 2
+#: Bitmaps have two to four bits a shingle, a power of two between these.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 FANOUT = 16
+#: Rows of small groups that are compared together.
+POOL = 8192
 BLOCK = 2048
-PIVOTS = 2
+#: Members of a pivot that are compared in one task.
+PART = 2048
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,16 +82,28 @@ def needed(a: int, b: int) -> int:
     return -(-3 * (a + b) // 7)
 
 
+def _key(s: np.ndarray) -> int:
+    """Name of a set, as a signed 64-bit number."""
+    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
 
 
+def _fold(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of half the size: positions modulo a power of two fall together."""
+    half = len(bits) // 2
+    return bits[:half] | bits[half:]
+
+
 def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles that hold more than one in ``FREQUENT`` of all, sorted.
 
@@ -125,8 +142,8 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     sums = common.written(rows.groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "shingle-counts")
     total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     limit = max(LEAST_FREQUENT, total // FREQUENT)
-    found = [r[0] for r in sums.where(F.col("n") > limit).select("token").collect()]
-    return np.sort(np.array(found, np.int64)).view(np.uint64) if found else np.zeros(0, np.uint64)
+    found = sums.where(F.col("n") > limit).select("token").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -140,14 +157,13 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, *, doc_id: str, text: str) -> DataFrame:
-    """Per document: ``doc_id, n, key`` (of the set), ``prefix`` and token bitmap."""
+    """Per document: ``doc_id, n, key`` (of the set) and ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
     out = T.StructType(
         [
             T.StructField("n", T.LongType()),
             T.StructField("key", T.LongType()),
             T.StructField("prefix", T.ArrayType(T.LongType())),
-            T.StructField("bits", T.BinaryType()),
         ]
     )
 
@@ -156,72 +172,103 @@ def signatures(docs: DataFrame, frequent: np.ndarray, *, doc_id: str, text: str)
         heads = [_signed(prefix(s, shared.value)) for s in sets]
         ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
         flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-        keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
         return {
             "n": pa.array([len(s) for s in sets], pa.int64()),
-            "key": pa.array(_signed(keys)),
+            "key": pa.array([_key(s) for s in sets], pa.int64()),
             "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
-            "bits": pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()),
         }
 
     rows = common.map_texts(docs, fn, out, text=text, carry=[doc_id])
-    return rows.select(F.col("row").getField(doc_id).alias("doc_id"), "n", "key", "prefix", "bits")
+    return rows.select(F.col("row").getField(doc_id).alias("doc_id"), "n", "key", "prefix")
+
 
+def _texts(docs: DataFrame, reps: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """``key, packed``: the compressed text of each class in ``reps`` (rep, rep_key).
 
-def _sets(docs: DataFrame, reps: DataFrame, *, doc_id: str, text: str) -> DataFrame:
-    """``key, tokens`` of the classes whose representatives are in ``reps`` (rep, rep_key)."""
-    out = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))])
-    few = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")).join(
+    A text is a third of its hashed shingles, so it is texts that travel to be compared.
+    """
+    src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")).join(
         reps, F.col("doc_id") == F.col("rep")
     )
 
     def fn(texts: list) -> dict:
-        sets = [_signed(shingles(t)) for t in texts]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        return {"tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))}
+        pack = zstandard.ZstdCompressor(level=3)
+        return {
+            "of": pa.array([_key(shingles(t)) for t in texts], pa.int64()),
+            "packed": pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary()),
+        }
+
+    out = T.StructType([T.StructField("of", T.LongType()), T.StructField("packed", T.BinaryType())])
+    got = common.map_texts(src, fn, out, carry=["rep_key"])
+    # a row that repeats a representative's id with another text is not the class
+    got = got.where(F.col("of") == F.col("row.rep_key")).select(F.col("of").alias("key"), "packed")
+    return got.dropDuplicates(["key"])
 
-    got = common.map_texts(few, fn, out, carry=["rep_key"])
-    # rows that repeat a representative's id may hold another text: the key decides
-    return got.select(F.col("row.rep_key").alias("key"), "tokens")
 
+def _unpack(packed: bytes) -> np.ndarray:
+    return shingles(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"))
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link, compared exactly."""
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, compared exactly.
+
+    The members a of each b travel to b; a b with many members is cut into parts of
+    about ``PART`` members, each with its own copy of b. A task holds one set of b at
+    a time and streams its members past it.
+    """
     pairs = common.written(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    own = reps.join(used, F.col("rep_key") == F.col("u"), "left_semi")
-    sets = common.written(_sets(docs, own, doc_id=doc_id, text=text), "sets")
-    a = sets.select(F.col("key").alias("a_key"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("key").alias("b_key"), F.col("tokens").alias("b_tokens"))
-    both = pairs.join(a, F.col("a") == F.col("a_key")).join(b, F.col("b") == F.col("b_key"))
-    i = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    rows = both.select("a", "b", i.alias("i"), (F.size("a_tokens") + F.size("b_tokens")).alias("ab"))
-    return rows.where((F.col("i") * 100 >= (F.col("ab") - F.col("i")) * 75)).select("a", "b")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = pairs.join(sizes.withColumnRenamed("b", "s"), F.col("b") == F.col("s")).select(
+        F.col("a").alias("at"), F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member")).alias("to")
+    )
+    owners = sizes.select(F.col("b").alias("at"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        "at", F.struct("b", "part", F.lit(0).alias("member")).alias("to")
+    )
+    rows = texts.join(members.unionByName(owners), F.col("key") == F.col("at")).select("to.b", "to.part", "to.member", "key", "packed")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for b, member, key, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                s = _unpack(packed)
+                if not member:
+                    own = s
+                    continue
+                i = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * i >= 75 * (len(own) + len(s) - i):
+                    out.append((key, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"]
+            )
+
+    dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", "member")
+    return dealt.select("b", "member", "key", "packed").mapInArrow(run, schema)
 
 
 class _Level:
-    """Nodes of one level: union bitmaps, size range, tokens beyond bits, one component or -1."""
+    """Nodes of one level: union bitmaps, size range, tokens beyond bits, and labels
+    (rows of one array): a label that all leaves below share, or -1. Nodes with the
+    same label hold no pair that is asked for."""
 
-    def __init__(self, bits, low, high, excess, comp, side):
-        self.bits, self.low, self.high, self.excess, self.comp, self.side = bits, low, high, excess, comp, side
+    def __init__(self, bits, low, high, excess, labels):
+        self.bits, self.low, self.high, self.excess, self.labels = bits, low, high, excess, labels
 
     def above(self) -> _Level:
         starts = np.arange(0, len(self.low), FANOUT)
-        one = lambda v: np.where(np.minimum.reduceat(v, starts) == np.maximum.reduceat(v, starts), np.minimum.reduceat(v, starts), -1)
+        least, most = (f.reduceat(self.labels, starts, axis=1) for f in (np.minimum, np.maximum))
         return _Level(
             np.bitwise_or.reduceat(self.bits, starts, axis=0),
             np.minimum.reduceat(self.low, starts),
             np.maximum.reduceat(self.high, starts),
             np.maximum.reduceat(self.excess, starts),
-            one(self.comp),
-            one(self.side),
+            np.where(least == most, least, -1),
         )
 
     def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = (4 * self.high[a] >= 3 * self.low[b]) & (4 * self.high[b] >= 3 * self.low[a])
-        ok &= (self.comp[a] != self.comp[b]) | (self.comp[a] < 0)
-        ok &= (self.side[a] != self.side[b]) | (self.side[a] < 0)
+        ok &= ((self.labels[:, a] != self.labels[:, b]) | (self.labels[:, a] < 0)).all(0)
         k = np.flatnonzero(ok)
         overlap = np.bitwise_count(self.bits[a[k]] & self.bits[b[k]]).sum(1, dtype=np.int64)
         overlap += np.minimum(self.excess[a[k]], self.excess[b[k]])
@@ -229,32 +276,27 @@ class _Level:
         return ok
 
 
-def tree_pairs(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (i < j) of different components that may link, by walking the tree against itself.
-
-    ``side``: if given, only pairs of different sides.
-    """
+def tree_pairs(bits: np.ndarray, n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs that may link and differ in every label, by walking the tree against
+    itself. ``bits``: one bitmap a row, all of one size."""
     if len(n) < 2:
         return
-    order = np.lexsort((n, comp))
-    comp = np.unique(comp, return_inverse=True)[1]
-    side = np.arange(len(n)) if side is None else side
+    table = np.array([np.unique(x, return_inverse=True)[1] for x in labels]).reshape(len(labels), len(n))
+    order = np.lexsort((n, *table[::-1]))
     words = np.ascontiguousarray(bits[order]).view(np.uint64)
     excess = n[order] - np.bitwise_count(words).sum(1, dtype=np.int64)
-    levels = [_Level(words, n[order], n[order], excess, comp[order], side[order])]
+    levels = [_Level(words, n[order], n[order], excess, table[:, order])]
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].above())
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     kids = np.arange(FANOUT)
     while todo:
         depth, a, b = todo.pop()
-        level = levels[depth]
-        ok = level.may_link(a, b)
+        ok = levels[depth].may_link(a, b)
         if depth == 0:
             ok &= a < b
-            i, j = order[a[ok]], order[b[ok]]
-            if len(i):
-                yield np.minimum(i, j), np.maximum(i, j)
+            if ok.any():
+                yield order[a[ok]], order[b[ok]]
             continue
         a, b = a[ok], b[ok]
         below = len(levels[depth - 1].low)
@@ -266,32 +308,97 @@ def tree_pairs(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarr
             todo.append((depth - 1, x[k], y[k]))
 
 
+def group_pairs(bits: list[bytes], n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`tree_pairs` over bitmaps of several sizes: sets that link are at most a
+    third apart, so their bitmaps are of one size or of neighbouring sizes; each size is
+    walked with the next larger one folded to it."""
+    sizes = np.array([len(x) for x in bits])
+    for size in np.unique(sizes):
+        own, next_up = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        next_up = next_up[3 * n[next_up] <= 4 * n[own].max()]
+        rows = np.concatenate([own, next_up])
+        maps = [np.frombuffer(bits[i], np.uint8) for i in own] + [_fold(np.frombuffer(bits[i], np.uint8)) for i in next_up]
+        # pairs of two larger ones come with their own size: one label for all of these
+        larger = np.concatenate([1 + np.arange(len(own)), np.zeros(len(next_up), np.int64)])
+        for i, j in tree_pairs(np.array(maps), n[rows], larger, *[x[rows] for x in labels]):
+            yield rows[i], rows[j]
+
+
+def leaf_pairs(group: np.ndarray, bits: list[bytes], n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`group_pairs` for many groups of at most ``FANOUT`` rows at once: the trees
+    that are a single node. Rows of a group stand together."""
+    sizes = np.array([len(x) for x in bits])
+    for d in range(1, FANOUT):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        j = i + d
+        ok = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+        for x in labels:
+            ok &= (x[i] != x[j]) | (x[i] < 0)
+        i, j = i[ok], j[ok]
+        least = np.minimum(sizes[i], sizes[j])
+        for size in np.unique(least):
+            k = np.flatnonzero(least == size)
+            sides = []
+            for rows in (i[k], j[k]):
+                maps = [np.frombuffer(bits[r], np.uint8) for r in rows]
+                sides.append(np.array([m if len(m) == size else _fold(m) for m in maps]).view(np.uint64))
+            a, b = sides
+            count = lambda m: np.bitwise_count(m).sum(1, dtype=np.int64)
+            overlap = count(a & b) + np.minimum(n[i[k]] - count(a), n[j[k]] - count(b))
+            fits = k[overlap * 7 >= 3 * (n[i[k]] + n[j[k]])]
+            if len(fits):
+                yield i[fits], j[fits]
+
+
 def _tree_candidates(members: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, from rows ``token, x, y, key, n, comp, bits`` dealt by
     (token, x, y): block x of a group against block y of it."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-
-        def walk() -> Iterator[pa.RecordBatch]:
-            key, n, comp, block, bits = zip(*held)
-            key = np.array(key, np.int64)
-            side = np.array(block, np.int64) if name[1] != name[2] else None
-            maps = np.frombuffer(b"".join(bits), np.uint8).reshape(len(key), BITS // 8)
-            for i, j in tree_pairs(maps, np.array(n, np.int64), np.array(comp, np.int64), side):
+        held: list[tuple] = []
+        small: list[tuple] = []
+        name, number = None, 0
+
+        def batch(rows: list[tuple], pairs) -> Iterator[pa.RecordBatch]:
+            key = np.array([r[0] for r in rows], np.int64)
+            for i, j in pairs:
                 lo, hi = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
+        def columns(rows: list[tuple]) -> tuple:
+            _, n, comp, block, bits, *group = zip(*rows)
+            return bits, np.array(n, np.int64), np.array(comp, np.int64), np.array(block, np.int64), np.array(group).ravel()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            bits, n, comp, block, group = columns(small)
+            # components are any 64-bit numbers: name them from 0 on
+            yield from batch(small, leaf_pairs(group, bits, n, np.unique(comp, return_inverse=True)[1], block))
+            small.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            across = name[1] != name[2]  # block x against block y: only pairs between them
+            if len(held) <= FANOUT:
+                number += 1
+                small.extend((*r[:3], r[3] if across else -1, r[4], number) for r in held)
+                if len(small) >= POOL:
+                    yield from flush()
+            else:
+                bits, n, comp, block, _ = columns(held)
+                yield from batch(held, group_pairs(bits, n, comp, *([block] if across else [])))
+
         for b in batches:
-            for token, x, y, block, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            for token, x, y, block, key, n, comp, bits in zip(*(c.to_pylist() for c in b.columns)):
                 if (token, x, y) != name:
                     if held:
-                        yield from walk()
+                        yield from close()
                     held, name = [], (token, x, y)
-                held.append((*rest[:3], block, rest[3]))
+                held.append((key, n, comp, block, bits))
         if held:
-            yield from walk()
+            yield from close()
+        if small:
+            yield from flush()
 
     rows = members.select("token", "x", "y", "block", "key", "n", "comp", "bits")
     dealt = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
@@ -311,6 +418,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     groups = common.written(
         postings.join(shared.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi").distinct(), "groups"
     )
+    in_groups = groups.select(F.col("key").alias("g")).distinct()
+    texts = common.written(
+        _texts(docs, classes.join(in_groups, F.col("rep_key") == F.col("g"), "left_semi"), doc_id=doc_id, text=text), "class-texts"
+    )
+    maps = common.written(_bitmaps(texts), "bitmaps")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     before, turn = None, 0
@@ -322,13 +434,13 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
         left = groups.select("comp").distinct().count()
         if not left or before is not None and left > 0.9 * before:
             break  # the last pivots joined little: the trees do the rest
-        new = _verify(_star(groups, turn), docs, classes, doc_id=doc_id, text=text)
+        new = _verify(_possible(_star(groups, turn), maps), texts)
         links = common.written(new if links is None else links.unionByName(new), "links")
         labels = graph.components(links)
         groups = groups.select("token", "key", "n")
         before, turn = left, turn + 1
     if left:
-        new = _verify(_by_trees(groups, rows), docs, classes, doc_id=doc_id, text=text)
+        new = _verify(_by_trees(groups, maps), texts)
         links = new if links is None else links.unionByName(new)
         labels = graph.components(links)
     keyed = rows.select("doc_id", "n", "key")
@@ -349,21 +461,49 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _star(groups: DataFrame, turn: int) -> DataFrame:
     """Each member of a group against the group's pivot, where they are of different components."""
-    rank = F.xxhash64(F.col("key"), F.pmod("token", F.lit(PIVOTS)), F.lit(turn))
+    rank = F.xxhash64(F.col("key"), F.lit(turn))
     pivots = groups.groupBy("token").agg(F.min_by(F.struct("key", "n", "comp"), rank).alias("p")).select(F.col("token").alias("t"), "p")
     pairs = groups.join(pivots, F.col("token") == F.col("t")).where(
         "comp <> p.comp and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n"
     )
-    return pairs.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
+    return pairs.select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """``k, n, bits`` of rows (key, packed): size and token bitmap of each class."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_unpack(x) for x in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "n", "bits"])
+
+    return texts.select("key", "packed").mapInArrow(run, schema)
+
+
+def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave a link possible."""
+    two = pairs.join(maps.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("bits").alias("ba")), F.col("a") == F.col("ka"))
+    two = two.join(maps.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("bits").alias("bb")), F.col("b") == F.col("kb"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (a, b)
+                for a, b, na, nb, ba, bb in zip(*(c.to_pylist() for c in batch.columns))
+                if next(group_pairs([ba, bb], np.array([na, nb])), None) is not None
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return two.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, schema)
 
 
-def _by_trees(groups: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_trees(groups: DataFrame, maps: DataFrame) -> DataFrame:
     """Candidate pairs of the groups (token, key, n, comp, g) by signature trees."""
-    maps = rows.select(F.col("key").alias("k"), "bits").join(
-        groups.select(F.col("key").alias("u")).distinct(), F.col("k") == F.col("u"), "left_semi"
-    ).dropDuplicates(["k"])
     n_blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     cut = groups.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    return _tree_candidates(cut.join(maps, F.col("key") == F.col("k")))
+    return _tree_candidates(cut.join(maps.select("k", "bits"), F.col("key") == F.col("k")))
