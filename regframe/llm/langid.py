@@ -87,11 +87,12 @@ def sample(docs: DataFrame, *, doc_id: str, text: str, lang: str, per_lang: int)
     known = docs.select(
         docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"), docs[f"`{lang}`"].cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    share = known.groupBy("lang").agg((F.lit(per_lang * 1.0) / F.count("*")).alias("share")).select(
-        F.col("lang").alias("s_lang"), "share"
-    )
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    rows = known.join(share, F.col("lang") == F.col("s_lang")).where(picked)
+    # One count per label comes back (the labels are what the model holds anyway), so the
+    # sample is a filter of the scan: no text is moved to find it.
+    share = F.lit(0.0)
+    for r in known.groupBy("lang").count().collect():
+        share = F.when(F.col("lang") == r["lang"], F.lit(per_lang / r["count"])).otherwise(share)
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     out = T.StructType([T.StructField("profile", T.ArrayType(T.FloatType()))])
 
     def fn(texts: list) -> dict:
