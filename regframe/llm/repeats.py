@@ -18,9 +18,10 @@ context). Contexts found twice are repeats as a whole; an anchor with one contex
 needs no more.
 
 *Order.* Where one anchor has several contexts, one copy of each context is brought
-together and their windows are put into suffix order; neighbours that agree in
-``LENGTH`` bytes are repeats. An anchor with more than ``ORDERED`` contexts would be a
-hot group: its windows are counted by their 128-bit hash instead, which spreads them.
+together and their windows are put into suffix order (by their first eight bytes,
+equal beginnings by a 128-bit hash of the window); equal neighbours are repeats. An
+anchor with more than ``ORDERED`` contexts would be a hot group: its windows are
+counted by their 128-bit hash instead, which spreads them.
 
 So a corpus-wide suffix array is built only over one copy of each context whose
 anchor is ambiguous; nothing is put in order that the dictionary or the parse decides.
@@ -51,6 +52,8 @@ GRAM = 16
 SPAN = 88
 #: Contexts of one parse that are ordered in one task; beyond, windows are counted by hash.
 ORDERED = 2048
+#: Context bytes that are ordered at a time (and at least one whole anchor).
+ORDERED_BYTES = 1_000_000
 
 #: A window of LENGTH bytes holds this many runs of SPAN positions; over SPAN of them, so two triggers.
 assert LENGTH - GRAM + 1 - SPAN + 1 > SPAN
@@ -239,36 +242,36 @@ def _with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def order_windows(contexts: list[bytes], many: list[bool]) -> list[np.ndarray]:
-    """For each context, the windows in it that another context (or, if it is found
-    ``many`` times, another copy) holds too: by suffix order of all windows."""
+def order_windows(contexts: list[bytes], many: list[bool], anchors: list[int]) -> list[np.ndarray]:
+    """For each context, the windows in it that another context of its anchor (or, if it
+    is found ``many`` times, another copy) holds too.
+
+    All windows are put into suffix order within their anchor: by their first eight
+    bytes, equal beginnings by two hashes of the window, so that equal windows are
+    neighbours.
+    """
     sizes = np.array([len(c) - LENGTH + 1 for c in contexts])
+    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(contexts)), sizes)
-    offset = np.concatenate([np.arange(n) for n in sizes])
+    offset = np.arange(ends[-1]) - (ends - sizes)[owner]
     base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
     flat = np.frombuffer(b"".join(contexts), np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
-    weight = np.where(many, 2, 1)[owner]
-    # big-endian 8-byte words compare as the bytes do; the first word that differs decides
-    index = base[owner] + offset
-    order = np.arange(len(owner))
-    group = np.zeros(len(owner), np.int64)
-    for k in range(0, LENGTH, 8):
-        word = np.ascontiguousarray(rows[index, k : k + 8]).view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((word, group))
-        g, w = group[order], word[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-        group = np.empty_like(group)
-        group[order] = np.cumsum(new) - 1
-        if new.all():
-            break
-    total = np.bincount(group, weights=weight)
-    hit = total[group] > 1
-    ends = np.cumsum(sizes)
+    at = base[owner] + offset
+    hashes = Hashes(flat)
+    head = np.lib.stride_tricks.sliding_window_view(flat, 8)[at].view(">u8").ravel().astype(np.uint64)
+    keys = (hashes.of(at, at + LENGTH, 1), hashes.of(at, at + LENGTH), head, np.array(anchors, np.int64)[owner])
+    order = np.lexsort(keys)
+    differs = np.zeros(len(at), bool)
+    differs[0] = True
+    for k in keys:
+        k = k[order]
+        differs[1:] |= k[1:] != k[:-1]
+    group = np.empty(len(at), np.int64)
+    group[order] = np.cumsum(differs) - 1
+    hit = np.bincount(group, weights=np.where(many, 2, 1)[owner])[group] > 1
     return [offset[s:e][hit[s:e]] for s, e in zip(ends - sizes, ends)]
 
 
-assert LENGTH % 8 == 0
 _HITS = T.StructType(
     [T.StructField("q", T.LongType()), T.StructField("c", T.LongType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]
 )
@@ -279,21 +282,22 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        name = None
+        size = 0
 
         def solve() -> pa.RecordBatch:
-            hits = order_windows([h[2] for h in held], [h[1] for h in held])
-            out = [(name, h[0], x.tolist()) for h, x in zip(held, hits) if not h[1] and len(x)]
+            hits = order_windows([h[3] for h in held], [h[2] for h in held], [h[0] for h in held])
+            out = [(h[0], h[1], x.tolist()) for h, x in zip(held, hits) if not h[2] and len(x)]
             arrow = common.to_arrow_schema(_HITS)
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], arrow[k].type) for k in range(3)], names=arrow.names)
 
         for b in batches:
-            for q, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                if q != name:
-                    if held:
-                        yield solve()
-                    held, name = [], q
-                held.append(tuple(rest))
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                # whole anchors are ordered together, many small ones at a time
+                if size >= ORDERED_BYTES and row[0] != held[-1][0]:
+                    yield solve()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
         if held:
             yield solve()
 
