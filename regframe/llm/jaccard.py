@@ -2,14 +2,14 @@
 
 Equal sets are one class. Candidates come from prefix filtering, which is exact for
 any one order of the shingles: two sets that link share a shingle among the first
-``n - ceil(3n/4) + 1`` of each. The order puts frequent shingles last (those that
-hold more than one in ``FREQUENT`` of all, so at most that many are broadcast), then
-goes by hash. It only decides how many candidates there are, never which links.
+``n - ceil(3n/4) + 1`` of each. The order puts frequent shingles last (at most
+``FREQUENT`` of them, which bounds the broadcast), then goes by hash. It only decides
+how many candidates there are, never which links.
 
 A group of classes that share a prefix shingle is first checked against a pivot of
 the group (linear in its size), round after round with another pivot, as long as
-that joins components. Groups that still hold two components or more go to
-signature trees: classes are leaves, nodes hold the union of the token bitmaps, the
+at least ``WORTH`` of the pairs compared are links. Groups that still hold two
+components or more go to signature trees: classes are leaves, nodes hold the union of the token bitmaps, the
 size range and the component below them, and the tree is walked against itself.
 A node pair is dropped if the sizes cannot match, if both hold one and the same
 component, or if the greatest possible overlap (bits in common plus the tokens that
@@ -21,7 +21,9 @@ two sets of one component need no further link between them.
 
 Defined cases: a document without words has an empty set, no links, and is its own
 component; fewer than five words are one shingle; equal texts are one class; a null
-doc_id is ignored when the smallest id of a component is taken; no rows give no rows.
+doc_id is ignored when the smallest id of a component is taken, and a class of which
+every id is null links with nothing (number the rows first: ``common.numbered``); rows
+that repeat an id count as documents of their own; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ from pyspark.sql import types as T
 from regframe.llm import common, graph
 
 SHINGLE = 5
-#: Shingles that hold more than this share of all are ordered last; also the bound of the broadcast.
+#: At most so many shingles are ordered last (the bound of the broadcast, 8 bytes each):
+#: those found more than ``LEAST_FREQUENT`` times, of too many the most frequent.
 FREQUENT = 1 << 21
-LEAST_FREQUENT = 16
+LEAST_FREQUENT = 4
 #: Shingles counted together before the rare ones are let go (counts only steer the order).
 COUNT_CHUNK = 8_000_000
 COUNT_LEAST = 2
@@ -53,6 +56,8 @@ POOL = 8192
 BLOCK = 2048
 #: Members of a pivot that are compared in one task.
 PART = 2048
+#: Another round of pivots is made while at least this share of the pairs compared link.
+WORTH = 0.1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -105,13 +110,13 @@ def _fold(bits: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles that hold more than one in ``FREQUENT`` of all, sorted.
+    """The most frequent shingles, at most ``FREQUENT``, sorted.
 
     Each task counts chunks and lets go what a chunk holds fewer than ``COUNT_LEAST``
     times; the sums by shingle are exact enough to order by.
     """
     common.short_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType())])
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +126,7 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             t, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= COUNT_LEAST
-            tokens = np.append(_signed(t[keep]), 0)
-            counts = np.append(n[keep], 0)
-            total = np.zeros(len(tokens), np.int64)
-            total[-1] = size  # the last row only carries the number of shingles
-            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts), pa.array(total)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(t[keep])), pa.array(n[keep])], names=names)
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -139,9 +140,16 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
             yield flush()
 
     rows = docs.select(docs[f"`{text}`"].cast("string").alias("text")).mapInArrow(run, schema)
-    sums = common.written(rows.groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "shingle-counts")
-    total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    limit = max(LEAST_FREQUENT, total // FREQUENT)
+    sums = common.written(rows.groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
+    # how many shingles have each order of magnitude of counts, in steps of a quarter
+    step = F.floor(F.log2("n") * 4).cast("int")
+    steps = sorted(sums.where(F.col("n") > LEAST_FREQUENT).groupBy(step.alias("step")).count().collect(), reverse=True)
+    limit, room = float(LEAST_FREQUENT), FREQUENT
+    for r in steps:
+        room -= r["count"]
+        if room < 0:
+            limit = max(limit, 2 ** ((r["step"] + 1) / 4) - 1e-6)
+            break
     found = sums.where(F.col("n") > limit).select("token").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
@@ -425,20 +433,22 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     maps = common.written(_bitmaps(texts), "bitmaps")
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    before, turn = None, 0
+    turn, worth = 0, True
     while True:
         members = groups.withColumn("comp", F.col("key")) if labels is None else _labelled(groups, labels)
         mixed = members.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g")).where("c0 <> c1")
         members = members.join(mixed.select(F.col("token").alias("t"), "g"), F.col("token") == F.col("t")).drop("t")
         groups = common.written(members, "groups")
-        left = groups.select("comp").distinct().count()
-        if not left or before is not None and left > 0.9 * before:
+        left = not groups.isEmpty()
+        if not left or not worth:
             break  # the last pivots joined little: the trees do the rest
-        new = _verify(_possible(_star(groups, turn), maps), texts)
-        links = common.written(new if links is None else links.unionByName(new), "links")
+        pairs = common.written(_possible(_star(groups, turn), maps), "pivots")
+        new = common.written(_verify(pairs, texts), "links")
+        worth = new.count() > WORTH * pairs.count()
+        links = new if links is None else common.written(links.unionByName(new), "links")
         labels = graph.components(links)
         groups = groups.select("token", "key", "n")
-        before, turn = left, turn + 1
+        turn += 1
     if left:
         new = _verify(_by_trees(groups, maps), texts)
         links = new if links is None else links.unionByName(new)
