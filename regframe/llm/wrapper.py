@@ -75,12 +75,13 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    """A block element: label (tag and the names that matter), kids and own text slots."""
+    """A block element: label (tag and the names that matter, "!" before boilerplate), kids and own text slots."""
 
-    __slots__ = ("label", "kids", "bad", "text", "links")
+    __slots__ = ("label", "tag", "kids", "bad", "text", "links")
 
-    def __init__(self, label: str, bad: bool = False):
-        self.label, self.bad = label, bad
+    def __init__(self, tag: str, names: str = "", bad: bool = False):
+        # the flag is part of the label: boilerplate is never aligned or folded with what is none
+        self.label, self.tag, self.bad = ("!" if bad else "") + f"{tag} {names}".strip(), tag, bad
         self.kids: list[Node] = []
         self.text, self.links = "", 0  # of slots (label "#")
 
@@ -140,18 +141,18 @@ def parse(page: str) -> Node:
         in_link = 0
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].label.split(" ", 1)[0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
         while len(stack) > 1:
-            top = stack[-1].label.split(" ", 1)[0]
+            top = stack[-1].tag
             if top == "p" or top in CLOSED_BY.get(tag, ()):
                 stack.pop()
             else:
                 break
         names, bad, hidden = _names(m[4]) if m[4] else ("", False, False)
-        node = Node(f"{tag} {names}".strip(), bad or hidden or tag in BOILER_TAGS)
+        node = Node(tag, names, bad or hidden or tag in BOILER_TAGS)
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
@@ -236,7 +237,7 @@ def _align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
 
 def merge(a: dict, b: dict, *, repeat: bool = False) -> dict:
     """One wrapper for both: of two pages, or (``repeat``) of two neighbours on one."""
-    w = {"l": a["l"], "b": a["b"] or b["b"], "o": a["o"] or b["o"], "r": a["r"] or b["r"] or repeat}
+    w = {"l": a["l"], "b": a["b"], "o": a["o"] or b["o"], "r": a["r"] or b["r"] or repeat}
     w["n"] = max(a["n"], b["n"]) if repeat else a["n"] + b["n"]
     if a["l"] == "#":
         return w | {"c": a["c"] + b["c"], "a": a["a"] + b["a"], "t": a["t"] if a["t"] == b["t"] else None}

@@ -94,3 +94,21 @@ def test_wrapper_accepts_all_pages(order):
     w = wrapper.choose(w)
     for t, p in zip(trees, pages):
         assert wrapper.blocks(t, w) == wrapper.blocks(t, wrapper.choose(wrapper.learn(t))), p
+
+
+def of_host(pages):
+    """Texts of the pages of one host, without Spark."""
+    trees = [wrapper.learn(wrapper.parse(p)) for p in pages]
+    w = trees[0]
+    for t in trees[1:]:
+        w = wrapper.merge(w, t)
+    w = wrapper.choose(w)
+    return [wrapper.main_text(p, w) for p in pages]
+
+
+@pytest.mark.parametrize("tag", ["<p hidden>", "<p role=alert>"])
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_flagged_node_does_not_flag_its_like(tag, at):
+    pages = [f"<article><h1>T{i}</h1>{tag + 'note</p>' if i == at else ''}<p>text {i}</p><p>more</p></article>" for i in range(3)]
+    assert of_host(pages) == [f"T{i}\n\ntext {i}\n\nmore" for i in range(3)]
+    assert of_host(pages[at : at + 1]) == [f"T{at}\n\ntext {at}\n\nmore"]
