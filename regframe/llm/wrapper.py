@@ -10,7 +10,9 @@ much of it in links, they hold and whether it is the same on every page.
 The wrapper tells which slots are the article: inside ``article`` or ``main`` where
 the host has one, else inside the deepest node that holds most of the free text;
 never inside menus, headers, footers, sidebars, notices, adverts, forms or comments
-(by tag, role, or a word of class or id), and outside ``article`` and ``main`` never
+(by tag, role, or a word of class or id, unless the node so named holds most of the
+page's free text; ``html``, ``body``, ``main`` and ``article`` are flagged by no word),
+and outside ``article`` and ``main`` never
 a text that stays the same from page to page while others change.
 
 Every task merges its pages into one wrapper per host (streaming; what leaves the
@@ -54,6 +56,10 @@ BOILER_WORDS = frozenset(
     "commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe signup login "
     "popup modal overlay pagination pager toolbar widget".split()
 )
+#: Words of comments, which may hold more text than the article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Elements that no word of class or id flags.
+CONTENT_TAGS = frozenset("html body main article".split())
 #: Start tags that close an open element: <p> before any block, and an item before the next.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -69,7 +75,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<[/!?a-zA-Z][^<>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute, in sequence: a whole name and its value, so that nothing inside a value is read as a name.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -77,28 +84,59 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """A block element: label (tag and the names that matter, "!" before boilerplate), kids and own text slots."""
 
-    __slots__ = ("label", "tag", "kids", "bad", "text", "links")
+    __slots__ = ("tag", "names", "kids", "bad", "why", "text", "links")
 
-    def __init__(self, tag: str, names: str = "", bad: bool = False):
-        # the flag is part of the label: boilerplate is never aligned or folded with what is none
-        self.label, self.tag, self.bad = ("!" if bad else "") + f"{tag} {names}".strip(), tag, bad
+    def __init__(self, tag: str, names: str = "", bad: bool = False, why: str = ""):
+        self.tag, self.names, self.bad = tag, names, bad
+        self.why = why  # what flags the node, where the page's text may overrule it: "word", "comment", "form"
         self.kids: list[Node] = []
         self.text, self.links = "", 0  # of slots (label "#")
 
+    @property
+    def label(self) -> str:
+        # the flag is part of the label: boilerplate is never aligned or folded with what is none
+        return ("!" if self.bad else "") + f"{self.tag} {self.names}".strip()
+
 
-def _names(attrs: str) -> tuple[str, bool, bool]:
-    """Class and id as written, whether they name boilerplate, whether hidden."""
-    names, bad, hidden = [], False, False
+def _names(attrs: str) -> tuple[str, str]:
+    """Class and id as written, and what flags boilerplate: "", "sure" (role, hidden), "comment" or "word"."""
+    found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("hidden", "aria-hidden"):
-            hidden |= key == "hidden" and value.lower() != "false"
-        elif key == "role":
-            bad |= value.lower() in BOILER_ROLES
-        else:
-            names.append(value)
-            bad |= any(w.lower() in BOILER_WORDS for w in _WORDS.findall(value))
-    return " ".join(names), bad, hidden
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)  # the first of a name counts
+    names = [v for k, v in found.items() if k in ("class", "id")]
+    if "hidden" in found and found["hidden"].lower() != "false" or found.get("role", "").strip().lower() in BOILER_ROLES:
+        return " ".join(names), "sure"
+    words = {w.lower() for v in names for w in _WORDS.findall(v)} & BOILER_WORDS
+    return " ".join(names), "comment" if words & COMMENT_WORDS else "word" if words else ""
+
+
+def _relax(root: Node) -> None:
+    """Lift flags that the page's text speaks against: a class or id word on a node with
+    most of the free text; for comments (which may be longer than the article) and forms,
+    only where they hold the title or hardly anything is left outside."""
+    free: dict[Node, int] = {}
+    title: set[Node] = set()
+
+    def measure(n: Node) -> None:
+        free[n] = max(0, len(n.text) - 2 * n.links)
+        for k in n.kids:
+            measure(k)
+            free[n] += free[k]
+            if k.tag in ("h1", "main") or k in title:
+                title.add(n)
+
+    def lift(n: Node) -> None:
+        for k in n.kids:
+            if 2 * free[k] <= free[root]:
+                continue
+            if k.why == "word" or k.why and (k in title or 10 * free[k] >= 9 * free[root]):
+                k.bad = False
+            if not k.bad:
+                lift(k)
+
+    measure(root)
+    lift(root)
 
 
 def parse(page: str) -> Node:
@@ -151,13 +189,18 @@ def parse(page: str) -> Node:
                 stack.pop()
             else:
                 break
-        names, bad, hidden = _names(m[4]) if m[4] else ("", False, False)
-        node = Node(tag, names, bad or hidden or tag in BOILER_TAGS)
+        names, why = _names(m[4]) if m[4] else ("", "")
+        if tag in CONTENT_TAGS and why in ("word", "comment"):
+            why = ""  # a class word says how such an element looks, not what it is
+        if tag in BOILER_TAGS and why != "sure":
+            why = "form" if tag in ("form", "fieldset") else "sure"
+        node = Node(tag, names, bool(why), "" if why == "sure" else why)
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     buf.append(page[at:])
     flush()
+    _relax(root)
     return root
 
 
@@ -316,9 +359,10 @@ def blocks(node: Node, w: dict) -> list[str] | None:
         flat = [k for x in w["k"] for k in (x["k"] if x["l"] == "()" else [x])]
         at = 0
         for kid in n.kids:
-            hit = next((i for i in range(at, len(flat)) if flat[i]["l"] == kid.label), None)
+            label = kid.label
+            hit = next((i for i in range(at, len(flat)) if flat[i]["l"] == label), None)
             if hit is None:
-                hit = next((i for i in range(at) if flat[i]["l"] == kid.label), None)
+                hit = next((i for i in range(at) if flat[i]["l"] == label), None)
             if hit is None or not step(kid, flat[hit]):
                 return False
             at = hit

@@ -112,3 +112,34 @@ def test_flagged_node_does_not_flag_its_like(tag, at):
     pages = [f"<article><h1>T{i}</h1>{tag + 'note</p>' if i == at else ''}<p>text {i}</p><p>more</p></article>" for i in range(3)]
     assert of_host(pages) == [f"T{i}\n\ntext {i}\n\nmore" for i in range(3)]
     assert of_host(pages[at : at + 1]) == [f"T{at}\n\ntext {at}\n\nmore"]
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'>{}</body>",
+    "<body><main class='content with-sidebar'>{}</main></body>",
+    "<body><article class='post comments-open' id='related'>{}</article></body>",
+    "<body><div class='page has-sidebar'>{}</div><div class=sidebar><p>Side</p></div></body>",
+    "<body><div class='post comments-open'><h1>T{}</div><div id=comments><p>first!</p></div></body>",
+    "<form id=aspnetForm><div class=wrap>{}</div></form>",
+    "<article style=\"overflow:hidden\">{}</article>",
+    "<article><div title='hidden gems' data-id=\"comments-3\" data-role=banner>{}</div></article>",
+    "<article><div title=hidden data-x='class=ad'>{}</div></article>",
+])
+def test_loose_names_do_not_flag_the_article(page):
+    titled = "<h1>" in page
+    for n in (1, 3):
+        heads = [f"{i}</h1>" if titled else "" for i in range(n)]
+        pages = [page.format(f"{h}<p>The first paragraph, number {i}.</p><p>The second paragraph.</p>") for i, h in enumerate(heads)]
+        want = [f"The first paragraph, number {i}.\n\nThe second paragraph." for i in range(n)]
+        assert of_host(pages) == [f"T{i}\n\n{x}" if titled else x for i, x in enumerate(want)], page
+
+
+def test_misread_attribute_beside_longer_text():
+    part = "<p style='visibility:hidden'>a</p><p title='hidden gems'>b</p><p data-id='comments-3'>c</p>"
+    assert of_host([f"<article>{part}<p>{'long ' * 9}</p></article>"]) == ["a\n\nb\n\nc\n\n" + ("long " * 9).strip()]
+
+
+def test_long_comments_and_hidden_text_stay_out():
+    page = "<h1>T</h1><p>short news of the day</p>{}"
+    for other in ("<div id=comments><p>" + "much talk " * 9 + "</p></div>", "<div hidden><p>" + "unseen " * 30 + "</p></div>"):
+        assert of_host([f"<article>{page.format(other)}</article>"]) == ["T\n\nshort news of the day"]
