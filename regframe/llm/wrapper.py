@@ -7,8 +7,9 @@ children that differ become optional, neighbours that repeat become one repeated
 node or a repeated group, and texts become slots that know how much text, and how
 much of it in links, they hold and whether it is the same on every page.
 
-The wrapper tells which slots are the article: inside ``article`` or ``main`` where
-the host has one, else inside the deepest node that holds most of the free text;
+The wrapper tells which slots are the article: inside the outermost ``article``
+and ``main`` where the host has one (without those inside that hold less free text than
+the outer one's own: comments and teasers), else inside the deepest node that holds most of the free text;
 never inside menus, headers, footers, sidebars, notices, adverts, forms or comments
 (by tag, role, or a word of class or id, unless the node so named holds most of the
 page's free text; ``html``, ``body``, ``main`` and ``article`` are flagged by no word),
@@ -60,6 +61,7 @@ BOILER_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Elements that no word of class or id flags.
 CONTENT_TAGS = frozenset("html body main article".split())
+AREAS = frozenset(("article", "main"))
 #: Start tags that close an open element: <p> before any block, and an item before the next.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -84,18 +86,19 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """A block element: label (tag and the names that matter, "!" before boilerplate), kids and own text slots."""
 
-    __slots__ = ("tag", "names", "kids", "bad", "why", "text", "links")
+    __slots__ = ("tag", "names", "kids", "bad", "why", "minor", "text", "links")
 
     def __init__(self, tag: str, names: str = "", bad: bool = False, why: str = ""):
         self.tag, self.names, self.bad = tag, names, bad
         self.why = why  # what flags the node, where the page's text may overrule it: "word", "comment", "form"
+        self.minor = False  # an article inside another one's text: a comment or a teaser
         self.kids: list[Node] = []
         self.text, self.links = "", 0  # of slots (label "#")
 
     @property
     def label(self) -> str:
         # the flag is part of the label: boilerplate is never aligned or folded with what is none
-        return ("!" if self.bad else "") + f"{self.tag} {self.names}".strip()
+        return ("!" if self.bad else "?" if self.minor else "") + f"{self.tag} {self.names}".strip()
 
 
 def _names(attrs: str) -> tuple[str, str]:
@@ -139,6 +142,33 @@ def _relax(root: Node) -> None:
     lift(root)
 
 
+def _rank(root: Node) -> None:
+    """Tell an ``article`` or ``main`` inside another that is a comment or a teaser there:
+    it holds less free text than the outer one has outside of those inside it."""
+
+    def free(n: Node, inner: list[Node]) -> int:
+        got = max(0, len(n.text) - 2 * n.links)
+        for k in n.kids:
+            if k.tag in AREAS and not k.bad:
+                inner.append(k)
+            elif not k.bad:
+                got += free(k, inner)
+        return got
+
+    def judge(area: Node) -> int:
+        inner: list[Node] = []
+        own = free(area, inner)
+        sizes = [judge(k) for k in inner]
+        for k, size in zip(inner, sizes):
+            k.minor = size < own
+        return own + sum(sizes)
+
+    outer: list[Node] = []
+    free(root, outer)
+    for area in outer:
+        judge(area)
+
+
 def parse(page: str) -> Node:
     """The tree of blocks and text slots of a page."""
     root = Node("")
@@ -201,18 +231,19 @@ def parse(page: str) -> Node:
     buf.append(page[at:])
     flush()
     _relax(root)
+    _rank(root)
     return root
 
 
 # --- wrappers -------------------------------------------------------------------
-# A wrapper node is a dict: l label, k kids, b boilerplate, o optional, r repeated,
+# A wrapper node is a dict: l label, k kids, b boilerplate (or comment or teaser), o optional, r repeated,
 # n pages, and for slots c characters, a characters in links, t the text if it was
 # the same so far (None once it changed). Label "()" is a repeated group.
 
 
 def learn(node: Node) -> dict:
     """A page's tree as a wrapper, repeats folded."""
-    w = {"l": node.label, "b": node.bad, "o": False, "r": False, "n": 1}
+    w = {"l": node.label, "b": node.bad or node.minor, "o": False, "r": False, "n": 1}
     if node.label == "#":
         t = node.text
         return w | {"c": len(t), "a": node.links, "t": t if len(t) <= 200 else t[:200] + str(len(t))}
@@ -299,21 +330,20 @@ def choose(w: dict) -> dict:
     """Mark the slots of the article (``m``) in a host's wrapper."""
     areas: list[dict] = []
 
-    def walk(n: dict, bad: bool) -> tuple[int, bool]:
-        """Free text below (outside links and boilerplate) and whether an article is."""
-        bad = bad or n["b"]
+    def walk(n: dict, out: bool) -> int:
+        """Free text below (outside links and boilerplate); ``out``: in boilerplate or an area."""
         if n["l"] == "#":
-            n["f"] = 0 if bad else max(0, n["c"] - 2 * n["a"])
-            return n["f"], False
-        got = [walk(k, bad) for k in n["k"]]
-        n["f"] = sum(g[0] for g in got)
-        is_area = not bad and n["l"].split(" ", 1)[0] in ("article", "main") and n["f"] > 0
-        inner = any(g[1] for g in got)
-        if is_area and not inner:
+            n["f"] = max(0, n["c"] - 2 * n["a"])
+            return n["f"]
+        is_area = not n["b"] and n["l"].split(" ", 1)[0] in AREAS
+        n["f"] = sum([walk(k, out or n["b"] or is_area) for k in n["k"]])
+        if n["b"]:
+            n["f"] = 0
+        if is_area and not out and n["f"] > 0:
             areas.append(n)
-        return n["f"], is_area or inner
+        return n["f"]
 
-    total, _ = walk(w, False)
+    total = walk(w, False)
     changing = _changes(w)
     if not areas:
         best = w
@@ -326,10 +356,8 @@ def choose(w: dict) -> dict:
         areas.append(best)
         _mark(best, changing)
     else:
-        most = max(a["f"] for a in areas)
         for a in areas:
-            if a["r"] or 10 * a["f"] >= most:
-                _mark(a, False)
+            _mark(a, False)
     return w
 
 

@@ -143,3 +143,22 @@ def test_long_comments_and_hidden_text_stay_out():
     page = "<h1>T</h1><p>short news of the day</p>{}"
     for other in ("<div id=comments><p>" + "much talk " * 9 + "</p></div>", "<div hidden><p>" + "unseen " * 30 + "</p></div>"):
         assert of_host([f"<article>{page.format(other)}</article>"]) == ["T\n\nshort news of the day"]
+
+
+def test_outermost_article_without_comments_and_teasers():
+    def check(page, want):
+        for n in (1, 3):
+            assert of_host([page.replace("@", str(i)) for i in range(n)]) == [want.replace("@", str(i)) for i in range(n)], page
+
+    check("<main>body text @, with a teaser<article>teaser</article></main>", "body text @, with a teaser")
+    check("<article>body text @, long enough<section><article>a comment</article><article>another</article></section></article>", "body text @, long enough")
+    check("<main><h1>T@</h1><article><p>the body of the page</p></article></main>", "T@\n\nthe body of the page")
+    check("<main><article><p>one whole post</p></article><article><p>another whole post</p></article></main>", "one whole post\n\nanother whole post")
+    check("<main><h1>T@</h1><article>the body of the page<article>reader</article></article></main>", "T@\n\nthe body of the page")
+    check(f"<article class=lead><p>lead @</p></article><article class=long><p>{'x' * 500}</p></article>", f"lead @\n\n{'x' * 500}")
+
+
+def test_teasers_of_other_pages_cost_no_article():
+    index = "<main><p>what this site is about, at some length</p><article>teaser @</article></main>"
+    pages = [index.replace("@", str(i)) for i in range(5)] + ["<main><h1>T</h1><article>the only whole post</article></main>"]
+    assert of_host(pages) == ["what this site is about, at some length"] * 5 + ["T\n\nthe only whole post"]
