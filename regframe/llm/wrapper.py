@@ -62,12 +62,16 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply rep
 #: Elements that no word of class or id flags.
 CONTENT_TAGS = frozenset("html body main article".split())
 AREAS = frozenset(("article", "main"))
+#: Containers, whose ids name parts of the template.
+ID_TAGS = frozenset("div section table td ul".split())
 #: Start tags that close an open element: <p> before any block, and an item before the next.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 SALTS = 32
+#: A wrapper node with more kids becomes a bag: its kids, told apart by tag and flag only, in any order.
+WIDTH = 100
 #: Elements nested deeper are not opened: their texts are slots of the element around.
 DEPTH = 150
 FREE_SHARE = 0.6
@@ -79,7 +83,14 @@ _TOKEN = re.compile(
 )
 #: One attribute, in sequence: a whole name and its value, so that nothing inside a value is read as a name.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_DIGITS = re.compile(r"[0-9].*")
 _SPACE = re.compile(r"\s+")
+#: Tags of HTML, and text slots; tags of a page's own making may be any number.
+_KNOWN = re.compile(
+    r"[!?]?(?:#|html|body|head|main|article|section|nav|aside|header|footer|div|p|h[1-6r]|ul|ol|li|dl|dt|dd|pre|blockquote|figure|"
+    r"figcaption|address|hgroup|search|table|caption|colgroup|col|thead|tbody|tfoot|tr|td|th|form|fieldset|legend|details|summary|"
+    r"dialog|menu|center|button|input|output|progress|meter|optgroup|link|meta|base|area|map|embed|param|track|frame|frameset)"
+)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -101,17 +112,24 @@ class Node:
         return ("!" if self.bad else "?" if self.minor else "") + f"{self.tag} {self.names}".strip()
 
 
-def _names(attrs: str) -> tuple[str, str]:
-    """Class and id as written, and what flags boilerplate: "", "sure" (role, hidden), "comment" or "word"."""
+def _stable(tag: str, found: dict[str, str]) -> str:
+    """Words of class, and the id of a container, for the label: from a word's first digit
+    on a placeholder stands. Other ids (of posts, headings, paragraphs) are a page's own."""
+    words = found.get("class", "").split() + (found.get("id", "").split() if tag in ID_TAGS else [])
+    return " ".join(dict.fromkeys(_DIGITS.sub("#", w) for w in words))
+
+
+def _names(tag: str, attrs: str) -> tuple[str, str]:
+    """Class and id without what varies by page, and what flags boilerplate: "", "sure" (role, hidden), "comment" or "word"."""
     found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
         value = m[2] or ""
         found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)  # the first of a name counts
     names = [v for k, v in found.items() if k in ("class", "id")]
     if "hidden" in found and found["hidden"].lower() != "false" or found.get("role", "").strip().lower() in BOILER_ROLES:
-        return " ".join(names), "sure"
+        return _stable(tag, found), "sure"
     words = {w.lower() for v in names for w in _WORDS.findall(v)} & BOILER_WORDS
-    return " ".join(names), "comment" if words & COMMENT_WORDS else "word" if words else ""
+    return _stable(tag, found), "comment" if words & COMMENT_WORDS else "word" if words else ""
 
 
 def _relax(root: Node) -> None:
@@ -219,7 +237,7 @@ def parse(page: str) -> Node:
                 stack.pop()
             else:
                 break
-        names, why = _names(m[4]) if m[4] else ("", "")
+        names, why = _names(tag, m[4]) if m[4] else ("", "")
         if tag in CONTENT_TAGS and why in ("word", "comment"):
             why = ""  # a class word says how such an element looks, not what it is
         if tag in BOILER_TAGS and why != "sure":
@@ -238,7 +256,7 @@ def parse(page: str) -> Node:
 # --- wrappers -------------------------------------------------------------------
 # A wrapper node is a dict: l label, k kids, b boilerplate (or comment or teaser), o optional, r repeated,
 # n pages, and for slots c characters, a characters in links, t the text if it was
-# the same so far (None once it changed). Label "()" is a repeated group.
+# the same so far (None once it changed). Label "()" is a repeated group, g marks a bag.
 
 
 def learn(node: Node) -> dict:
@@ -247,7 +265,32 @@ def learn(node: Node) -> dict:
     if node.label == "#":
         t = node.text
         return w | {"c": len(t), "a": node.links, "t": t if len(t) <= 200 else t[:200] + str(len(t))}
-    w["k"] = fold([learn(k) for k in node.kids])
+    return _narrow(w, [learn(k) for k in node.kids])
+
+
+def _plain(label: str) -> str:
+    """A label's flag and tag, the only thing kids of a bag are told apart by; unknown tags are alike."""
+    tag = label.split(" ", 1)[0]
+    return tag if _KNOWN.fullmatch(tag) else (tag[0] if tag[0] in "!?" else "") + "unknown"
+
+
+def _flat(kids: list[dict]) -> list[dict]:
+    """The kids with groups opened."""
+    return [x for k in kids for x in (_flat(k["k"]) if k["l"] == "()" else [k])]
+
+
+def _narrow(w: dict, kids: list[dict]) -> dict:
+    """``w`` with these kids, folded; as a bag if they are many or ``w`` is one already."""
+    if not w.get("g"):
+        kids = fold(kids)
+        if w["l"] == "()" or len(_flat(kids)) <= WIDTH:
+            w["k"] = kids
+            return w
+    bag: dict[str, dict] = {}
+    for x in _flat(kids):
+        x = x | {"l": _plain(x["l"]), "o": True, "r": x["l"] != "#"}
+        bag[x["l"]] = merge(bag[x["l"]], x, repeat=True) if x["l"] in bag else x
+    w["k"], w["g"] = [bag[x] for x in sorted(bag)], True
     return w
 
 
@@ -316,14 +359,15 @@ def merge(a: dict, b: dict, *, repeat: bool = False) -> dict:
     if a["l"] == "#":
         return w | {"c": a["c"] + b["c"], "a": a["a"] + b["a"], "t": a["t"] if a["t"] == b["t"] else None}
     x, y = a["k"], b["k"]
+    if a.get("g") or b.get("g"):
+        return _narrow(w | {"g": True}, x + y)
     kids = []
     for i, j in _align([_key(k) for k in x], [_key(k) for k in y]):
         if i is not None and j is not None:
             kids.append(merge(x[i], y[j], repeat=repeat))
         else:
             kids.append((x[i] if j is None else y[j]) | {"o": True})
-    w["k"] = fold(kids)
-    return w
+    return _narrow(w, kids)
 
 
 def choose(w: dict) -> dict:
@@ -348,7 +392,7 @@ def choose(w: dict) -> dict:
     if not areas:
         best = w
         while True:
-            below = [k for n in best["k"] for k in ([n] if n["l"] != "()" else n["k"]) if "k" in k and not k["b"]]
+            below = [k for k in _flat(best["k"]) if "k" in k and not k["b"]]
             top = max(below, key=lambda k: k["f"], default=None)
             if top is None or top["r"] or top["f"] < FREE_SHARE * max(total, 1) or not any("k" in k for k in top["k"]):
                 break
@@ -384,10 +428,10 @@ def blocks(node: Node, w: dict) -> list[str] | None:
                 out.append(n.text)
             return True
         # the wrapper's kids in order, groups opened; a repeat goes back to its group's start
-        flat = [k for x in w["k"] for k in (x["k"] if x["l"] == "()" else [x])]
+        flat = _flat(w["k"])
         at = 0
         for kid in n.kids:
-            label = kid.label
+            label = _plain(kid.label) if w.get("g") else kid.label
             hit = next((i for i in range(at, len(flat)) if flat[i]["l"] == label), None)
             if hit is None:
                 hit = next((i for i in range(at) if flat[i]["l"] == label), None)
@@ -413,6 +457,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+#: Wrappers of up to so many bytes in all are broadcast, looked up by host.
+BROADCAST = 48_000_000
+
 _WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("wrapper", T.StringType())])
 
 
@@ -459,19 +506,26 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", carry: Se
         host_of(pages[f"`{url}`"]).alias("page_host"),
         pages[f"`{html}`"].alias("html"),
     )
-    src = src.join(wrappers, F.col("page_host") == F.col("host"), "left").select("row", "html", "wrapper")
     schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType())])
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    by_host = None
+    if size <= BROADCAST:
+        by_host = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
+        src = src.select("row", "html", F.col("page_host").alias("wrapper"))
+    else:
+        src = src.join(wrappers, F.col("page_host") == F.col("host"), "left").select("row", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
         for b in batches:
             texts = []
-            for page, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if w is not None and w not in known:
+            for page, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if key is not None and key not in known:
                     if len(known) >= 256:
                         known.clear()
-                    known[w] = json.loads(w)
-                texts.append(main_text(page, known.get(w)))
+                    w = by_host.value.get(key) if by_host else key
+                    known[key] = json.loads(w) if w else None
+                texts.append(main_text(page, known.get(key)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     return src.mapInArrow(run, schema)

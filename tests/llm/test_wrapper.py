@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 
 import pyarrow.parquet as pq
@@ -162,3 +163,46 @@ def test_teasers_of_other_pages_cost_no_article():
     index = "<main><p>what this site is about, at some length</p><article>teaser @</article></main>"
     pages = [index.replace("@", str(i)) for i in range(5)] + ["<main><h1>T</h1><article>the only whole post</article></main>"]
     assert of_host(pages) == ["what this site is about, at some length"] * 5 + ["T\n\nthe only whole post"]
+
+
+def learned(pages):
+    w = wrapper.learn(wrapper.parse(pages[0]))
+    for p in pages[1:]:
+        w = wrapper.merge(w, wrapper.learn(wrapper.parse(p)))
+    return w
+
+
+def test_wrapper_does_not_grow_with_names_of_single_pages():
+    def page(i):
+        return (f"<div class='wrap cat-{i}'><div id='post-{i}' class='post post-{i}'><h2 id='title-{chr(97 + i % 26) * (1 + i // 26)}'>Title {i}</h2>"
+                f"<p id=p-{i}>Text {i} of the post.</p></div><div class='box-{i}'><p>Always the same</p></div></div>")
+
+    pages = [page(i) for i in range(200)]
+    assert len(json.dumps(learned(pages))) < 2 * len(json.dumps(learned(pages[:2])))
+    assert of_host(pages) == [f"Title {i}\n\nText {i} of the post." for i in range(200)]
+
+
+def test_wrapper_is_bounded_where_class_words_or_tags_vary():
+    def page(i):
+        word = "".join(chr(97 + int(c)) for c in str(i))
+        return f"<article class='post tag-{word}'><h1>T{i}</h1><div class=x{word}>a{i}</div><my-{word}>b{i}</my-{word}><div class=ad>Buy</div></article>"
+
+    pages = [page(i) for i in range(1500)]
+    w = learned(pages)
+    assert len(json.dumps(w)) < 60_000
+    assert of_host(pages) == [f"T{i}\n\na{i}\n\nb{i}" for i in range(1500)]
+    wide = "<article>" + "".join(f"<div class={'abcdefghij'[i % 10] * (1 + i % 37)}>{i}</div>" for i in range(3000)) + "</article>"
+    assert of_host([wide, wide.replace("<div", "<p>.</p><div", 1)])[0] == "\n\n".join(map(str, range(3000)))
+
+
+def test_wrappers_looked_up_or_joined(spark, monkeypatch):
+    pages = [(f"http://h{i % 3}.example/{i}", f"<div class=w><div class=post><p>Text {i}</p></div><div class=box><p>Same</p></div></div>") for i in range(12)]
+    got = run(spark, pages)
+    assert got == {i: f"Text {i}" for i in range(12)}
+    monkeypatch.setattr(wrapper, "BROADCAST", 0)
+    assert run(spark, pages) == got
+
+
+def test_ids_of_containers_still_tell_parts_apart():
+    pages = [f"<div id=body-{i}><div id=text><p>This is the text {i}.</p></div><div id=legal><p>Always the same</p></div></div>" for i in range(5)]
+    assert of_host(pages) == [f"This is the text {i}." for i in range(5)]
