@@ -72,8 +72,9 @@ CLOSED_BY = {
 SALTS = 32
 #: A wrapper node with more kids becomes a bag: its kids, told apart by tag and flag only, in any order.
 WIDTH = 100
-#: Elements nested deeper are not opened: their texts are slots of the element around.
-DEPTH = 150
+#: Elements nested deeper are open until their own end tag, but no nodes: their texts are slots of
+#: the element around. Boilerplate by tag, role or hidden is a node at any depth; so are, up to so many, articles and what a word flags.
+DEPTH, AREA_DEPTH = 150, 30
 FREE_SHARE = 0.6
 
 _TOKEN = re.compile(
@@ -190,7 +191,9 @@ def _rank(root: Node) -> None:
 def parse(page: str) -> Node:
     """The tree of blocks and text slots of a page."""
     root = Node("")
-    stack = [root]
+    #: Open elements: tag and the node that takes their kids, whether that is boilerplate for sure, and its depth.
+    stack: list[tuple[str, Node, bool, int]] = [("", root, False, 0)]
+    opened: dict[str, int] = {}
     buf: list[str] = []
     links, in_link = 0, 0
 
@@ -201,7 +204,7 @@ def parse(page: str) -> Node:
             if text:
                 slot = Node("#")
                 slot.text, slot.links = text, min(links, len(text))
-                stack[-1].kids.append(slot)
+                stack[-1][1].kids.append(slot)
             buf.clear()
             links = 0
 
@@ -226,15 +229,17 @@ def parse(page: str) -> Node:
         flush()
         in_link = 0
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                last = ""
+                while last != tag:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
             continue
         while len(stack) > 1:
-            top = stack[-1].tag
+            top = stack[-1][0]
             if top == "p" or top in CLOSED_BY.get(tag, ()):
                 stack.pop()
+                opened[top] -= 1
             else:
                 break
         names, why = _names(tag, m[4]) if m[4] else ("", "")
@@ -243,9 +248,16 @@ def parse(page: str) -> Node:
         if tag in BOILER_TAGS and why != "sure":
             why = "form" if tag in ("form", "fieldset") else "sure"
         node = Node(tag, names, bool(why), "" if why == "sure" else why)
-        stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+        _, around, inside, depth = stack[-1]
+        opens = tag not in VOID and not m[4].endswith("/")
+        # deep down only what decides on texts is a node: boilerplate, and articles outside of it
+        sure = node.bad and not node.why
+        kept = depth < DEPTH or not inside and (sure or depth < DEPTH + AREA_DEPTH and (node.bad or tag in AREAS))
+        if kept:
+            around.kids.append(node)
+        if opens:
+            stack.append((tag, node, inside or sure, depth + 1) if kept else (tag, around, inside, depth))
+            opened[tag] = opened.get(tag, 0) + 1
     buf.append(page[at:])
     flush()
     _relax(root)

@@ -206,3 +206,28 @@ def test_wrappers_looked_up_or_joined(spark, monkeypatch):
 def test_ids_of_containers_still_tell_parts_apart():
     pages = [f"<div id=body-{i}><div id=text><p>This is the text {i}.</p></div><div id=legal><p>Always the same</p></div></div>" for i in range(5)]
     assert of_host(pages) == [f"This is the text {i}." for i in range(5)]
+
+
+@pytest.mark.parametrize("depth", [10, 140, 149, 150, 151, 160, 5000])
+def test_deep_elements_close_themselves(depth):
+    deep = "<div>" * depth + "deep<nav>menu</nav><div class=ad><p>Buy</p></div><footer><div><p>foot</p></div></footer>text" + "</div>" * depth
+    page = f"<body><div class=wrap><article><p>first</p>{deep}<p>last</p></article><p>outside</p></div></body>"
+    assert of_host([page]) == ["first\n\ndeep\n\ntext\n\nlast"]
+    assert of_host([page] * 3) == ["first\n\ndeep\n\ntext\n\nlast"] * 3
+    far = "<div>" * depth + "<article><p>the text of the article</p></article><p>aside</p>" + "</div>" * depth + "<p>after</p>"
+    assert of_host([far]) == ["the text of the article"]
+    assert of_host(["<blockquote>" * depth + "quote" + "</blockquote>" * depth + "<p>after</p>"])[0] in ("quote\n\nafter", "quote", "after")
+    quotes = "<article>" + "<blockquote>" * depth + "quote" + "</blockquote>" * depth + "<p>after</p></article><p>outside</p>"
+    assert of_host([quotes]) == ["quote\n\nafter"]
+
+
+def test_deep_articles_and_boilerplate_stay_bounded():
+    page = "<div>" * 200 + "<article>x" * 500 + "<nav>y" * 5000
+    got = of_host([page] * 2)
+    assert got[0] == got[1] == "\n\n".join("x" * 500)
+
+
+def test_deep_menu_inside_a_lifted_flag():
+    page = "<div class=has-sidebar><p>first words of the text</p>" + "<div>" * 160 + "deep<nav>menu</nav>" + "</div>" * 160 + "<p>last</p></div>"
+    assert of_host([page]) == ["first words of the text\n\ndeep\n\nlast"]
+    assert of_host(["<article>" + "<div class=ad>" * 3000 + "Buy" + "</div>" * 3000 + "<p>the text of the article</p></article>"] * 2) == ["the text of the article"] * 2
