@@ -31,6 +31,7 @@ import html as _html
 import json
 import re
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -267,8 +268,8 @@ def parse(page: str) -> Node:
 
 # --- wrappers -------------------------------------------------------------------
 # A wrapper node is a dict: l label, k kids, b boilerplate (or comment or teaser), o optional, r repeated,
-# n pages, and for slots c characters, a characters in links, t the text if it was
-# the same so far (None once it changed). Label "()" is a repeated group, g marks a bag.
+# n pages, and for slots c characters, a characters in links, t the 128-bit hash
+# of the text if it was the same so far (None once it changed). Label "()" is a repeated group, g marks a bag.
 
 
 def learn(node: Node) -> dict:
@@ -276,7 +277,7 @@ def learn(node: Node) -> dict:
     w = {"l": node.label, "b": node.bad or node.minor, "o": False, "r": False, "n": 1}
     if node.label == "#":
         t = node.text
-        return w | {"c": len(t), "a": node.links, "t": t if len(t) <= 200 else t[:200] + str(len(t))}
+        return w | {"c": len(t), "a": node.links, "t": blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()}
     return _narrow(w, [learn(k) for k in node.kids])
 
 

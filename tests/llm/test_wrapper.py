@@ -231,3 +231,10 @@ def test_deep_menu_inside_a_lifted_flag():
     page = "<div class=has-sidebar><p>first words of the text</p>" + "<div>" * 160 + "deep<nav>menu</nav>" + "</div>" * 160 + "<p>last</p></div>"
     assert of_host([page]) == ["first words of the text\n\ndeep\n\nlast"]
     assert of_host(["<article>" + "<div class=ad>" * 3000 + "Buy" + "</div>" * 3000 + "<p>the text of the article</p></article>"] * 2) == ["the text of the article"] * 2
+
+
+def test_texts_with_an_equal_beginning_differ():
+    same = "A templated description of a part, the same on all pages. " * 5
+    pages = [f"<div class=w><div class=d>{same}No. {i:04d}</div><div class=n><p>Page {i}</p></div><div class=legal>{same}</div></div>" for i in range(4)]
+    want = same.strip()
+    assert of_host(pages) == [f"{want} No. {i:04d}\n\nPage {i}" for i in range(4)]
