@@ -105,16 +105,30 @@ _DIGIT = "|".join(DIGIT_WORDS) + "|oh"
 _WIDE = "！-～①-⑨"
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + _WIDE + "٠-٩०-९" + "]")
 #: Disguised marks: bracketed anywhere, plain words only between name parts that end
-#: in a common top-level domain (fixed values; none is a frequent English word).
+#: in a common top-level domain (fixed values; none is a frequent English word), or in
+#: two to six letters where neither name nor host is a common word.
 _AT = re.compile(r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*", re.I)
 _DOT = re.compile(r"\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*dot\s*\}|<\s*dot\s*>)\s*", re.I)
 _PLAIN = re.compile(
-    r"(?<![\w.])(?P<name>[A-Za-z0-9._%+-]{1,64})(?P<at>\s+at\s+)(?P<host>[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4}?)"
-    r"(?P<dot>\s+dot\s+)(?P<top>com|org|net|edu|gov|mil|info|biz|io|dev|app|uk|de|fr|nl|eu|ch|ru|cn|jp|br)(?!\w)",
+    r"(?<![\w.])(?P<name>[A-Za-z0-9._%+-]{1,64}(?:\s+dot\s+[A-Za-z0-9._%+-]{1,64}){0,4})(?P<at>\s+at\s+)"
+    r"(?P<host>[A-Za-z0-9-]{1,63}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,63}){0,4})(?P<dot>\s+dot\s+|\.)(?P<top>[A-Za-z]{2,6})(?!\w)",
     re.I,
 )
+_TOPS = frozenset("com org net edu gov mil info biz io dev app uk de fr nl eu ch ru cn jp br".split())
+#: Words that stand before "at" or after it in running text.
+_COMMON = frozenset(
+    "a about after all also am an and any are arrive arrived as available back be been before being but buy by can click "
+    "code contact details directly docs documentation download each every find first for found free from get go good "
+    "had has have he her here him his home hosted i in information is it its last learn listed live located look "
+    "looked looking looks me meet met more my next no not now of off on one online only open or order our out page "
+    "play point posted published read see seen she shop site so start started stay store that the their them then "
+    "there these they this those time to today up us visit was watch we website were what when where which who will "
+    "with work worked working works you your".split()
+)
 _IP_DOTS = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\s+dot\s+|\.)[0-9]{1,3}){3}(?![\w])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,.-]+)?(?:(?:{_DIGIT}|[0-9]+)[\s,.-]+){{6,}}(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
+_GROUP = rf"(?:{_DIGIT}|[0-9]{{1,3}})(?:[\s,-]+(?:{_DIGIT}|[0-9]{{1,3}})){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_GROUP}(?:(?:\s+dot\s+|\.){_GROUP}){{3}}(?!\w)", re.I)
 _WORD_DOT = re.compile(r"\s+dot\s+", re.I)
 _TOKEN = re.compile(rf"plus|{_DIGIT}|[0-9]+", re.I)
 
@@ -157,11 +171,26 @@ def _letters(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _address(m: re.Match) -> bool:
+    """Whether a plain "at" stands between a name and a host."""
+    hosts = re.split(r"\s+dot\s+|\.", m["host"], flags=re.I)
+    top, plain = m["top"].lower(), m["dot"] != "."
+    if plain and top in _TOPS:
+        return True
+    # "at the dot on", or a sentence that begins without a space
+    if top not in _TOPS and (plain and top in _COMMON or not (m["top"].islower() or m["top"].isupper())):
+        return False
+    return not {m["name"].lower(), *map(str.lower, hosts)} & _COMMON and any(c.isalnum() for c in m["name"])
+
+
 def _marks(tape: Tape) -> None:
     for pattern, new in ((_AT, "@"), (_DOT, ".")):
         tape.rewrite([(m.start(), m.end(), new) for m in pattern.finditer(tape.text)])
     edits = []
     for m in _PLAIN.finditer(tape.text):
+        if not _address(m):
+            continue
+        edits += [(m.start("name") + d.start(), m.start("name") + d.end(), ".") for d in _WORD_DOT.finditer(m["name"])]
         edits.append((*m.span("at"), "@"))
         edits += [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _WORD_DOT.finditer(m["host"])]
         edits.append((*m.span("dot"), "."))
@@ -172,15 +201,29 @@ def _marks(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _digit(token: str) -> str:
+    w = token.lower()
+    return "+" if w == "plus" else "0" if w == "oh" else w if w.isdigit() else str(DIGIT_WORDS.index(w))
+
+
 def _numbers(tape: Tape) -> None:
+    edits = []
+    for m in _SPELLED_IP.finditer(tape.text):
+        last = None
+        for t in _TOKEN.finditer(m[0]):
+            if last is not None:
+                gap = m[0][last : t.start()]
+                edits.append((m.start() + last, m.start() + t.start(), "." if "." in gap or "dot" in gap.lower() else ""))
+            edits.append((m.start() + t.start(), m.start() + t.end(), _digit(t[0])))
+            last = t.end()
+    tape.rewrite([e for e in edits if e[0] < e[1]])
     edits = []
     for m in _SPELLED.finditer(tape.text):
         if not any(c.isalpha() for c in m[0]):
             continue
         last = None
         for t in _TOKEN.finditer(m[0]):
-            w = t[0].lower()
-            new = "+" if w == "plus" else "0" if w == "oh" else w if w.isdigit() else str(DIGIT_WORDS.index(w))
+            new = _digit(t[0])
             if last is not None:
                 edits.append((m.start() + last, m.start() + t.start(), ""))
             edits.append((m.start() + t.start(), m.start() + t.end(), new))
@@ -188,7 +231,11 @@ def _numbers(tape: Tape) -> None:
     tape.rewrite([e for e in edits if e[0] < e[1]])
 
 
-_DISGUISED = re.compile(rf"[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|\sdot\s|(?:(?:{_DIGIT})[\s,.-]+){{2}}", re.I)
+_DISGUISED = re.compile(
+    rf"[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|\sdot\s|\sat\s+[a-z0-9-]+\.[a-z]"
+    rf"|\b(?:{_DIGIT})[\s,.-]+(?:{_DIGIT}|[0-9])|[0-9][\s,.-]+(?:{_DIGIT})\b",
+    re.I,
+)
 
 
 def hidden_spans(text: str) -> list[tuple[int, int, int]]:

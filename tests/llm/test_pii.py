@@ -85,3 +85,31 @@ def test_edges_and_long_runs(spark, make_docs):
     rows = pii.scan(docs, carry=["doc_id", "spans"]).collect()
     assert len(rows) == len(EDGES) + 6 and rows[0]["base"] == [] and rows[0]["spans"] == []
     assert pii.scan(make_docs([])).count() == 0
+
+
+MORE = [
+    ("write to jane at example.com today", 0, "jane at example.com"),
+    ("escribe a maria at correo dot es hoy", 0, "maria at correo dot es"),
+    ("ask maria at mail.correo dot museum", 0, "maria at mail.correo dot museum"),
+    ("ask john dot doe at example dot com", 0, "john dot doe at example dot com"),
+    ("ask john dot a dot doe at mail.example.org.", 0, "john dot a dot doe at mail.example.org"),
+    ("ask john at example dot com dot br", 0, "john at example dot com dot br"),
+    ("host one nine two dot one six eight dot one dot two oh up", 1, "one nine two dot one six eight dot one dot two oh"),
+    ("host one nine two [dot] 168 [dot] zero [dot] 7 up", 1, "one nine two [dot] 168 [dot] zero [dot] 7"),
+    ("call plus 4 four 9 nine 1 one 5 five 2 now", 3, "plus 4 four 9 nine 1 one 5 five 2"),
+]
+
+
+@pytest.mark.parametrize("text,kind,found", MORE)
+def test_more_disguises(text, kind, found):
+    _, spans = pii.find(text)
+    assert (kind, text.index(found), text.index(found) + len(found)) in spans, spans
+
+
+def test_running_text_is_no_address():
+    plain = [
+        "look at example.com and meet us at example.org", "available at docs.example.com", "she was at home.Then he left", "look at the dot on it",
+        "One. Two. Three. Four.", "nine nine nine dot one dot one dot one", "one dot two dot three", "he stood at noon. it was hot",
+    ]
+    for t in plain:
+        assert pii.find(t) == ([], []), t
