@@ -331,16 +331,25 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+#: Size of a compacted file, from which the number of files follows.
+FILE_BYTES = 128 << 20
+
+
 def compact(spark: SparkSession, table_dir: str, *, target_files: int, key: str | None = None) -> dict:
     """Rewrite one table of many small files; see :func:`compact_tables`."""
     return compact_tables(spark, {table_dir: (target_files, key)})[0]
 
 
-def compact_base(spark: SparkSession, root: str, *, target_files: int) -> list[dict]:
+def compact_base(spark: SparkSession, root: str, *, target_files: int | None = None, file_bytes: int = FILE_BYTES) -> list[dict]:
     """Compact every table of a month or model; all row counts are compared before
-    the first new version is published."""
+    the first new version is published. Without ``target_files`` each table gets as
+    many files of about ``file_bytes`` as its bytes need."""
     names = [n for n in list_dirs(spark, root) if not n.startswith("_") and current_path(spark, f"{root}/{n}")]
-    return compact_tables(spark, {f"{root}/{n}": (target_files, LAYOUT.get(n)) for n in names})
+
+    def files(name: str) -> int:
+        return target_files or max(1, -(-_bytes(spark, current_path(spark, f"{root}/{name}")) // file_bytes))
+
+    return compact_tables(spark, {f"{root}/{n}": (files(n), LAYOUT.get(n)) for n in names})
 
 
 def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]]) -> list[dict]:

@@ -27,6 +27,8 @@ from regframe.sources import dump, keylist, starmap
 _TAG = "K03200Y0.D60925"
 #: Columns of an establishment row that is cut short: what follows is empty.
 _SHORT = 21
+#: Bytes of a compacted file of the small test bases.
+_FILE_BYTES = 4 << 20
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -96,7 +98,7 @@ def compact_reopen(reg, spark, sf_dir):
     maintain.write_version(reg["estabelecimento"].repartition(12), f"{root}/estabelecimento")
     maintain.write_version(reg["empresas"].repartition(12), f"{root}/empresas")
     for _ in range(2):
-        maintain.compact_base(spark, root, target_files=3)
+        maintain.compact_base(spark, root, file_bytes=_FILE_BYTES)
     return maintain.read_tables(spark, root)["estabelecimento"].select("cnpj", "uf", "cnae_fiscal")
 
 
@@ -113,16 +115,25 @@ def expire_keeps_complete(reg, spark, sf_dir):
 
 @query("reload_month", "SELECT cnpj_basico, razao_social, capital_social FROM empresas")
 def reload_month(reg, spark, sf_dir):
-    """A month whose file was replaced by another of the same name is loaded anew."""
+    """A month of which one file was replaced by another of the same name is loaded anew."""
     folder, base = _folder(spark, "dump"), _folder(spark, "base")
     raw = starmap.inputs(spark, sf_dir)["raw"]
-    firms = raw["empresas"].coalesce(1)
+    firms = raw["empresas"]
     _put(raw["estabelecimento"], folder, "A", f"{_TAG}.ESTABELE")
     _put(raw["socios_original"], folder, "A", f"{_TAG}.SOCIOCSV")
-    _put(firms.withColumn("razao_social", F.lit("ANTES")), folder, "A", f"{_TAG}.EMPRECSV")
-    load.load_dump(spark, folder, base, text_index=False, validate=False)
-    maintain.delete(spark, f"{folder}/A00000.{_TAG}.EMPRECSV")
     _put(firms, folder, "A", f"{_TAG}.EMPRECSV")
+    # the first file, one partition of the companies, holds other names until the reload
+    first, aside = f"A00000.{_TAG}.EMPRECSV", _folder(spark, "aside")
+    fs, side = maintain._fs(spark, aside)
+    fs.mkdirs(side)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.rename(path(f"{folder}/{first}"), path(f"{aside}/{first}"))
+    read = spark.read.option("sep", ";").option("quote", '"').option("escape", '"').option("encoding", dump.ENCODING)
+    kept = read.option("multiLine", True).option("header", False).schema(firms.schema).csv(f"{aside}/{first}")
+    _put(kept.withColumn("razao_social", F.lit("ANTES")), folder, "A", f"{_TAG}.EMPRECSV")
+    load.load_dump(spark, folder, base, text_index=False, validate=False)
+    maintain.delete(spark, f"{folder}/{first}")
+    _put(kept, folder, "A", f"{_TAG}.EMPRECSV")
     load.load_dump(spark, folder, base, text_index=False, validate=False)
     return load.open_base(spark, base)["empresas"].select("cnpj_basico", "razao_social", "capital_social")
 

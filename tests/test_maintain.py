@@ -135,3 +135,44 @@ def test_staged_model_marker_and_reopen(spark, scratch):
     # branch numbers: one head office per company, numbers consecutive from 1
     est = again["estabelecimento"]
     assert est.where("matriz_filial = '1'").count() == est.select("cnpj_basico").distinct().count()
+
+
+def test_compacted_files_follow_the_bytes(spark, scratch):
+    root = os.path.join(scratch, "compact_bytes")
+    rows = spark.range(0, 20000, 1, 12).selectExpr("id AS k", "sha2(CAST(id AS STRING), 256) AS v")
+    maintain.write_version(rows, f"{root}/a")
+    size = maintain._bytes(spark, maintain.current_path(spark, f"{root}/a"))
+    (done,) = maintain.compact_base(spark, root, file_bytes=size // 5 + 1)
+    assert done["arquivos_depois"] == 5 and done["linhas"] == 20000
+    (done,) = maintain.compact_base(spark, root)
+    assert done["arquivos_depois"] == 1
+
+
+def test_reload_month_replaces_one_of_many_files(spark, monkeypatch):
+    from regframe.operators import load
+    from regframe.plans import catalog, q_ingest
+
+    folders = []
+    plain = load.load_dump
+
+    def seen(spark, folder, base, **kw):
+        out = plain(spark, folder, base, **kw)
+        names = load.open_base(spark, base)["empresas"]
+        folders.append((sum(n.endswith(".EMPRECSV") for n in os.listdir(folder.removeprefix("file:"))), names.where("razao_social = 'ANTES'").count(), names.count()))
+        return out
+
+    monkeypatch.setattr(q_ingest.load, "load_dump", seen)
+    inputs = q_ingest.starmap.inputs
+
+    def in_parts(*a):  # the small table comes in one partition
+        got = inputs(*a)
+        return got | {"raw": got["raw"] | {"empresas": got["raw"]["empresas"].repartition(4, "cnpj_basico")}}
+
+    monkeypatch.setattr(q_ingest.starmap, "inputs", in_parts)
+    got = catalog.queries()["reload_month"](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(q_ingest.starmap, "inputs", inputs)
+    want = catalog.registry(spark, "/root/testdata/sf0.001")["empresas"].select(*got.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    (files, stale, rows), (files_again, left, rows_again) = folders
+    assert files == files_again > 1 and rows == rows_again == want.count()
+    assert left == 0 and 0 < stale < rows
