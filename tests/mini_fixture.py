@@ -10,6 +10,9 @@ import os
 
 from regframe.schemas import ESTABLISHMENT_COLUMNS
 
+#: Smallest of the given data sets.
+SF_SMALL = "/root/testdata/sf0.001"
+
 MONTH_TAG = "K3241.K03200Y0.D60925"
 
 COMPANIES = [

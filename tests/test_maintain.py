@@ -97,7 +97,7 @@ def test_materialize_follows_its_inputs(spark, scratch):
 def test_registry_follows_changed_input_files(spark, scratch):
     import shutil
 
-    from conftest import SF_SMALL
+    from mini_fixture import SF_SMALL
 
     from regframe.plans import catalog
 
@@ -117,7 +117,7 @@ def test_registry_follows_changed_input_files(spark, scratch):
 def test_staged_model_marker_and_reopen(spark, scratch):
     import os
 
-    from conftest import SF_SMALL
+    from mini_fixture import SF_SMALL
 
     from regframe.operators import maintain
     from regframe.sources import starmap

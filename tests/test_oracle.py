@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from mini_fixture import SF_SMALL
 from oracle_compare import compare, duck
 
 from regframe.plans import catalog

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from mini_fixture import SF_SMALL
 
 
 def _plan(df) -> str:
