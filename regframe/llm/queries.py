@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and their SQL where SQL can say it."""
+"""The registered queries of the operators and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, repeats, secrets, wrapper
+from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, repeats, resample, secrets, wrapper
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -195,6 +195,44 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Unsigned CRC-32 of hexadecimal digits, two a byte: one table step a half byte, the
+#: lower half first. The table holds the 16 steps of the standard polynomial (fixed values).
+_SQL_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(range(1, length({hex}) + 1), lambda i: CAST(strpos('0123456789ABCDEF', substr({hex}, i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END, 1)) - 1 AS BIGINT))),
+  lambda c, n: xor(([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
+    3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])[(xor(c, n) & 15) + 1], c >> 4)))"""
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
+b AS (SELECT coalesce({_SQL_WORDS}, []) AS w FROM benchmark),
+df AS (
+  SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+hexes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+buckets AS (SELECT f, {_SQL_CRC.replace("{hex}", "x")} % 10000 AS b FROM hexes),
+s AS (SELECT b, count(*) AS s FROM df JOIN buckets USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bf JOIN buckets USING (f) GROUP BY b),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM df) + 10000)
+    / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM bf) + 10000)))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (b)),
+weights AS (
+  SELECT r, count(*) AS n_features, CAST(floor(sum(g) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight
+  FROM df JOIN buckets USING (f) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)
+      / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY fit) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_rules": op2_quality_rules,
@@ -206,7 +244,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extract": op10_html_extract,
+    "op13_resample": op13_resample,
 }
 SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL,
-    "op9_jaccard_join": OP9_SQL,
+    "op9_jaccard_join": OP9_SQL, "op13_resample": OP13_SQL,
 }

@@ -22,7 +22,7 @@ def test_matches_sql(spark, name):
 
 def test_registry_has_all():
     names = registry.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 # --- chat ----------------------------------------------------------------------
