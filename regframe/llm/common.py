@@ -3,6 +3,8 @@ batches handed to Arrow functions with any other columns carried along."""
 
 from __future__ import annotations
 
+import functools
+import operator
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from regframe.session import checkpoint_dir
 
+#: Keys of a lookup that are broadcast: those with the most rows.
+HEAVY = 1 << 16
 #: Rows of one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -41,6 +45,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`written` made, once nothing reads it."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: Sequence[str], at: Sequence[str], asked: str) -> DataFrame:
+    """``rows`` joined with the row of ``table`` whose unique ``at`` columns are their ``key``.
+
+    ``asked`` says how many rows want each row of ``table``. The ``HEAVY`` most wanted are
+    broadcast; any other is wanted by less than one in ``HEAVY`` of the rows, so no task
+    of the shuffle gets a hot key. Both sides are read twice: written tables, best.
+    """
+    same = functools.reduce(operator.and_, [F.col(k) == F.col(a) for k, a in zip(key, at)])
+    heavy = table.orderBy(F.desc(asked), *at).limit(HEAVY).drop(asked)
+    rest = rows.join(F.broadcast(heavy.select(*at)), same, "left_anti")
+    near = rows.join(F.broadcast(heavy), same)
+    return near.unionByName(rest.join(table.drop(asked), same)).drop(*at)
+
+
 def map_texts(
     df: DataFrame,
     fn: Callable[[list], dict],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regframe.llm import chat, decontaminate, jaccard, langid, mixing, pii, quality, repeats, resample, secrets, wrapper
+from regframe.llm import chat, debruijn, decontaminate, jaccard, langid, mixing, pii, quality, repeats, resample, secrets, trie, wrapper
 from regframe.llm.common import table
 
 #: Conversation that every formatting run holds besides the table's: control strings in texts.
@@ -195,6 +195,42 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def shared_starts(convs: DataFrame) -> DataFrame:
+    """Conversation c begins with the first crc32(c) % 6 turns of conversation c - c % 100,
+    its own turns from there on follow."""
+    base = convs.where("conv_id % 100 = 0").selectExpr("conv_id AS base", "substring(digests, 1, 80) AS first", "slice(chars, 1, 5) AS first_chars")
+    cut = convs.withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).join(base, F.expr("conv_id - conv_id % 100 = base"), "left")
+    return cut.selectExpr(
+        "conv_id",
+        "concat(coalesce(substring(first, 1, cast(16 * h AS int)), X''), substring(digests, cast(16 * h AS int) + 1, octet_length(digests))) AS digests",
+        "concat(coalesce(slice(first_chars, 1, cast(h AS int)), array()), slice(chars, cast(h AS int) + 1, size(chars))) AS chars",
+    )
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(shared_starts(trie.steps(table(spark, sf_dir, "conversations"))))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, hash(text)) AS r,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 19], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+seen AS (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM win),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 20)) AS j FROM seen WHERE k > 1)),
+ws AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (
+  SELECT ws.r, count(*) AS n, string_agg(x, ' ' ORDER BY ws.j) AS t
+  FROM ws ANTI JOIN gone ON gone.r = ws.r AND gone.j = ws.j GROUP BY ws.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_features", "weight", "score", "rank")
@@ -206,6 +242,34 @@ _SQL_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
   list_transform(range(1, length({hex}) + 1), lambda i: CAST(strpos('0123456789ABCDEF', substr({hex}, i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END, 1)) - 1 AS BIGINT))),
   lambda c, n: xor(([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
     3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])[(xor(c, n) & 15) + 1], c >> 4)))"""
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(k := k, n := n) ORDER BY turn NULLS FIRST, role, k) AS l FROM t GROUP BY conv_id),
+crc AS (SELECT conv_id, l, {_SQL_CRC.replace("{hex}", "x")} % 6 AS h FROM (SELECT *, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM own)),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+pre AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM built),
+mem AS (SELECT conv_id, l, d, array_to_string(list_transform(l[1:d], lambda x: x.k), ',') AS p FROM pre),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(l[1:d]) AS l,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(l) = d), '')) AS ends_sha256
+  FROM mem GROUP BY p, d),
+tree AS (
+  SELECT *, array_to_string(list_transform(l[1:d - 1], lambda x: x.k), ',') AS up,
+    (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE l[d].n END AS saved FROM node),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM tree WHERE d > 0 GROUP BY ALL),
+full_tree AS (SELECT t.*, coalesce(k.n, 0) AS n_children FROM tree t LEFT JOIN kids k ON k.up = t.p AND k.d = t.d),
+above AS (SELECT n_children, saved, l, unnest(range(0, d + 1)) AS a FROM full_tree),
+sums AS (
+  SELECT array_to_string(list_transform(l[1:a], lambda x: x.k), ',') AS p, a AS d,
+    CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY ALL)
+SELECT t.conv_id, t.d AS depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens, t.ends_sha256
+FROM full_tree t JOIN sums s ON s.p = t.p AND s.d = t.d LEFT JOIN tree u ON t.d > 0 AND u.p = t.up AND u.d = t.d - 1
+"""
 OP13_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
 b AS (SELECT coalesce({_SQL_WORDS}, []) AS w FROM benchmark),
@@ -244,8 +308,11 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extract": op10_html_extract,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_resample": op13_resample,
 }
 SQL = {"op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op8_mix_sources": OP8_SQL,
-    "op9_jaccard_join": OP9_SQL, "op13_resample": OP13_SQL,
+    "op9_jaccard_join": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_substring_dedup": OP12_SQL,
+    "op13_resample": OP13_SQL,
 }
