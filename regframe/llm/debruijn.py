@@ -82,23 +82,31 @@ class Hashes:
     """Hashes of any runs of words of one document, two of 64 bits each."""
 
     def __init__(self, ws: list[bytes]):
-        w = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
-        p = _inverses(len(w) + 1)
-        self.sums = []
-        for k in range(2):
-            s = np.zeros(len(w) + 1, np.uint64)
-            np.cumsum(_mix(w + _P[k]) * p[2 * k][: len(w)], out=s[1:])
-            self.sums.append((s, p[2 * k + 1]))
+        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+        self.powers = _inverses(len(ws) + 1)
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _sums(self, k: int) -> np.ndarray:
+        if k not in self.sums:
+            s = np.zeros(len(self.words) + 1, np.uint64)
+            np.cumsum(_mix(self.words + _P[k]) * self.powers[2 * k][: len(self.words)], out=s[1:])
+            self.sums[k] = s
+        return self.sums[k]
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        s, inverse = self.sums[k]
-        return _mix((s[end] - s[start]) * inverse[start] + (end - start).astype(np.uint64) * _M2)
+        s = self._sums(k)
+        return _mix((s[end] - s[start]) * self.powers[2 * k + 1][start] + (end - start).astype(np.uint64) * _M2)
+
+    def all(self, n: int) -> np.ndarray:
+        """Hashes of all runs of ``n`` words, in order."""
+        s = self._sums(0)
+        return _mix((s[n:] - s[: len(s) - n]) * self.powers[1][: len(s) - n] + np.uint64(n) * _M2)
 
 
 def segments(h: Hashes, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first edge and number of edges of the segments, in order."""
     at = np.arange(n_words - GRAM + 1)
-    grams = h.of(at, at + GRAM)
+    grams = h.all(GRAM)
     # least of K - GRAM + 1 grams in a row, the last of equals: hash above, place below
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | (0xFFFFFFFF - at).astype(np.uint64)
     span, step = K - GRAM + 1, 1
@@ -127,17 +135,17 @@ def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """``rid, q, at``: the segments of all documents by anchor and place among them."""
+    """``rid, qs``: the anchors of each document's segments, in order."""
 
     def fn(texts: list) -> dict:
         out = []
         for t in texts:
             ws = words(_bytes(t))
             out.append(segments(Hashes(ws), len(ws))[0].view(np.int64) if len(ws) >= K else np.zeros(0, np.int64))
-        return {"q": _lists(out)}
+        return {"qs": _lists(out)}
 
-    rows = common.map_texts(docs, fn, T.StructType([T.StructField("q", T.ArrayType(T.LongType()))]), carry=["rid"])
-    return rows.select("row.rid", F.posexplode("q").alias("at", "q"))
+    rows = common.map_texts(docs, fn, T.StructType([T.StructField("qs", T.ArrayType(T.LongType()))]), carry=["rid"])
+    return rows.select("row.rid", "qs")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -255,12 +263,13 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows (rid, text), rids in the order of documents: ``rid, packed`` of the documents
     with repeats, all copies of repeated paths, and the edges that begin earlier elsewhere
     as runs ``rid, start, n``."""
-    rows = _anchors(docs)
-    often = rows.groupBy(F.col("q").alias("often")).agg(F.count("*").alias("x")).where("x > 1").select("often")
-    # one row a key on the right: a hot anchor is split by the skew join
-    mine = rows.join(often, F.col("q") == F.col("often"), "left_semi")
-    mine = mine.groupBy(F.col("rid").alias("r")).agg(F.collect_list("at").alias("of"))
+    anchors = common.written(_anchors(docs), "anchors")
+    rows = anchors.select("rid", F.posexplode("qs").alias("at", "q"))
+    often = common.written(rows.groupBy(F.col("q").alias("often")).agg(F.count("*").alias("x")).where("x > 1"), "repeated-anchors")
+    mine = common.lookup(rows, often, ["q"], ["often"], "x").groupBy(F.col("rid").alias("r")).agg(F.collect_list("at").alias("of"))
     texts = common.written(_packed(docs).join(mine, F.col("rid") == F.col("r")).drop("r"), "repeat-texts")
+    common.dropped(anchors)
+    common.dropped(often)
     found = common.written(_segments(texts), "segments")
     paths = common.written(_paths(found), "paths")
     sources = common.written(
