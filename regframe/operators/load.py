@@ -8,7 +8,9 @@ Every step is idempotent and resumable:
      landed files and the dimensions); it is rebuilt when that changed and
      reused when not;
   3. the text index, the metadata table and the quality report are published
-     anew each run.
+     anew each run;
+  4. one snapshot makes all these versions the month. Until then readers see the
+     month as it was: a run that stops anywhere before leaves it whole.
 Each month lives in ``<base>/ano_mes=<YYYYMM>``; the newest complete month is
 current and older ones beyond ``keep_months`` are expired, but only after the
 checks passed.
@@ -43,6 +45,7 @@ def load_dump(
     text_index: bool = True,
     validate: bool = True,
     partitions: int | None = None,
+    block_bytes: int | None = None,
 ) -> dict:
     """Load one monthly dump into ``base_root``; returns a small summary.
 
@@ -52,15 +55,16 @@ def load_dump(
     """
     data_ref, ano_mes = dump.detect_reference(dump.list_files(spark, dump_dir), ano_mes)
     snap = maintain.snapshot_path(base_root, ano_mes)
-    raw_root, batches = landing.land(spark, dump_dir, f"{snap}/_raw", ano_mes=ano_mes, resume=resume)
+    raw_root, batches = landing.land(spark, dump_dir, f"{snap}/_raw", ano_mes=ano_mes, resume=resume, block_bytes=block_bytes)
 
     raw = {k: _landed(spark, raw_root, k) for k in RAW_KINDS}
     if raw["empresas"] is None or raw["estabelecimento"] is None:
         raise FileNotFoundError(f"company or establishment files missing in {dump_dir}")
     if raw["socios_original"] is None:
-        if maintain.current_path(spark, f"{snap}/socios") is None:
+        held = maintain.table_path(spark, snap, "socios")
+        if held is None:
             raise RuntimeError("neither raw nor resolved partners are available; reload without resume")
-        raw["socios"] = maintain.read_current(spark, f"{snap}/socios")  # resume: already resolved
+        raw["socios"] = maintain.read_version(spark, f"{snap}/socios", held)  # resume: already resolved
     codes = {t: _landed(spark, raw_root, t) for _, t in CODE_TABLES}
     inputs = maintain.fingerprint(
         raw_root,
@@ -78,6 +82,7 @@ def load_dump(
         cnae_classes=cnae_classes,
         partitions=partitions,
         inputs=inputs,
+        switch=False,
     )
     return finish(spark, reg, snap, base_root, batches=batches, keep_months=keep_months,
                   text_index=text_index, validate=validate)
@@ -93,7 +98,10 @@ def finish(
     keep_months: int = 2,
     text_index: bool = True,
     validate: bool = True,
+    changed: list[str] | None = None,
 ) -> dict:
+    """Index, metadata and report of the tables ``reg`` reads, then the switch of the month
+    to them (``changed``: only these tables are new; default: all)."""
     fts_ok = False
     if text_index:
         idx = textsearch.build_index(reg["empresas"], "cnpj_basico", "razao_social")
@@ -104,6 +112,9 @@ def finish(
     if validate:
         maintain.write_version(quality.report(reg).drop("ordem").coalesce(1), f"{snap}/_validacao")
         ok = bool(quality.overall_ok(maintain.read_current(spark, f"{snap}/_validacao")).first()["ok"])
+    internal = ["_referencia", *(["_fts"] if text_index else []), *(["_validacao"] if validate else [])]
+    tables = [k for k, v in reg.frames.items() if v is not None and not k.startswith("_")] if changed is None else changed
+    maintain.complete(spark, snap, tables + internal)
     # an older month is the way back if this one failed its checks
     expired = [] if ok is False else maintain.expire_months(spark, base_root, keep=keep_months)
     counts = {
@@ -137,7 +148,7 @@ def open_base(spark: SparkSession, base_root: str, ano_mes: str | None = None) -
 
 def text_index(spark: SparkSession, base_root: str, ano_mes: str | None = None) -> textsearch.BM25Index | None:
     m = ano_mes or maintain.current_month(spark, base_root)
-    path = maintain.current_path(spark, f"{maintain.snapshot_path(base_root, m)}/_fts")
+    path = maintain.table_path(spark, maintain.snapshot_path(base_root, m), "_fts")
     return None if path is None else textsearch.BM25Index.read(spark, path, "cnpj_basico")
 
 
@@ -153,7 +164,7 @@ def upgrade(
     validate: bool = True,
 ) -> dict:
     """Rebuild derived artefacts of a loaded month: each becomes a new version, and the
-    one in use stays until that is whole."""
+    month is switched to all of them at once when they are whole."""
     reg = open_base(spark, base_root, ano_mes)
     snap = maintain.snapshot_path(base_root, reg.ano_mes)
     done = []
@@ -168,7 +179,7 @@ def upgrade(
         h = model.activity_hierarchy(reg["cnae"], cnae_classes)
         maintain.write_table(h, f"{snap}/cnae_hierarquia")
         done.append("cnae_hierarquia")
-    reg = open_base(spark, base_root, reg.ano_mes)
-    out = finish(spark, reg, snap, base_root, keep_months=10**6, text_index=text_index, validate=validate)
+    reg = reg.with_frames(**{name: maintain.read_current(spark, f"{snap}/{name}") for name in done})
+    out = finish(spark, reg, snap, base_root, keep_months=10**6, text_index=text_index, validate=validate, changed=done)
     out["reconstruidos"] = done
     return out

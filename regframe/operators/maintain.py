@@ -5,13 +5,17 @@ Layout on shared storage (HDFS/object store/local for tests)::
     <root>/ano_mes=<YYYYMM>/<table>/v=<n>/          one directory per table version
     <root>/ano_mes=<YYYYMM>/<table>/v=<n>/_SUCCESS  present when the version is published
     <root>/ano_mes=<YYYYMM>/<table>/v=<n>/_INPUTS   what the version was built from
+    <root>/ano_mes=<YYYYMM>/_snapshots/<n>.json     which version of each table is the month
     <root>/ano_mes=<YYYYMM>/_MODEL_COMPLETE         present when the month may be used
 
 Nothing in use is ever overwritten: a rebuild or a compaction writes the next
-version beside the current one, and publishing it (one marker) makes it current.
-Every reader goes through :func:`read_current`, which takes the newest published
-version, so a failed or unfinished run is never seen. A table is rebuilt when its
-inputs changed and reused when they did not.
+version beside the current one, and publishing it (one marker) makes it complete. A
+month is switched as a whole: a load, an upgrade or a compaction writes its versions
+first and then one snapshot, a small file that is renamed into place and names one
+version of every table. Readers of a month resolve all tables through the newest
+snapshot, so they see the old month whole or the new one whole, whatever run failed
+in between. A single table outside a month is read at its newest published version.
+A table is rebuilt when its inputs changed and reused when they did not.
 
 Fact tables are clustered on ``cnpj_basico`` with a skew-splitting rebalance
 and sorted within files by it (row-group min/max prune point lookups); the
@@ -22,7 +26,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,20 +113,81 @@ def read_current(spark: SparkSession, table_dir: str) -> DataFrame:
     path = current_path(spark, table_dir)
     if path is None:
         raise FileNotFoundError(f"no published version of {table_dir}")
-    return _read(spark, table_dir, path)
+    return read_version(spark, table_dir, path)
 
 
-def _read(spark: SparkSession, table_dir: str, path: str) -> DataFrame:
+def read_version(spark: SparkSession, table_dir: str, path: str) -> DataFrame:
     """A version's files; of a flat table only its own, not those of versions beside them."""
     return spark.read.parquet(f"{path}/*.parquet" if path == table_dir else path)
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every table under ``root`` that has a published version (of the internal ones
-    only the metadata table)."""
-    names = [n for n in list_dirs(spark, root) if not n.startswith("_") or n == "_referencia"]
+    """Every table of ``root`` (of the internal ones only the metadata table): those of its
+    snapshot, or without one every table with a published version."""
+    held = snapshot(spark, root)
+    known = list_dirs(spark, root) if held is None else sorted(held)
+    names = [n for n in known if not n.startswith("_") or n == "_referencia"]
+    paths = {name: table_path(spark, root, name, held) for name in names}
+    return {name: read_version(spark, f"{root}/{name}", path) for name, path in paths.items() if path is not None}
+
+
+def table_path(spark: SparkSession, root: str, name: str, held: dict[str, str] | None = None) -> str | None:
+    """Directory of a month's table: as its snapshot says, else the newest published version."""
+    held = snapshot(spark, root) if held is None else held
+    if held is None:
+        return current_path(spark, f"{root}/{name}")
+    return f"{root}/{held[name]}" if name in held else None
+
+
+# --- snapshots: one version of every table -------------------------------------
+
+SNAPSHOTS = "_snapshots"
+
+
+def _snapshot_numbers(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, f"{root}/{SNAPSHOTS}")
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), reverse=True)
+
+
+def snapshot(spark: SparkSession, root: str, number: int | None = None) -> dict[str, str] | None:
+    """Table -> directory (relative to ``root``) of a snapshot, by default the newest."""
+    known = _snapshot_numbers(spark, root)
+    n = number or next(iter(known), None)
+    return None if n is None else json.loads(get_text(spark, f"{root}/{SNAPSHOTS}/{n}.json"))["tables"]
+
+
+def commit(spark: SparkSession, root: str, changed: dict[str, str], *, dropped: tuple[str, ...] = ()) -> int:
+    """Switch a month to other versions of some tables: one new snapshot, which keeps all
+    other tables of the last one. ``changed``: table -> version directory."""
+    known = _snapshot_numbers(spark, root)
+    tables = dict(snapshot(spark, root) or {})
+    tables.update({name: path.removeprefix(f"{root}/") for name, path in changed.items()})
+    for name in dropped:
+        tables.pop(name, None)
+    n = (known[0] if known else 0) + 1
+    fs, target = _fs(spark, f"{root}/{SNAPSHOTS}/{n}.json")
+    draft = f"{root}/{SNAPSHOTS}/.draft-{uuid.uuid4().hex}"
+    put_text(spark, draft, json.dumps({"tables": tables}, sort_keys=True, indent=1))
+    if fs.exists(target) or not fs.rename(_fs(spark, draft)[1], target):
+        delete(spark, draft)
+        raise RuntimeError(f"snapshot {n} of {root} was made by another run")
+    return n
+
+
+def commit_current(spark: SparkSession, root: str, names: list[str]) -> int:
+    """Switch a month to the newest published version of the named tables."""
     paths = {name: current_path(spark, f"{root}/{name}") for name in names}
-    return {name: _read(spark, f"{root}/{name}", path) for name, path in paths.items() if path is not None}
+    return commit(spark, root, {name: path for name, path in paths.items() if path is not None})
+
+
+def _pinned(spark: SparkSession, table_dir: str) -> set[int]:
+    """Versions of a table that its month's snapshot names."""
+    root, name = table_dir.rsplit("/", 1)
+    tail = (snapshot(spark, root) or {}).get(name, "").rsplit("/", 1)[-1]
+    return {int(tail.removeprefix("v="))} if tail.startswith("v=") else set()
 
 
 def next_version(spark: SparkSession, table_dir: str) -> str:
@@ -263,6 +330,7 @@ def materialize_model(
     cep_geo: DataFrame | None = None,
     partitions: int | None = None,
     inputs: str = "",
+    switch: bool = True,
 ) -> Registry:
     """Write the model in dependency order and return a registry reading it.
 
@@ -274,8 +342,9 @@ def materialize_model(
     bridge, the resolved partners and the hierarchy from the written tables.
     Each raw derivation (key concatenation, capital parse) therefore runs once
     instead of once per dependent table, and every stage is skipped when its
-    tables are current, so a re-run after a failure resumes where it stopped. A
-    month's first marker comes last; later versions replace older ones table by table.
+    tables are current, so a re-run after a failure resumes where it stopped. With
+    ``switch`` the last step makes these versions the month; without it the caller does
+    (:func:`commit_current`), and readers keep what they had.
     """
     from regframe.operators import model
 
@@ -301,8 +370,17 @@ def materialize_model(
         partitions,
         inputs,
     )
+    frames = {**base, **derived}
+    if switch:
+        complete(spark, root, [n for n, df in frames.items() if df is not None])
+    return Registry(frames, ano_mes=ano_mes, data_ref=data_ref)
+
+
+def complete(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Make the newest published versions of the tables the month (in one step), and
+    mark the month as one that may be used."""
+    commit_current(spark, root, names)
     touch(spark, f"{root}/{MODEL_MARKER}")
-    return Registry({**base, **derived}, ano_mes=ano_mes, data_ref=data_ref)
 
 
 MODEL_MARKER = "_MODEL_COMPLETE"
@@ -344,10 +422,11 @@ def compact_base(spark: SparkSession, root: str, *, target_files: int | None = N
     """Compact every table of a month or model; all row counts are compared before
     the first new version is published. Without ``target_files`` each table gets as
     many files of about ``file_bytes`` as its bytes need."""
-    names = [n for n in list_dirs(spark, root) if not n.startswith("_") and current_path(spark, f"{root}/{n}")]
+    held = snapshot(spark, root)
+    names = [n for n in (held or list_dirs(spark, root)) if not n.startswith("_") and table_path(spark, root, n, held)]
 
     def files(name: str) -> int:
-        return target_files or max(1, -(-_bytes(spark, current_path(spark, f"{root}/{name}")) // file_bytes))
+        return target_files or max(1, -(-_bytes(spark, table_path(spark, root, name, held)) // file_bytes))
 
     return compact_tables(spark, {f"{root}/{n}": (files(n), LAYOUT.get(n)) for n in names})
 
@@ -361,8 +440,8 @@ def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]
     done = []
     for table_dir, (target_files, key) in tables.items():
         t0 = time.time()
-        src_path = current_path(spark, table_dir)
-        src = read_current(spark, table_dir)
+        src_path = table_path(spark, *table_dir.rsplit("/", 1))
+        src = read_version(spark, table_dir, src_path)
         # round-robin: balanced files whatever the key skew; sorted by key inside
         df = src.repartition(target_files)
         df = df.sortWithinPartitions(key) if key else df
@@ -387,8 +466,15 @@ def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]
         for d in done:
             delete(spark, d["destino"])
         raise RuntimeError("row counts differ after rewrite: " + ", ".join(d["tabela"] for d in wrong))
+    months: dict[str, dict[str, str]] = {}
     for d in done:
-        publish(spark, d.pop("destino"))
+        path = d.pop("destino")
+        publish(spark, path)
+        root, name = d["tabela"].rsplit("/", 1)
+        months.setdefault(root, {})[name] = path
+    for root, changed in months.items():
+        if snapshot(spark, root) is not None:
+            commit(spark, root, changed)
     return done
 
 
@@ -400,11 +486,13 @@ def _own_files(spark: SparkSession, path: str) -> int:
 
 def expire_versions(spark: SparkSession, table_dir: str, *, keep: int = 1, dry_run: bool = False) -> list[str]:
     """Delete published versions beyond the newest ``keep``, and unfinished versions
-    older than the current one; returns what was (or would be) removed."""
+    older than the current one, but none that the month's snapshot names; returns what was
+    (or would be) removed."""
     kept = published(spark, table_dir)[: max(keep, 1)]
     if not kept:
         return []  # nothing is published: whatever is there may still be finished
-    gone = [f"{table_dir}/v={v}" for v in _versions(spark, table_dir) if v not in kept and v < kept[0]]
+    held = {*kept, *_pinned(spark, table_dir)}
+    gone = [f"{table_dir}/v={v}" for v in _versions(spark, table_dir) if v not in held and v < kept[0]]
     if not dry_run:
         for g in gone:
             delete(spark, g)

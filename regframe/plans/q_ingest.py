@@ -29,6 +29,8 @@ _TAG = "K03200Y0.D60925"
 _SHORT = 21
 #: Bytes of a compacted file of the small test bases.
 _FILE_BYTES = 4 << 20
+#: Blocks that the raw files of the test dumps are cut into.
+_BLOCK_BYTES = 256 << 10
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -78,10 +80,11 @@ def load_two_steps(reg, spark, sf_dir):
         _put(a["codes"][table].coalesce(1), folder, "F", suffix)
         _put(a["codes"][table].coalesce(1), folder, "G", suffix)  # a second file of the table: not taken
     _put(est.limit(5), folder, "A", "K03200Y0.D60825.ESTABELE")  # another month: not taken
-    load.load_dump(spark, folder, base, text_index=False, validate=False)
+    load.load_dump(spark, folder, base, text_index=False, validate=False, block_bytes=_BLOCK_BYTES)
     late = est.where(~first)
-    _put(late.select(*late.columns[:_SHORT]), folder, "B", f"{_TAG}.ESTABELE")
-    load.load_dump(spark, folder, base, text_index=False, validate=False)
+    # one large file, which is cut into blocks inside its records
+    _put(late.select(*late.columns[:_SHORT]).coalesce(1), folder, "B", f"{_TAG}.ESTABELE")
+    load.load_dump(spark, folder, base, text_index=False, validate=False, block_bytes=_BLOCK_BYTES)
     got = load.open_base(spark, base)
     rows = got["estabelecimento"].join(got["empresas"].select("cnpj_basico", "razao_social"), "cnpj_basico", "left")
     cities = got["municipio"].select(F.col("codigo").alias("municipio"), F.col("descricao").alias("cidade"))
@@ -138,6 +141,79 @@ def reload_month(reg, spark, sf_dir):
     return load.open_base(spark, base)["empresas"].select("cnpj_basico", "razao_social", "capital_social")
 
 
+def _dump_of(spark, sf_dir, folder: str, *, firms: DataFrame | None = None, est: DataFrame | None = None, partners: bool = True) -> None:
+    """A raw dump of the derived registry, or of the given frames, in ``folder``."""
+    a = starmap.inputs(spark, sf_dir)
+    raw = a["raw"]
+    _put(raw["estabelecimento"] if est is None else est, folder, "A", f"{_TAG}.ESTABELE")
+    _put(raw["empresas"] if firms is None else firms, folder, "A", f"{_TAG}.EMPRECSV")
+    if partners:
+        _put(raw["socios_original"], folder, "A", f"{_TAG}.SOCIOCSV")
+    _put(a["codes"]["cnae"].coalesce(1), folder, "F", "CNAECSV")
+
+
+@query(
+    "reload_failed_keeps_month",
+    """SELECT u.cnpj, u.uf, e.razao_social, (SELECT count(*) FROM estabelecimento_cnae b WHERE b.cnpj = u.cnpj) AS atividades
+       FROM estabelecimento u JOIN empresas e USING (cnpj_basico)""",
+)
+def reload_failed_keeps_month(reg, spark, sf_dir):
+    """A reload that stops after some tables of the month were written: readers still see
+    the old month whole, and a compaction in between does not mix the two."""
+    base, first, second = (_folder(spark, n) for n in ("base", "dump", "dump"))
+    _dump_of(spark, sf_dir, first)
+    load.load_dump(spark, first, base, text_index=False, validate=False)
+    raw = starmap.inputs(spark, sf_dir)["raw"]
+    _dump_of(
+        spark, sf_dir, second, firms=raw["empresas"].withColumn("razao_social", F.lit("DEPOIS")),
+        est=raw["estabelecimento"].where("uf < 'U2'"),
+    )
+    broken = reg["cnae_hierarquia"].select("classe", *[F.raise_error(F.lit("stopped")).cast("string").alias(c) for c in _CLASS_COLUMNS])
+    month = maintain.snapshot_path(base, maintain.current_month(spark, base))
+    before = maintain.snapshot(spark, month)
+    try:
+        load.load_dump(spark, second, base, cnae_classes=broken, text_index=False, validate=False)
+    except Exception as stopped:  # the reload must fail, and only here
+        if "stopped" not in str(stopped):
+            raise
+    if maintain.snapshot(spark, month) != before:
+        raise RuntimeError("a reload that failed switched the month")
+    maintain.compact_base(spark, month, file_bytes=_FILE_BYTES)
+    got = load.open_base(spark, base)
+    n = got["estabelecimento_cnae"].groupBy("cnpj").agg(F.count("*").alias("atividades"))
+    rows = got["estabelecimento"].join(got["empresas"], "cnpj_basico").join(n, "cnpj", "left")
+    return rows.select("cnpj", "uf", "razao_social", F.coalesce("atividades", F.lit(0)).alias("atividades"))
+
+
+_CLASS_COLUMNS = ("classe_desc", "grupo", "grupo_desc", "divisao", "divisao_desc", "secao", "secao_desc")
+
+
+@query(
+    "upgrade_dimensions",
+    """SELECT u.cnpj, u.cnae_fiscal, h.secao, h.divisao, (SELECT count(*) FROM estabelecimento_cnae b WHERE b.cnpj = u.cnpj) AS atividades
+       FROM estabelecimento u LEFT JOIN cnae_hierarquia h ON h.cnae = u.cnae_fiscal""",
+)
+def upgrade_dimensions(reg, spark, sf_dir):
+    """A base loaded without dimensions gets the activity hierarchy and a new bridge by an
+    upgrade; no other table is written again."""
+    base, folder = _folder(spark, "base"), _folder(spark, "dump")
+    _dump_of(spark, sf_dir, folder)
+    load.load_dump(spark, folder, base, text_index=False, validate=False)
+    month = maintain.snapshot_path(base, maintain.current_month(spark, base))
+    before = maintain.snapshot(spark, month)
+    classes = starmap.inputs(spark, sf_dir)["cnae_classes"]
+    done = load.upgrade(spark, base, cnae_classes=classes, text_index=False, validate=False)["reconstruidos"]
+    after = maintain.snapshot(spark, month)
+    kept = {k for k in before if not k.startswith("_") and after[k] == before[k]}
+    if kept != {k for k in before if not k.startswith("_")} - set(done):
+        raise RuntimeError(f"an upgrade of {done} changed other tables")
+    got = load.open_base(spark, base)
+    h = got["cnae_hierarquia"].select(F.col("cnae").alias("cnae_fiscal"), "secao", "divisao")
+    n = got["estabelecimento_cnae"].groupBy("cnpj").agg(F.count("*").alias("atividades"))
+    rows = got["estabelecimento"].join(h, "cnae_fiscal", "left").join(n, "cnpj", "left")
+    return rows.select("cnpj", "cnae_fiscal", "secao", "divisao", F.coalesce("atividades", F.lit(0)).alias("atividades"))
+
+
 _LITERALS = (
     "SELECT uf, 'a /* b */ c' AS t1, 'x -- y' AS t2, 'drop; it''s' AS t3, count(*) AS n "
     "FROM estabelecimento /* it's a comment */ GROUP BY uf -- the end"

@@ -1,9 +1,9 @@
 """Readers of the raw monthly dump: headerless ``;`` text in CP1252.
 
-Quoted fields may hold newlines, so a file is read whole by one task
-(``multiLine``); everything after the scan runs in parallel. Short rows are
-padded with NULL (PERMISSIVE); every column stays text. The CP1252 charset
-needs ``spark.sql.legacy.javaCharsets`` — it is switched on for the reader.
+Quoted fields may hold newlines; files are cut into blocks all the same
+(:mod:`regframe.sources.records`). Short rows are padded with NULL (PERMISSIVE); every
+column stays text. The CP1252 charset needs ``spark.sql.legacy.javaCharsets``, which is
+switched on for the reader.
 """
 
 from __future__ import annotations
@@ -11,29 +11,41 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regframe.operators import maintain
 from regframe.schemas import SIMPLES_COLUMNS, text_schema
+from regframe.sources import records
 
 ENCODING = "windows-1252"
 
 
-def csv_options(reader, *, encoding: str = ENCODING):
-    return (
-        reader.option("sep", ";")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", encoding)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("header", False)
-    )
+#: How one record is read.
+CSV_OPTIONS = {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
 
 
 def enable_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
+def read_files(spark: SparkSession, directory: str, names: list[str], columns: list[str], *, block_bytes: int | None = None) -> DataFrame:
+    """The rows of raw files in one batch plan (``columns`` and ``_arquivo``); call its
+    actions inside ``records.grid`` with the same ``block_bytes``."""
+    enable_charsets(spark)
+    with records.grid(spark, block_bytes):
+        found = records.lines(spark.read, directory, names)
+        got = records.decoded(records.pieces(found, records.block_starts(found)), ENCODING)
+    return rows_of(got, columns)
+
+
+def rows_of(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows out of pieces (``_arquivo, _bloco, _parte, _texto``): whole records, and those
+    joined from fragments."""
+    whole = found.where(F.col("_parte") == records.WHOLE).select("_arquivo", "_texto")
+    torn = records.joined(found.where(F.col("_parte") != records.WHOLE))
+    return records.parsed(whole.unionByName(torn), text_schema(columns), CSV_OPTIONS)
+
+
 def list_files(spark: SparkSession, directory: str) -> list[str]:
     """File names directly under ``directory`` (driver-side listing, metadata only)."""
     fs, p = maintain._fs(spark, directory)

@@ -6,12 +6,18 @@ committed, so a re-run (after a crash, a lost executor or a new file arriving
 for the same month) lands only what is missing, exactly once, and the
 Parquet sink's metadata log hides partial output from readers.
 
+A file is cut into blocks even where fields hold line breaks
+(:mod:`regframe.sources.records`): a batch job over the files that are not landed yet
+counts quotes by block, the stream meets its blocks with that table, lands whole records
+as rows, and what blocks hold of torn records as fragments, which readers join.
+
 Landed data of a month lives in generations ``_raw/g=<k>``. New files join the
 current generation. A file that changed or vanished after it was landed cannot be
 taken back out of a sink, so it starts the next generation, which lands everything
-again; so does ``resume=False``. The manifest of a generation (file, size, time)
-tells the cases apart. A kind whose raw files were removed after landing keeps its
-landed rows (the raw dump may be cleared once it is loaded).
+again; so does ``resume=False``. Size and time of every file are noted before it is landed
+(``_PLANNED``) and when its run has ended (``_MANIFEST``), so that a file replaced after
+a run that was cut short counts as changed too. A kind whose raw files were removed after
+landing keeps its landed rows (the raw dump may be cleared once it is loaded).
 """
 
 from __future__ import annotations
@@ -23,16 +29,24 @@ from pyspark.sql import functions as F
 
 from regframe.operators import maintain
 from regframe.schemas import CODE_COLUMNS, CODE_TABLES, RAW_KINDS, text_schema
-from regframe.sources import dump
+from regframe.sources import dump, records
 
 
-def _stream(spark: SparkSession, directory: str, names: list[str], columns: list[str], max_files: int | None):
-    dump.enable_charsets(spark)
-    r = dump.csv_options(spark.readStream.schema(text_schema(columns)))
-    r = r.option("pathGlobFilter", "{" + ",".join(names) + "}")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.csv(directory).withColumn("_arquivo", F.col("_metadata.file_name"))
+def _stream(spark: SparkSession, directory: str, names: list[str], columns: list[str], starts: DataFrame, max_files: int | None):
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+    found = records.decoded(records.pieces(records.lines(reader, directory, names), starts), dump.ENCODING)
+    # the columns of a whole record; a fragment keeps its text instead
+    whole = F.col("_parte") == records.WHOLE
+    text = found.withColumn("_fragmento", F.when(~whole, F.col("_texto")))
+    return records.parsed(text, text_schema(columns), dump.CSV_OPTIONS, keep=~whole)
+
+
+def _block_starts(spark: SparkSession, directory: str, names: list[str], path: str) -> DataFrame:
+    """The state of every block of the named files, written under ``path`` (a row a block)."""
+    if names:
+        records.block_starts(records.lines(spark.read, directory, names)).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    return spark.createDataFrame([], "in_file string, in_block long, inside boolean")
 
 
 def plan_files(names: list[str], ano_mes: str) -> dict[str, tuple[list[str], list[str]]]:
@@ -58,22 +72,20 @@ def _stamps(spark: SparkSession, directory: str, plan: dict) -> dict[str, str]:
     }
 
 
-def _manifest(spark: SparkSession, root: str) -> dict[str, str]:
-    text = maintain.get_text(spark, f"{root}/_MANIFEST") or ""
+def _noted(spark: SparkSession, path: str) -> dict[str, str]:
+    text = maintain.get_text(spark, path) or ""
     return dict(line.split("\t") for line in text.splitlines())
 
 
+def _note(spark: SparkSession, path: str, stamps: dict[str, str]) -> None:
+    maintain.put_text(spark, path, "\n".join(f"{n}\t{s}" for n, s in sorted(stamps.items())))
+
+
 def _generations(spark: SparkSession, raw_root: str) -> list[int]:
     names = (d.removeprefix("g=") for d in maintain.list_dirs(spark, raw_root) if d.startswith("g="))
     return sorted(int(n) for n in names if n.isdigit())
 
 
-def current_root(spark: SparkSession, raw_root: str) -> str | None:
-    """The newest generation that was landed to its end."""
-    done = [g for g in _generations(spark, raw_root) if maintain.exists(spark, f"{raw_root}/g={g}/_MANIFEST")]
-    return f"{raw_root}/g={done[-1]}" if done else None
-
-
 def land(
     spark: SparkSession,
     directory: str,
@@ -82,33 +94,43 @@ def land(
     ano_mes: str,
     resume: bool = True,
     max_files_per_trigger: int | None = None,
+    block_bytes: int | None = None,
 ) -> tuple[str, dict[str, int]]:
     """Land every pending raw file of the month; returns the generation's directory
-    and the rows landed by this run per kind."""
+    and the rows landed by this run per kind. ``block_bytes``: size of the blocks that
+    files are cut into (default: the session's)."""
     plan = plan_files(dump.list_files(spark, directory), ano_mes)
     stamps = _stamps(spark, directory, plan)
     known = _generations(spark, raw_root)
     number = known[-1] if known else 1
-    before = _manifest(spark, f"{raw_root}/g={number}") if known else {}
-    changed = any(n in stamps and stamps[n] != s for n, s in before.items())
+    before = _noted(spark, f"{raw_root}/g={number}/_MANIFEST") if known else {}
+    planned = _noted(spark, f"{raw_root}/g={number}/_PLANNED") if known else {}
+    changed = any(n in stamps and stamps[n] != s for n, s in (planned | before).items())
     if known and (changed or not resume):
-        number, before = number + 1, {}
+        number, before, planned = number + 1, {}, {}
     root = f"{raw_root}/g={number}"
+    _note(spark, f"{root}/_PLANNED", planned | stamps)
 
+    dump.enable_charsets(spark)
     had = {kind: _rows(spark, root, kind) for kind in plan}
-    # All kinds run at once: landing one after the other would leave a cluster idle.
-    queries = {
-        kind: (
-            _stream(spark, directory, names, cols, max_files_per_trigger)
-            .writeStream.format("parquet")
-            .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
-            .option("path", f"{root}/{kind}")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        for kind, (names, cols) in plan.items()
-    }
+    with records.grid(spark, block_bytes):
+        starts = {
+            kind: _block_starts(spark, directory, [n for n in names if n not in before], f"{root}/_blocks/{kind}")
+            for kind, (names, _) in plan.items()
+        }
+        # All kinds run at once: landing one after the other would leave a cluster idle.
+        queries = {
+            kind: (
+                _stream(spark, directory, names, cols, starts[kind], max_files_per_trigger)
+                .writeStream.format("parquet")
+                .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
+                .option("path", f"{root}/{kind}")
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+            for kind, (names, cols) in plan.items()
+        }
     try:
         for q in queries.values():
             q.awaitTermination()
@@ -117,8 +139,7 @@ def land(
             if q.isActive:
                 q.stop()
         raise
-    everything = sorted((before | stamps).items())
-    maintain.put_text(spark, f"{root}/_MANIFEST", "\n".join(f"{n}\t{s}" for n, s in everything))
+    _note(spark, f"{root}/_MANIFEST", before | stamps)
     # counted in what the sink committed: a stream's progress keeps only its last batches
     return root, {kind: _rows(spark, root, kind) - had[kind] for kind in plan}
 
@@ -129,7 +150,13 @@ def _rows(spark: SparkSession, root: str, kind: str) -> int:
 
 
 def read_landed(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
-    """A landed raw table (committed files only), or None when never landed."""
+    """A landed raw table (committed files only) with its ``_arquivo``, or None when never
+    landed. Records torn by a cut of their file are put together here."""
     if not maintain.exists(spark, f"{root}/{kind}/_spark_metadata"):
         return None
-    return spark.read.parquet(f"{root}/{kind}")
+    found = spark.read.parquet(f"{root}/{kind}")
+    columns = [c for c in found.columns if c not in ("_arquivo", "_bloco", "_parte", "_fragmento")]
+    whole = found.where(F.col("_parte") == records.WHOLE).select(*columns, "_arquivo")
+    fragments = found.where(F.col("_parte") != records.WHOLE).select("_arquivo", "_bloco", "_parte", F.col("_fragmento").alias("_texto"))
+    torn = records.parsed(records.joined(fragments), text_schema(columns), dump.CSV_OPTIONS)
+    return whole.unionByName(torn)
