@@ -4,13 +4,13 @@ Input: a DataFrame ``(pos, entrada)``. Output: one row per input row (more
 when a base key has two head offices, as published), ``encontrado``/``erro``/
 ``dv_valido`` flags and 37 registry columns, ordered by ``pos``.
 
-One lazy plan. Every big table is reduced by a semi join with the list's keys before
-the outer joins, so the right side of each left join is only the matching rows; the
-company key is the front of the full key, so companies and simples are reduced by the
-list too and do not wait for the establishments. The planner broadcasts a side by its
-bytes. Rows without a key to look up take no part in the joins and come back by a
-union, so they do not all meet in one task. Write a list read from an unstable source
-to a table first: its positions are read more than once.
+Two steps. The list is parsed and resolved once (a full key stands for itself, a base key
+for its head offices) and kept as a table in the shared folder, so that the planner
+knows its size. Then every big table is scanned once, reduced to the list by a semi
+join (establishments by target, companies and simples by the front of the target: none
+waits for another), and what is left meets the list: companies and simples by company
+key, establishments by full key. Rows without a target take no part in the joins and
+come back by a union, so they do not all meet in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from regframe.bundle import Registry
 from regframe.functions import ids
 from regframe.functions.labels import status_label
 from regframe.operators import geo
+from regframe.session import written
 
 OUTPUT_COLUMNS = [
     "pos",
@@ -91,37 +92,40 @@ def entries_from_list(spark: SparkSession, values: list) -> DataFrame:
     return spark.createDataFrame(rows)  # a local relation, whose size the planner knows
 
 
-def enrich(reg: Registry, entries: DataFrame) -> DataFrame:
-    """Enrich ``(pos, entrada)``."""
+def resolve(reg: Registry, entries: DataFrame) -> DataFrame:
+    """``pos, entrada, chave, cnpj_alvo, base`` of a list, written to the shared folder: the
+    normalised key, the establishment it stands for and that one's company key."""
     strip = F.regexp_replace(F.coalesce(F.col("entrada"), F.lit("")), r"^\s+|\s+$", "")
     ent = ids.with_list_key(entries.select("pos", strip.alias("entrada")), "entrada", "chave")
-    full = F.length("chave") == 14
-    by_base = ent.where(F.length("chave") == 8)
-    heads = reg["cnpj_base2matriz"].select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("cnpj_alvo"))
-    heads = heads.join(by_base.select(F.col("chave").alias("_hb")), "_hb", "left_semi")
-    asked = ent.where(full).withColumn("cnpj_alvo", F.col("chave")).unionByName(
-        by_base.join(heads, F.col("chave") == F.col("_hb"), "left").drop("_hb")
-    )
+    by_base = F.length("chave") == 8
+    heads = reg["cnpj_base2matriz"].select(F.col("cnpj_basico").alias("_hb"), F.col("cnpj").alias("_head"))
+    asked = ent.where(by_base)
+    heads = heads.join(asked.select(F.col("chave").alias("_hb")), "_hb", "left_semi")
+    listed = asked.join(heads, F.col("chave") == F.col("_hb"), "left")
+    plain = ent.where(F.coalesce(~by_base, F.lit(True))).select("*", F.col("chave").alias("cnpj_alvo"))
+    both = plain.unionByName(listed.drop("_hb").withColumnRenamed("_head", "cnpj_alvo"))
+    return written(both.withColumn("base", F.substring("cnpj_alvo", 1, 8)), "regframe-lists")
+
 
+def enrich(reg: Registry, entries: DataFrame) -> DataFrame:
+    """Enrich ``(pos, entrada)``."""
+    asked = resolve(reg, entries)
+    full = F.length("chave") == 14
     # rows with something to look up; the rest is only echoed
-    wanted = asked.where(F.col("cnpj_alvo").isNotNull())
-    echoed = asked.where(F.col("cnpj_alvo").isNull()).unionByName(
-        ent.where(F.col("chave").isNull()).withColumn("cnpj_alvo", F.lit(None).cast("string"))
-    )
-    # The big tables meet plain columns of the list, whose size is known: listed full
-    # keys, and head offices of listed base keys that are not listed themselves.
-    listed = ent.where(full).select(F.col("chave").alias("cnpj"))
-    bases = by_base.select(F.col("chave").alias("cnpj_basico"))
-    every = ent.where(F.col("chave").isNotNull()).select(F.substring("chave", 1, 8).alias("cnpj_basico"))
-    est = reg["estabelecimento"].select(*EST_COLUMNS)
-    est_heads = est.where(F.col("matriz_filial") == "1").join(bases, "cnpj_basico", "left_semi")
-    est = est.join(listed, "cnpj", "left_semi").unionByName(est_heads.join(listed, "cnpj", "left_anti"))
-    emp = reg["empresas"].select("cnpj_basico", *EMP_COLUMNS).join(every, "cnpj_basico", "left_semi")
-    si = reg["simples"].select("cnpj_basico", "opcao_simples", "opcao_mei").join(every, "cnpj_basico", "left_semi")
-
-    found = est.join(emp, "cnpj_basico", "left").join(si, "cnpj_basico", "left")
-    j = wanted.join(found, F.col("cnpj_alvo") == F.col("cnpj"), "left")
-    j = j.unionByName(echoed, allowMissingColumns=True)
+    wanted = asked.where("cnpj_alvo is not null")
+    echoed = asked.where("cnpj_alvo is null")
+    targets, bases = wanted.select(F.col("cnpj_alvo").alias("cnpj")), wanted.select(F.col("base").alias("cnpj_basico"))
+    est = reg["estabelecimento"].select(*EST_COLUMNS).join(targets, "cnpj", "left_semi")
+    emp = reg["empresas"].select("cnpj_basico", *EMP_COLUMNS).join(bases, "cnpj_basico", "left_semi")
+    si = reg["simples"].select("cnpj_basico", "opcao_simples", "opcao_mei").join(bases, "cnpj_basico", "left_semi")
+    firms = wanted
+    for side in (emp, si):
+        firms = firms.join(side.withColumnRenamed("cnpj_basico", "_b"), F.col("base") == F.col("_b"), "left").drop("_b")
+    j = firms.join(est, F.col("cnpj_alvo") == F.col("cnpj"), "left")
+    # a target that is no establishment has no company either
+    missing = F.col("cnpj").isNull()
+    j = j.withColumns({c: F.when(~missing, F.col(c)) for c in (*EMP_COLUMNS, "opcao_simples", "opcao_mei")})
+    j = j.unionByName(echoed, allowMissingColumns=True).drop("base")
     for dim, code, name in (
         ("natureza_juridica", "natureza_juridica", "natureza_juridica_desc"),
         ("cnae", "cnae_fiscal", "cnae_descricao"),

@@ -1,6 +1,7 @@
 """Filtered establishment search (all arguments optional, AND-ed).
 
-One lazy plan; nothing runs before the caller asks for rows. Every predicate comes
+One lazy plan (but for a fuzzy name query, which first scores the few names that a
+native bound lets through). Every predicate comes
 before the join of the two big tables: establishment predicates reach the Parquet
 scan, dimension predicates (codes, levels, municipality names) are semi joins to
 small frames, simples flags are semi or anti joins on the company key, and company
@@ -24,6 +25,7 @@ from regframe.functions.ids import py_digits
 from regframe.functions.text import like_contains
 from regframe.operators import filters, geo, textsearch
 from regframe.schemas import DEFAULT_QUERY_LIMIT, MAX_QUERY_LIMIT
+from regframe.session import written
 
 OUTPUT_COLUMNS = [
     "cnpj",
@@ -205,24 +207,28 @@ def _joined(est: DataFrame, emp: DataFrame, q: str | None, mode: str) -> DataFra
     """Establishments with their company, of those where either name matches ``q``."""
     if not q:
         return est.join(emp, "cnpj_basico")
-    if mode == "fuzzy":
-        emp = emp.join(est.select("cnpj_basico"), "cnpj_basico", "left_semi")  # only names that may come out are scored
-    companies = _name_hits(emp, "razao_social", q, mode)
+    alike = _alike(est, emp, q) if mode == "fuzzy" else None
+    companies = _name_hits(emp, "razao_social", q, alike)
     others = emp.join(companies.select("cnpj_basico"), "cnpj_basico", "left_anti")
     by_company = est.join(companies, "cnpj_basico")
-    return by_company.unionByName(_name_hits(est, "nome_fantasia", q, mode).join(others, "cnpj_basico"))
+    return by_company.unionByName(_name_hits(est, "nome_fantasia", q, alike).join(others, "cnpj_basico"))
 
 
-def _name_hits(df: DataFrame, col: str, q: str, mode: str) -> DataFrame:
-    """Rows whose name contains ``q`` or, in fuzzy mode, is like it. Rows without a name
-    never match, so they do not meet on one join key."""
+def _alike(est: DataFrame, emp: DataFrame, q: str) -> DataFrame:
+    """``_nm``: every name of either kind that is like ``q``, each scored once and kept as a
+    table, so that the joins that follow know how few there are."""
+    names = est.select(F.col("nome_fantasia").alias("nome")).unionByName(emp.select(F.col("razao_social").alias("nome")))
+    return written(textsearch.fuzzy_name_hits(names, "nome", q), "regframe-names")
+
+
+def _name_hits(df: DataFrame, col: str, q: str, alike: DataFrame | None) -> DataFrame:
+    """Rows whose name contains ``q`` or is one of ``alike``. Rows without a name never
+    match, so they do not meet on one join key."""
     contains = textsearch.ilike_any(q, col)
-    hits = df.where(contains)
-    if mode != "fuzzy":
-        return hits
-    rest = df.where(~contains & (F.coalesce(F.col(col), F.lit("")) != ""))
-    alike = textsearch.fuzzy_name_hits(rest.select(col), col, q)
-    return hits.unionByName(rest.join(alike, F.lower(F.col(col)) == F.col("_nm"), "left_semi"))
+    if alike is None:
+        return df.where(contains)
+    marked = alike.withColumn("_alike", F.lit(True))
+    return df.join(marked, F.lower(F.col(col)) == F.col("_nm"), "left").where(contains | F.col("_alike")).drop("_nm", "_alike")
 
 
 EXPORT_FORMATS = ("csv", "json", "parquet")

@@ -14,9 +14,11 @@ rows (bounded by the number of query words, broadcast) and sums per document.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regframe.operators import maintain
@@ -136,26 +138,57 @@ def top_k(index: BM25Index, q: str, k: int) -> DataFrame:
     return s.orderBy(F.desc("score"), F.asc(index.key)).limit(k)
 
 
-def fuzzy_name_hits(names: DataFrame, col: str, q: str, threshold: float = 0.85) -> DataFrame:
-    """Distinct lower-cased values of ``col`` with Jaro-Winkler >= threshold to ``q``.
+#: A score this far below the threshold is taken for rounding.
+_ROUNDING = 1e-9
+
+
+def similarity_bound(name: Column, q: str) -> Column:
+    """Greatest Jaro-Winkler similarity that ``name`` can have to ``q``, from counts alone.
 
-    Exact native prune first: Jaro <= (2 + shorter/longer) / 3 and a score of
-    0.85 needs Jaro >= 0.75 even with the full prefix boost, so a byte-length
-    ratio under 0.25 can never match. Only the survivors reach the Python UDF,
-    once per distinct name.
+    Characters that match are common to both, so there are at most as many as the two
+    multisets share: by byte for the ASCII characters of ``q``, all other bytes together.
+    Without transpositions that many matches give the greatest Jaro value, and the common
+    beginning gives the greatest boost. Only native functions: it runs before any Python.
     """
-    ql = q.lower()
-    qlen = len(ql.encode())
-    nm = names.select(F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_nm")).distinct()
-    ln = F.octet_length("_nm")
-    ratio_ok = (F.least(ln, F.lit(qlen)) * 4 >= F.greatest(ln, F.lit(qlen))) & (ln > 0)
-    cand = nm.where(ratio_ok) if qlen > 0 else nm.where(F.lit(False))
+    data = q.encode()
+    ascii_ = sorted({c for c in q if c.isascii()})
+    length = F.octet_length(name)
+    held = lambda c: length - F.octet_length(F.replace(name, F.lit(c), F.lit("")))
+    terms = [F.least(held(c), F.lit(q.count(c))) for c in ascii_]
+    if len(data) > sum(q.count(c) for c in ascii_):
+        others = F.octet_length(F.regexp_replace(name, "[\\x00-\\x7f]", ""))
+        terms.append(F.least(others, F.lit(sum(b > 127 for b in data))))
+    common = functools.reduce(operator.add, terms, F.lit(0))
+    jaro = F.when(common > 0, (common / length + common / len(data) + 1) / 3).otherwise(F.lit(0.0))
+    prefix = F.lit(0)
+    for n in range(1, 5):
+        prefix = F.when(F.substring(name, 1, n) == q[:n], F.lit(n)).otherwise(prefix)
+    # the boost counts bytes, and letters may share their first one: then take the most
+    first = F.substring(name, 1, 4)
+    boost = F.when(F.octet_length(first) > F.length(first), F.lit(4)).otherwise(prefix)
+    return F.when(jaro > 0.7, jaro + boost * 0.1 * (1 - jaro)).otherwise(jaro)
+
+
+def fuzzy_name_hits(names: DataFrame, col: str, q: str, threshold: float = 0.85) -> DataFrame:
+    """Distinct lower-cased values of ``col`` with Jaro-Winkler >= threshold to ``q``."""
+    found = fuzzy_candidates(names, col, q, threshold)
     # Marked nondeterministic so the optimizer keeps the filter above the
     # distinct: a deterministic predicate on the grouping column would be pushed
     # below the aggregate and the UDF would then run once per row, not once per
     # distinct name.
     once = jaro_winkler.asNondeterministic()
-    return cand.where(once(F.col("_nm"), F.lit(ql)) >= threshold).select("_nm")
+    return found.where(once(F.col("_nm"), F.lit(q.lower())) >= threshold).select("_nm")
+
+
+def fuzzy_candidates(names: DataFrame, col: str, q: str, threshold: float = 0.85) -> DataFrame:
+    """Distinct lower-cased values of ``col`` that may reach the threshold: an exact prune
+    by :func:`similarity_bound` before the distinct, so that only candidates are shuffled."""
+    ql = q.lower()
+    name = F.lower(F.coalesce(F.col(col), F.lit("")))
+    nm = names.select(name.alias("_nm")).where(F.col("_nm") != "")
+    if not ql:
+        return nm.where(F.lit(False))
+    return nm.where(similarity_bound(F.col("_nm"), ql) >= threshold - _ROUNDING).distinct()
 
 
 def ilike_any(q: str, *cols: str):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, of a size the planner knows."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)

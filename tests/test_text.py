@@ -106,15 +106,20 @@ def test_bm25_matches_brute_force(spark):
     assert textsearch.scores(idx, "123 !!").count() == 0
 
 
-def test_fuzzy_prune_is_exact(spark):
-    """Names removed by the length prune can never reach 0.85."""
+@pytest.mark.parametrize("q", ["abc ab", "é ção", "a", "aaaa bbbb", "éa"])
+def test_fuzzy_prune_is_exact(spark, q):
+    """The native bound is never below the similarity, and names it lets go never reach 0.85."""
     rnd = random.Random(11)
-    names = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 40))) for _ in range(300)]
-    q = "abc ab"
+    letters = "abc " if q.isascii() else "aècéão "
+    names = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, rnd.choice([8, 40])))) for _ in range(400)]
+    names += [q, q[::-1], q + "b", "b" + q]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = {r[0] for r in textsearch.fuzzy_name_hits(df, "n", q).collect()}
-    want = {n.lower() for n in names if jaro_winkler_bytes(n.lower().encode(), q.encode()) >= 0.85}
-    assert got == want
+    score = {n.lower(): jaro_winkler_bytes(n.lower().encode(), q.encode()) for n in names}
+    bound = {r[0]: r[1] for r in df.select(F.lower("n"), textsearch.similarity_bound(F.lower("n"), q)).collect()}
+    assert all(bound[n] >= s - 1e-9 for n, s in score.items())
+    assert {r[0] for r in textsearch.fuzzy_name_hits(df, "n", q).collect()} == {n for n, s in score.items() if s >= 0.85}
+    if q.isascii():
+        assert textsearch.fuzzy_candidates(df, "n", q).count() < 0.7 * len(score)
 
 
 @pytest.mark.parametrize("q", ["", "   "])
