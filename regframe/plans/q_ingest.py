@@ -21,8 +21,10 @@ from regframe.operators import search as S
 from regframe.plans.catalog import query
 from regframe.plans.oracle_registry import dv_sql
 from regframe.plans.q_profile import establishments_sql
+from regframe.plans.q_quality import REPORT_SQL
+from regframe.schemas import CODE_TABLES
 from regframe.session import checkpoint_dir
-from regframe.sources import dump, keylist, starmap
+from regframe.sources import dims, dump, keylist, starmap
 
 _TAG = "K03200Y0.D60925"
 #: Columns of an establishment row that is cut short: what follows is empty.
@@ -214,6 +216,40 @@ def upgrade_dimensions(reg, spark, sf_dir):
     return rows.select("cnpj", "cnae_fiscal", "secao", "divisao", F.coalesce("atividades", F.lit(0)).alias("atividades"))
 
 
+@query("load_without_simples", "SELECT cnpj, opcao_simples, opcao_mei FROM estabelecimento CROSS JOIN (SELECT NULL AS opcao_simples, NULL AS opcao_mei)")
+def load_without_simples(reg, spark, sf_dir):
+    """A dump without the optional simples files loads all the same: no company has a flag."""
+    base, folder = _folder(spark, "base"), _folder(spark, "dump")
+    _dump_of(spark, sf_dir, folder)
+    load.load_dump(spark, folder, base, text_index=False, validate=False)
+    got = load.open_base(spark, base)
+    flags = got["simples"].select("cnpj_basico", "opcao_simples", "opcao_mei")
+    return got["estabelecimento"].join(flags, "cnpj_basico", "left").select("cnpj", "opcao_simples", "opcao_mei")
+
+
+@query("load_validated", "SELECT * EXCLUDE (ordem) FROM (" + REPORT_SQL + ")")
+def load_validated(reg, spark, sf_dir):
+    """The report that a load with validation keeps beside its tables."""
+    base, folder = _folder(spark, "base"), _folder(spark, "dump")
+    a = starmap.inputs(spark, sf_dir)
+    _dump_of(spark, sf_dir, folder)
+    suffixes = {table: suffix.lstrip(".") for suffix, table in CODE_TABLES}
+    for table, df in a["codes"].items():
+        if table != "cnae" and df is not None:
+            _put(df.coalesce(1), folder, "F", suffixes[table])
+    load.load_dump(spark, folder, base, municipio_ibge=a["municipio_ibge"], cnae_classes=a["cnae_classes"], text_index=False)
+    month = maintain.snapshot_path(base, maintain.current_month(spark, base))
+    return maintain.read_version(spark, f"{month}/_validacao", maintain.table_path(spark, month, "_validacao"))
+
+
+@query("dims_csv", "SELECT * FROM municipio_ibge")
+def dims_csv(reg, spark, sf_dir):
+    """The municipality dimension as the CSV file that bases are given, read back."""
+    folder = _folder(spark, "dims")
+    reg["municipio_ibge"].withColumn("capital", F.col("capital").cast("int")).write.option("header", True).csv(folder)
+    return dims.municipalities_from_csv(spark, folder).select(*reg["municipio_ibge"].columns)
+
+
 _LITERALS = (
     "SELECT uf, 'a /* b */ c' AS t1, 'x -- y' AS t2, 'drop; it''s' AS t3, count(*) AS n "
     "FROM estabelecimento /* it's a comment */ GROUP BY uf -- the end"

@@ -20,21 +20,25 @@ _OUT = (
 )
 
 
-def _search_sql(only: list[str], *, origin: str = "NULL", limit: int = 1000, ranked: bool = False) -> str:
+def _search_sql(only: list[str], *, origin: str = "NULL", limit: int = 1000, ranked: bool = False, dims: bool = True) -> str:
     """Establishments with their company, filtered, then decoded column by column.
 
     Predicates see the plain columns of both tables (``empresas`` joined by its key).
+    Without ``dims`` the optional dimensions are absent: their columns are NULL.
     """
     where = " AND ".join(only) or "true"
+    extra = {
+        "municipio_ibge": look("municipio_ibge", "codigo_ibge", "codigo_rf", "b.municipio"),
+        "latitude": look("municipio_ibge", "latitude", "codigo_rf", "b.municipio"),
+        "longitude": look("municipio_ibge", "longitude", "codigo_rf", "b.municipio"),
+        "cnae_secao": look("cnae_hierarquia", "secao", "cnae", "b.cnae_fiscal"),
+        "cnae_divisao": look("cnae_hierarquia", "divisao", "cnae", "b.cnae_fiscal"),
+    }
     decoded = columns(
         municipio_nome=look("municipio", "descricao", "codigo", "b.municipio"),
-        municipio_ibge=look("municipio_ibge", "codigo_ibge", "codigo_rf", "b.municipio"),
-        latitude=look("municipio_ibge", "latitude", "codigo_rf", "b.municipio"),
-        longitude=look("municipio_ibge", "longitude", "codigo_rf", "b.municipio"),
         cnae_descricao=look("cnae", "descricao", "codigo", "b.cnae_fiscal"),
-        cnae_secao=look("cnae_hierarquia", "secao", "cnae", "b.cnae_fiscal"),
-        cnae_divisao=look("cnae_hierarquia", "divisao", "cnae", "b.cnae_fiscal"),
         cnae_origem=origin,
+        **(extra if dims else dict.fromkeys(extra, "NULL")),
     )
     ranks = "JOIN fts USING (cnpj_basico)" if ranked else ""
     score, order = ("round(score, 6) AS _fts_score, ", "score DESC, cnpj") if ranked else ("", "cnpj")
@@ -85,6 +89,27 @@ def search_cnae_main(reg, spark, sf_dir):
     return _run(reg, cnae=_CODE, incluir_cnae_secundario=False)
 
 
+_LISTED = f"list_contains(string_split(coalesce(cnae_fiscal_secundaria, ''), ','), '{_CODE}')"
+
+
+@query(
+    "search_without_bridge",
+    _search_sql(
+        ["uf = 'U3'", f"(cnae_fiscal = '{_CODE}' OR {_LISTED})"],
+        origin=f"if(cnae_fiscal = '{_CODE}', 'principal', if({_LISTED}, 'secundario', NULL))",
+    ),
+)
+def search_without_bridge(reg, spark, sf_dir):
+    """The same search over a base without the activity bridge: the list column decides."""
+    return _run(reg.with_frames(estabelecimento_cnae=None), uf="u3", cnae=_CODE)
+
+
+@query("search_without_dimensions", _search_sql(["situacao_cadastral = '08'"], dims=False))
+def search_without_dimensions(reg, spark, sf_dir):
+    """A base without the optional dimensions: their columns are there, and NULL."""
+    return _run(reg.with_frames(municipio_ibge=None, cnae_hierarquia=None, cep_geo=None), situacao="08")
+
+
 @query("search_section", _search_sql([_in_level("secao", "J"), "situacao_cadastral = '02'"]))
 def search_section(reg, spark, sf_dir):
     return _run(reg, cnae_secao=" j", situacao="02")

@@ -145,8 +145,10 @@ def land(
 
 
 def _rows(spark: SparkSession, root: str, kind: str) -> int:
-    df = read_landed(spark, root, kind)
-    return 0 if df is None else df.count()
+    """Landed rows: whole records, and torn ones, each of which has one first fragment."""
+    if not maintain.exists(spark, f"{root}/{kind}/_spark_metadata"):
+        return 0
+    return spark.read.parquet(f"{root}/{kind}").where(F.col("_parte").isin(records.WHOLE, records.TAIL)).count()
 
 
 def read_landed(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
