@@ -30,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         new = common.written(
             step.join(up, F.col("comp") == F.col("up")).select("node", "was", F.least("comp", "up_comp").alias("comp")), "labels"
         )
+        common.dropped(lab)
         lab = new.select("node", "comp")
         if new.where("was <> comp").isEmpty():
+            common.dropped(both)
             return lab

@@ -1,28 +1,39 @@
 """N-gram Jaccard join: links of 0.75 or more between sets of five-word shingles.
 
-Equal sets are one class. Candidates come from prefix filtering, which is exact for
-any one order of the shingles: two sets that link share a shingle among the first
-``n - ceil(3n/4) + 1`` of each. The order puts frequent shingles last (at most
-``FREQUENT`` of them, which bounds the broadcast), then goes by hash. It only decides
-how many candidates there are, never which links.
-
-A group of classes that share a prefix shingle is first checked against a pivot of
-the group (linear in its size), round after round with another pivot, as long as
-at least ``WORTH`` of the pairs compared are links. Groups that still hold two
-components or more go to signature trees: classes are leaves, nodes hold the union of the token bitmaps, the
-size range and the component below them, and the tree is walked against itself.
-A node pair is dropped if the sizes cannot match, if both hold one and the same
-component, or if the greatest possible overlap (bits in common plus the tokens that
-share a bit) is less than a link needs. What is left is compared exactly. A large
-group is cut into blocks of ``BLOCK`` rows and walked by pairs of blocks.
+Equal sets (by size and a 128-bit hash) are one class, named by its least document.
+Candidates come from prefix filtering, which is exact for any one order of the
+shingles: two sets that link share a shingle among the first ``n - ceil(3n/4) + 1`` of
+each. The order puts frequent shingles last (at most ``FREQUENT`` of them, which bounds
+the broadcast), then goes by hash. It only decides how many candidates there are, never
+which links.
+
+A shingle's place in the order bounds what is left: if a pair's first shingle in common
+has ``rest`` shingles from it on in each set, the overlap is at most the lesser ``rest``. A
+pair is only proposed where that leaves a link possible, which holds at its first
+shingle in common if it is one. Shingles of a document's own come first, so sets that are
+somewhat alike but do not link are mostly told apart by this alone.
+
+Near copies share many prefix shingles, so one group of classes comes once for each of
+them: of groups with the same members (by two hashes of the members) the one of the
+first shingle in order stays, where every member has the greatest rest.
+
+A group is first checked against a pivot of the group (linear in its size), round after
+round with another pivot, as long as at least ``WORTH`` of the pairs compared are links.
+Groups that still hold two components or more go to signature trees: classes are leaves,
+nodes hold the union of the token bitmaps, the size range and the component below them,
+and the tree is walked against itself. A node pair is dropped if the sizes cannot match,
+if both hold one and the same component, or if the greatest possible overlap (bits in
+common plus the tokens that share a bit) is less than a link needs. What is left is
+compared exactly. A large group is cut into blocks of ``BLOCK`` rows and walked by pairs
+of blocks. Groups with the same least class are walked in the same task (spread over
+``SPREAD`` tasks), which proposes a pair once however many of them hold it.
 
 All pairs of a group are never made, and no link between different sets is lost:
 two sets of one component need no further link between them.
 
 Defined cases: a document without words has an empty set, no links, and is its own
 component; fewer than five words are one shingle; equal texts are one class; a null
-doc_id is ignored when the smallest id of a component is taken, and a class of which
-every id is null links with nothing (number the rows first: ``common.numbered``); rows
+doc_id is ignored when the smallest id of a component is taken (null if all are); rows
 that repeat an id count as documents of their own; no rows give no rows.
 """
 
@@ -55,7 +66,11 @@ FANOUT = 16
 POOL = 8192
 BLOCK = 2048
 #: Members of a pivot that are compared in one task.
-PART = 2048
+PART = 256
+#: Tasks over which the groups of one least class are spread.
+SPREAD = 32
+#: Pairs that a task remembers to have proposed; then it starts anew (a pair may come twice).
+REMEMBERED = 1 << 21
 #: Another round of pivots is made while at least this share of the pairs compared link.
 WORTH = 0.1
 
@@ -71,6 +86,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Distinct hashed shingles of the text, sorted."""
+    return np.unique(_hashed(text, size))
+
+
+def _hashed(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashed shingles of the text, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
@@ -79,17 +99,12 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     h = np.full(len(w) - n + 1, n, np.uint64)
     for j in range(n):
         h = h * _P + w[j : len(w) - n + 1 + j]
-    return np.unique(_mix(h))
-
+    return _mix(h)
 
-def needed(a: int, b: int) -> int:
-    """Least overlap of a link between sets of these sizes: 100 i >= 75 (a + b - i)."""
-    return -(-3 * (a + b) // 7)
 
-
-def _key(s: np.ndarray) -> int:
-    """Name of a set, as a signed 64-bit number."""
-    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit hashes of sets, as two signed numbers each."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -130,7 +145,7 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = shingles(t)
+                s = _hashed(t)  # a shingle twice in a text counts twice
                 held.append(s)
                 size += len(s)
                 if size >= COUNT_CHUNK:
@@ -164,53 +179,40 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[:k]
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, *, doc_id: str, text: str) -> DataFrame:
-    """Per document: ``doc_id, n, key`` (of the set) and ``prefix``."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    out = T.StructType(
-        [
-            T.StructField("n", T.LongType()),
-            T.StructField("key", T.LongType()),
-            T.StructField("prefix", T.ArrayType(T.LongType())),
-        ]
-    )
+def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Per row (rid, text): ``rid, n, k0, k1`` (the set's name) and ``prefix``."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    out = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "k0", "k1")] + [T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def fn(texts: list) -> dict:
         sets = [shingles(t) for t in texts]
         heads = [_signed(prefix(s, shared.value)) for s in sets]
         ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
         flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+        names = _names(sets)
         return {
             "n": pa.array([len(s) for s in sets], pa.int64()),
-            "key": pa.array([_key(s) for s in sets], pa.int64()),
+            "k0": pa.array(names[:, 0]),
+            "k1": pa.array(names[:, 1]),
             "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
         }
 
-    rows = common.map_texts(docs, fn, out, text=text, carry=[doc_id])
-    return rows.select(F.col("row").getField(doc_id).alias("doc_id"), "n", "key", "prefix")
+    got = common.map_texts(rows, fn, out, carry=["rid"])
+    return got.select("row.rid", "n", "k0", "k1", "prefix")
 
 
-def _texts(docs: DataFrame, reps: DataFrame, *, doc_id: str, text: str) -> DataFrame:
-    """``key, packed``: the compressed text of each class in ``reps`` (rep, rep_key).
+def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, packed``: the compressed text of each class in ``keys`` (column ``g``).
 
     A text is a third of its hashed shingles, so it is texts that travel to be compared.
     """
-    src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")).join(
-        reps, F.col("doc_id") == F.col("rep")
-    )
 
     def fn(texts: list) -> dict:
         pack = zstandard.ZstdCompressor(level=3)
-        return {
-            "of": pa.array([_key(shingles(t)) for t in texts], pa.int64()),
-            "packed": pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary()),
-        }
+        return {"packed": pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())}
 
-    out = T.StructType([T.StructField("of", T.LongType()), T.StructField("packed", T.BinaryType())])
-    got = common.map_texts(src, fn, out, carry=["rep_key"])
-    # a row that repeats a representative's id with another text is not the class
-    got = got.where(F.col("of") == F.col("row.rep_key")).select(F.col("of").alias("key"), "packed")
-    return got.dropDuplicates(["key"])
+    packed = common.map_texts(rows, fn, T.StructType([T.StructField("packed", T.BinaryType())]), carry=["rid"])
+    return packed.select(F.col("row.rid").alias("key"), "packed").join(keys, F.col("key") == F.col("g"), "left_semi")
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -218,13 +220,12 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, compared exactly.
+    """Of the written ``pairs`` (a, b) those that link, compared exactly.
 
     The members a of each b travel to b; a b with many members is cut into parts of
     about ``PART`` members, each with its own copy of b. A task holds one set of b at
     a time and streams its members past it.
     """
-    pairs = common.written(pairs, "pairs")
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = pairs.join(sizes.withColumnRenamed("b", "s"), F.col("b") == F.col("s")).select(
         F.col("a").alias("at"), F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member")).alias("to")
@@ -256,12 +257,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class _Level:
-    """Nodes of one level: union bitmaps, size range, tokens beyond bits, and labels
-    (rows of one array): a label that all leaves below share, or -1. Nodes with the
+    """Nodes of one level: union bitmaps, size range, tokens beyond bits, greatest rest, and
+    labels (rows of one array): a label that all leaves below share, or -1. Nodes with the
     same label hold no pair that is asked for."""
 
-    def __init__(self, bits, low, high, excess, labels):
-        self.bits, self.low, self.high, self.excess, self.labels = bits, low, high, excess, labels
+    def __init__(self, bits, low, high, excess, rest, labels):
+        self.bits, self.low, self.high, self.excess, self.rest, self.labels = bits, low, high, excess, rest, labels
 
     def above(self) -> _Level:
         starts = np.arange(0, len(self.low), FANOUT)
@@ -271,11 +272,13 @@ class _Level:
             np.minimum.reduceat(self.low, starts),
             np.maximum.reduceat(self.high, starts),
             np.maximum.reduceat(self.excess, starts),
+            np.maximum.reduceat(self.rest, starts),
             np.where(least == most, least, -1),
         )
 
     def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = (4 * self.high[a] >= 3 * self.low[b]) & (4 * self.high[b] >= 3 * self.low[a])
+        ok &= np.minimum(self.rest[a], self.rest[b]) * 7 >= 3 * (self.low[a] + self.low[b])
         ok &= ((self.labels[:, a] != self.labels[:, b]) | (self.labels[:, a] < 0)).all(0)
         k = np.flatnonzero(ok)
         overlap = np.bitwise_count(self.bits[a[k]] & self.bits[b[k]]).sum(1, dtype=np.int64)
@@ -284,16 +287,17 @@ class _Level:
         return ok
 
 
-def tree_pairs(bits: np.ndarray, n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(bits: np.ndarray, n: np.ndarray, rest: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs that may link and differ in every label, by walking the tree against
-    itself. ``bits``: one bitmap a row, all of one size."""
+    itself. ``bits``: one bitmap a row, all of one size; ``rest``: the most that each row
+    can have in common with another."""
     if len(n) < 2:
         return
     table = np.array([np.unique(x, return_inverse=True)[1] for x in labels]).reshape(len(labels), len(n))
     order = np.lexsort((n, *table[::-1]))
     words = np.ascontiguousarray(bits[order]).view(np.uint64)
     excess = n[order] - np.bitwise_count(words).sum(1, dtype=np.int64)
-    levels = [_Level(words, n[order], n[order], excess, table[:, order])]
+    levels = [_Level(words, n[order], n[order], excess, rest[order], table[:, order])]
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].above())
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -316,7 +320,7 @@ def tree_pairs(bits: np.ndarray, n: np.ndarray, *labels: np.ndarray) -> Iterator
             todo.append((depth - 1, x[k], y[k]))
 
 
-def group_pairs(bits: list[bytes], n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_pairs(bits: list[bytes], n: np.ndarray, rest: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """:func:`tree_pairs` over bitmaps of several sizes: sets that link are at most a
     third apart, so their bitmaps are of one size or of neighbouring sizes; each size is
     walked with the next larger one folded to it."""
@@ -328,11 +332,11 @@ def group_pairs(bits: list[bytes], n: np.ndarray, *labels: np.ndarray) -> Iterat
         maps = [np.frombuffer(bits[i], np.uint8) for i in own] + [_fold(np.frombuffer(bits[i], np.uint8)) for i in next_up]
         # pairs of two larger ones come with their own size: one label for all of these
         larger = np.concatenate([1 + np.arange(len(own)), np.zeros(len(next_up), np.int64)])
-        for i, j in tree_pairs(np.array(maps), n[rows], larger, *[x[rows] for x in labels]):
+        for i, j in tree_pairs(np.array(maps), n[rows], rest[rows], larger, *[x[rows] for x in labels]):
             yield rows[i], rows[j]
 
 
-def leaf_pairs(group: np.ndarray, bits: list[bytes], n: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaf_pairs(group: np.ndarray, bits: list[bytes], n: np.ndarray, rest: np.ndarray, *labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """:func:`group_pairs` for many groups of at most ``FANOUT`` rows at once: the trees
     that are a single node. Rows of a group stand together."""
     sizes = np.array([len(x) for x in bits])
@@ -340,6 +344,7 @@ def leaf_pairs(group: np.ndarray, bits: list[bytes], n: np.ndarray, *labels: np.
         i = np.flatnonzero(group[d:] == group[:-d])
         j = i + d
         ok = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+        ok &= np.minimum(rest[i], rest[j]) * 7 >= 3 * (n[i] + n[j])
         for x in labels:
             ok &= (x[i] != x[j]) | (x[i] < 0)
         i, j = i[ok], j[ok]
@@ -359,29 +364,37 @@ def leaf_pairs(group: np.ndarray, bits: list[bytes], n: np.ndarray, *labels: np.
 
 
 def _tree_candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link, from rows ``token, x, y, key, n, comp, bits`` dealt by
-    (token, x, y): block x of a group against block y of it."""
+    """Pairs (a, b) that may link, from rows ``token, least, x, y, key, n, rest, comp, bits``: block x
+    of a group against block y of it. Dealt by the group's least class, so that groups
+    which hold the same pair meet in one task, where it is proposed once."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         small: list[tuple] = []
+        proposed: set[tuple[int, int]] = set()
         name, number = None, 0
 
         def batch(rows: list[tuple], pairs) -> Iterator[pa.RecordBatch]:
             key = np.array([r[0] for r in rows], np.int64)
             for i, j in pairs:
-                lo, hi = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+                if len(proposed) > REMEMBERED:
+                    proposed.clear()
+                lo, hi = np.minimum(key[i], key[j]).tolist(), np.maximum(key[i], key[j]).tolist()
+                new = set(zip(lo, hi)) - proposed
+                proposed.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         def columns(rows: list[tuple]) -> tuple:
-            _, n, comp, block, bits, *group = zip(*rows)
-            return bits, np.array(n, np.int64), np.array(comp, np.int64), np.array(block, np.int64), np.array(group).ravel()
+            _, n, rest, comp, block, bits, *group = zip(*rows)
+            numbers = [np.array(x, np.int64) for x in (n, rest, comp, block)]
+            return bits, *numbers, np.array(group).ravel()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            bits, n, comp, block, group = columns(small)
+            bits, n, rest, comp, block, group = columns(small)
             # components are any 64-bit numbers: name them from 0 on
-            yield from batch(small, leaf_pairs(group, bits, n, np.unique(comp, return_inverse=True)[1], block))
+            yield from batch(small, leaf_pairs(group, bits, n, rest, np.unique(comp, return_inverse=True)[1], block))
             small.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -389,92 +402,136 @@ def _tree_candidates(members: DataFrame) -> DataFrame:
             across = name[1] != name[2]  # block x against block y: only pairs between them
             if len(held) <= FANOUT:
                 number += 1
-                small.extend((*r[:3], r[3] if across else -1, r[4], number) for r in held)
+                small.extend((*r[:4], r[4] if across else -1, r[5], number) for r in held)
                 if len(small) >= POOL:
                     yield from flush()
             else:
-                bits, n, comp, block, _ = columns(held)
-                yield from batch(held, group_pairs(bits, n, comp, *([block] if across else [])))
+                bits, n, rest, comp, block, _ = columns(held)
+                yield from batch(held, group_pairs(bits, n, rest, comp, *([block] if across else [])))
 
         for b in batches:
-            for token, x, y, block, key, n, comp, bits in zip(*(c.to_pylist() for c in b.columns)):
+            for token, x, y, block, key, n, rest, comp, bits in zip(*(c.to_pylist() for c in b.columns)):
                 if (token, x, y) != name:
                     if held:
                         yield from close()
                     held, name = [], (token, x, y)
-                held.append((key, n, comp, block, bits))
+                held.append((key, n, rest, comp, block, bits))
         if held:
             yield from close()
         if small:
             yield from flush()
 
-    rows = members.select("token", "x", "y", "block", "key", "n", "comp", "bits")
-    dealt = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return dealt.mapInArrow(run, schema).distinct()
+    part = F.pmod(F.xxhash64("token"), F.lit(SPREAD))
+    dealt = members.repartition("least", "x", "y", part).sortWithinPartitions("token", "x", "y")
+    return dealt.select("token", "x", "y", "block", "key", "n", "rest", "comp", "bits").mapInArrow(run, schema).distinct()
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id``."""
-    frequent = _frequent(docs, text)
-    rows = common.written(signatures(docs, frequent, doc_id=doc_id, text=text), "signatures")
+    rows = common.numbered(docs.select(doc_id, text), doc_id, text)
+    rows = rows.select("rid", F.col("row").getField(doc_id).alias("doc_id"), "text")
+    signed = common.written(signatures(rows, _frequent(rows, "text")), "signatures")
+    name = ["k0", "k1", "n"]
     classes = common.written(
-        rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep")).select(F.col("key").alias("rep_key"), "rep"), "classes"
-    )
-    postings = rows.where("n > 0").select(F.explode("prefix").alias("token"), "key", "n")
-    shared = postings.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
-    # Members of every group of two classes or more; copies of one class are one member.
-    groups = common.written(
-        postings.join(shared.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi").distinct(), "groups"
+        signed.where("n > 0").groupBy(*[F.col(c).alias(f"c_{c}") for c in name]).agg(F.min("rid").alias("key"), F.count("*").alias("copies")), "classes"
     )
+    reps = signed.select("rid", "n", "prefix").join(classes.select("key"), F.col("rid") == F.col("key"))
+    postings = reps.select("key", "n", F.posexplode("prefix").alias("at", "token")).select("token", "key", "n", (F.col("n") - F.col("at")).alias("rest"))
+    shared = postings.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("g"), F.min("n").alias("smallest")).where("g > 1")
+    # what a member needs at least, its partner being no smaller than the smallest member
+    possible = F.col("rest") * 28 >= 3 * (4 * F.col("n") + F.greatest(3 * F.col("n"), 4 * F.col("smallest")))
+    groups = postings.join(shared, F.col("token") == F.col("t")).where(possible).select("token", "key", "n", "rest")
+    groups = common.written(groups, "groups")
+    labels = _linked(rows, groups)
+    if labels is None:
+        known = classes.withColumn("comp", F.col("key"))
+    else:
+        known = classes.join(labels, F.col("key") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "key"))
+    return _spread(rows.select("rid", "doc_id"), signed.select("rid", *name), known)
+
+
+def _spread(ids: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per document its component's least doc_id, from classes (c_k0, c_k1, c_n, key, copies, comp)."""
+    full = signed.join(ids.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r")).drop("r")
+    alone = full.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    some = common.written(full.where("n > 0"), "set-names")
+    name = ["c_k0", "c_k1", "c_n"]
+    least = some.groupBy(F.col("k0").alias("d0"), F.col("k1").alias("d1"), F.col("n").alias("dn")).agg(F.min("doc_id").alias("first"))
+    named = classes.join(least, (F.col("c_k0") == F.col("d0")) & (F.col("c_k1") == F.col("d1")) & (F.col("c_n") == F.col("dn"))).select(*name, "copies", "comp", "first")
+    named = common.written(named, "class-ids")
+    tops = common.written(named.groupBy(F.col("comp").alias("top")).agg(F.min("first").alias("component_id"), F.count("*").alias("classes")), "component-ids")
+    of = common.written(common.lookup(named, tops, ["comp"], ["top"], "classes").select(*name, "copies", "component_id"), "class-components")
+    got = common.lookup(some, of, ["k0", "k1", "n"], name, "copies")
+    return got.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def _linked(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """``node, comp`` of the classes that link, from their groups (token, key, n, rest); None if no
+    two classes share a prefix shingle."""
     in_groups = groups.select(F.col("key").alias("g")).distinct()
-    texts = common.written(
-        _texts(docs, classes.join(in_groups, F.col("rep_key") == F.col("g"), "left_semi"), doc_id=doc_id, text=text), "class-texts"
-    )
+    texts = common.written(_texts(rows, in_groups), "class-texts")
     maps = common.written(_bitmaps(texts), "bitmaps")
     links: DataFrame | None = None
     labels: DataFrame | None = None
     turn, worth = 0, True
     while True:
-        members = groups.withColumn("comp", F.col("key")) if labels is None else _labelled(groups, labels)
-        mixed = members.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g")).where("c0 <> c1")
-        members = members.join(mixed.select(F.col("token").alias("t"), "g"), F.col("token") == F.col("t")).drop("t")
-        groups = common.written(members, "groups")
+        mixed = common.written(_mixed(groups.select("token", "key", "n", "rest"), labels), "mixed")
+        common.dropped(groups)
+        groups = mixed
         left = not groups.isEmpty()
         if not left or not worth:
             break  # the last pivots joined little: the trees do the rest
         pairs = common.written(_possible(_star(groups, turn), maps), "pivots")
         new = common.written(_verify(pairs, texts), "links")
         worth = new.count() > WORTH * pairs.count()
-        links = new if links is None else common.written(links.unionByName(new), "links")
-        labels = graph.components(links)
-        groups = groups.select("token", "key", "n")
+        common.dropped(pairs)
+        links = _with(links, new)
+        labels = _relabelled(links, labels)
         turn += 1
     if left:
-        new = _verify(_by_trees(groups, maps), texts)
-        links = new if links is None else links.unionByName(new)
-        labels = graph.components(links)
-    keyed = rows.select("doc_id", "n", "key")
+        pairs = common.written(_by_trees(groups, maps), "pairs")
+        links = _with(links, common.written(_verify(pairs, texts), "links"))
+        labels = _relabelled(links, labels)
+    return labels
+
+
+def _with(links: DataFrame | None, new: DataFrame) -> DataFrame:
+    if links is None:
+        return new
+    both = common.written(links.unionByName(new), "links")
+    common.dropped(links)
+    common.dropped(new)
+    return both
+
+
+def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    got = graph.components(links)
     if labels is not None:
-        keyed = keyed.join(labels, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "key"))
-    else:
-        keyed = keyed.withColumn("comp", F.col("key"))
-    keyed = common.written(keyed.select("doc_id", F.col("n").alias("n_shingles"), "comp"), "members")
-    ids = keyed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")).select(F.col("comp").alias("c"), "component_id")
-    full = keyed.where("n_shingles > 0").join(ids, F.col("comp") == F.col("c")).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(keyed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        common.dropped(labels)
+    return got
 
 
-def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    got = groups.join(labels, F.col("key") == F.col("node"), "left")
-    return got.select("token", "key", "n", F.coalesce("comp", "key").alias("comp"))
+def _mixed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The groups (token, key, n, rest) that hold two components or more, one of each set of
+    members: with ``comp``, the number of members ``g`` and the ``least`` member."""
+    if labels is None:
+        members = groups.withColumn("comp", F.col("key"))
+    else:
+        members = groups.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", "n", "rest", F.coalesce("comp", "key").alias("comp"))
+    of = members.groupBy("token").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g"), F.min("key").alias("least"),
+        F.sum("rest").alias("rests"), F.bit_xor(F.xxhash64("key")).alias("h0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h1"),
+    )
+    once = of.where("c0 <> c1").groupBy("h0", "h1", "g", "least").agg(F.max_by("token", F.struct("rests", "token")).alias("t"))
+    return members.join(once.select("t", "g", "least"), F.col("token") == F.col("t")).drop("t")
 
 
 def _star(groups: DataFrame, turn: int) -> DataFrame:
     """Each member of a group against the group's pivot, where they are of different components."""
     rank = F.xxhash64(F.col("key"), F.lit(turn))
-    pivots = groups.groupBy("token").agg(F.min_by(F.struct("key", "n", "comp"), rank).alias("p")).select(F.col("token").alias("t"), "p")
+    pivots = groups.groupBy("token").agg(F.min_by(F.struct("key", "n", "rest", "comp"), rank).alias("p")).select(F.col("token").alias("t"), "p")
     pairs = groups.join(pivots, F.col("token") == F.col("t")).where(
-        "comp <> p.comp and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n"
+        "comp <> p.comp and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n and least(rest, p.rest) * 7 >= 3 * (n + p.n)"
     )
     return pairs.select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
 
@@ -503,7 +560,7 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             out = [
                 (a, b)
                 for a, b, na, nb, ba, bb in zip(*(c.to_pylist() for c in batch.columns))
-                if next(group_pairs([ba, bb], np.array([na, nb])), None) is not None
+                if next(group_pairs([ba, bb], np.array([na, nb]), np.array([na, nb])), None) is not None
             ]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -511,7 +568,7 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def _by_trees(groups: DataFrame, maps: DataFrame) -> DataFrame:
-    """Candidate pairs of the groups (token, key, n, comp, g) by signature trees."""
+    """Candidate pairs of the groups (token, least, key, n, rest, comp, g) by signature trees."""
     n_blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     cut = groups.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -133,9 +133,9 @@ def test_trees_lose_no_link():
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     bits = [jaccard._bitmap(a).tobytes() for a in arrays]
     n = np.array([len(a) for a in arrays])
-    found = {tuple(sorted((int(a), int(b)))) for i, j in jaccard.group_pairs(bits, n, np.arange(len(n))) for a, b in zip(i, j)}
+    found = {tuple(sorted((int(a), int(b)))) for i, j in jaccard.group_pairs(bits, n, n, np.arange(len(n))) for a, b in zip(i, j)}
     group = np.arange(len(n)) // 10
-    leaves = {(int(a), int(b)) for i, j in jaccard.leaf_pairs(group, bits, n, np.arange(len(n))) for a, b in zip(i, j)}
+    leaves = {(int(a), int(b)) for i, j in jaccard.leaf_pairs(group, bits, n, n, np.arange(len(n))) for a, b in zip(i, j)}
     assert leaves == {(a, b) for a, b in found if group[a] == group[b]}
     links = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert links <= found and len(found) < 2000
