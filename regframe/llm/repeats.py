@@ -20,8 +20,9 @@ needs no more.
 *Order.* Where one anchor has several contexts, one copy of each context is brought
 together and their windows are put into suffix order (by their first eight bytes,
 equal beginnings by a 128-bit hash of the window); equal neighbours are repeats. An
-anchor with more than ``ORDERED`` contexts would be a hot group: its windows are
-counted by their 128-bit hash instead, which spreads them.
+anchor with more than ``ORDERED`` contexts would be a hot group: the windows of ``CELL``
+neighbouring places from the anchor are counted by the bytes they all share, and those
+of shared bytes found twice by their own 128-bit hash, which spreads them.
 
 So a corpus-wide suffix array is built only over one copy of each context whose
 anchor is ambiguous; nothing is put in order that the dictionary or the parse decides.
@@ -52,6 +53,8 @@ GRAM = 16
 SPAN = 88
 #: Contexts of one parse that are ordered in one task; beyond, windows are counted by hash.
 ORDERED = 2048
+#: Neighbouring windows that are counted by what they share, where contexts are counted.
+CELL = 16
 #: Context bytes that are ordered at a time (and at least one whole anchor).
 ORDERED_BYTES = 1_000_000
 
@@ -83,20 +86,32 @@ class Hashes:
     """Hashes of any slices of a byte string, from running sums."""
 
     def __init__(self, data: np.ndarray):
-        p = _powers(len(data) + 1)
-        self.inverse = (p[1], p[3])
-        self.sums = []
-        for k in range(2):
-            s = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_TABLE[k][data] * p[2 * k][: len(data)], out=s[1:])
-            self.sums.append(s)
+        self.data = data
+        self.powers = _powers(len(data) + 1)
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _sums(self, k: int) -> np.ndarray:
+        if k not in self.sums:
+            s = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_TABLE[k][self.data] * self.powers[2 * k][: len(self.data)], out=s[1:])
+            self.sums[k] = s
+        return self.sums[k]
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        h = (self.sums[k][end] - self.sums[k][start]) * self.inverse[k][start]
-        h = h + (end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        s = self._sums(k)
+        return _scattered((s[end] - s[start]) * self.powers[2 * k + 1][start], (end - start).astype(np.uint64))
+
+    def all(self, n: int) -> np.ndarray:
+        """Hashes of all slices of ``n`` bytes, in order."""
+        s = self._sums(0)
+        return _scattered((s[n:] - s[: len(s) - n]) * self.powers[1][: len(s) - n], np.uint64(n))
+
+
+def _scattered(h: np.ndarray, n) -> np.ndarray:
+    h = h + n * np.uint64(0x94D049BB133111EB)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 class Parse:
@@ -107,7 +122,7 @@ class Parse:
         self.size = len(b)
         self.hashes = Hashes(b)
         at = np.arange(len(b) - GRAM + 1)
-        key = self.hashes.of(at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)
+        key = self.hashes.all(GRAM) & np.uint64(0xFFFFFFFF00000000)
         key |= (0xFFFFFFFF - at).astype(np.uint64)
         step = 1
         while step * 2 <= SPAN:
@@ -121,8 +136,9 @@ class Parse:
         self.last = np.concatenate([edge - 1, [len(least) - 1]])
         self.at = least[self.first]
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor hash, first window and number of windows of the pieces, in order."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor hash, first window, number of windows and place of the anchor of the
+        pieces, in order."""
         windows = self.size - LENGTH + 1
         starts = np.unique(np.concatenate([[0], self.last + 1, self.first + _BACK]))
         starts = starts[(starts >= 0) & (starts < windows)]
@@ -137,7 +153,7 @@ class Parse:
             best = np.where(rank[k] >= rank[best], k, best)
         new = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
         first = starts[new]
-        return h[best[new]], first, np.diff(np.append(first, windows))
+        return h[best[new]], first, np.diff(np.append(first, windows)), self.at[best[new]]
 
 
 def parse(text: str | None) -> Parse | None:
@@ -160,25 +176,22 @@ def _longs(*names: str) -> T.StructType:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """``rid, q, start, n`` of all pieces: anchor, first window, number of windows."""
+    """``rid`` and lists ``q, start, n`` of all pieces: anchor, first window, number of windows."""
 
     def fn(texts: list) -> dict:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         got = [none if p is None else p.pieces() for p in map(parse, texts)]
         return {"q": _lists([g[0].view(np.int64) for g in got]), "start": _lists([g[1] for g in got]), "n": _lists([g[2] for g in got])}
 
-    rows = common.map_texts(docs, fn, _longs("q", "start", "n"), carry=["rid"])
-    return rows.select(F.col("row.rid").alias("rid"), F.explode(F.arrays_zip("q", "start", "n")).alias("p")).select(
-        "rid", "p.q", F.struct(F.col("p.start").cast("int").alias("start"), F.col("p.n").cast("int").alias("n")).alias("at")
-    )
+    return common.map_texts(docs, fn, _longs("q", "start", "n"), carry=["rid"]).select("row.rid", "q", "start", "n")
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
+def _candidates(pieces: DataFrame) -> DataFrame:
     """``r, of``: the documents with pieces whose anchor is found again, and those pieces."""
-    p = _pieces(docs)
-    often = p.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select(F.col("q").alias("often"))
-    mine = p.join(often, F.col("q") == F.col("often"), "left_semi")
-    return mine.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("q", "at.start", "at.n")).alias("of"))
+    p = pieces.select("rid", F.explode(F.arrays_zip("q", "start", "n")).alias("p")).select("rid", "p.q", "p.start", "p.n")
+    often = p.groupBy(F.col("q").alias("often")).agg(F.count("*").alias("asked")).where("asked > 1")
+    mine = common.lookup(p, common.written(often, "repeat-anchors"), ["q"], ["often"], "asked")
+    return mine.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("q", "start", "n")).alias("of"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -305,23 +318,57 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _HITS)
 
 
+_KERNEL = T.StructType([T.StructField(n, T.LongType()) for n in ("q", "c", "cell", "w", "first", "last", "weight")])
+_WINDOW = T.StructType([T.StructField(n, T.LongType()) for n in ("w1", "w2", "q", "c", "at", "weight")])
+
+
+def _kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts (q, c, many, data): the kernels of their cells and the windows in each."""
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in _KERNEL.names]
+        for q, c, many, data in zip(*(x.to_pylist() for x in b.columns)):
+            p = Parse(data)
+            anchor = int(p.pieces()[3][0])
+            cell = np.arange(-anchor // CELL, (len(data) - LENGTH - anchor) // CELL + 1)
+            w = p.hashes.of(anchor + (cell + 1) * CELL - 1, anchor + cell * CELL + LENGTH)
+            first = np.maximum(anchor + cell * CELL, 0)
+            last = np.minimum(anchor + (cell + 1) * CELL - 1, len(data) - LENGTH)
+            full = lambda v: np.full(len(cell), v, np.int64)  # noqa: E731, B023
+            for col, v in zip(cols, (full(q), full(c), cell, w.view(np.int64), first, last, full(1 + many))):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in cols], names=_KERNEL.names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts (q, c, many, data, parts): every window of their parts."""
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[] for _ in _WINDOW.names]
+        for q, c, many, data, parts in zip(*(x.to_pylist() for x in b.columns)):
+            h = Hashes(np.frombuffer(data, np.uint8))
+            at = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in parts])
+            full = lambda v: np.full(len(at), v, np.int64)  # noqa: E731, B023
+            values = (h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), full(q), full(c), at, full(1 + many))
+            for col, v in zip(cols, values):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in cols], names=_WINDOW.names)
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    """``q, c, offsets`` of contexts found once, by counting window hashes."""
-    names = ("w1", "w2", "q", "c", "at", "weight")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    """``q, c, offsets`` of contexts found once, by counting hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q, c, many, data in zip(*(x.to_pylist() for x in b.columns)):
-                h = Hashes(np.frombuffer(data, np.uint8))
-                at = np.arange(len(data) - LENGTH + 1)
-                full = lambda v: np.full(len(at), v, np.int64)
-                cols = [h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), full(q), full(c), at, full(1 + many)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=list(names))
-
-    windows = rows.select("q", "c", "many", "data").mapInArrow(run, schema)
-    often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("s")).where("s > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
-    hits = windows.where("weight = 1").join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
+    Windows at neighbouring places from their anchor share a kernel, the bytes that all
+    ``CELL`` of them hold. Kernels are counted first; only windows of a kernel found
+    twice are counted themselves.
+    """
+    kernels = rows.select("q", "c", "many", "data").mapInArrow(_kernels, _KERNEL)
+    often = kernels.groupBy("q", "cell", "w").agg(F.sum("weight").alias("asked")).where("asked > 1")
+    often = common.written(often.select(F.col("q").alias("kq"), F.col("cell").alias("kc"), F.col("w").alias("kw"), "asked"), "repeat-kernels")
+    found = common.lookup(common.written(kernels, "kernels"), often, ["q", "cell", "w"], ["kq", "kc", "kw"], "asked")
+    per_context = found.groupBy(F.col("q").alias("fq"), F.col("c").alias("fc")).agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    src = rows.join(per_context, (F.col("q") == F.col("fq")) & (F.col("c") == F.col("fc"))).select("q", "c", "many", "data", "parts")
+    windows = common.written(src.mapInArrow(_windows, _WINDOW), "repeat-windows")
+    twice = windows.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.sum("weight").alias("asked")).where("asked > 1")
+    hits = common.lookup(windows.where("weight = 1"), common.written(twice, "windows-twice"), ["w1", "w2"], ["v1", "v2"], "asked")
     return hits.groupBy("q", "c").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("offsets"))
 
 
@@ -329,21 +376,24 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (rid, text): candidate documents (rid, packed) and, by rid, the windows
     repeated elsewhere as ``windows``: structs (start, n) of window starts in a row."""
     docs = docs.select("rid", "text")
-    found = _packed(docs).join(_candidates(docs), F.col("rid") == F.col("r")).drop("r")
+    parsed = common.written(_pieces(docs), "parse")
+    found = _packed(docs).join(_candidates(parsed), F.col("rid") == F.col("r")).drop("r")
     texts = common.written(found, "repeat-texts")
+    common.dropped(parsed)
     pieces = common.written(_contexts(texts), "repeat-pieces")
     contexts = common.written(
         pieces.groupBy("q", "c").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("one")), "repeat-contexts"
     )
-    anchors = contexts.groupBy("q").agg(F.count("*").alias("n_contexts"), F.min("copies").alias("fewest")).where("n_contexts > 1 and fewest = 1")
-    unsure = contexts.join(anchors.select(F.col("q").alias("p"), "n_contexts"), F.col("q") == F.col("p")).select(
-        "q", "c", (F.col("copies") > 1).alias("many"), (F.col("n_contexts") > ORDERED).alias("crowd"), "one.rid", "one.start", "one.n"
+    anchors = contexts.groupBy(F.col("q").alias("p")).agg(F.count("*").alias("asked"), F.min("copies").alias("fewest")).where("asked > 1 and fewest = 1")
+    anchors = common.written(anchors.select("p", "asked", (F.col("asked") > ORDERED).alias("crowd")), "unsure-anchors")
+    unsure = common.lookup(contexts, anchors, ["q"], ["p"], "asked").select(
+        "q", "c", (F.col("copies") > 1).alias("many"), "crowd", "one.rid", "one.start", "one.n"
     )
     data = common.written(_with_bytes(unsure, texts), "repeat-bytes")
     some = common.written(_ordered(data.where("not crowd")).unionByName(_counted(data.where("crowd"))), "repeat-hits")
-    whole = contexts.where("copies > 1").select("q", "c", F.lit(None).cast("array<int>").alias("offsets"))
-    hits = whole.unionByName(some).select(F.col("q").alias("h1"), F.col("c").alias("h2"), "offsets")
-    of = pieces.join(hits, (F.col("q") == F.col("h1")) & (F.col("c") == F.col("h2")))
+    whole = contexts.where("copies > 1").select("q", "c", F.lit(None).cast("array<int>").alias("offsets"), "copies")
+    hits = whole.unionByName(some.withColumn("copies", F.lit(1).cast("long"))).select(F.col("q").alias("h1"), F.col("c").alias("h2"), "offsets", "copies")
+    of = common.lookup(pieces, common.written(hits, "context-hits"), ["q", "c"], ["h1", "h2"], "copies")
     runs = F.when(F.col("offsets").isNull(), F.array(F.struct(F.col("start"), F.col("n")))).otherwise(
         F.transform("offsets", lambda o: F.struct((F.col("start") + o).alias("start"), F.lit(1).alias("n")))
     )
