@@ -157,23 +157,17 @@ def _packed(docs: DataFrame) -> DataFrame:
     return common.map_texts(docs, fn, out, carry=["rid"]).select("row.rid", "packed")
 
 
-_SEGMENT = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("rid", "q", "c")]
-    + [T.StructField(n, T.IntegerType()) for n in ("start", "n")]
-    + [T.StructField(n, T.LongType()) for n in ("bq", "bc", "aq", "ac")]
-)
+_SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("rid", "q", "c")] + [T.StructField(n, T.IntegerType()) for n in ("start", "n")])
 
 
 def _segments(texts: DataFrame) -> DataFrame:
     """``rid, q, c, start, n``: the segments ``of`` rows (rid, packed, of) with a hash ``c`` of all
-    their words, and the names of the segment before (``bq, bc``) and after (``aq, ac``)
-    where these are of repeated anchors too, else null."""
+    their words."""
     arrow = common.to_arrow_schema(_SEGMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in _SEGMENT.names]
-            alone: list[list[np.ndarray]] = [[], []]
             for rid, packed, of in zip(*(c.to_pylist() for c in b.columns)):
                 ws = _unpack(packed)
                 h = Hashes(ws)
@@ -181,23 +175,30 @@ def _segments(texts: DataFrame) -> DataFrame:
                 k = np.sort(np.array(of, np.int64))
                 q, start, n = q[k].view(np.int64), start[k], n[k]
                 c = h.of(start, start + n - 1 + K, 1).view(np.int64)
-                apart = k[1:] != k[:-1] + 1
-                alone[0].append(np.append(True, apart))
-                alone[1].append(np.append(apart, True))
-                values = (np.full(len(k), rid), q, c, start, n, np.roll(q, 1), np.roll(c, 1), np.roll(q, -1), np.roll(c, -1))
-                for col, v in zip(cols, values):
+                for col, v in zip(cols, (np.full(len(k), rid), q, c, start, n)):
                     col.append(v)
-            masks = [np.concatenate(a) if a else np.zeros(0, bool) for a in alone]
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            out = [pa.array(v, f.type, mask=None if i < 5 else masks[(i - 5) // 2]) for i, (f, v) in enumerate(zip(arrow, flat))]
-            yield pa.RecordBatch.from_arrays(out, names=_SEGMENT.names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(flat, arrow)], names=_SEGMENT.names)
 
     return texts.select("rid", "packed", "of").mapInArrow(run, _SEGMENT)
 
 
-def _names(found: DataFrame) -> DataFrame:
-    """Per segment (q, c): ``copies``, whether it ``goes_on`` with its only predecessor, and
-    whether its anchor has other segments too (``unsure``)."""
+def _neighbours(repeated: DataFrame) -> DataFrame:
+    """Repeated segments with the names of the repeated segment right before (``bq, bc``) and
+    right after (``aq, ac``) in the document, else null."""
+    place = Window.partitionBy("rid").orderBy("start")
+    end = F.col("start") + F.col("n")
+    follows, goes_before = F.lag(end).over(place) == F.col("start"), F.lead("start").over(place) == end
+    beside = lambda c, step, near: F.when(near, step(c).over(place))
+    return repeated.select(
+        "*", beside("q", F.lag, follows).alias("bq"), beside("c", F.lag, follows).alias("bc"),
+        beside("q", F.lead, goes_before).alias("aq"), beside("c", F.lead, goes_before).alias("ac"),
+    )
+
+
+def _names(repeated: DataFrame, several: DataFrame) -> DataFrame:
+    """Per repeated segment (q, c): ``copies``, whether it ``goes_on`` with its only
+    predecessor, and whether its anchor has other segments too (``unsure``)."""
 
     def only(*cols: str):
         """The columns' values where all copies have one and the same, else null."""
@@ -207,7 +208,7 @@ def _names(found: DataFrame) -> DataFrame:
         return [F.when(one, F.min(c)).alias(c) for c in cols]
 
     names = common.written(
-        found.groupBy("q", "c").agg(F.count("*").alias("copies"), *only("bq", "bc"), *only("aq", "ac")), "segment-names"
+        repeated.groupBy("q", "c").agg(F.count("*").alias("copies"), *only("bq", "bc"), *only("aq", "ac")), "segment-names"
     )
     # keys of both segments of a node: no branching node is a hot key
     left = names.where("aq is not null").select(F.col("q").alias("q0"), F.col("c").alias("c0"), "aq", "ac")
@@ -215,7 +216,6 @@ def _names(found: DataFrame) -> DataFrame:
     tied = right.join(
         left, (F.col("bq") == F.col("q0")) & (F.col("bc") == F.col("c0")) & (F.col("q") == F.col("aq")) & (F.col("c") == F.col("ac"))
     ).select(F.col("q").alias("tq"), F.col("c").alias("tc"))
-    several = common.written(names.groupBy(F.col("q").alias("sq")).agg(F.count("*").alias("segments")).where("segments > 1"), "segment-anchors")
     unsure = common.lookup(names.select("q", "c"), several, ["q"], ["sq"], "segments").select(F.col("q").alias("uq"), F.col("c").alias("uc"))
     full = names.join(tied, (F.col("q") == F.col("tq")) & (F.col("c") == F.col("tc")), "left")
     full = full.join(unsure, (F.col("q") == F.col("uq")) & (F.col("c") == F.col("uc")), "left")
@@ -224,11 +224,11 @@ def _names(found: DataFrame) -> DataFrame:
     )
 
 
-def _paths(found: DataFrame) -> DataFrame:
+def _paths(repeated: DataFrame, several: DataFrame) -> DataFrame:
     """Copies of non-branching paths: ``q, c`` (of the first segment), ``rid, start, n`` (edges)
     and ``unsure`` (q, start, n), the segments whose anchors have others too."""
-    names = common.written(_names(found), "segment-flags")
-    marked = common.lookup(found.select("rid", "q", "c", "start", "n"), names, ["q", "c"], ["nq", "nc"], "copies")
+    names = common.written(_names(repeated, several), "segment-flags")
+    marked = common.lookup(repeated.select("rid", "q", "c", "start", "n"), names, ["q", "c"], ["nq", "nc"], "copies")
     place = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     number = marked.withColumn("path", F.sum((~F.col("goes_on")).cast("int")).over(place))
     first = F.min(F.struct("start", "q", "c"))
@@ -271,18 +271,31 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common.dropped(anchors)
     common.dropped(often)
     found = common.written(_segments(texts), "segments")
-    paths = common.written(_paths(found), "paths")
+    place = [F.min(c).alias(c) for c in ("rid", "start", "n")]  # of a segment found once, its own
+    counted = common.written(found.groupBy("q", "c").agg(F.count("*").alias("copies"), *place), "segment-copies")
+    several = counted.groupBy(F.col("q").alias("sq")).agg(F.count("*").alias("segments")).where("segments > 1")
+    several = common.written(several, "segment-anchors")
+    often = counted.where("copies > 1").select(F.col("q").alias("oq"), F.col("c").alias("oc"), "copies")
+    again = common.written(_neighbours(common.lookup(found, often, ["q", "c"], ["oq", "oc"], "copies")), "repeated-segments")
+    common.dropped(found)
+    paths = common.written(_paths(again, several), "paths")
+    common.dropped(again)
     sources = common.written(
         paths.groupBy(F.col("q").alias("sq"), F.col("c").alias("sc")).agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start")).alias("source")),
         "path-sources",
     )
     told = common.written(common.lookup(paths, sources.withColumn("n_copies", F.col("copies")), ["q", "c"], ["sq", "sc"], "copies"), "path-copies")
+    common.dropped(paths)
     is_source = (F.col("rid") == F.col("source.rid")) & (F.col("start") == F.col("source.start"))
+    # one copy of each segment whose anchor has others: those found once, and those of sources
     wanted = told.where(is_source).select("rid", F.explode("unsure").alias("u")).select("rid", "u.q", "u.start", "u.n")
+    wanted = wanted.unionByName(counted.where("copies = 1").select("rid", "q", "start", "n"))
     edges = common.written(_edges(wanted, texts), "edges")
-    earliest = edges.groupBy(F.col("q").alias("eq"), F.col("e").alias("ee")).agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at")).alias("source"))
-    earliest = common.written(earliest.where("copies > 1"), "edge-sources")
-    later = common.lookup(edges, earliest, ["q", "e"], ["eq", "ee"], "copies").where("rid <> source.rid or at <> source.at")
+    twice = edges.groupBy(F.col("q").alias("eq"), F.col("e").alias("ee")).agg(F.count("*").alias("copies")).where("copies > 1")
+    same = common.written(common.lookup(edges, common.written(twice, "edge-copies"), ["q", "e"], ["eq", "ee"], "copies"), "repeated-edges")
+    common.dropped(edges)
+    earliest = same.groupBy(F.col("q").alias("eq"), F.col("e").alias("ee")).agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at")).alias("source"))
+    later = common.lookup(same, common.written(earliest, "edge-sources"), ["q", "e"], ["eq", "ee"], "copies").where("rid <> source.rid or at <> source.at")
     removed = told.where(~is_source).select("rid", "start", "n").unionByName(later.select("rid", F.col("at").alias("start"), F.lit(1).alias("n")))
     return texts, told.where("n_copies > 1"), removed
 
