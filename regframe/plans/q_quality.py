@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regframe.operators import geo, quality
+from regframe.operators.geolog import GeoLog
 from regframe.plans.catalog import query
 from regframe.plans.oracle_registry import dv_sql
+from regframe.session import checkpoint_dir
 
 
 def _chk(order, name, ok, valor, src=""):
@@ -206,6 +210,19 @@ def geo_merge(reg, spark, sf_dir):
     return _ts_text(_merged(reg))
 
 
+@query("geo_merge_log", "SELECT * FROM geo_merged", extra_ctes=_GEO_CTES)
+def geo_merge_log(reg, spark, sf_dir):
+    """The same cache kept as a log: outdated answers, the cache, a compaction, the new answers."""
+    ceps, cache0 = _geo_inputs(reg)
+    log = GeoLog(spark, f"{checkpoint_dir(spark).rstrip('/')}/regframe-runs/geo-{uuid.uuid4().hex}")
+    log.append(cache0.withColumn("status", F.lit("erro")).where("cep like '%3'"))
+    log.append(cache0)
+    log.compact()
+    log.append(lookup_answers(geo.pending(ceps, log.read())))
+    log.expire()
+    return _ts_text(log.read())
+
+
 @query(
     "geo_precision",
     """SELECT est.cnpj, est.cep, COALESCE(cg.latitude, mi.latitude) AS latitude,
