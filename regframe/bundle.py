@@ -62,6 +62,8 @@ class Registry:
     frames: dict[str, DataFrame]
     ano_mes: str = "000000"
     data_ref: str = "desconhecida"
+    #: Version directories of stored tables (their frames must be those files, unchanged).
+    paths: dict[str, str] = field(default_factory=dict)
     _dims: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def has(self, name: str) -> bool:
@@ -109,7 +111,21 @@ class Registry:
     def with_frames(self, **frames: DataFrame | None) -> "Registry":
         merged = dict(self.frames)
         merged.update(frames)
-        return Registry(merged, self.ano_mes, self.data_ref)
+        stored = {name: path for name, path in self.paths.items() if name not in frames}
+        return Registry(merged, self.ano_mes, self.data_ref, stored)
+
+    def of_company(self, name: str, base: str) -> DataFrame:
+        """The rows of a table that belong to one company. A table laid out by range of
+        the company key is read from the files that may hold it, the others stay closed."""
+        from regframe.operators import maintain
+
+        key = F.col("cnpj_basico") == base
+        path = self.paths.get(name)
+        files = maintain.files_of_key(self.spark, path, "cnpj_basico", base) if path else None
+        if files is None:
+            return self[name].where(key)
+        reader = self.spark.read.schema(self[name].schema)
+        return reader.parquet(*files).where(key) if files else self[name].where(F.lit(False))
 
     def columns_catalog(self) -> DataFrame:
         """(table_name, column_name, data_type, ordinal_position) of every present

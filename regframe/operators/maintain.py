@@ -46,6 +46,10 @@ LAYOUT = {
 }
 
 
+#: Columns that cut a key with very many rows when a table is laid out by range.
+TIES = ("cnpj", "cnpj_cpf_socio", "nome_socio")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -131,6 +135,11 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: read_version(spark, f"{root}/{name}", path) for name, path in paths.items() if path is not None}
 
 
+def table_paths(spark: SparkSession, root: str) -> dict[str, str]:
+    """Version directory of every table of a month that has a snapshot."""
+    return {name: f"{root}/{path}" for name, path in (snapshot(spark, root) or {}).items()}
+
+
 def table_path(spark: SparkSession, root: str, name: str, held: dict[str, str] | None = None) -> str | None:
     """Directory of a month's table: as its snapshot says, else the newest published version."""
     held = snapshot(spark, root) if held is None else held
@@ -391,7 +400,7 @@ def open_model(spark: SparkSession, root: str, *, ano_mes: str, data_ref: str) -
     when that run did not finish (then the caller builds what is missing)."""
     if not exists(spark, f"{root}/{MODEL_MARKER}"):
         return None
-    return Registry(read_tables(spark, root), ano_mes=ano_mes, data_ref=data_ref)
+    return Registry(read_tables(spark, root), ano_mes=ano_mes, data_ref=data_ref, paths=table_paths(spark, root))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -442,11 +451,15 @@ def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]
         t0 = time.time()
         src_path = table_path(spark, *table_dir.rsplit("/", 1))
         src = read_version(spark, table_dir, src_path)
-        # round-robin: balanced files whatever the key skew; sorted by key inside
-        df = src.repartition(target_files)
-        df = df.sortWithinPartitions(key) if key else df
+        # by range of the key: a key lies in one file (or, if a third of all rows are its
+        # own, in neighbouring ones: the second column cuts it); no key: round-robin
+        tie = [c for c in TIES if c in src.columns and c != key][:1] if key else []
+        df = src.repartitionByRange(target_files, key, *tie) if key else src.repartition(target_files)
+        df = df.sortWithinPartitions(key, *tie) if key else df
         inputs = get_text(spark, f"{src_path}/_INPUTS")
         dst_path = write_version(df, table_dir, inputs=inputs, visible=False)
+        if key:
+            note_ranges(spark, dst_path, key)
         done.append(
             {
                 "tabela": table_dir,
@@ -478,6 +491,23 @@ def compact_tables(spark: SparkSession, tables: dict[str, tuple[int, str | None]
     return done
 
 
+def note_ranges(spark: SparkSession, path: str, key: str) -> None:
+    """Note the least and greatest key of every file of a version (one row a file)."""
+    df = spark.read.parquet(path)
+    ends = df.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    files = [[r["f"], r["lo"], r["hi"]] for r in ends.orderBy("f").collect()]
+    put_text(spark, f"{path}/_RANGES", json.dumps({"key": key, "files": files}))
+
+
+def files_of_key(spark: SparkSession, path: str, key: str, value: str) -> list[str] | None:
+    """The files of a version that may hold a key, or None if its ranges are not known."""
+    text = get_text(spark, f"{path}/_RANGES")
+    note = json.loads(text) if text else None
+    if note is None or note["key"] != key:
+        return None
+    return [f"{path}/{f}" for f, lo, hi in note["files"] if lo is not None and lo <= value <= hi]
+
+
 def _own_files(spark: SparkSession, path: str) -> int:
     """Data files directly in a version (a flat table also holds later versions)."""
     fs, p = _fs(spark, path)
@@ -533,4 +563,5 @@ def open_snapshot(spark: SparkSession, root: str, ano_mes: str | None = None) ->
     m = ano_mes or (known[0] if known else None)
     if m is None or m not in known:
         raise FileNotFoundError(f"no complete snapshot {m or ''} under {root}")
-    return Registry(read_tables(spark, snapshot_path(root, m)), ano_mes=m)
+    month = snapshot_path(root, m)
+    return Registry(read_tables(spark, month), ano_mes=m, paths=table_paths(spark, month))

@@ -84,18 +84,16 @@ def profile(reg: Registry, key: str) -> Profile:
     """
     k = ids.py_normalize_key(key)
     base = k[:8]
-    emp = companies_decoded(reg, reg["empresas"].where(F.col("cnpj_basico") == base))
-    est = reg["estabelecimento"]
-    soc = reg["socios"]
+    emp = companies_decoded(reg, reg.of_company("empresas", base))
+    est = reg.of_company("estabelecimento", base)
+    soc = reg.of_company("socios", base)
     if len(k) == 14:
         est = establishments_decoded(reg, est.where(F.col("cnpj") == k))
         soc = partners_decoded(reg, soc.where(F.col("cnpj") == k))
     else:
-        est = establishments_decoded(reg, est.where(F.col("cnpj_basico") == base)).orderBy(
-            "matriz_filial", "cnpj"
-        )
-        soc = partners_decoded(reg, soc.where(F.col("cnpj_basico") == base))
-    si = reg["simples"].where(F.col("cnpj_basico") == base)
+        est = establishments_decoded(reg, est).orderBy("matriz_filial", "cnpj")
+        soc = partners_decoded(reg, soc)
+    si = reg.of_company("simples", base)
     valid = expected = None
     if len(k) == 14:
         exp = ids.py_check_digits(k[:12])

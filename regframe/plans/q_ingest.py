@@ -107,6 +107,26 @@ def compact_reopen(reg, spark, sf_dir):
     return maintain.read_tables(spark, root)["estabelecimento"].select("cnpj", "uf", "cnae_fiscal")
 
 
+@query("profile_compacted", establishments_sql("u.cnpj_basico IN ('00000001', '00000007')"))
+def profile_compacted(reg, spark, sf_dir):
+    """Profiles out of a base laid out by key range: each opens one file of the table."""
+    root = _folder(spark, "ranges")
+    names = ("estabelecimento", "empresas", "socios", "simples")
+    for name in names:
+        maintain.write_version(reg[name].repartition(8), f"{root}/{name}")
+    maintain.commit_current(spark, root, list(names))
+    maintain.compact_base(spark, root, target_files=6)
+    tables = maintain.read_tables(spark, root)
+    laid_out = reg.with_frames(**tables)
+    laid_out.paths.update(maintain.table_paths(spark, root))
+    parts = []
+    for base in ("00000001", "00000007"):
+        if len(laid_out.of_company("estabelecimento", base).inputFiles()) != 1:
+            raise RuntimeError(f"the establishments of {base} lie in more than one file")
+        parts.append(P.profile(laid_out, base).estabelecimentos)
+    return parts[0].unionByName(parts[1])
+
+
 @query("expire_keeps_complete", "SELECT cnpj, cnae, tipo FROM estabelecimento_cnae")
 def expire_keeps_complete(reg, spark, sf_dir):
     """Retention beside an unfinished version: the last published one stays."""

@@ -176,3 +176,45 @@ def test_reload_month_replaces_one_of_many_files(spark, monkeypatch):
     (files, stale, rows), (files_again, left, rows_again) = folders
     assert files == files_again > 1 and rows == rows_again == want.count()
     assert left == 0 and 0 < stale < rows
+
+
+def test_compaction_by_range_opens_one_file(spark, scratch):
+    root = os.path.join(scratch, "by-range")
+    rows = spark.range(0, 4000).selectExpr("lpad(cast(id % 500 as string), 8, '0') AS cnpj_basico", "cast(id as string) AS cnpj")
+    hot = spark.range(4000, 6000).selectExpr("'00000250' AS cnpj_basico", "cast(id as string) AS cnpj")
+    maintain.write_version(rows.unionByName(hot).repartition(9), f"{root}/estabelecimento")
+    maintain.commit_current(spark, root, ["estabelecimento"])
+    maintain.compact_base(spark, root, target_files=8)
+    path = maintain.table_path(spark, root, "estabelecimento")
+    assert maintain.table_paths(spark, root) == {"estabelecimento": path} and path.endswith("v=2")
+    files = lambda k: maintain.files_of_key(spark, path, "cnpj_basico", k)
+    assert len(files("00000010")) == 1 and len(files("99999999")) == 0
+    # a key with a third of all rows is cut over several files, and found in all of them
+    assert len(files("00000250")) > 1 and spark.read.parquet(*files("00000250")).where("cnpj_basico = '00000250'").count() == 2008
+    assert maintain.files_of_key(spark, path, "cnpj", "1") is None
+
+
+def test_a_month_is_switched_at_once(spark, scratch):
+    root = os.path.join(scratch, "switch")
+    for t in ("a", "b"):
+        maintain.write_version(spark.range(3), f"{root}/{t}")
+    assert maintain.commit_current(spark, root, ["a", "b"]) == 1
+    maintain.write_version(spark.range(5), f"{root}/a")  # a reload that stops here
+    counts = lambda: {t: df.count() for t, df in maintain.read_tables(spark, root).items()}
+    assert counts() == {"a": 3, "b": 3}
+    # neither retention nor compaction loses or mixes what the month is made of
+    assert maintain.expire_versions(spark, f"{root}/a", keep=1) == []
+    maintain.compact_base(spark, root, target_files=1)
+    assert counts() == {"a": 3, "b": 3} and maintain.snapshot(spark, root)["a"] == "a/v=3"
+    maintain.write_version(spark.range(7), f"{root}/a")
+    maintain.write_version(spark.range(7), f"{root}/b")
+    maintain.commit_current(spark, root, ["a", "b"])
+    assert counts() == {"a": 7, "b": 7} and maintain.snapshot(spark, root, 1) == {"a": "a/v=1", "b": "b/v=1"}
+    # two runs cannot both write the same snapshot
+    real = maintain._snapshot_numbers
+    maintain._snapshot_numbers = lambda spark, root: [2]
+    try:
+        with pytest.raises(RuntimeError):
+            maintain.commit(spark, root, {"a": f"{root}/a/v=1"})
+    finally:
+        maintain._snapshot_numbers = real

@@ -26,6 +26,29 @@ def test_enrichment_broadcasts_a_small_list(spark):
     assert semi and all("BroadcastHashJoin" in line for line in semi), semi
 
 
+def test_enrichment_scans_each_table_once(spark):
+    """One scan of each big table; six hash exchanges with a short list, ten with one that
+    is too large to broadcast."""
+    from regframe.operators import enrich
+    from regframe.plans import catalog
+
+    reg = catalog.registry(spark, SF_SMALL)
+    ent = enrich.entries_from_list(spark, ["00000001", "not a key", "00.000.001/0001-36"])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    for threshold, most in ((before, 6), ("-1", 10)):
+        spark.conf.set(key, threshold)
+        try:
+            plan = _plan(enrich.enrich(reg, ent))
+        finally:
+            spark.conf.set(key, before)
+        for table in ("estabelecimento", "empresas", "simples"):
+            scans = [line for line in plan.splitlines() if "FileScan" in line and f"/{table}/" in line]
+            assert len(scans) == 1, (table, scans)
+        joins = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(joins) <= most, (threshold, len(joins))
+
+
 def test_index_tokenises_each_text_once(spark):
     from regframe.operators import textsearch
 
