@@ -14,7 +14,7 @@ shingle in common if it is one. Shingles of a document's own come first, so sets
 somewhat alike but do not link are mostly told apart by this alone.
 
 Near copies share many prefix shingles, so one group of classes comes once for each of
-them: of groups with the same members (by two hashes of the members) the one of the
+them: of groups with the same members (by their number, least and hash) the one of the
 first shingle in order stays, where every member has the greatest rest.
 
 A group is first checked against a pivot of the group (linear in its size), round after
@@ -59,7 +59,7 @@ LEAST_FREQUENT = 4
 #: Shingles counted together before the rare ones are let go (counts only steer the order).
 COUNT_CHUNK = 8_000_000
 COUNT_LEAST = 2
-#: Bitmaps have two to four bits a shingle, a power of two between these.
+#: Bitmaps have eight to sixteen bits a shingle, a power of two between these.
 LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 FANOUT = 16
 #: Rows of small groups that are compared together.
@@ -112,7 +112,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(8 * len(s) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
@@ -442,12 +442,14 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     possible = F.col("rest") * 28 >= 3 * (4 * F.col("n") + F.greatest(3 * F.col("n"), 4 * F.col("smallest")))
     groups = postings.join(shared, F.col("token") == F.col("t")).where(possible).select("token", "key", "n", "rest")
     groups = common.written(groups, "groups")
+    names = common.written(signed.select("rid", *name), "set-names")
+    common.dropped(signed)
     labels = _linked(rows, groups)
     if labels is None:
         known = classes.withColumn("comp", F.col("key"))
     else:
         known = classes.join(labels, F.col("key") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "key"))
-    return _spread(rows.select("rid", "doc_id"), signed.select("rid", *name), known)
+    return _spread(rows.select("rid", "doc_id"), names, known)
 
 
 def _spread(ids: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -514,15 +516,15 @@ def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _mixed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The groups (token, key, n, rest) that hold two components or more, one of each set of
     members: with ``comp``, the number of members ``g`` and the ``least`` member."""
+    whole = [F.count("*").alias("g"), F.min("key").alias("least"), F.sum("rest").alias("rests"), F.bit_xor(F.xxhash64("key")).alias("h")]
     if labels is None:
         members = groups.withColumn("comp", F.col("key"))
+        of = members.groupBy("token").agg(*whole).where("g > 1")
     else:
         members = groups.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", "n", "rest", F.coalesce("comp", "key").alias("comp"))
-    of = members.groupBy("token").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g"), F.min("key").alias("least"),
-        F.sum("rest").alias("rests"), F.bit_xor(F.xxhash64("key")).alias("h0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h1"),
-    )
-    once = of.where("c0 <> c1").groupBy("h0", "h1", "g", "least").agg(F.max_by("token", F.struct("rests", "token")).alias("t"))
+        of = members.groupBy("token").agg(*whole, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    # members are told by their number, the least and a hash of all
+    once = of.groupBy("h", "g", "least").agg(F.max_by("token", F.struct("rests", "token")).alias("t"))
     return members.join(once.select("t", "g", "least"), F.col("token") == F.col("t")).drop("t")
 
 
