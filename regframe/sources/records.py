@@ -12,7 +12,7 @@ records of them, both in as many tasks as there are blocks:
    holds of a record that began or ends in another one is a fragment, at most two a
    block, and fragments are joined afterwards by file and block.
 
-Blocks lie on a fixed grid (:func:`grid`), so that both passes, and a stream and a batch,
+Blocks lie on a fixed grid (:func:`grid`, :func:`grid_session`), so that both passes, and a stream and a batch,
 see the same ones. A line break inside a field is kept as it is; a carriage return before
 the line break that ends a record is dropped; blank lines are no records.
 """
@@ -40,13 +40,16 @@ _OUT = T.StructType(
 )
 
 
+def _grid_keys(block_bytes: int | None) -> dict[str, str]:
+    keys = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.maxPartitionNum": str(2**31 - 1)}
+    return keys | ({"spark.sql.files.maxPartitionBytes": str(block_bytes)} if block_bytes else {})
+
+
 @contextlib.contextmanager
 def grid(spark: SparkSession, block_bytes: int | None = None):
     """While it lasts, files are cut at multiples of one size whatever else is read with
     them (the number of task slots has no say): ``block_bytes``, else the session's."""
-    keys = {"spark.sql.files.minPartitionNum": "1"}
-    if block_bytes:
-        keys["spark.sql.files.maxPartitionBytes"] = str(block_bytes)
+    keys = _grid_keys(block_bytes)
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -57,6 +60,19 @@ def grid(spark: SparkSession, block_bytes: int | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def grid_session(spark: SparkSession, block_bytes: int | None = None) -> SparkSession:
+    """A session with the settings of ``spark`` in which :func:`grid` always holds. A stream
+    cuts its files when it plans a batch, by the settings its reader's session has then,
+    so the two passes agree only if nobody sets these back meanwhile."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    for k, v in _grid_keys(block_bytes).items():
+        own.conf.set(k, v)
+    return own
+
+
 def lines(reader, directory: str, names: list[str]) -> DataFrame:
     """Physical lines of the named files: ``file, block, odd`` (quotes) and ``value`` (bytes).
     ``reader`` is ``spark.read`` or ``spark.readStream``."""

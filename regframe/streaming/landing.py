@@ -111,26 +111,27 @@ def land(
     root = f"{raw_root}/g={number}"
     _note(spark, f"{root}/_PLANNED", planned | stamps)
 
+    own = records.grid_session(spark, block_bytes)
     dump.enable_charsets(spark)
+    dump.enable_charsets(own)
     had = {kind: _rows(spark, root, kind) for kind in plan}
-    with records.grid(spark, block_bytes):
-        starts = {
-            kind: _block_starts(spark, directory, [n for n in names if n not in before], f"{root}/_blocks/{kind}")
-            for kind, (names, _) in plan.items()
-        }
-        # All kinds run at once: landing one after the other would leave a cluster idle.
-        queries = {
-            kind: (
-                _stream(spark, directory, names, cols, starts[kind], max_files_per_trigger)
-                .writeStream.format("parquet")
-                .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
-                .option("path", f"{root}/{kind}")
-                .outputMode("append")
-                .trigger(availableNow=True)
-                .start()
-            )
-            for kind, (names, cols) in plan.items()
-        }
+    starts = {
+        kind: _block_starts(own, directory, [n for n in names if n not in before], f"{root}/_blocks/{kind}")
+        for kind, (names, _) in plan.items()
+    }
+    # All kinds run at once: landing one after the other would leave a cluster idle.
+    queries = {
+        kind: (
+            _stream(own, directory, names, cols, starts[kind], max_files_per_trigger)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
+            .option("path", f"{root}/{kind}")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        for kind, (names, cols) in plan.items()
+    }
     try:
         for q in queries.values():
             q.awaitTermination()

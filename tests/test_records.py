@@ -106,3 +106,23 @@ def test_a_file_replaced_after_a_run_that_was_cut_short(spark, tmp_path, monkeyp
         at, rows = landing.land(spark, directory, root, ano_mes="202609")
     got = landing.read_landed(spark, at, "empresas")
     assert at.endswith("g=2") and got.count() == 30 and got.where("razao_social = 'depois'").count() == 30
+
+
+def test_streams_cut_files_as_their_states_were_counted(spark, tmp_path, scratch):
+    """Where the session cuts finer than the grid: a stream that plans its batch late still
+    meets the blocks that were counted."""
+    (tmp_path / "dump").mkdir()
+    for i, kind in enumerate(("EMPRECSV", "ESTABELE", "SOCIOCSV", "CNAECSV")):
+        name = f"F.{kind}" if kind == "CNAECSV" else f"A{i}.K03200Y0.D60925.{kind}"
+        _companies(tmp_path / "dump" / name, 400, first=1000 * i)
+    keys = {"spark.sql.files.openCostInBytes": "64", "spark.sql.files.minPartitionNum": "40"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        _, n = landing.land(spark, str(tmp_path / "dump"), f"{scratch}/grid/_raw", ano_mes="202609")
+        assert {k: spark.conf.get(k) for k in keys} == keys
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == {"empresas": 400, "estabelecimento": 400, "socios_original": 400, "cnae": 400}
