@@ -201,3 +201,26 @@ def test_dimensions_broadcast_only_within_the_checked_bound(spark):
     assert hinted(reg.dim("cnae"))
     assert not hinted(reg.dim("municipio"))
     assert set(reg._dims) == {"cnae", "municipio"}  # both checked by the first call
+
+
+def test_partners_cross_the_network_twice_unsorted(spark, scratch):
+    """The partners are shuffled by document and by company, and written from there: no third
+    shuffle to cluster them, no sort of a join, whether or not the map could be broadcast."""
+    from regframe.operators import maintain, model
+    from regframe.schemas import PARTNER_COLUMNS, PARTNER_RULE_MONTH
+
+    raw = spark.createDataFrame(
+        [(f"{i % 7:08d}", "1" if i % 3 else "2", f"S{i}", f"{i % 9:08d}", *[None] * 7) for i in range(60)],
+        ", ".join(f"{c} string" for c in PARTNER_COLUMNS),
+    )
+    heads = spark.createDataFrame([(f"{i:08d}", f"{i:08d}000100") for i in range(5)], "cnpj_basico string, cnpj string")
+    out = model.partners(raw, heads, PARTNER_RULE_MONTH)
+    plan = _plan(out)
+    assert plan.count("ShuffledHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 4, plan
+    assert "Sort" not in plan.replace("SortOrder", "") and "Broadcast" not in plan, plan
+    table = f"{scratch}/clustered/socios"
+    maintain.write_version(out, table, key="cnpj_basico", clustered=True)
+    got = maintain.read_current(spark, table)
+    assert sorted(map(str, got.collect())) == sorted(map(str, out.collect())) and got.count() == 60
+    files = [sorted({r["cnpj_basico"] for r in spark.read.parquet(f).collect()}) for f in got.inputFiles()]
+    assert sum(map(len, files)) == 7  # a company lies in one file
