@@ -224,3 +224,18 @@ def test_partners_cross_the_network_twice_unsorted(spark, scratch):
     assert sorted(map(str, got.collect())) == sorted(map(str, out.collect())) and got.count() == 60
     files = [sorted({r["cnpj_basico"] for r in spark.read.parquet(f).collect()}) for f in got.inputFiles()]
     assert sum(map(len, files)) == 7  # a company lies in one file
+
+
+def test_files_of_a_given_number_stay_bounded(spark, scratch, monkeypatch):
+    """A base compacted into few files gets more where one task would sort too many bytes."""
+    from regframe.operators import maintain
+
+    root = f"{scratch}/bounded"
+    rows = spark.range(3000).select(F.format_string("%08d", "id").alias("cnpj_basico"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    maintain.write_version(rows, f"{root}/empresas")
+    maintain.compact_base(spark, root, target_files=2)
+    assert len(maintain.read_current(spark, f"{root}/empresas").inputFiles()) == 2
+    monkeypatch.setattr(maintain, "SORT_BYTES", 20_000)
+    maintain.compact_base(spark, root, target_files=2)
+    got = maintain.read_current(spark, f"{root}/empresas")
+    assert len(got.inputFiles()) > 5 and got.count() == 3000
