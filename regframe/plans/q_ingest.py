@@ -45,7 +45,8 @@ def _put(df: DataFrame, folder: str, first: str, rest: str) -> None:
     dump.enable_charsets(spark)
     parts = f"{folder}/_parts-{uuid.uuid4().hex}"
     out = df.write.option("sep", ";").option("quote", '"').option("escape", '"').option("encoding", dump.ENCODING)
-    out.option("header", False).csv(parts)
+    with maintain.sized_tasks(spark, [df]):
+        out.option("header", False).csv(parts)
     fs, p = maintain._fs(spark, parts)
     names = sorted(str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
     path = spark._jvm.org.apache.hadoop.fs.Path
