@@ -21,8 +21,9 @@ needs no more.
 together and their windows are put into suffix order (by their first eight bytes,
 equal beginnings by a 128-bit hash of the window); equal neighbours are repeats. An
 anchor with more than ``ORDERED`` contexts would be a hot group: the windows of ``CELL``
-neighbouring places from the anchor are counted by the bytes they all share, and those
-of shared bytes found twice by their own 128-bit hash, which spreads them.
+neighbouring places from the anchor are counted by the bytes they all share, then by all
+their bytes, and only where the first agree and the second differ by their own 128-bit
+hash, which spreads them.
 
 So a corpus-wide suffix array is built only over one copy of each context whose
 anchor is ambiguous; nothing is put in order that the dictionary or the parse decides.
@@ -318,12 +319,12 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _HITS)
 
 
-_KERNEL = T.StructType([T.StructField(n, T.LongType()) for n in ("q", "c", "cell", "w", "first", "last", "weight")])
+_KERNEL = T.StructType([T.StructField(n, T.LongType()) for n in ("q", "c", "cell", "w", "u1", "u2", "first", "last", "weight")])
 _WINDOW = T.StructType([T.StructField(n, T.LongType()) for n in ("w1", "w2", "q", "c", "at", "weight")])
 
 
 def _kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts (q, c, many, data): the kernels of their cells and the windows in each."""
+    """Of contexts (q, c, many, data): the kernels and hulls of their cells and the windows in each."""
     for b in batches:
         cols: list[list[np.ndarray]] = [[] for _ in _KERNEL.names]
         for q, c, many, data in zip(*(x.to_pylist() for x in b.columns)):
@@ -333,21 +334,23 @@ def _kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = p.hashes.of(anchor + (cell + 1) * CELL - 1, anchor + cell * CELL + LENGTH)
             first = np.maximum(anchor + cell * CELL, 0)
             last = np.minimum(anchor + (cell + 1) * CELL - 1, len(data) - LENGTH)
+            u = [p.hashes.of(first, last + LENGTH, k).view(np.int64) for k in range(2)]
             full = lambda v: np.full(len(cell), v, np.int64)  # noqa: E731, B023
-            for col, v in zip(cols, (full(q), full(c), cell, w.view(np.int64), first, last, full(1 + many))):
+            for col, v in zip(cols, (full(q), full(c), cell, w.view(np.int64), *u, first, last, full(1 + many))):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in cols], names=_KERNEL.names)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts (q, c, many, data, parts): every window of their parts."""
+    """Of contexts (q, c, data, parts): every window of their parts."""
     for b in batches:
         cols: list[list[np.ndarray]] = [[] for _ in _WINDOW.names]
-        for q, c, many, data, parts in zip(*(x.to_pylist() for x in b.columns)):
+        for q, c, data, parts in zip(*(x.to_pylist() for x in b.columns)):
             h = Hashes(np.frombuffer(data, np.uint8))
             at = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in parts])
+            weight = np.repeat([x["weight"] for x in parts], [x["last"] - x["first"] + 1 for x in parts])
             full = lambda v: np.full(len(at), v, np.int64)  # noqa: E731, B023
-            values = (h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), full(q), full(c), at, full(1 + many))
+            values = (h.of(at, at + LENGTH).view(np.int64), h.of(at, at + LENGTH, 1).view(np.int64), full(q), full(c), at, weight)
             for col, v in zip(cols, values):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in cols], names=_WINDOW.names)
@@ -357,19 +360,29 @@ def _counted(rows: DataFrame) -> DataFrame:
     """``q, c, offsets`` of contexts found once, by counting hashes.
 
     Windows at neighbouring places from their anchor share a kernel, the bytes that all
-    ``CELL`` of them hold. Kernels are counted first; only windows of a kernel found
-    twice are counted themselves.
+    ``CELL`` of them hold, and lie in a hull, the bytes that any of them holds. Kernels are
+    counted first. A hull found twice is a repeat as a whole. Only where a kernel lies in
+    hulls that differ are windows counted themselves, once for each such hull.
     """
-    kernels = rows.select("q", "c", "many", "data").mapInArrow(_kernels, _KERNEL)
+    kernels = common.written(rows.select("q", "c", "many", "data").mapInArrow(_kernels, _KERNEL), "kernels")
     often = kernels.groupBy("q", "cell", "w").agg(F.sum("weight").alias("asked")).where("asked > 1")
     often = common.written(often.select(F.col("q").alias("kq"), F.col("cell").alias("kc"), F.col("w").alias("kw"), "asked"), "repeat-kernels")
-    found = common.lookup(common.written(kernels, "kernels"), often, ["q", "cell", "w"], ["kq", "kc", "kw"], "asked")
-    per_context = found.groupBy(F.col("q").alias("fq"), F.col("c").alias("fc")).agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    src = rows.join(per_context, (F.col("q") == F.col("fq")) & (F.col("c") == F.col("fc"))).select("q", "c", "many", "data", "parts")
+    found = common.written(common.lookup(kernels, often, ["q", "cell", "w"], ["kq", "kc", "kw"], "asked"), "repeat-cells")
+    hulls = found.groupBy("q", "cell", "w", "u1", "u2").agg(F.sum("weight").alias("asked"), F.min(F.struct("c", "first", "last")).alias("one"))
+    hulls = common.written(hulls, "repeat-hulls")
+    same = hulls.where("asked > 1").select(*[F.col(n).alias("h" + n) for n in ("q", "cell", "u1", "u2")], "asked")
+    whole = common.lookup(found.where("weight = 1"), same, ["q", "cell", "u1", "u2"], ["hq", "hcell", "hu1", "hu2"], "asked")
+    differ = hulls.groupBy(F.col("q").alias("kq"), F.col("cell").alias("kc"), F.col("w").alias("kw")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    unsure = common.lookup(hulls, common.written(differ, "unsure-kernels"), ["q", "cell", "w"], ["kq", "kc", "kw"], "kinds")
+    part = F.struct("one.first", "one.last", F.least("asked", F.lit(2)).alias("weight"))
+    per_context = unsure.groupBy(F.col("q").alias("fq"), F.col("one.c").alias("fc")).agg(F.collect_list(part).alias("parts"))
+    src = rows.join(per_context, (F.col("q") == F.col("fq")) & (F.col("c") == F.col("fc"))).select("q", "c", "data", "parts")
     windows = common.written(src.mapInArrow(_windows, _WINDOW), "repeat-windows")
     twice = windows.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.sum("weight").alias("asked")).where("asked > 1")
     hits = common.lookup(windows.where("weight = 1"), common.written(twice, "windows-twice"), ["w1", "w2"], ["v1", "v2"], "asked")
-    return hits.groupBy("q", "c").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("offsets"))
+    runs = whole.select("q", "c", F.sequence("first", "last").alias("run")).unionByName(hits.select("q", "c", F.array("at").alias("run")))
+    offsets = F.array_sort(F.flatten(F.collect_list("run"))).cast("array<int>")
+    return runs.groupBy("q", "c").agg(offsets.alias("offsets"))
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
