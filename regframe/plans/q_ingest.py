@@ -23,7 +23,7 @@ from regframe.plans.oracle_registry import dv_sql
 from regframe.plans.q_profile import establishments_sql
 from regframe.plans.q_quality import REPORT_SQL
 from regframe.schemas import CODE_TABLES
-from regframe.session import checkpoint_dir
+from regframe.session import checkpoint_dir, written
 from regframe.sources import dims, dump, keylist, starmap
 
 _TAG = "K03200Y0.D60925"
@@ -31,8 +31,10 @@ _TAG = "K03200Y0.D60925"
 _SHORT = 21
 #: Bytes of a compacted file of the small test bases.
 _FILE_BYTES = 4 << 20
-#: Blocks that the raw files of the test dumps are cut into.
+#: Least size of the blocks that the raw files of the test dumps are cut into.
 _BLOCK_BYTES = 256 << 10
+#: Stored bytes of the establishments for each large raw file written of them.
+_LARGE_BYTES = 32 << 20
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -67,6 +69,7 @@ def _note(est: DataFrame) -> DataFrame:
               (SELECT any_value(descricao) FROM municipio WHERE codigo = estabelecimento.municipio) AS cidade,
               (SELECT any_value(razao_social) FROM empresas e WHERE e.cnpj_basico = estabelecimento.cnpj_basico) AS razao_social
        FROM estabelecimento""",
+    own_base=True,
 )
 def load_two_steps(reg, spark, sf_dir):
     """A month is loaded from raw text; more files of it arrive and it is loaded again:
@@ -74,7 +77,9 @@ def load_two_steps(reg, spark, sf_dir):
     folder, base = _folder(spark, "dump"), _folder(spark, "base")
     a = starmap.inputs(spark, sf_dir)
     raw = a["raw"]
-    est = _note(raw["estabelecimento"])
+    # derived once: three kinds of files are written of it
+    with maintain.sized_tasks(spark, [raw["estabelecimento"]]):
+        est = written(_note(raw["estabelecimento"]), "regframe-runs/establishments")
     first = F.col("uf") < "U2"
     _put(est.where(first), folder, "A", f"{_TAG}.ESTABELE")
     _put(raw["empresas"], folder, "A", f"{_TAG}.EMPRECSV")
@@ -85,8 +90,9 @@ def load_two_steps(reg, spark, sf_dir):
     _put(est.limit(5), folder, "A", "K03200Y0.D60825.ESTABELE")  # another month: not taken
     load.load_dump(spark, folder, base, text_index=False, validate=False, block_bytes=_BLOCK_BYTES)
     late = est.where(~first)
-    # one large file, which is cut into blocks inside its records
-    _put(late.select(*late.columns[:_SHORT]).coalesce(1), folder, "B", f"{_TAG}.ESTABELE")
+    # large files (one, while they are few rows), which are cut into blocks inside their records
+    files = max(1, maintain.input_bytes(est) // _LARGE_BYTES)
+    _put(late.select(*late.columns[:_SHORT]).coalesce(files), folder, "B", f"{_TAG}.ESTABELE")
     load.load_dump(spark, folder, base, text_index=False, validate=False, block_bytes=_BLOCK_BYTES)
     got = load.open_base(spark, base)
     rows = got["estabelecimento"].join(got["empresas"].select("cnpj_basico", "razao_social"), "cnpj_basico", "left")

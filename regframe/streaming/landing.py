@@ -31,6 +31,10 @@ from regframe.operators import maintain
 from regframe.schemas import CODE_COLUMNS, CODE_TABLES, RAW_KINDS, text_schema
 from regframe.sources import dump, records
 
+#: Blocks that one landing is cut into at most, while they are smaller than the session's:
+#: each is a task of both passes, a file of the sink and a row of the states.
+MOST_BLOCKS = 400
+
 
 def _stream(spark: SparkSession, directory: str, names: list[str], columns: list[str], starts: DataFrame, max_files: int | None):
     reader = spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
@@ -72,6 +76,16 @@ def _stamps(spark: SparkSession, directory: str, plan: dict) -> dict[str, str]:
     }
 
 
+def block_size(spark: SparkSession, asked: int | None, pending: int) -> int | None:
+    """Size of the blocks for ``pending`` bytes of raw files: as ``asked`` (None: the
+    session's), or more where that would make over ``MOST_BLOCKS`` of them."""
+    if asked is None:
+        return None
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    own = size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(asked, min(own, -(-pending // MOST_BLOCKS)))
+
+
 def _noted(spark: SparkSession, path: str) -> dict[str, str]:
     text = maintain.get_text(spark, path) or ""
     return dict(line.split("\t") for line in text.splitlines())
@@ -97,8 +111,8 @@ def land(
     block_bytes: int | None = None,
 ) -> tuple[str, dict[str, int]]:
     """Land every pending raw file of the month; returns the generation's directory
-    and the rows landed by this run per kind. ``block_bytes``: size of the blocks that
-    files are cut into (default: the session's)."""
+    and the rows landed by this run per kind. ``block_bytes``: least size of the blocks that
+    files are cut into (default: the session's; see :func:`block_size`)."""
     plan = plan_files(dump.list_files(spark, directory), ano_mes)
     stamps = _stamps(spark, directory, plan)
     known = _generations(spark, raw_root)
@@ -111,7 +125,8 @@ def land(
     root = f"{raw_root}/g={number}"
     _note(spark, f"{root}/_PLANNED", planned | stamps)
 
-    own = records.grid_session(spark, block_bytes)
+    pending = sum(int(s.split(":")[0]) for n, s in stamps.items() if n not in before)
+    own = records.grid_session(spark, block_size(spark, block_bytes, pending))
     dump.enable_charsets(spark)
     dump.enable_charsets(own)
     had = {kind: _rows(spark, root, kind) for kind in plan}
