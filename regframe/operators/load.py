@@ -3,7 +3,7 @@
 Every step is idempotent and resumable:
   1. landing (Structured Streaming, availableNow + checkpoint) skips files
      already committed, lands new ones, and starts again when a landed file
-     changed or ``resume=False``;
+     changed or ``resume=False`` (what was landed before then goes);
   2. each table is published with a fingerprint of what it was built from (the
      landed files and the dimensions); it is rebuilt when that changed and
      reused when not;
@@ -56,6 +56,7 @@ def load_dump(
     data_ref, ano_mes = dump.detect_reference(dump.list_files(spark, dump_dir), ano_mes)
     snap = maintain.snapshot_path(base_root, ano_mes)
     raw_root, batches = landing.land(spark, dump_dir, f"{snap}/_raw", ano_mes=ano_mes, resume=resume, block_bytes=block_bytes)
+    landing.expire_generations(spark, raw_root)
 
     raw = {k: _landed(spark, raw_root, k) for k in RAW_KINDS}
     if raw["empresas"] is None or raw["estabelecimento"] is None:

@@ -17,7 +17,8 @@ taken back out of a sink, so it starts the next generation, which lands everythi
 again; so does ``resume=False``. Size and time of every file are noted before it is landed
 (``_PLANNED``) and when its run has ended (``_MANIFEST``), so that a file replaced after
 a run that was cut short counts as changed too. A kind whose raw files were removed after
-landing keeps its landed rows (the raw dump may be cleared once it is loaded).
+landing keeps its landed rows (the raw dump may be cleared once it is loaded). A
+generation that a newer one has landed again goes (:func:`expire_generations`).
 """
 
 from __future__ import annotations
@@ -100,6 +101,18 @@ def _generations(spark: SparkSession, raw_root: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit())
 
 
+def expire_generations(spark: SparkSession, root: str) -> list[str]:
+    """Delete the generations before the landed one at ``root``, which no load reads again,
+    but none with a kind that ``root`` does not hold; returns what was removed."""
+    raw_root, number = root.rsplit("/g=", 1)
+    kinds = lambda at: {d for d in maintain.list_dirs(spark, at) if not d.startswith("_")}
+    older = [f"{raw_root}/g={n}" for n in _generations(spark, raw_root) if n < int(number)]
+    gone = [at for at in older if kinds(at) <= kinds(root)]
+    for at in gone:
+        maintain.delete(spark, at)
+    return gone
+
+
 def land(
     spark: SparkSession,
     directory: str,
